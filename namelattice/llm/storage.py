@@ -1,0 +1,62 @@
+"""Where intermediate tables live, and how a frame's lineage is cut.
+
+Intermediates go to the shared folder that the cluster names in
+``spark.checkpoint.dir``; a lost executor then costs a re-read, not a re-run.
+Only where that setting is absent (tests, one machine) is a folder made.
+"""
+
+from __future__ import annotations
+
+import atexit
+import os
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of this session; one of our own only if none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="namelattice-")
+    return _OWN[app]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path nothing else uses, dropped again when the driver ends."""
+    path = f"{shared_dir(spark)}/namelattice-{uuid.uuid4().hex[:12]}/{name}"
+    atexit.register(discard, spark, os.path.dirname(path))
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later read needs; through Hadoop, as the folder may be remote."""
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended already; the cluster's own clean-up has the folder then
+        pass
+
+
+def stored(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the frame that reads it back."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.format(fmt).options(**options).save(path)
+    return spark.read.schema(df.schema).format(fmt).load(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers of this session import the package from where the driver has it."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
