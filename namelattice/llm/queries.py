@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, token_counts, token_orc
+from . import decontam, quality, token_counts, token_orc, toxicity
+from .labelled import id_remainder
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +22,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _classified(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", F.coalesce(id_remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return _classified(quality.score_texts(docs, model), quality.MODULUS, quality.HELD_OUT, quality.THRESHOLD)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return _classified(toxicity.score_texts(docs, model), toxicity.MODULUS, toxicity.HELD_OUT, toxicity.THRESHOLD)
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_file_rows(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -66,6 +86,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
+        "op6_toxicity": op6_toxicity,
         "op8_decontam": op8_decontam,
         "op3_token_orc": op3_token_orc,
         "op10_token_counts": op10_token_counts,
