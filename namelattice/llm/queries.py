@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, quality, token_counts, token_orc, toxicity
+from . import bagminhash, decontam, quality, token_counts, token_orc, toxicity
 from .labelled import id_remainder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,29 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_file_rows(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bagminhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS k, count(*) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common / (x.n + y.n - common) >= 0.8),
+two AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, two.b FROM reach r JOIN two ON two.a = r.y),
+c AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.match_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -88,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
         "op6_toxicity": op6_toxicity,
+        "op7_bagminhash": op7_bagminhash,
         "op8_decontam": op8_decontam,
         "op3_token_orc": op3_token_orc,
         "op10_token_counts": op10_token_counts,
@@ -96,5 +120,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_bagminhash": OP7_SQL,
         "op8_decontam": OP8_SQL,
     }

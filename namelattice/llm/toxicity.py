@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-The terms of a text are its distinct words and their leading 4 to 6 bytes (a
+The terms of a text are its distinct words and their leading 3 to 6 bytes (a
 plain stem, so that inflected insults share a term), each hashed into a fixed
 number of buckets.  The score is the logistic of bias, linear weights and all
 pairwise interactions of the terms, the latter through low-rank factors, so a
@@ -38,7 +38,7 @@ _CACHE_SIZE = 300_000
 
 def _buckets(word: bytes) -> tuple[int, ...]:
     mask = (1 << BITS) - 1
-    stems = {word[:n] for n in (4, 5, 6) if len(word) > n}
+    stems = {word[:n] for n in (3, 4, 5, 6) if len(word) > n}
     return (zlib.crc32(word) & mask, *(zlib.crc32(stem + b"~") & mask for stem in sorted(stems)))
 
 
@@ -71,11 +71,12 @@ class FactorizationMachine:
         if len(rows):
             v = self.factors[rows]
             total = v.sum(0)
-            z += float(self.weights[rows].sum()) + 0.5 * float(total @ total - np.einsum("ij,ij->", v, v))
+            # Pairs count by their mean over the text's terms, or long texts would drown in them.
+            z += float(self.weights[rows].sum()) + 0.5 * float(total @ total - np.einsum("ij,ij->", v, v)) / len(rows)
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 8, epochs: int = 6, batch: int = 128, min_docs: int = 4, rate: float = 0.1, l1: float = 2e-5, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 4, batch: int = 128, min_docs: int = 8, rate: float = 0.5, l1: float = 2e-4, l2: float = 1e-5, start: float = 1e-4, seed: int = 7) -> FactorizationMachine:
     """Stochastic gradient descent with AdaGrad steps; ``l1`` pulls linear weights and ``l2`` factors to zero."""
     size = 1 << BITS
     if not len(terms) or not y.any():
@@ -85,39 +86,38 @@ def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 8, epochs: int = 6,
     kept = np.flatnonzero(counts >= min_docs)
     row[kept] = np.arange(len(kept))
     terms = [(r := row[t])[r >= 0] for t in terms]
+    used = np.flatnonzero([len(t) > 0 for t in terms])
     rng = np.random.default_rng(seed)
     prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    bias, w = float(np.log(prior / (1 - prior))), np.zeros(len(kept))
-    v = rng.normal(0, 1e-3, (len(kept), rank))
-    gw, gv = np.full(len(kept), 1e-2), np.full((len(kept), rank), 1e-2)
+    bias, w = float(np.log(prior / (1 - prior))), np.zeros(len(kept), dtype=np.float32)
+    v = rng.normal(0, 1e-2, (len(kept), rank)).astype(np.float32)
+    gw, gv = np.full(len(kept), start, dtype=np.float32), np.full((len(kept), rank), 0.01 * start, dtype=np.float32)
     for _ in range(epochs):
-        order = rng.permutation(len(terms))
+        order = rng.permutation(used)
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
             sizes = np.array([len(terms[i]) for i in pick])
             ids, owner = np.concatenate([terms[i] for i in pick]), np.repeat(np.arange(len(pick)), sizes)
-            if not len(ids):
-                continue
-            uniq, back = np.unique(ids, return_inverse=True)
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             vi = v[ids]
-            total = np.zeros((len(pick), rank))
-            np.add.at(total, owner, vi)
-            z = bias + np.bincount(owner, weights=w[ids], minlength=len(pick))
-            z += 0.5 * ((total**2).sum(1) - np.bincount(owner, weights=(vi**2).sum(1), minlength=len(pick)))
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]
-            go = g[owner]
-            dw = np.bincount(back, weights=go, minlength=len(uniq)) / len(pick)
-            dv = np.zeros((len(uniq), rank))
-            np.add.at(dv, back, go[:, None] * (total[owner] - vi))
-            dv = dv / len(pick) + l2 * v[uniq]
+            total = np.add.reduceat(vi, first)
+            share = (1.0 / sizes).astype(np.float32)
+            z = bias + np.add.reduceat(w[ids], first) + 0.5 * share * ((total**2).sum(1) - np.add.reduceat((vi**2).sum(1), first))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]).astype(np.float32)
+            by_id = np.argsort(ids, kind="stable")
+            ids = ids[by_id]
+            starts = np.flatnonzero(np.diff(ids, prepend=-1))
+            uniq = ids[starts]
+            dw = np.add.reduceat(g[owner[by_id]], starts) / len(pick)
+            dv = np.add.reduceat(((g * share)[owner, None] * (total[owner] - vi))[by_id], starts) / len(pick) + l2 * v[uniq]
             gw[uniq] += dw**2
             gv[uniq] += dv**2
             step = rate / np.sqrt(gw[uniq])
             moved = w[uniq] - step * dw
             w[uniq] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            v[uniq] -= 0.1 * rate / np.sqrt(gv[uniq]) * dv
-            bias -= 0.05 * rate * float(g.mean())
-    return FactorizationMachine(row, bias, w.astype(np.float32), v.astype(np.float32))
+            v[uniq] -= 0.2 * rate / np.sqrt(gv[uniq]) * dv
+            bias -= 0.2 * rate * float(g.mean())
+    return FactorizationMachine(row, bias, w, v)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", fit_docs: int = FIT_DOCS) -> FactorizationMachine:
