@@ -10,11 +10,12 @@ they pass the largest register, so a long text costs little more than its
 shingles.
 
 Registers are banded.  Texts with equal multisets are collapsed to one node
-first.  In each bucket every node is verified against one leader only; then,
-in buckets that still hold several components, members outside the largest one
-are verified against the nodes of other components.  After that each candidate
-pair is verified or already connected, without ever forming all pairs of a
-group.
+first.  In each bucket every node is verified against one leader only, the node
+with the most company; then, in buckets that still hold several components,
+members outside the largest one are verified against those nodes of other
+components that a bound on their difference leaves.  After that each candidate
+pair is verified, ruled out or already connected, without forming all pairs of
+a group.
 
 Texts without words are never duplicates; a text of fewer words than a shingle
 is one shingle.  Null ids are allowed and come last within a class; repeated
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
 from .storage import ship, stored
@@ -182,32 +183,93 @@ def _multisets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: in
     return rows.mapInArrow(gather, "fp binary, s binary, c binary")
 
 
-def overlap(sa: bytes, ca: bytes, sb: bytes, cb: bytes) -> float:
-    """Weighted Jaccard similarity of two multisets."""
+def shared(sa: bytes, ca: bytes, sb: bytes, cb: bytes) -> int:
+    """Size of the common part of two multisets."""
     a, b = np.frombuffer(sa, dtype=_U), np.frombuffer(sb, dtype=_U)
     wa = np.frombuffer(ca, dtype="<i4") if ca else np.ones(len(a), dtype=np.int32)
     wb = np.frombuffer(cb, dtype="<i4") if cb else np.ones(len(b), dtype=np.int32)
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     same = b[at] == a
-    both = int(np.minimum(wa[same], wb[at[same]]).sum())
-    return both / (int(wa.sum()) + int(wb.sum()) - both)
+    return int(np.minimum(wa[same], wb[at[same]]).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose multisets overlap enough."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``shared``, the size of the common multiset."""
     rows = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb")), "b")
     rows = rows.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca")), "a")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                overlap(*(x.as_buffer().to_pybytes() for x in four)) >= similarity
+            sizes = [
+                shared(*(x.as_buffer().to_pybytes() for x in four))
                 for four in zip(*(batch.column(k) for k in ("sa", "ca", "sb", "cb")))
             ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64())], names=["a", "b", "shared"])
 
-    return rows.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(check, "a binary, b binary")
+    return rows.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(measure, "a binary, b binary, shared long")
+
+
+def _own_weights(sets: DataFrame) -> DataFrame:
+    """``(fp, own)``: the weight of shingles that no other multiset in ``sets`` has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                element = np.frombuffer(batch.column("s")[i].as_buffer().to_pybytes(), dtype=np.int64)
+                raw = batch.column("c")[i].as_buffer().to_pybytes()
+                weight = np.frombuffer(raw, dtype="<i4") if raw else np.ones(len(element), dtype=np.int32)
+                names = pa.repeat(batch.column("fp")[i], len(element))
+                yield pa.RecordBatch.from_arrays([pa.array(element), names, pa.array(weight)], names=["e", "fp", "w"])
+
+    rows = sets.mapInArrow(spread, "e long, fp binary, w int")
+    alone = rows.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.first("fp").alias("fp"), F.first("w").alias("w")).where("k = 1")
+    return alone.groupBy("fp").agg(F.sum("w").alias("own"))
+
+
+def _pairs_apart(named: DataFrame, stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a bucket in different components that can still be similar.
+
+    ``named(band, key, fp, n, lead, lead_n, comp)``.  With u the weight only one
+    text has and l what the bucket's leader has more, two texts differ by
+    ``u + u' + |l - l'|`` at least, and similar ones by ``c (n + n')`` at most, c =
+    (1 - t) / (1 + t).  Texts too far from every other by that bound are set
+    aside by minima over the values of l, before any pair is formed.
+    """
+    bucket = ["band", "key"]
+    parts = named.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("size"))
+    mains = parts.groupBy(*bucket).agg(F.max(F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mains = stored(mains.select(*bucket, F.col("main.comp").alias("main")), "mains")
+    split = stored(named.join(mains, bucket), "split")
+    here = sets.join(split.select("fp").distinct(), "fp")
+    own = stored(_own_weights(here), "own")
+    known = stars.select(F.col("a").alias("lead"), F.col("b").alias("fp"), "shared")
+    rows = split.join(own, "fp", "left").join(known, ["lead", "fp"], "left")
+    lost = F.when(F.col("fp") == F.col("lead"), F.lit(0)).otherwise(F.col("lead_n") - F.col("shared"))
+    c = (1 - similarity) / (1 + similarity)
+    rows = rows.select(*bucket, "fp", "n", "comp", "main", F.coalesce("own", F.lit(0)).alias("u"), lost.alias("l"), (c * F.col("n")).alias("cn"))
+    rows = stored(rows, "bounds")
+    # One row a bucket and value of l, of which there are no more than the leader has shingles.
+    levels = rows.groupBy(*bucket, "l").agg(F.min(F.expr("u - l - cn")).alias("near"), F.min(F.expr("u + l - cn")).alias("far"))
+    by_l = Window.partitionBy(*bucket).orderBy("l")
+    levels = levels.select(
+        *bucket, "l",
+        F.min("near").over(by_l.rowsBetween(Window.unboundedPreceding, 0)).alias("low_near"),
+        F.min("far").over(by_l.rowsBetween(1, Window.unboundedFollowing)).alias("low_far"),
+    )
+    levels = stored(levels, "levels")
+    slack = 1e-6  # sums of doubles
+    reach = (F.col("u") + F.col("l") + F.col("low_near") <= F.col("cn") + slack) | (F.col("u") - F.col("l") + F.coalesce("low_far", F.lit(float("inf"))) <= F.col("cn") + slack)
+    minor = rows.where("comp <> main").join(levels, [*bucket, "l"]).where(reach)
+    minor = stored(minor.select(*bucket, F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("u").alias("xu"), F.col("l").alias("xl"), F.col("cn").alias("xcn")), "minor")
+    close = (
+        (F.col("comp") != F.col("xc"))
+        & ((F.col("comp") == F.col("main")) | (F.col("fp") < F.col("x")))
+        & (F.col("u") + F.col("xu") + F.abs(F.col("l") - F.col("xl")) <= F.col("cn") + F.col("xcn") + slack)
+    )
+    pairs = rows.join(minor, bucket).where(close).select(F.least("fp", "x").alias("a"), F.greatest("fp", "x").alias("b")).distinct()
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -219,30 +281,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     sigs = stored(signed(docs, id_col, text, k, bands, rows), "signatures")
     nodes = sigs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
+    bucket = ["band", "key"]
     dealt = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    leaders = dealt.groupBy("band", "key").agg(F.min(F.struct("fp", "n")).alias("lead"), F.max("fp").alias("last")).where("lead.fp <> last")
-    leaders = stored(leaders.select("band", "key", F.col("lead.fp").alias("a"), F.col("lead.n").alias("an")), "leaders")
+    buckets = stored(dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     # Members of buckets with two nodes or more; all later steps read this, not the signatures.
-    members = stored(dealt.join(leaders, ["band", "key"]), "members")
-    fits = F.least("n", "an") >= F.lit(similarity) * F.greatest("n", "an")
-    stars = stored(members.where((F.col("fp") != F.col("a")) & fits).select("a", F.col("fp").alias("b")).distinct(), "stars")
-    inside = members.select("fp").distinct()
+    members = stored(dealt.join(buckets, bucket), "members")
+    # A bucket is led by its node with the most company over all bands: the middle of a group of copies.
+    company = members.groupBy("fp").agg(F.sum("size").alias("company"))
+    ranked = stored(members.join(company, "fp").select(*bucket, "fp", "n", "company"), "ranked")
+    leads = ranked.groupBy(*bucket).agg(F.max(F.struct("company", "fp", "n")).alias("top"))
+    leads = stored(leads.select(*bucket, F.col("top.fp").alias("lead"), F.col("top.n").alias("lead_n")), "leads")
+    led = stored(ranked.join(leads, bucket).select(*bucket, "fp", "n", "lead", "lead_n"), "led")
+    stars = led.where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+    inside = led.select("fp").distinct()
     sets = stored(_multisets(docs, nodes.select("fp", "doc_id").join(inside, "fp"), id_col, text, k).dropDuplicates(["fp"]), "multisets")
-    links = stored(_verified(stars, sets, similarity), "links")
-    found = connected_components(links)
+    stars = stored(_overlaps(stars, sets), "stars")
+    sizes = nodes.select("fp", "n")
+
+    def linked(overlaps: DataFrame) -> DataFrame:
+        both = overlaps.join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("an")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("bn")), "b")
+        return both.where(F.col("shared") / (F.col("an") + F.col("bn") - F.col("shared")) >= similarity).select("a", "b")
 
+    found = connected_components(linked(stars))
     # What the leaders left apart: buckets with several components.
-    named = members.select("band", "key", "fp", "n").join(found, F.col("fp") == F.col("node"), "left")
-    named = stored(named.select("band", "key", "fp", "n", F.coalesce("component", "fp").alias("comp")), "named")
-    shares = named.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    mains = shares.groupBy("band", "key").agg(F.max(F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mains = stored(mains.select("band", "key", F.col("main.comp").alias("main")), "mains")
-    split = named.join(mains, ["band", "key"])
-    minor = split.where("comp <> main").select("band", "key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    apart = split.join(minor, ["band", "key"]).where((F.col("comp") != F.col("xc")) & ((F.col("comp") == F.col("main")) | (F.col("fp") < F.col("x"))))
-    apart = apart.where(F.least("n", "xn") >= F.lit(similarity) * F.greatest("n", "xn"))
-    pairs = apart.select(F.least("fp", "x").alias("a"), F.greatest("fp", "x").alias("b")).distinct()
-    more = stored(_verified(pairs.join(stars, ["a", "b"], "left_anti"), sets, similarity), "links")
+    named = led.join(found, F.col("fp") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("component", "fp")).drop("component")
+    apart = stored(_pairs_apart(stored(named, "named"), stars, sets, similarity), "pairs")
+    more = stored(linked(_overlaps(apart, sets)), "links")
     if not more.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
