@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, decontam, quality, token_counts, token_orc, toxicity
+from . import bagminhash, decontam, licenses, mixing, quality, token_counts, token_orc, toxicity
 from .labelled import id_remainder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,34 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_file_rows(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(_table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '~') AS sk, coalesce(text, '') AS t,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[!#$%&*|<>{}~^=+@\\]')) AS marks FROM documents),
+k AS (
+  SELECT doc_id, sk, size, pow((CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || t), 1, 12) AS BIGINT) + 1.0::DOUBLE) / 281474976710656.0::DOUBLE,
+    1.0::DOUBLE / greatest(0.05::DOUBLE, 1.0::DOUBLE - CAST(marks AS DOUBLE) / greatest(size, 1))) AS key FROM d),
+s AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY 1),
+w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY sk) - 1) % 3 + 1 AS INT)] AS w FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, sk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS step FROM w),
+g AS (SELECT sk, source_size, least(cap, max(step) OVER () * w) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
+r AS (
+  SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY sk ORDER BY key DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN e USING (sk))
+SELECT doc_id, size, source_size, target,
+  CAST(size * (epochs + CASE WHEN rest > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bagminhash.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -102,6 +130,35 @@ FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_canonical(text: str) -> str:
+    listed = ", ".join(map(_sql_text, licenses.SPELLINGS))
+    forms = "MAP {" + ", ".join(f"{_sql_text(a)}: {_sql_text(b)}" for a, b in licenses.SPELLINGS.items()) + "}"
+    bare = f"regexp_replace(replace(regexp_replace(lower({text}), {_sql_text(licenses.COPYRIGHT_LINE)}, ' ', 'g'), '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')".replace("\\\\", "\\")
+    return f"array_to_string(list_transform(string_split(trim({bare}), ' '), lambda w: CASE WHEN w IN ({listed}) THEN {forms}[w] ELSE w END), ' ')"
+
+
+def _op9_sql() -> str:
+    known = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, texts in licenses.KNOWN.items() for text in texts)
+    return f"""
+WITH known AS (SELECT sha256({_sql_canonical('text')}) AS digest, min(license) AS license FROM (VALUES {known}) v(license, text) GROUP BY 1),
+b AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(range(0, len(parts))) AS unit, unnest(parts) AS u FROM b UNION ALL SELECT doc_id, -1, text FROM b WHERE len(parts) > 1),
+m AS (SELECT doc_id, unit, license FROM (SELECT doc_id, unit, sha256({_sql_canonical('u')}) AS digest FROM u) JOIN known USING (digest)),
+a AS (SELECT doc_id, max(license) FILTER (unit = -1) AS several, max(license) FILTER (unit = 0) AS single,
+  count(*) FILTER (unit >= 0) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY 1)
+SELECT d.doc_id, CASE WHEN len(string_split(d.text, chr(10))) = 1 THEN single ELSE several END AS whole_license,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path())
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -110,16 +167,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
+        "op4_mixing": op4_mixing,
         "op6_toxicity": op6_toxicity,
         "op7_bagminhash": op7_bagminhash,
         "op8_decontam": op8_decontam,
         "op3_token_orc": op3_token_orc,
+        "op9_licenses": op9_licenses,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": OP4_SQL,
+        "op9_licenses": _op9_sql(),
         "op7_bagminhash": OP7_SQL,
         "op8_decontam": OP8_SQL,
     }
