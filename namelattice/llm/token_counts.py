@@ -15,17 +15,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import ship
-from .tokens import encoder
-from .words import byte_rows
+from .tokens import encoder, steps
 
-#: What this Python worker has encoded beyond the table, by tokenizer.
-_MISSES: dict[str, dict[bytes, int]] = {}
-
-
-def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", table_size: int = 20_000, sample_docs: int = 500, sample_chars: int = 20_000) -> list[tuple[bytes, int]]:
+def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", table_size: int = 20_000, sample_docs: int = 500, sample_chars: int = 20_000) -> dict[bytes, int]:
     """The most frequent pieces of at most ``sample_docs`` texts and their token lengths.
 
     Driver work and result are bounded by the three parameters.
@@ -33,35 +29,24 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", table_
     rows = docs.select(F.substring(F.col(text).cast("string"), 1, sample_chars).alias("t")).where("t is not null").limit(sample_docs).collect()
     counts = Counter(piece for row in rows for piece in row.t.encode().split())
     pieces = [piece for piece, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
-    codec = encoder(tokenizer)
-    return [(piece, len(ids) // 2) for piece, ids in zip(pieces, codec.encode(pieces))]
+    lengths = encoder(tokenizer).counts(pa.array(pieces, pa.binary()).cast(pa.string()))
+    return dict(zip(pieces, lengths.tolist()))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", table_size: int = 20_000, cache_size: int = 800_000) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", table_size: int = 20_000, cache_size: int = 1_000_000) -> DataFrame:
     """``(id_col, n_bytes, n_tokens)`` of every whole text."""
     spark = docs.sparkSession
     ship(spark)
-    table = spark.sparkContext.broadcast(dict(frequent_lengths(docs, tokenizer, text, table_size)))
+    table = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer, text, table_size))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer, cache_size)
-        known = table.value
-        misses = _MISSES.setdefault(tokenizer, {})
         for batch in batches:
-            sizes, counts = [], []
-            texts = [raw for raw in byte_rows(batch.column("t"))]
-            split = [raw.split() for raw in texts]
-            if len(misses) > cache_size:
-                misses.clear()
-            new = [piece for piece in set().union(*map(set, split)) if piece not in known and piece not in misses]
-            for i in range(0, len(new), 8192):
-                part = new[i : i + 8192]
-                misses.update(zip(part, (len(ids) // 2 for ids in codec.encode_once(part))))
-            for raw, pieces in zip(texts, split):
-                sizes.append(len(raw))
-                counts.append(sum([known[p] if p in known else misses[p] for p in pieces]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            for start, stop in steps(batch.column("t")):
+                rows = batch.slice(start, stop - start)
+                sizes = pc.fill_null(pc.binary_length(rows.column("t")), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("id"), sizes, pa.array(codec.counts(rows.column("t"), table.value))], names=["id", "n_bytes", "n_tokens"])
 
     id_type = narrow.schema["id"].dataType.simpleString()
     return narrow.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

@@ -23,35 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .storage import fresh_path, ship
-from .tokens import encoder
-from .words import byte_rows
+from .tokens import encoder, steps
 
 END_ID = 1
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, stripe_mb: int = 16, cache_size: int = 600_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, stripe_mb: int = 16, cache_size: int = 1_000_000) -> None:
     """Encode every whole text and write ``path``/ids (ORC) and ``path``/manifest (ORC)."""
     spark = docs.sparkSession
     ship(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     # Ranges are dealt before encoding: the sampling pass of the range partitioner then costs a scan only.
     ordered = narrow.repartitionByRange("doc_id", F.xxhash64("t")).sortWithinPartitions("doc_id", F.xxhash64("t"))
-    tail = np.array([end_id], dtype="<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         codec, part, first = encoder(tokenizer, cache_size), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
-                coded = [ids + tail for ids in codec.encode(list(byte_rows(rows.column("t"))))]
-                sizes = np.array([len(x) // 2 for x in coded], dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.frombuffer(b"".join(coded), dtype="<u2").astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            for start, stop in steps(batch.column("t")):
+                rows = batch.slice(start, stop - start)
+                ids, ends = codec.encode(rows.column("t"))
+                ids = np.insert(ids, ends, end_id)
+                ends = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                sizes = np.diff(ends)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(sizes), pa.array(first + ends[:-1]), pa.array(np.full(len(sizes), part, dtype=np.int32)), ids],
+                    [rows.column("doc_id"), pa.array(sizes), pa.array(first + ends[:-1]), pa.array(np.full(len(sizes), part, dtype=np.int32)), lists],
                     names=["doc_id", "n_tokens", "first", "part", "ids"],
                 )
                 first += int(ends[-1])
