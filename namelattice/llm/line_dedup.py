@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .bounded import broadcast_if_small
 from .storage import stored
 
 #: Shorter lines are near anything: only exact repeats of them are dropped.
@@ -62,21 +63,108 @@ def _folded(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
 
 
-def variant_keys(words: Column) -> Column:
-    """``array<struct<v, i>>``: keys of a line without its word i, and of the whole line as i = -1.
+def _variants(lines: DataFrame) -> DataFrame:
+    """``id, v, i`` from ``lines(id, words)``: a key of the line without its word i, and of the whole line as i = -1.
 
-    A key is the exclusive or of the hashes of (word, place); words behind the
-    deleted one move up a place.
+    A key is the exclusive or of the hashes of (word, place), words behind the
+    deleted one moving up a place.  Running values are kept by block of words,
+    so a line costs its length.  The arrays are written between steps: inlined
+    into a lambda they would be computed again for each word.
     """
-    here = F.transform(words, lambda w, j: F.xxhash64(w, j))
-    moved = F.transform(words, lambda w, j: F.xxhash64(w, j - 1))
+    here = F.transform("words", lambda w, j: F.xxhash64(w, j))
+    moved = F.transform("words", lambda w, j: F.xxhash64(w, j - 1))
     both = F.zip_with(here, moved, lambda a, b: a.bitwiseXOR(b))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / _BLOCK).cast("int")), lambda b: _folded(F.slice(both, b * _BLOCK + 1, F.lit(_BLOCK))))
-    starts = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
-
-    def without(item: Column) -> Column:
-        block = F.floor(item["i"] / _BLOCK).cast("int")
-        before = F.get(item["starts"], block).bitwiseXOR(_folded(F.slice(item["both"], block * _BLOCK + 1, item["i"] - block * _BLOCK)))
-        return F.struct(before.bitwiseXOR(item["rest"]).bitwiseXOR(item["own"]).alias("v"), item["i"].alias("i"))
-
-    raise NotImplementedError
+    hashed = stored(lines.select("id", moved.alias("moved"), both.alias("both"), _folded(here).alias("whole"), _folded(moved).alias("rest")), "hashed")
+    block = F.floor((F.size("both") - 1) / _BLOCK).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), block), lambda b: _folded(F.slice(F.col("both"), b * _BLOCK + 1, F.lit(_BLOCK))))
+    running = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+    hashed = stored(hashed.withColumn("running", running), "running")
+
+    def without(x: Column, i: Column) -> Column:
+        b = F.floor(i / _BLOCK).cast("int")
+        before = F.get(F.col("running"), b).bitwiseXOR(_folded(F.slice(F.col("both"), b * _BLOCK + 1, i - b * _BLOCK)))
+        return before.bitwiseXOR(F.col("rest")).bitwiseXOR(x)
+
+    keys = hashed.select("id", F.posexplode(F.transform("moved", without)).alias("i", "v"))
+    return keys.select("id", "v", "i").unionByName(hashed.select("id", F.col("whole").alias("v"), F.lit(-1).alias("i")))
+
+
+def within_one(a: Column, b: Column) -> Column:
+    """Whether two different word arrays differ by one word inserted, deleted or replaced."""
+    def differing(x: Column, y: Column) -> Column:
+        return F.size(F.filter(F.zip_with(x, y, lambda p, q: p != q), lambda t: t))
+
+    def longer(x: Column, y: Column) -> Column:
+        # x has one word more: behind the first difference, it runs one place ahead.
+        n = F.size(y)
+        at = F.coalesce(F.array_position(F.zip_with(F.slice(x, F.lit(1), n), y, lambda p, q: p != q), F.lit(True)), F.lit(0)).cast("int")
+        return (at == 0) | (F.slice(x, at + 1, n) == F.slice(y, at, n))
+
+    same = (F.size(a) == F.size(b)) & (differing(a, b) <= 1)
+    return same | F.when(F.size(a) == F.size(b) + 1, longer(a, b)).when(F.size(b) == F.size(a) + 1, longer(b, a)).otherwise(False)
+
+
+def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, of)``: lines within the bound of an earlier line, and the earliest such line."""
+    keyed = firsts.where("keys is not null").select("id", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "halves")
+    some = stored(keyed.join(shared, "key").select("id").distinct().join(firsts.select("id", "first"), "id"), "candidates")
+    at = broadcast_if_small(some.select(F.col("id").alias("c"), F.col("first.doc_id").alias("d"), F.col("first.h").alias("ch"), F.col("first.pos").alias("p")), 200_000)
+    rows = _exploded(docs, id_col, text).join(at, (F.col("h") == F.col("ch")) & (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    lines = stored(rows.select(F.col("c").alias("id"), "line").dropDuplicates(["id"]).select("id", F.split("line", " ").alias("words")), "lines")
+    keys = stored(_variants(lines), "variants")
+    again = stored(keys.groupBy("v").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("v"), "shared")
+    met = stored(keys.join(again, "v").join(some.select("id", "first"), "id"), "met")
+    leads = stored(met.groupBy("v", "i").agg(F.min(F.struct("first", "id")).alias("lead")), "leads")
+    replaced = met.where("i >= 0").join(leads, ["v", "i"]).select("id", "first", "lead")
+    wholes = leads.where("i = -1").select("v", "lead")
+    longer = met.where("i >= 0").join(wholes, "v").select("id", "first", "lead")
+    earliest = leads.where("i >= 0").groupBy("v").agg(F.min("lead").alias("lead"))
+    shorter = met.where("i = -1").join(earliest, "v").select("id", "first", "lead")
+    pairs = replaced.unionByName(longer).unionByName(shorter).where("lead.first < first").select("id", F.col("lead.id").alias("of"), F.col("lead.first").alias("of_first")).distinct()
+    checked = pairs.join(lines, "id").join(lines.select(F.col("id").alias("of"), F.col("words").alias("other")), "of").where(within_one(F.col("words"), F.col("other")))
+    return checked.groupBy("id").agg(F.min(F.struct("of_first", "of")).alias("m")).select("id", F.col("m.of").alias("of"))
+
+
+def line_states(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, h, pos, state`` of every line that isn't blank; h is the hash of the text, state 0 kept, 1 repeated, 2 near an earlier line."""
+    words = F.split("line", " ")
+    n = F.size(words)
+    keys = F.when(n >= MIN_WORDS, half_keys(words, n))
+    lines = stored(_exploded(docs, id_col, text).select("doc_id", "h", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"), keys.alias("keys")), "occurrences")
+    firsts = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "h")).alias("first"), F.first("keys").alias("keys")), "firsts")
+    near = stored(_near(docs, firsts, id_col, text), "near")
+    known = firsts.select("id", "first").join(near.select("id", "of"), "id", "left").select("id", "first", F.col("of").isNotNull().alias("near"))
+    rows = lines.select("doc_id", "h", "pos", "id").join(stored(known, "known"), "id")
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h")) & (F.col("first.pos") == F.col("pos"))
+    return rows.select("doc_id", "h", "pos", F.when(~first, 1).when(F.col("near"), 2).otherwise(0).alias("state"))
+
+
+def _by_document(states: DataFrame) -> DataFrame:
+    at = F.array_sort(F.collect_set(F.struct("pos", "state")))
+    return states.groupBy("doc_id", "h").agg(at.alias("lines"))
+
+
+def summary(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_lines, n_exact, n_near, kept_lines``, a row for each row of ``docs``; ``kept_lines`` are places, comma-joined."""
+    by_doc = _by_document(line_states(docs, id_col, text)).withColumnsRenamed({"doc_id": "d", "h": "dh"})
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    rows = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left")
+    rows = rows.withColumn("lines", F.coalesce("lines", F.expr("cast(array() as array<struct<pos:int,state:int>>)")))
+    return rows.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("lines", lambda x: x["state"] == 1)).cast("long").alias("n_exact"),
+        F.size(F.filter("lines", lambda x: x["state"] == 2)).cast("long").alias("n_near"),
+        F.array_join(F.transform(F.filter("lines", lambda x: x["state"] == 0), lambda x: x["pos"].cast("string")), ",").alias("kept_lines"),
+    )
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with repeated and near-repeated lines taken out of ``text``."""
+    by_doc = _by_document(line_states(docs, id_col, text)).select(
+        F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.expr("transform(filter(lines, x -> x.state > 0), x -> x.pos)").alias("__gone")
+    )
+    body = F.col(text).cast("string")
+    rows = docs.join(by_doc.where("size(__gone) > 0"), F.col(id_col).cast("string").eqNullSafe(F.col("__d").cast("string")) & (F.xxhash64(body) == F.col("__h")), "left")
+    kept = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    return rows.withColumn(text, F.when(F.col("__gone").isNull(), body).otherwise(kept)).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, decontam, licenses, mixing, quality, token_counts, token_orc, toxicity
+from . import bagminhash, decontam, licenses, line_dedup, mixing, quality, token_counts, token_orc, toxicity
 from .labelled import id_remainder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,31 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH o AS (
+  SELECT doc_id, pos, trim(regexp_replace(raw, '[ \t\r\x0B\x0C]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, unnest(range(0, len(p))) AS pos, unnest(p) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))),
+l AS (SELECT * FROM o WHERE line <> ''),
+f AS (SELECT line, string_split(line, ' ') AS w, min((doc_id, pos)) AS first FROM l GROUP BY 1),
+v AS (SELECT line, first, i, array_to_string(w[:i - 1] || w[i + 1:], ' ') AS v
+  FROM (SELECT line, first, w, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 5)),
+near AS (
+  SELECT a.line FROM v a JOIN v b ON a.v = b.v AND a.i = b.i WHERE b.first < a.first
+  UNION SELECT a.line FROM v a JOIN f b ON a.v = b.line AND len(b.w) >= 5 WHERE b.first < a.first
+  UNION SELECT b.line FROM v a JOIN f b ON a.v = b.line AND len(b.w) >= 5 WHERE a.first < b.first),
+s AS (SELECT l.doc_id, l.pos, CASE WHEN (l.doc_id, l.pos) <> f.first THEN 1 WHEN near.line IS NOT NULL THEN 2 ELSE 0 END AS state
+  FROM l JOIN f USING (line) LEFT JOIN near USING (line)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (state = 1) AS n_exact, count(*) FILTER (state = 2) AS n_near,
+  string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (state = 0) AS kept FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, coalesce(kept, '') AS kept_lines
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bagminhash.classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -168,6 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality": op2_quality,
         "op4_mixing": op4_mixing,
+        "op5_line_dedup": op5_line_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_bagminhash": op7_bagminhash,
         "op8_decontam": op8_decontam,
@@ -180,6 +206,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": OP4_SQL,
+        "op5_line_dedup": OP5_SQL,
         "op9_licenses": _op9_sql(),
         "op7_bagminhash": OP7_SQL,
         "op8_decontam": OP8_SQL,
