@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, decontam, licenses, line_dedup, mixing, quality, token_counts, token_orc, toxicity
+from . import bagminhash, decontam, licenses, line_dedup, mixing, quality, token_counts, token_orc, toxicity, vector_dedup
 from .labelled import id_remainder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9::DOUBLE),
+reach(x, y) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def _classified(scored: DataFrame, modulus: int, held_out: int, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(id_remainder(F.col("doc_id"), modulus) == held_out, F.lit(False)).alias("held_out"),
@@ -191,6 +206,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_vector_dedup": op1_vector_dedup,
         "op2_quality": op2_quality,
         "op4_mixing": op4_mixing,
         "op5_line_dedup": op5_line_dedup,
@@ -205,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_vector_dedup": OP1_SQL,
         "op4_mixing": OP4_SQL,
         "op5_line_dedup": OP5_SQL,
         "op9_licenses": _op9_sql(),
