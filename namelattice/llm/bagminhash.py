@@ -273,10 +273,11 @@ def _pairs_apart(named: DataFrame, stars: DataFrame, sets: DataFrame, similarity
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, h, n_shingles, class_id, class_size`` of every row of ``docs``.
+    """``doc_id, h, n_shingles, class_key, class_id, class_size`` of every row of ``docs``.
 
-    ``class_id`` is the smallest id of the class (null if all are null); a row
-    without words has its own id and size 1.  ``h`` is the digest of the text.
+    ``class_id`` is the smallest id of the class (null if all are null), which
+    tells classes apart if ids do; ``class_key`` always does.  A row without
+    words has its own id, size 1 and no key.  ``h`` is the digest of the text.
     """
     sigs = stored(signed(docs, id_col, text, k, bands, rows), "signatures")
     nodes = sigs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -314,30 +315,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     comp = stored(comp, "components")
     rows_by_fp = sigs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     ids = rows_by_fp.join(comp, "fp").groupBy("comp").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_fp = stored(comp.join(ids, "comp").select("fp", "class_id", "class_size"), "classes")
-    kept = sigs.where("fp is not null").select("doc_id", "h", "n", "fp").join(by_fp, "fp").select("doc_id", "h", F.col("n").alias("n_shingles"), "class_id", "class_size")
-    alone = sigs.where("fp is null").select("doc_id", "h", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    by_fp = stored(comp.join(ids, "comp").select("fp", F.col("comp").alias("class_key"), "class_id", "class_size"), "classes")
+    kept = sigs.where("fp is not null").select("doc_id", "h", "n", "fp").join(by_fp, "fp").select("doc_id", "h", F.col("n").alias("n_shingles"), "class_key", "class_id", "class_size")
+    alone = sigs.where("fp is null").select("doc_id", "h", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return kept.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each class the one with the smallest id.
 
-    Rows without words all stay.  If several rows of a class have its smallest
-    id, the one with the smallest digest stays; of repeated equal rows, one.
+    Rows without words all stay.  Null ids come last; of rows with one id the
+    smallest digest stays; of equal rows, one.
     """
     named = classes(docs, id_col, text, **options)
-    first = named.where("n_shingles > 0 and class_id is not null").where("doc_id = class_id").groupBy("class_id").agg(F.min("h").alias("h"))
-    # Classes without any id keep their smallest digest.
-    nameless = named.where("n_shingles > 0 and class_id is null").select(F.col("class_id"), "h").distinct()
-    stay = stored(first.unionByName(nameless), "stay")
-    digest = F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
-    marked = docs.withColumns({"__digest": digest, "__id": F.col(id_col).cast("long")})
-    chosen = marked.join(stay.select(F.col("class_id").alias("__class"), F.col("h").alias("__h")), F.col("__id").eqNullSafe(F.col("__class")) & (F.col("__digest") == F.col("__h")), "left_semi")
-    repeats = stored(chosen.groupBy("__id", "__digest").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"), "repeats")
-    same = F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__digest") == F.col("__rdigest"))
-    again = repeats.select(F.col("__id").alias("__rid"), F.col("__digest").alias("__rdigest"))
-    once = chosen.join(again, same, "left_anti")
-    twice = chosen.join(again, same, "left_semi").dropDuplicates(["__id", "__digest"])
-    wordless = marked.where(~F.translate(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), "", "").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"))
-    return once.unionByName(twice).unionByName(wordless).select(*docs.columns)
+    chosen_row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("r")
+    stay = named.where("n_shingles > 0").groupBy("class_key").agg(chosen_row).select(F.col("r.doc_id").alias("class_id"), "r.h")
+    stay = stored(stay, "stay")
+    body = F.col(text).cast("string")
+    marked = docs.select(F.struct("*").alias("doc"), F.unhex(F.md5(body.cast("binary"))).alias("digest"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
+    mine = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("h"))
+    chosen = marked.join(stay, mine, "left_semi").drop("body")
+    # Equal rows: one of them. They are few, so only they are dealt out by their key.
+    repeats = stored(chosen.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest")), "repeats")
+    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest"))
+    once = chosen.join(repeats, same, "left_anti")
+    twice = chosen.join(repeats, same, "left_semi").dropDuplicates(["id", "digest"])
+    wordless = marked.where(~F.coalesce("body", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
+    return once.select("doc.*").unionByName(twice.select("doc.*")).unionByName(wordless.select("doc.*"))

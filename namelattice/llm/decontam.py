@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bounded import broadcast_if_small
 from .storage import fresh_path, ship, stored
 from .words import byte_rows, words_of
 
@@ -34,8 +35,8 @@ WINDOW = 10
 BLOCK_WORDS = 4_000_000
 #: Words in a segment before it is closed; bounds a row of the index to a few MB.
 SEGMENT_WORDS = 400_000
-_INDEX_SCHEMA = "terms array<int>, ends array<int>, positions array<int>, row array<long>, doc_id array<long>, places array<int>, n_words array<int>"
-_MATCH_SCHEMA = "row long, doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
+_INDEX_SCHEMA = "terms array<int>, ends array<int>, positions array<int>, row array<long>, doc_id array<long>, h array<long>, places array<int>, n_words array<int>"
+_MATCH_SCHEMA = "row long, doc_id long, h long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def item_blocks(items: DataFrame, id_col: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -59,12 +60,12 @@ def vocabulary(block: list[tuple[str, list[bytes]]]) -> dict[bytes, int]:
 
 
 def build_index(docs: DataFrame, terms: dict[bytes, int], path: str, segment_words: int = SEGMENT_WORDS) -> None:
-    """Write the segments of ``docs`` (``row, doc_id, t``) for ``terms`` to ``path``, a row each."""
+    """Write the segments of ``docs`` (``row, doc_id, h, t``) for ``terms`` to ``path``, a row each."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = shared.value.get
-        codes, sizes, rows, ids, held = [], [], [], [], 0
+        codes, sizes, rows, ids, digests, held = [], [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
             # Documents lie on one axis with a free place between them, so that no phrase runs across.
@@ -77,29 +78,35 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], path: str, segment_wor
             flat, at = flat[order], at[order]
             starts = np.flatnonzero(np.diff(flat, prepend=-1))
             columns = [flat[starts], np.append(starts[1:], len(flat)) if len(flat) else starts, at]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], pa.list_(kind)) for x, kind in zip([*columns, rows, ids, places, counts], kinds)],
-                names=["terms", "ends", "positions", "row", "doc_id", "places", "n_words"],
+                [pa.array([x], pa.list_(kind)) for x, kind in zip([*columns, rows, ids, digests, places, counts], kinds)],
+                names=["terms", "ends", "positions", "row", "doc_id", "h", "places", "n_words"],
             )
 
         for batch in batches:
-            for row, doc_id, raw in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), byte_rows(batch.column("t"))):
+            for row, doc_id, digest, raw in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "h")), byte_rows(batch.column("t"))):
                 words = words_of(raw)
                 codes.append(np.fromiter((lookup(w, -1) for w in words), dtype=np.int32, count=len(words)))
                 sizes.append(len(words))
                 rows.append(row)
                 ids.append(doc_id)
+                digests.append(digest)
                 held += len(words) + 1
                 if held >= segment_words:
                     yield close()
-                    codes, sizes, rows, ids, held = [], [], [], [], 0
+                    codes, sizes, rows, ids, digests, held = [], [], [], [], [], 0
         if ids:
             yield close()
 
     docs.mapInArrow(build, _INDEX_SCHEMA).write.options(**{"compression": "zstd", "parquet.block.size": str(32 << 20)}).parquet(path)
 
 
+def _numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    body = F.col(text).cast("string")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("t"))
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_INDEX_SCHEMA).parquet(path)
 
@@ -212,10 +219,10 @@ def _search_segment(part: dict[str, pa.Array], wanted: Phrases) -> pa.RecordBatc
     spans = pa.StructArray.from_arrays([pa.array(opens - places[owner]), pa.array(closes - places[owner])], names=["start", "end"])
     return pa.RecordBatch.from_arrays(
         [
-            part["row"], part["doc_id"], pa.array(sizes), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(offsets), spans),
+            part["row"], part["doc_id"], part["h"], pa.array(sizes), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(offsets), spans),
             pa.array([sorted(found.get(i, ())) for i in range(len(places))], pa.list_(pa.string())),
         ],
-        names=["row", "doc_id", "n_words", "n_hit", "spans", "items"],
+        names=["row", "doc_id", "h", "n_words", "n_hit", "spans", "items"],
     )
 
 
@@ -237,18 +244,18 @@ def _merged(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=_MATCH_ARROW)
 
     rows = parts.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"),
     )
     return rows.mapInArrow(merge, _MATCH_SCHEMA)
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-_MATCH_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
+_MATCH_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
 
 
 def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """``doc_id, n_words, n_hit, spans, items``, a row for each row of ``docs``.
+    """``doc_id, h, n_words, n_hit, spans, items``, a row for each row of ``docs``; h is the hash of the text.
 
     ``spans`` are the disjoint word ranges ``[start, end)`` inside occurrences of
     windows; ``items`` the ids of items with a window there, as strings, sorted.
@@ -256,7 +263,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
     """
     spark = docs.sparkSession
     ship(spark)
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    narrow = _numbered(docs, id_col, text)
     blocks = item_blocks(items, item_id, item_text, block_words)
     first, second = next(blocks, []), next(blocks, None)
     if second is not None:
@@ -272,13 +279,21 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
     return whole.drop("row")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of any item."""
+    hit = match_items(docs, items, id_col=id_col, text=text, **options).where("n_hit > 0").select(F.col("doc_id").alias("i"), F.col("h").alias("d")).distinct()
+    hit = broadcast_if_small(stored(hit, "contaminated"), 200_000)
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("k"), F.xxhash64(F.col(text).cast("string")).alias("g"))
+    return rows.join(hit, F.col("k").eqNullSafe(F.col("i")) & (F.col("g") == F.col("d")), "left_anti").select("doc.*")
+
+
 def near_matches(docs: DataFrame, query: str, within: int = 20, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """``doc_id, position``: places of the query's rarest word that have all its other words at most ``within`` words away."""
     spark = docs.sparkSession
     ship(spark)
     words = list(dict.fromkeys(words_of(query.encode())))
     terms = {word: i for i, word in enumerate(words)}
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    narrow = _numbered(docs, id_col, text)
     path = fresh_path(spark, "index")
     build_index(narrow, terms, path, segment_words)
     index = read_index(spark, path)

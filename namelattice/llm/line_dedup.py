@@ -161,10 +161,16 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, with repeated and near-repeated lines taken out of ``text``."""
-    by_doc = _by_document(line_states(docs, id_col, text)).select(
-        F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.expr("transform(filter(lines, x -> x.state > 0), x -> x.pos)").alias("__gone")
-    )
+    by_doc = _by_document(line_states(docs, id_col, text)).where("exists(lines, x -> x.state > 0)")
+    by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), F.expr("transform(filter(lines, x -> x.state > 0), x -> x.pos)").alias("gone"))
     body = F.col(text).cast("string")
-    rows = docs.join(by_doc.where("size(__gone) > 0"), F.col(id_col).cast("string").eqNullSafe(F.col("__d").cast("string")) & (F.xxhash64(body) == F.col("__h")), "left")
-    kept = F.array_join(F.filter(F.split(body, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return rows.withColumn(text, F.when(F.col("__gone").isNull(), body).otherwise(kept)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(body).alias("key"), body.alias("body"))
+    rows = rows.join(by_doc, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("dh")), "left")
+    # What stays lies between the places that go: slices, so that no line searches the list.
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
+    lines = F.split("body", "\n")
+    ends = F.concat(F.col("gone"), F.array(F.size(lines)))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("split"), a + 1, b - a)))
+    rows = rows.withColumn("split", F.when(F.col("gone").isNotNull(), lines))
+    fresh = F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(kept, "\n"))
+    return rows.select("doc.*", fresh.alias("fresh")).withColumn(text, F.col("fresh")).select(*docs.columns)

@@ -76,8 +76,11 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 4, batch: int = 128, min_docs: int = 8, rate: float = 0.5, l1: float = 2e-4, l2: float = 1e-5, start: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Stochastic gradient descent with AdaGrad steps; ``l1`` pulls linear weights and ``l2`` factors to zero."""
+def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 4, batch: int = 128, min_docs: int = 8, rate: float = 0.5, l1: float = 2e-4, l2: float = 1e-5, start: float = 1e-4, least_steps: int = 500, seed: int = 7) -> FactorizationMachine:
+    """Stochastic gradient descent with AdaGrad steps; ``l1`` pulls linear weights and ``l2`` factors to zero.
+
+    Small samples are gone through more often than ``epochs``, up to ``least_steps`` batches.
+    """
     size = 1 << BITS
     if not len(terms) or not y.any():
         return FactorizationMachine(np.full(size, -1, np.int32), -30.0, np.zeros(0, np.float32), np.zeros((0, rank), np.float32))
@@ -92,7 +95,7 @@ def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 4,
     bias, w = float(np.log(prior / (1 - prior))), np.zeros(len(kept), dtype=np.float32)
     v = rng.normal(0, 1e-2, (len(kept), rank)).astype(np.float32)
     gw, gv = np.full(len(kept), start, dtype=np.float32), np.full((len(kept), rank), 0.01 * start, dtype=np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // max(1, len(used))))):
         order = rng.permutation(used)
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
