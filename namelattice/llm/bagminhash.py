@@ -195,7 +195,7 @@ def shared(sa: bytes, ca: bytes, sb: bytes, cb: bytes) -> int:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``shared``, the size of the common multiset."""
+    """``pairs(a, b, an, bn)`` with ``shared``, the size of the common multiset."""
     rows = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"), F.col("c").alias("cb")), "b")
     rows = rows.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca")), "a")
 
@@ -205,9 +205,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 shared(*(x.as_buffer().to_pybytes() for x in four))
                 for four in zip(*(batch.column(k) for k in ("sa", "ca", "sb", "cb")))
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64())], names=["a", "b", "shared"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "an", "bn")), pa.array(sizes, pa.int64())], names=["a", "b", "an", "bn", "shared"])
 
-    return rows.select("a", "b", "sa", "ca", "sb", "cb").mapInArrow(measure, "a binary, b binary, shared long")
+    return rows.select("a", "b", "an", "bn", "sa", "ca", "sb", "cb").mapInArrow(measure, "a binary, b binary, an long, bn long, shared long")
 
 
 def _own_weights(sets: DataFrame) -> DataFrame:
@@ -267,7 +267,10 @@ def _pairs_apart(named: DataFrame, stars: DataFrame, sets: DataFrame, similarity
         & ((F.col("comp") == F.col("main")) | (F.col("fp") < F.col("x")))
         & (F.col("u") + F.col("xu") + F.abs(F.col("l") - F.col("xl")) <= F.col("cn") + F.col("xcn") + slack)
     )
-    pairs = rows.join(minor, bucket).where(close).select(F.least("fp", "x").alias("a"), F.greatest("fp", "x").alias("b")).distinct()
+    turned = F.col("fp") > F.col("x")
+    first, second = (F.struct(F.col(i).alias("fp"), F.col(n).alias("n")) for i, n in (("fp", "n"), ("x", "xn")))
+    pairs = rows.join(minor, bucket).where(close).select(F.when(turned, second).otherwise(first).alias("p"), F.when(turned, first).otherwise(second).alias("q"))
+    pairs = pairs.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"), F.col("p.n").alias("an"), F.col("q.n").alias("bn")).distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -293,15 +296,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     leads = ranked.groupBy(*bucket).agg(F.max(F.struct("company", "fp", "n")).alias("top"))
     leads = stored(leads.select(*bucket, F.col("top.fp").alias("lead"), F.col("top.n").alias("lead_n")), "leads")
     led = stored(ranked.join(leads, bucket).select(*bucket, "fp", "n", "lead", "lead_n"), "led")
-    stars = led.where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = led.where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"), F.col("lead_n").alias("an"), F.col("n").alias("bn")).distinct()
     inside = led.select("fp").distinct()
     sets = stored(_multisets(docs, nodes.select("fp", "doc_id").join(inside, "fp"), id_col, text, k).dropDuplicates(["fp"]), "multisets")
     stars = stored(_overlaps(stars, sets), "stars")
-    sizes = nodes.select("fp", "n")
 
     def linked(overlaps: DataFrame) -> DataFrame:
-        both = overlaps.join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("an")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("bn")), "b")
-        return both.where(F.col("shared") / (F.col("an") + F.col("bn") - F.col("shared")) >= similarity).select("a", "b")
+        return overlaps.where(F.col("shared") / (F.col("an") + F.col("bn") - F.col("shared")) >= similarity).select("a", "b")
 
     found = connected_components(linked(stars))
     # What the leaders left apart: buckets with several components.
