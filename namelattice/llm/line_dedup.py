@@ -39,7 +39,11 @@ _BLOCK = 64
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[ \t\r\x0B\x0C]+", " "))
+    """Runs of white space as one space; the few lines that need it are found by plain searches first."""
+    odd = F.contains(line, F.lit("  "))
+    for mark in ("\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\x0B\x0C]+", " ")).otherwise(line))
 
 
 def _exploded(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -48,11 +52,15 @@ def _exploded(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return lines.select("doc_id", "h", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
 
 
-def half_keys(words: Column, n: Column) -> Column:
-    """Keys of the halves that a line within one word of it must share one of."""
+def word_count(line: Column) -> Column:
+    """Words of a normal line."""
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def half_keys(line: Column, n: Column) -> Column:
+    """Keys of the halves that a line within one word of this one, of ``n`` words, must share one of."""
     def ends(m: Column) -> list[Column]:
-        first, last = F.slice(words, F.lit(1), m), F.slice(words, -m, m)
-        return [F.xxhash64(F.lit("p"), m, first), F.xxhash64(F.lit("s"), m, last)]
+        return [F.xxhash64(F.lit(mark), m, F.call_function("substring_index", line, F.lit(" "), count)) for mark, count in (("p", m), ("s", -m))]
 
     half = F.floor(n / 2).cast("int")
     # A line of n words meets lines of n + 1 by the half of n words, of n - 1 by the half of n - 1.
@@ -108,7 +116,7 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text: str) -> DataFra
     """``(id, of)``: lines within the bound of an earlier line, and the earliest such line."""
     keyed = firsts.where("keys is not null").select("id", F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "halves")
-    some = stored(keyed.join(shared, "key").select("id").distinct().join(firsts.select("id", "first"), "id"), "candidates")
+    some = stored(keyed.join(broadcast_if_small(shared, 500_000), "key").select("id").distinct().join(firsts.select("id", "first"), "id"), "candidates")
     at = broadcast_if_small(some.select(F.col("id").alias("c"), F.col("first.doc_id").alias("d"), F.col("first.h").alias("ch"), F.col("first.pos").alias("p")), 200_000)
     rows = _exploded(docs, id_col, text).join(at, (F.col("h") == F.col("ch")) & (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")))
     lines = stored(rows.select(F.col("c").alias("id"), "line").dropDuplicates(["id"]).select("id", F.split("line", " ").alias("words")), "lines")
@@ -128,16 +136,17 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text: str) -> DataFra
 
 def line_states(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, h, pos, state`` of every line that isn't blank; h is the hash of the text, state 0 kept, 1 repeated, 2 near an earlier line."""
-    words = F.split("line", " ")
-    n = F.size(words)
-    keys = F.when(n >= MIN_WORDS, half_keys(words, n))
-    lines = stored(_exploded(docs, id_col, text).select("doc_id", "h", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"), keys.alias("keys")), "occurrences")
-    firsts = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "h")).alias("first"), F.first("keys").alias("keys")), "firsts")
+    n = F.col("n")
+    keys = F.when(n >= MIN_WORDS, half_keys(F.col("line"), n))
+    lines = stored(_exploded(docs, id_col, text).withColumn("n", word_count(F.col("line"))).select("doc_id", "h", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"), keys.alias("keys")), "occurrences")
+    firsts = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "h")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "firsts")
     near = stored(_near(docs, firsts, id_col, text), "near")
-    known = firsts.select("id", "first").join(near.select("id", "of"), "id", "left").select("id", "first", F.col("of").isNotNull().alias("near"))
-    rows = lines.select("doc_id", "h", "pos", "id").join(stored(known, "known"), "id")
+    # Lines that occur once and are near no other need no word from anywhere.
+    marked = firsts.select("id", "first", "n").join(near.select("id", F.lit(True).alias("near")), "id", "left").where("n > 1 or near")
+    known = broadcast_if_small(stored(marked.select(F.col("id").alias("known"), "first", "near"), "known"), 200_000)
+    rows = lines.select("doc_id", "h", "pos", "id").join(known, F.col("id") == F.col("known"), "left")
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h")) & (F.col("first.pos") == F.col("pos"))
-    return rows.select("doc_id", "h", "pos", F.when(~first, 1).when(F.col("near"), 2).otherwise(0).alias("state"))
+    return rows.select("doc_id", "h", "pos", F.when(F.col("known").isNull(), 0).when(~first, 1).when(F.col("near"), 2).otherwise(0).alias("state"))
 
 
 def _by_document(states: DataFrame) -> DataFrame:
