@@ -1,0 +1,288 @@
+"""The naming operators on hand-traced names and against a sequential model of the clustering rules."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from namelattice.config import Config
+from namelattice.functions import text
+from namelattice.functions.jaro import jaro_winkler
+from namelattice.operators import catalog, clusters, components, labelling, scoring, semantics, similarity, tree, vocabulary
+from namelattice.plans.pipeline import Run, training_lines
+from namelattice.sources import points as sources
+from namelattice.sources import sinks
+
+F1 = ["AHU01/MAT", "AHU01/RAT", "AHU01/SAT", "AHU02/MAT", "AHU02/RAT", "AHU02/SAT"]
+
+
+def names(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "point_name string")
+
+
+def test_uncamel_and_tokens(spark):
+    cases = {
+        "AHUTemp": "AHUT EMP", "zoneTempSP": "ZONE TEMP SP", "zoneT": "ZONET", "aBcd": "ABCD", "AABb": "AAB B", "roomSetPointX": "ROOM SET POINTX",
+        "OAT": "O", "ab": "AB", "": "", "a": "A", "éA": "ÉA",
+    }
+    rows = names(spark, cases).select("point_name", text.uncamel(F.col("point_name")).alias("w"), text.uncamel(F.col("point_name"), "fixed").alias("f")).collect()
+    assert {r.point_name: r.w for r in rows} == cases
+    assert {r.f for r in rows if r.point_name == "OAT"} == {"OAT"}
+    got = names(spark, ["AHU01/SAT", "room_1-a.B:c#d", "//", "a\t/ b", "SET  POINT"]).select(text.tokens(F.col("point_name")).alias("t")).collect()
+    assert [r.t for r in got] == [["AHU01", "SAT"], ["ROOM", "1", "A", "B", "CD"], [], ["A", "B"], ["SET", "POINT"]]
+
+
+def test_splits(spark):
+    rows = names(spark, ["AHU01", "01", "AHU", "A1B22", "#", "É9"]).select("point_name", text.split_trailing(F.col("point_name")).alias("a"), text.split_runs(F.col("point_name")).alias("b")).collect()
+    assert {r.point_name: (r.a, r.b) for r in rows} == {
+        "AHU01": (["AHU", "01"], ["AHU", "01"]), "01": (["01"], ["01"]), "AHU": (["AHU"], ["AHU"]),
+        "A1B22": (["A1B", "22"], ["A", "1", "B", "22"]), "#": (["#"], []), "É9": (["É", "9"], ["É", "9"]),
+    }
+
+
+def test_vocabulary_falls_apart(spark):
+    table = spark.createDataFrame([(t,) for t in ["A1B1", "101", "1012", "AHU", "AHU7X", "X", "%%", "BAHU"]], "token string")
+    got = {r.token: (r.children, r.leaves) for r in vocabulary.decomposed(table).collect()}
+    assert got["A1B1"] == (["A1B", "1", "A", "B"], ["A", "1", "B", "1", "A", "B"])
+    assert got["1012"] == (["2"], ["2"])
+    assert got["AHU7X"][1] == ["AHU", "7", "X"] and got["AHU"] == ([], ["AHU"])
+    assert got["%%"] == ([], ["%%"]) and got["BAHU"] == ([], ["BAHU"])
+
+
+def sequential_follow(words):
+    """One pass over the vocabulary in order, as the rule is stated."""
+    ordered = sorted(words, key=lambda t: (len(t), t))
+    used, parts = set(), {}
+    for i, inner in enumerate(ordered):
+        if len(inner) < 3 or inner in used:
+            continue
+        for outer in ordered[i + 1 :]:
+            if outer not in used and (found := vocabulary.follow_parts(inner, outer)):
+                used.add(outer)
+                parts[outer] = found
+    return parts
+
+
+def test_following_tokens_equal_a_sequential_pass():
+    rng = random.Random(3)
+    for _ in range(40):
+        words = {"".join(rng.choices("AB01", k=rng.randint(1, 7))) for _ in range(60)}
+        resolver = vocabulary.Resolver([w for w in words if len(w) >= 3], [])
+        expected = sequential_follow(words)
+        assert {w: p for w in words if (p := resolver.follow(0, w))} == expected
+
+
+def test_jaro_winkler():
+    assert jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.961111111)
+    assert jaro_winkler("DIXON", "DICKSONX") == pytest.approx(0.813333333)
+    assert jaro_winkler("AB", "XB") == pytest.approx(2 / 3) and jaro_winkler("", "A") == 0 and jaro_winkler("A", "A") == 1
+
+
+def test_match_scores():
+    assert scoring.match_score(["MAT"], ["MAT"]) == 1.0 and scoring.match_score([], ["MAT"]) == 0.0
+    assert scoring.match_score(["MA", "T"], ["MAT"]) == pytest.approx(1.0)
+    assert scoring.match_score(["ZN", "TEMP", "X"], ["ZN", "TEMP"]) == pytest.approx(2 / 3)
+
+
+def test_hand_traced_run(spark):
+    run = Run(names(spark, F1), Config(uncamel="truncate"))
+    assert {(r.point_name, tuple(r.path)) for r in run.paths.collect()} == {(n, ("AHU", n[3:5], n[6:])) for n in F1}
+    assert {r.metric: r.value for r in run.report().collect()} == {"nodes": 9, "leaves": 6, "types": 6, "explained": 6, "unexplained": 0, "unique_points": 3, "concepts": 1}
+    assert [tuple(r) for r in run.similar.collect()] == [("AHU01", "AHU02", 3, 3, 3)]
+    concept = run.found.concepts.first()
+    assert concept.members == ["MAT", "RAT", "SAT"] and {r.node_id for r in run.found.membership.collect()} == {"AHU01", "AHU02"}
+    assert run.concept_names.first()["name"] == "AHU_MAT_" and run.edges.count() == 0
+    best = run.resolved().collect()
+    assert {(r.original_point, r.equipment, r.node, r.distance, r.representation) for r in best} == {(n, "UNKNOWN", n[:5], 0.0, "UNKNOWN") for n in F1}
+
+
+def test_given_class_labels_points(spark):
+    run = Run(names(spark, F1))
+    classes = run.found.concepts.select("concept_id", F.lit("AHU").alias("class_label"))
+    got = {tuple(r.rel_path): (r.label, round(r.score, 9)) for r in labelling.assigned_labels(run.prepared, classes).collect()}
+    assert got == {("MAT",): ("MixedAirTemp(AHU)", 1.0), ("RAT",): ("ReturnAirTemp(AHU)", 1.0), ("SAT",): ("OutdoorAirTemp(AHU)", round(7 / 9, 9))}
+    over = {tuple(r.rel_path): (r.label, r.score) for r in labelling.assigned_labels(run.prepared, classes, Config(overflow="reference")).collect()}
+    assert over[("MAT",)] == ("Humidity(AHU)", -1.0)
+
+
+def test_node_ids_may_collide_or_not(spark):
+    paths = spark.createDataFrame([("p1", ["A", "BC"]), ("p2", ["AB", "C"])], "point_name string, path array<string>")
+    assert {r.node_id for r in tree.nodes(paths).collect()} == {"A", "ABC", "AB"}
+    assert tree.nodes(paths, "path").count() == 4
+    assert [(r.leaf_id, r.point_name, r.n_points) for r in tree.leaves(paths).collect()] == [("ABC", "p1", 2)]
+
+
+def alike(a, b, ratio):
+    most, least = max(len(a), len(b)), min(len(a), len(b))
+    return least >= 2 and (most == least or most - least < least * (1.0 - ratio)) and len(a & b) / most >= ratio
+
+
+def sequential_concepts(rows, ratio):
+    """Nodes in order; a node not yet placed is linked to all alike nodes, and linked clusters merge."""
+    place, group = {}, {}
+    for i, (node, a) in enumerate(rows):
+        if node in place:
+            continue
+        for other, b in rows:
+            if other != node and alike(set(a), set(b), ratio):
+                for x in (node, other):
+                    if x not in place:
+                        place[x] = x
+                        group[x] = {x}
+                keep, lose = place[node], place[other]
+                if keep != lose:
+                    for x in group.pop(lose):
+                        place[x] = keep
+                        group[keep].add(x)
+    return {frozenset(g) for g in group.values()}
+
+
+def sequential_refine(rows, groups, ratio, existing):
+    members = dict(rows)
+    order = {node: i for i, (node, _) in enumerate(rows)}
+    out = []
+    for group in groups:
+        left = set(group)
+        seen = set()
+        for node in sorted(group, key=order.get):
+            if node in seen:
+                continue
+            seen.add(node)
+            taken = [o for o in sorted(group, key=order.get) if o not in seen and alike(set(members[node]), set(members[o]), ratio)]
+            seen |= set(taken)
+            if taken and frozenset(members[node]) not in existing:
+                out.append(frozenset([node, *taken]))
+                left -= {node, *taken}
+        if left:
+            out.append(frozenset(left))
+    return set(out)
+
+
+def random_forest(rng):
+    kinds = [rng.sample("abcdefghijkl", rng.randint(2, 9)) for _ in range(5)]
+    found = []
+    for unit in range(26):
+        kids = list(rng.choice(kinds))
+        for _ in range(rng.randint(0, 2)):
+            if rng.random() < 0.5 and len(kids) > 2:
+                kids.remove(rng.choice(kids))
+            else:
+                kids.append(rng.choice("mnopqr"))
+        found += [f"u{unit:02d}x/{k}{k}{k}z" for k in dict.fromkeys(kids)]
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_concepts_equal_the_sequential_rules(spark, seed):
+    values = random_forest(random.Random(seed))
+    run = Run(names(spark, values).repartition(5), Config(similarity=0.6, refinement=0.9))
+    order = {r.node_id: (r.first_point, r.depth) for r in run.tree.collect()}
+    rows = sorted(((r.node_id, list(r.members)) for r in run.members.collect()), key=lambda x: order[x[0]])
+    first = clusters.find_concepts(run.tree, run.members, 0.6)
+
+    def groups(found):
+        out = {}
+        for r in found.membership.collect():
+            out.setdefault(r.concept_id, set()).add(r.node_id)
+        return {frozenset(g) for g in out.values()}
+
+    expected = sequential_concepts(rows, 0.6)
+    assert groups(first) == expected and len(expected) > 1
+    existing = {frozenset(r.members) for r in first.concepts.collect()}
+    assert groups(run.found) == sequential_refine(rows, expected, 0.9, existing)
+    pairs = {(a, b) for i, (a, x) in enumerate(rows) for b, y in rows if a < b and alike(set(x), set(y), 0.6)}
+    assert {(r.node_a, r.node_b) for r in similarity.similar_nodes(run.tree, run.members, 0.6).collect()} == pairs
+
+
+def test_clean_up_cuts_like_children(spark):
+    kids = "abcdef"
+    values = [f"top{t}/{k}1/{j}x" for t in "pq" for k in kids for j in kids[:5]] + [f"top{t}/{k}" for t in "pq" for k in kids]
+    run = Run(names(spark, values))
+    cut, after = run.cleaned
+    for r in after.collect():
+        original = {m for c in run.found.concepts.where(F.col("concept_id") == r.concept_id).collect() for m in c.members}
+        assert set(r.members) <= original
+    assert cut.count() >= 0 and tree.closure(run.tree, cut).count() <= tree.closure(run.tree).count()
+
+
+def test_set_relations(spark):
+    rows = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "b", "c"])], "x array<string>, y array<string>")
+    x, y = F.col("x"), F.col("y")
+    r = rows.select(semantics.is_derived(x, y).alias("d"), semantics.is_derived(y, x).alias("e"), semantics.generalizes(y, x, 0.7).alias("g"), semantics.generalizes(y, x, 0.8).alias("h"), semantics.common_members(x, y, 0.75).alias("c"), semantics.common_members(x, y, 0.8).alias("n")).first()
+    assert tuple(r) == (True, False, True, False, ["a", "b", "c"], [])
+
+
+def test_components_in_the_library(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "a string, b string")
+    assert {r.component for r in components.connected_components(edges).collect()} == {"0"}
+
+
+def test_revised_classes(spark):
+    concepts = spark.createDataFrame([(c,) for c in "abcdefgh"], "concept_id string")
+    own = spark.createDataFrame([("a", "AHU"), ("b", "VAV"), ("c", "VAV"), ("d", "AHU"), ("e", "AHU"), ("g", "VRF")], "concept_id string, class_label string")
+    edges = spark.createDataFrame([("a", "b"), ("d", "e"), ("d", "f"), ("g", "g"), ("h", "c"), ("h", "d")], "src string, dst string").withColumn("edge_type", F.lit("association"))
+    got = dict(labelling.concept_classes(concepts, edges, own).collect())
+    assert got["a"] == "CONTAINER" and got["d"] == "AHU" and got["e"] == got["f"] == "UNKNOWN" and got["h"] == "COMPOSITE" and got["b"] == got["c"] == "VAV"
+
+
+def test_catalogue_modes():
+    assert [len(x) for x in (catalog.class_labels(), catalog.point_labels())] == [4, 17]
+    assert catalog.class_codes() == {"AHU": 1, "VAV": 2, "VRF": 3}
+    nested, flat = catalog.point_model("nested"), catalog.point_model("flat")
+    assert len(nested["AHU"]["Humidity(AHU)"]) == 6 and len(flat["AHU"]["Humidity(AHU)"]) == 9
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "n.txt").write_text(" a/b \n\na,b\na/b\nx\n", encoding="utf-8")
+    good, bad = sources.read_names(spark, str(tmp_path / "n.txt"))
+    assert sorted(r.point_name for r in good.collect()) == ["a/b", "x"] and [r.value for r in bad.collect()] == ["a,b"]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "k.json").write_text('{"CLASSES":[{"LABEL":"VAV","POINTS":[{"POINT":["Z","ZN","T"],"LABEL":"ZoneTemp(VAV)"},{"POINT":["Z","OCC"],"LABEL":"Occupancy(VAV)"}]}]}')
+    found = sources.read_clusters(spark, str(tmp_path / "c"))
+    assert {(r.point_key, r.point_label) for r in sources.cluster_truth(found).collect()} == {("Z,ZN,T", "ZoneTemp(VAV)"), ("Z,OCC", "Occupancy(VAV)")}
+    assert {tuple(r.tokens) for r in sources.cluster_points(found).collect()} == {("ZN", "T"), ("OCC",)}
+    line = training_lines(found).first().value.split("\t")
+    assert line[0] == "2" and [x.split(":")[0] for x in line[1:]] == ["0", "1", "2"]
+    points = spark.createDataFrame([("p", "t", 1, "o"), ("p", "t", 1, "o"), ("p", None, None, None)], "point_name string, object_type string, device_id int, object_id string")
+    assert sources.distinct_points(points).count() == 2
+
+
+def test_sinks(spark, tmp_path):
+    run = Run(names(spark, F1))
+    found = run.candidates()
+    sinks.write_candidates(found, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 6
+    sinks.write_candidates(found, str(tmp_path / "c"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["pointName", "className", "clusterID", "label", "distance"]
+    sinks.write_resolved(run.resolved(), str(tmp_path / "r"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).columns == ["OriginalPoint", "Equipment", "Node", "Distance", "Representation"]
+    assert sinks.candidate_lines(found).first().value.startswith("AHU01/MAT,\tUNKNOWN,\tAHU01")
+    first, second = sinks.instance_sections(run.found.concepts, run.found.membership, run.members, run.concept_names)
+    assert (first.count(), second.count()) == (1, 2)
+    assert '"POINT":["MAT"]' in sinks.cluster_json(run.concept_points, run.classes, run.found.membership).first().value
+    dot = [r.value for r in sinks.dot_lines(run.concept_names, semantics.class_instances(run.found.membership), run.edges).orderBy("ord").collect()]
+    assert dot[0].startswith("digraph") and dot[-1] == "}" and len(dot) == 3
+    assert sinks.read_scaler(sinks.scaler_json([1.0], [2.0])) == ([1.0], [2.0])
+
+
+def test_empty_corpus(spark):
+    run = Run(names(spark, []))
+    assert run.resolved().count() == 0 and {r.value for r in run.report().collect()} == {0}
+
+
+def test_streamed_names(spark, tmp_path):
+    from namelattice.streaming.names import tokenized_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("AHU01/SAT\nbad,line\n")
+    stream = tokenized_stream(spark.readStream.text(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("names").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination(60)
+    assert [tuple(r.tokens) for r in spark.table("names").collect()] == [("AHU01", "SAT")]
+
+
+def test_entry_points_agree(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).columns == ["node_a", "node_b", "overlap", "size_a", "size_b"]
