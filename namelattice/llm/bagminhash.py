@@ -244,10 +244,12 @@ def _pairs_apart(named: DataFrame, stars: DataFrame, sets: DataFrame, similarity
     here = sets.join(split.select("fp").distinct(), "fp")
     own = stored(_own_weights(here), "own")
     known = stars.select(F.col("a").alias("lead"), F.col("b").alias("fp"), "shared")
-    rows = split.join(own, "fp", "left").join(known, ["lead", "fp"], "left")
+    # The buckets of each text, so that a pair is formed in the first that it shares and in no other.
+    places = split.groupBy("fp").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    rows = split.join(own.join(places, "fp", "right"), "fp").join(known, ["lead", "fp"], "left")
     lost = F.when(F.col("fp") == F.col("lead"), F.lit(0)).otherwise(F.col("lead_n") - F.col("shared"))
     c = (1 - similarity) / (1 + similarity)
-    rows = rows.select(*bucket, "fp", "n", "comp", "main", F.coalesce("own", F.lit(0)).alias("u"), lost.alias("l"), (c * F.col("n")).alias("cn"))
+    rows = rows.select(*bucket, "fp", "n", "comp", "main", "keys", F.coalesce("own", F.lit(0)).alias("u"), lost.alias("l"), (c * F.col("n")).alias("cn"))
     rows = stored(rows, "bounds")
     # One row a bucket and value of l, of which there are no more than the leader has shingles.
     levels = rows.groupBy(*bucket, "l").agg(F.min(F.expr("u - l - cn")).alias("near"), F.min(F.expr("u + l - cn")).alias("far"))
@@ -261,11 +263,12 @@ def _pairs_apart(named: DataFrame, stars: DataFrame, sets: DataFrame, similarity
     slack = 1e-6  # sums of doubles
     reach = (F.col("u") + F.col("l") + F.col("low_near") <= F.col("cn") + slack) | (F.col("u") - F.col("l") + F.coalesce("low_far", F.lit(float("inf"))) <= F.col("cn") + slack)
     minor = rows.where("comp <> main").join(levels, [*bucket, "l"]).where(reach)
-    minor = stored(minor.select(*bucket, F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("u").alias("xu"), F.col("l").alias("xl"), F.col("cn").alias("xcn")), "minor")
+    minor = stored(minor.select(*bucket, F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("u").alias("xu"), F.col("l").alias("xl"), F.col("cn").alias("xcn"), F.col("keys").alias("xkeys")), "minor")
     close = (
         (F.col("comp") != F.col("xc"))
         & ((F.col("comp") == F.col("main")) | (F.col("fp") < F.col("x")))
         & (F.col("u") + F.col("xu") + F.abs(F.col("l") - F.col("xl")) <= F.col("cn") + F.col("xcn") + slack)
+        & (F.element_at(F.array_intersect("keys", "xkeys"), 1) == F.col("key"))
     )
     turned = F.col("fp") > F.col("x")
     first, second = (F.struct(F.col(i).alias("fp"), F.col(n).alias("n")) for i, n in (("fp", "n"), ("x", "xn")))
