@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from namelattice.llm import bagminhash, decontam, mixing, token_orc, toxicity
 from namelattice.llm.queries import tokenizer_path
-from namelattice.llm.storage import stored
+from namelattice.storage import stored
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

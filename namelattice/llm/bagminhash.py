@@ -32,8 +32,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .components import connected_components
-from .storage import ship, stored
+from ..operators.components import connected_components
+from ..storage import ship, stored
 from .words import byte_rows, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bounded import broadcast_if_small
-from .storage import fresh_path, ship, stored
+from ..storage import fresh_path, ship, stored
 from .words import byte_rows, words_of
 
 WINDOW = 10

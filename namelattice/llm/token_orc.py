@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .storage import fresh_path, ship
+from ..storage import fresh_path, ship
 from .tokens import encoder, steps
 
 END_ID = 1

@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import connected_components
-from .storage import ship, stored
+from ..operators.components import connected_components
+from ..storage import ship, stored
 
 SIMILARITY, WINDOW, RECALL = 0.9, 64, 0.99
 #: Hyperplanes whose bits are concatenated, and passes that share a job (so much more than the table is shuffled at once).

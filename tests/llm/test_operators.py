@@ -10,9 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from namelattice.llm import bagminhash, components, decontam, labelled, licenses, line_dedup, mixing, quality, storage, token_counts, token_orc, tokens, toxicity, vector_dedup
+from namelattice import storage
+from namelattice.llm import bagminhash, decontam, labelled, licenses, line_dedup, mixing, quality, token_counts, token_orc, tokens, toxicity, vector_dedup
 from namelattice.llm.queries import tokenizer_path
 from namelattice.llm.words import WORD_PATTERN, words_of
+from namelattice.operators import components
 
 DOCS = "doc_id long, text string, source string, score double, size string, h string, key long, n long, t string, doc string"
 
