@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,9 +55,12 @@ def stored(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> Da
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers of this session import the package from where the driver has it."""
+    """Let Python workers of this session import the package, and hand them batches of a moderate size."""
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    # Batches of 64 MB, the built-in size, are held several times over on both sides of the pipe.
+    if spark.conf.get(ARROW_BYTES) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(ARROW_BYTES, "16m")
