@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
 from ..storage import ship, stored
+from .caches import keep_only, register
 from .words import byte_rows, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -53,6 +54,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+register("bagminhash", _HASHES.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,7 +70,7 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, dtype=_U)
-    if len(_HASHES) > 400_000:
+    if len(_HASHES) > 200_000:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, words), dtype=_U, count=n)
     width = min(k, n)
@@ -132,6 +134,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     narrow = narrow.withColumn("h", F.unhex(F.md5(F.col("t").cast("binary"))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bagminhash")
         for batch in batches:
             held: list[tuple[np.ndarray, np.ndarray]] = []
             size = start = 0
@@ -171,6 +174,7 @@ def _multisets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: in
     rows = texts.join(wanted.select("doc_id", F.col("fp").alias("want")), F.col("i").eqNullSafe(F.col("doc_id"))).select("want", "t")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("bagminhash")
         for batch in batches:
             out = []
             for want, raw in zip(batch.column("want").to_pylist(), byte_rows(batch.column("t"))):

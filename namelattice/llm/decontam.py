@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bounded import broadcast_if_small
 from ..storage import fresh_path, ship, stored
+from .caches import keep_only
 from .words import byte_rows, words_of
 
 WINDOW = 10
@@ -64,6 +65,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], path: str, segment_wor
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("decontam")
         lookup = shared.value.get
         codes, sizes, rows, ids, digests, held = [], [], [], [], [], 0
 

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .caches import keep_only, register
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Letters whose normal form and lower case are one character: Latin-1 and Latin Extended-A without the dotted I.
@@ -28,10 +30,12 @@ END_OF_WORD = "</w>"
 STEP = 8 << 20
 
 _ENCODERS: dict[tuple, "BatchEncoder"] = {}
+register("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, limit: int = 1_000_000) -> "BatchEncoder":
     """The encoder that this Python worker keeps between tasks."""
+    keep_only("tokens")
     key = (path, limit)
     if key not in _ENCODERS:
         _ENCODERS[key] = BatchEncoder(path, limit)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .caches import keep_only, register
 from .labelled import labelled_sample
 from ..storage import ship
 from .words import byte_rows, words_of
@@ -33,7 +34,8 @@ FIT_DOCS = 20_000
 THRESHOLD = 0.5
 
 _CACHE: dict[bytes, tuple[int, ...]] = {}
-_CACHE_SIZE = 300_000
+_CACHE_SIZE = 150_000
+register("toxicity", _CACHE.clear)
 
 
 def _buckets(word: bytes) -> tuple[int, ...]:
@@ -128,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     sample = labelled_sample(docs, labels, label, MODULUS, HELD_OUT, fit_docs, id_col, text)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         for batch in batches:
             ids = pa.array([term_ids(raw).tobytes() for raw in byte_rows(batch.column("t"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), ids], names=["id", "y", "ids"])
@@ -144,6 +147,7 @@ def score_texts(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         known = shared.value
         for batch in batches:
             scores = [known.score(term_ids(raw)) for raw in byte_rows(batch.column("t"))]
@@ -159,6 +163,7 @@ def drop_toxic(docs: DataFrame, model: FactorizationMachine, text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         known = shared.value
         for batch in batches:
             keep = [known.score(term_ids(raw)) < threshold for raw in byte_rows(batch.column(text))]
