@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,6 +25,10 @@ class Run:
     points: DataFrame
     config: Config = Config()
     classify: bool = False
+    #: Plug-ins: (sizes, vectors, floor) to classes of concepts; (points, classes, config) to labels of points; a namer of concepts.
+    device_classifier: Callable[[DataFrame, DataFrame, float], DataFrame] = labelling.device_classes
+    point_labeller: Callable[[DataFrame, DataFrame, Config], DataFrame] = labelling.assigned_labels
+    namer: str = "basic"
 
     @cached_property
     def names(self) -> DataFrame:
@@ -81,7 +86,7 @@ class Run:
 
     @cached_property
     def concept_names(self) -> DataFrame:
-        return semantics.concept_names(self.tree, self.members, self.found.concepts, self.found.membership)
+        return semantics.NAMERS[self.namer](self.tree, self.members, self.found.concepts, self.found.membership)
 
     @cached_property
     def prepared(self) -> DataFrame:
@@ -97,14 +102,14 @@ class Run:
         if not self.classify:
             return self.found.concepts.select("concept_id", F.lit(UNKNOWN).alias("class_label"))
         sizes = self.unlabelled.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"))
-        own = labelling.device_classes(sizes, self.vectors, self.config.class_floor)
+        own = self.device_classifier(sizes, self.vectors, self.config.class_floor)
         return stored(labelling.concept_classes(self.found.concepts, self.edges, own), "classes")
 
     @cached_property
     def concept_points(self) -> DataFrame:
         if not self.classify:
             return self.unlabelled
-        return stored(labelling.relabelled(self.unlabelled, labelling.assigned_labels(self.prepared, self.classes, self.config)), "labelled")
+        return stored(labelling.relabelled(self.unlabelled, self.point_labeller(self.prepared, self.classes, self.config)), "labelled")
 
     def candidates(self, limit: float = 0.0, drop_unknown: bool = False) -> DataFrame:
         return labelling.candidates(self.leaves, self.closure, self.found.membership, self.classes, self.concept_points, limit, drop_unknown)
@@ -112,6 +117,12 @@ class Run:
     def resolved(self, limit: float = 0.0) -> DataFrame:
         return labelling.resolved(self.candidates(limit))
 
+    def save(self, path: str, limit: float = 0.0) -> None:
+        """Candidates and the best label of each name, as CSV folders under ``path``."""
+        found = stored(self.candidates(limit), "candidates")
+        sinks.write_candidates(found, f"{path}/candidates", "csv")
+        sinks.write_resolved(labelling.resolved(found), f"{path}/resolved")
+
     def report(self) -> DataFrame:
         """``metric, value`` of the tree and its concepts."""
         explained = semantics.explained_leaves(self.leaves, self.closure, self.found.membership)

@@ -265,6 +265,23 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_scaler(sinks.scaler_json([1.0], [2.0])) == ([1.0], [2.0])
 
 
+def test_trained_classifier_and_plug_ins(spark, tmp_path):
+    from namelattice.operators import classifier
+
+    rows = [(f"{equip}{i}", e, o, (6.0 if e == equip else 1.0) + i * 0.1) for equip in ("AHU", "VAV", "VRF") for i in range(8) for o, e in enumerate(("AHU", "VAV", "VRF"))]
+    vectors = spark.createDataFrame(rows, "concept_id string, equip string, equip_ord int, feature double")
+    classes = vectors.select("concept_id", F.substring("concept_id", 1, 3).alias("class_label")).distinct()
+    mean, std = classifier.fitted_scaler(vectors)
+    model = classifier.train(vectors, classes, mean, std, iterations=8)
+    sizes = classes.select("concept_id", F.when(F.col("concept_id") == "AHU0", 1).when(F.col("concept_id") == "AHU1", 151).otherwise(9).alias("n"))
+    got = dict(classifier.predicted(vectors, sizes, model, mean, std).collect())
+    assert got.pop("AHU0") == "UNKNOWN" and got.pop("AHU1") == "UNINTELLIGIBLE" and all(k[:3] == v for k, v in got.items())
+    run = Run(names(spark, F1), classify=True, device_classifier=lambda sizes, vectors, floor: sizes.select("concept_id", F.lit("AHU").alias("class_label")))
+    assert {(r.original_point, r.representation) for r in run.resolved().collect()} >= {("AHU01/MAT", "MixedAirTemp(AHU)")}
+    run.save(str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "resolved")).count() == 6
+
+
 def test_empty_corpus(spark):
     run = Run(names(spark, []))
     assert run.resolved().count() == 0 and {r.value for r in run.report().collect()} == {0}
