@@ -30,7 +30,7 @@ from .words import byte_rows, words_of
 BITS = 20
 MODULUS, HELD_OUT = 5, 0
 #: Documents that the fit may use; the bound of the driver's work.
-FIT_DOCS = 20_000
+FIT_DOCS = 16_000
 THRESHOLD = 0.5
 
 _CACHE: dict[bytes, tuple[int, ...]] = {}
@@ -78,20 +78,28 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 4, batch: int = 128, min_docs: int = 8, rate: float = 0.5, l1: float = 2e-4, l2: float = 1e-5, start: float = 1e-4, least_steps: int = 500, seed: int = 7) -> FactorizationMachine:
+def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, rank: int = 4, epochs: int = 4, batch: int = 128, min_docs: int = 8, rate: float = 0.5, l1: float = 2e-4, l2: float = 1e-5, start: float = 1e-4, least_steps: int = 500, seed: int = 7) -> FactorizationMachine:
     """Stochastic gradient descent with AdaGrad steps; ``l1`` pulls linear weights and ``l2`` factors to zero.
 
-    Small samples are gone through more often than ``epochs``, up to ``least_steps`` batches.
+    Document i has the terms ``flat[ends[i - 1]:ends[i]]``.  Small samples are
+    gone through more often than ``epochs``, up to ``least_steps`` batches.
     """
     size = 1 << BITS
-    if not len(terms) or not y.any():
+    if not len(y) or not y.any():
         return FactorizationMachine(np.full(size, -1, np.int32), -30.0, np.zeros(0, np.float32), np.zeros((0, rank), np.float32))
-    counts = np.bincount(np.concatenate(terms), minlength=size)
+    counts = np.zeros(size, dtype=np.int32)
+    for at in range(0, len(flat), 1 << 20):  # in parts, as counting makes a wider copy
+        counts += np.bincount(flat[at : at + (1 << 20)], minlength=size).astype(np.int32)
     row = np.full(size, -1, dtype=np.int32)
     kept = np.flatnonzero(counts >= min_docs)
     row[kept] = np.arange(len(kept))
-    terms = [(r := row[t])[r >= 0] for t in terms]
-    used = np.flatnonzero([len(t) > 0 for t in terms])
+    flat = row[flat]
+    known = flat >= 0
+    ends = np.concatenate([[0], np.cumsum(known)])[ends].astype(np.int64)
+    flat = flat[known]
+    del known
+    begins = np.concatenate([[0], ends[:-1]])
+    used = np.flatnonzero(ends > begins)
     rng = np.random.default_rng(seed)
     prior = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     bias, w = float(np.log(prior / (1 - prior))), np.zeros(len(kept), dtype=np.float32)
@@ -101,8 +109,8 @@ def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 4,
         order = rng.permutation(used)
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            sizes = np.array([len(terms[i]) for i in pick])
-            ids, owner = np.concatenate([terms[i] for i in pick]), np.repeat(np.arange(len(pick)), sizes)
+            sizes = ends[pick] - begins[pick]
+            ids, owner = np.concatenate([flat[begins[i] : ends[i]] for i in pick]), np.repeat(np.arange(len(pick)), sizes)
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             vi = v[ids]
             total = np.add.reduceat(vi, first)
@@ -126,6 +134,7 @@ def fit(terms: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 4,
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", fit_docs: int = FIT_DOCS) -> FactorizationMachine:
+    """Fit on a bounded sample; the driver holds its term numbers once, as one array."""
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, MODULUS, HELD_OUT, fit_docs, id_col, text)
 
@@ -135,9 +144,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             ids = pa.array([term_ids(raw).tobytes() for raw in byte_rows(batch.column("t"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), ids], names=["id", "y", "ids"])
 
-    rows = sample.mapInArrow(hashed, "id string, y int, ids binary").dropDuplicates(["id"]).toArrow().sort_by("id")
-    y = np.array(rows.column("y").to_pylist(), dtype=float)
-    return fit([np.frombuffer(x, dtype=np.int32) for x in rows.column("ids").to_pylist()], (y > 0).astype(float))
+    table = sample.mapInArrow(hashed, "id string, y int, ids binary").dropDuplicates(["id"]).toArrow().sort_by("id").combine_chunks()
+    y = (np.array(table.column("y").to_pylist(), dtype=float) > 0).astype(float)
+    if not len(y):
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), y)
+    column = table.column("ids").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    flat = np.frombuffer(column.buffers()[2], dtype=np.int32)[offsets[0] : offsets[-1]]
+    return fit(flat, offsets[1:] - offsets[0], y)
 
 
 def score_texts(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -346,7 +346,7 @@ def test_factorization_machine_learns_pairs():
         terms.append(toxicity.term_ids(b" ".join(words)))
         y.append(float(one != two))  # no linear weights can express this
     y = np.array(y)
-    model = toxicity.fit(terms[:5000], y[:5000], epochs=12)
+    model = toxicity.fit(np.concatenate(terms[:5000]), np.cumsum([len(t) for t in terms[:5000]]), y[:5000], epochs=12)
     found = np.array([model.score(t) >= 0.5 for t in terms[5000:]])
     assert (found == (y[5000:] > 0)).mean() > 0.9
 
