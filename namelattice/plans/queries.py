@@ -475,6 +475,19 @@ cov AS (SELECT leaf_id, point_name, hit.node_id IS NOT NULL AS explained FROM lf
 {select}"""
 
 
+def _concepts_sql(select: str) -> str:
+    """Concepts of the supply names, where only equal sets of children are alike: a set that two nodes have is a concept."""
+    return f"""{_tree_sql(SUPPLY).replace('WITH ', 'WITH RECURSIVE ', 1)},
+s AS (SELECT m.node_id, sha256(array_to_string(list_sort(m.members), '␟')) AS concept_id, m.members, n.first_point, n.depth, n.token, n.parent_id FROM mem m JOIN nodes n USING (node_id) WHERE m.size >= 2),
+ms AS (SELECT * FROM s WHERE concept_id IN (SELECT concept_id FROM s GROUP BY 1 HAVING count(*) > 1)),
+fi AS (SELECT DISTINCT ON (concept_id) * FROM ms ORDER BY concept_id, first_point, depth),
+up AS (SELECT node_id, parent_id AS ancestor, 1::BIGINT AS distance, [token] AS rel_path FROM nodes WHERE parent_id IS NOT NULL
+  UNION ALL SELECT up.node_id, n.parent_id, up.distance + 1, [n.token] || up.rel_path FROM up JOIN nodes n ON n.node_id = up.ancestor WHERE n.parent_id IS NOT NULL),
+lf AS (SELECT node_id AS leaf_id, min(point_name) AS point_name FROM o WHERE ends GROUP BY 1),
+near AS (SELECT point_name, arg_min(ms.node_id, distance) AS node, min(distance) AS ord FROM lf JOIN up ON up.node_id = lf.leaf_id JOIN ms ON ms.node_id = up.ancestor GROUP BY 1)
+{select}"""
+
+
 def _quoted(values: list[str], kind: str) -> str:
     return ", ".join(f"('{kind}', {i}, '{v}')" for i, v in enumerate(values))
 
@@ -517,6 +530,20 @@ def oracle_sql() -> dict[str, str]:
           SELECT node_id, ancestor, distance, {joined('rel_path')} FROM up""",
         "leaf_coverage": _coverage_sql("SELECT leaf_id, point_name, explained FROM cov"),
         "unexplained_points": _coverage_sql("SELECT point_name FROM cov WHERE NOT explained"),
+        "concept_clusters": _concepts_sql("SELECT concept_id, array_to_string(members, '|') AS members FROM fi"),
+        "members_after": _concepts_sql("SELECT concept_id, array_to_string(members, '|') AS members FROM fi"),
+        "concept_members": _concepts_sql("SELECT concept_id, node_id FROM ms"),
+        "class_instances": _concepts_sql("SELECT concept_id, count(*) AS n_instances FROM ms GROUP BY 1"),
+        "concept_names": _concepts_sql("""SELECT fi.concept_id, array_to_string(list_transform([coalesce(a.token, ''), fi.members[1], fi.token], lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN '' ELSE t END), '_') AS name
+          FROM fi LEFT JOIN nodes a ON a.node_id = fi.parent_id"""),
+        "concept_points": _concepts_sql("""SELECT concept_id, array_to_string(rel_path, '|') AS rel_path, 'UNKNOWN' AS label, 0.0::DOUBLE AS score, min(n.first_point) AS point_name
+          FROM fi JOIN up ON up.ancestor = fi.node_id JOIN nodes n ON n.node_id = up.node_id
+          WHERE n.is_point_first OR n.node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) GROUP BY 1, 2"""),
+        "label_candidates": _concepts_sql("SELECT point_name, ord::INT AS ord, 'UNKNOWN' AS class, node, 'UNKNOWN' AS label, 0.0::DOUBLE AS score FROM near"),
+        "resolve_best": _concepts_sql("SELECT point_name AS original_point, 'UNKNOWN' AS equipment, node, 0.0::DOUBLE AS distance, 'UNKNOWN' AS representation FROM near"),
+        "association_edges": _concepts_sql("""SELECT DISTINCT a.concept_id AS src, b.concept_id AS dst, 'association' AS edge_type
+          FROM (SELECT ms.node_id, ms.concept_id, ms.token, arg_min(up.ancestor, up.distance) AS above FROM ms JOIN up USING (node_id) WHERE up.ancestor IN (SELECT node_id FROM ms) GROUP BY 1, 2, 3) b
+          JOIN ms a ON a.node_id = b.above WHERE list_contains(a.members, b.token)"""),
         "similar_pairs_asym": f"""{tree_of_parts}, e AS (SELECT node_id, size, unnest(members) AS token FROM mem WHERE size >= 2),
           pair AS (SELECT a.node_id AS node_a, b.node_id AS node_b, count(*) AS overlap, a.size AS sa, b.size AS sb FROM e a JOIN e b ON a.token = b.token AND a.node_id <> b.node_id GROUP BY ALL)
           SELECT node_a, node_b, overlap FROM pair WHERE (sa = sb OR greatest(sa, sb) - least(sa, sb) < least(sa, sb) * (1.0::DOUBLE - 0.6::DOUBLE)) AND overlap / sa >= 0.6::DOUBLE""",
