@@ -78,7 +78,7 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, rank: int = 4, epochs: int = 4, batch: int = 128, min_docs: int = 8, rate: float = 0.5, l1: float = 2e-4, l2: float = 1e-5, start: float = 1e-4, least_steps: int = 500, seed: int = 7) -> FactorizationMachine:
+def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, rank: int = 4, epochs: int = 4, batch: int = 128, min_docs: int = 8, rate: float = 0.5, l1: float = 3e-4, l2: float = 1e-5, start: float = 1e-4, least_steps: int = 500, seed: int = 7) -> FactorizationMachine:
     """Stochastic gradient descent with AdaGrad steps; ``l1`` pulls linear weights and ``l2`` factors to zero.
 
     Document i has the terms ``flat[ends[i - 1]:ends[i]]``.  Small samples are
