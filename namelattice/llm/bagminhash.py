@@ -169,22 +169,22 @@ def _signed_rows(batch: pa.RecordBatch, held: list[tuple[np.ndarray, np.ndarray]
 
 
 def _multisets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """``(fp, s, c)`` of the nodes in ``wanted(fp, doc_id)``, from one of their documents; c is empty if all counts are 1."""
+    """``(fp, s, c)`` of the nodes in ``wanted(fp, print, doc_id)``, from one of their documents; c is empty if all counts are 1."""
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    rows = texts.join(wanted.select("doc_id", F.col("fp").alias("want")), F.col("i").eqNullSafe(F.col("doc_id"))).select("want", "t")
+    rows = texts.join(wanted.select("doc_id", "fp", "print"), F.col("i").eqNullSafe(F.col("doc_id"))).select("fp", "print", "t")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("bagminhash")
         for batch in batches:
             out = []
-            for want, raw in zip(batch.column("want").to_pylist(), byte_rows(batch.column("t"))):
+            for node, want, raw in zip(batch.column("fp").to_pylist(), batch.column("print").to_pylist(), byte_rows(batch.column("t"))):
                 element, weight = counted(shingles(raw, k))
                 if _fingerprint(element, weight) == want:  # an id may stand on several texts
-                    out.append((want, element.tobytes(), b"" if weight.max() == 1 else weight.astype("<i4").tobytes()))
+                    out.append((node, element.tobytes(), b"" if weight.max() == 1 else weight.astype("<i4").tobytes()))
             columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], names=["fp", "s", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["fp", "s", "c"])
 
-    return rows.mapInArrow(gather, "fp binary, s binary, c binary")
+    return rows.mapInArrow(gather, "fp long, s binary, c binary")
 
 
 def shared(sa: bytes, ca: bytes, sb: bytes, cb: bytes) -> int:
@@ -211,7 +211,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "an", "bn")), pa.array(sizes, pa.int64())], names=["a", "b", "an", "bn", "shared"])
 
-    return rows.select("a", "b", "an", "bn", "sa", "ca", "sb", "cb").mapInArrow(measure, "a binary, b binary, an long, bn long, shared long")
+    return rows.select("a", "b", "an", "bn", "sa", "ca", "sb", "cb").mapInArrow(measure, "a long, b long, an long, bn long, shared long")
 
 
 def _own_weights(sets: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _own_weights(sets: DataFrame) -> DataFrame:
                 names = pa.repeat(batch.column("fp")[i], len(element))
                 yield pa.RecordBatch.from_arrays([pa.array(element), names, pa.array(weight)], names=["e", "fp", "w"])
 
-    rows = sets.mapInArrow(spread, "e long, fp binary, w int")
+    rows = sets.mapInArrow(spread, "e long, fp long, w int")
     alone = rows.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.first("fp").alias("fp"), F.first("w").alias("w")).where("k = 1")
     return alone.groupBy("fp").agg(F.sum("w").alias("own"))
 
@@ -234,13 +234,13 @@ def _own_weights(sets: DataFrame) -> DataFrame:
 def _pairs_apart(named: DataFrame, stars: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a bucket in different components that can still be similar.
 
-    ``named(band, key, fp, n, lead, lead_n, comp)``.  With u the weight only one
+    ``named(key, fp, n, lead, lead_n, comp)``.  With u the weight only one
     text has and l what the bucket's leader has more, two texts differ by
     ``u + u' + |l - l'|`` at least, and similar ones by ``c (n + n')`` at most, c =
     (1 - t) / (1 + t).  Texts too far from every other by that bound are set
     aside by minima over the values of l, before any pair is formed.
     """
-    bucket = ["band", "key"]
+    bucket = ["key"]
     parts = named.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("size"))
     mains = parts.groupBy(*bucket).agg(F.max(F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mains = stored(mains.select(*bucket, F.col("main.comp").alias("main")), "mains")
@@ -290,10 +290,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     words has its own id, size 1 and no key.  ``h`` is the digest of the text.
     """
     sigs = stored(signed(docs, id_col, text, k, bands, rows), "signatures")
-    nodes = sigs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(nodes, "nodes")
-    bucket = ["band", "key"]
-    dealt = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
+    prints = sigs.where("fp is not null").withColumnRenamed("fp", "print")
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    # From here on a node is a number, shorter to deal out than its digest; which number it is changes no result.
+    nodes = stored(nodes.withColumn("fp", F.monotonically_increasing_id()), "nodes")
+    bucket = ["key"]
+    dealt = nodes.select("fp", "n", F.explode("bands").alias("key"))
     buckets = stored(dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     # Members of buckets with two nodes or more; all later steps read this, not the signatures.
     members = stored(dealt.join(buckets, bucket), "members")
@@ -305,7 +307,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     led = stored(ranked.join(leads, bucket).select(*bucket, "fp", "n", "lead", "lead_n"), "led")
     stars = led.where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"), F.col("lead_n").alias("an"), F.col("n").alias("bn")).distinct()
     inside = led.select("fp").distinct()
-    sets = stored(_multisets(docs, nodes.select("fp", "doc_id").join(inside, "fp"), id_col, text, k).dropDuplicates(["fp"]), "multisets")
+    sets = stored(_multisets(docs, nodes.select("fp", "print", "doc_id").join(inside, "fp"), id_col, text, k).dropDuplicates(["fp"]), "multisets")
     stars = stored(_overlaps(stars, sets), "stars")
 
     def linked(overlaps: DataFrame) -> DataFrame:
@@ -319,13 +321,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     if not more.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    comp = nodes.select("fp").join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"))
+    comp = nodes.select("fp", "print", "doc_id", "copies").join(found, F.col("fp") == F.col("node"), "left").select("print", "doc_id", "copies", F.coalesce("component", "fp").alias("comp"))
     comp = stored(comp, "components")
-    rows_by_fp = sigs.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    ids = rows_by_fp.join(comp, "fp").groupBy("comp").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_fp = stored(comp.join(ids, "comp").select("fp", F.col("comp").alias("class_key"), "class_id", "class_size"), "classes")
-    kept = sigs.where("fp is not null").select("doc_id", "h", "n", "fp").join(by_fp, "fp").select("doc_id", "h", F.col("n").alias("n_shingles"), "class_key", "class_id", "class_size")
-    alone = sigs.where("fp is null").select("doc_id", "h", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("binary").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    ids = comp.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    by_print = stored(comp.select("print", "comp").join(ids, "comp").select("print", F.col("comp").alias("class_key"), "class_id", "class_size"), "classes")
+    kept = prints.select("doc_id", "h", "n", "print").join(by_print, "print").select("doc_id", "h", F.col("n").alias("n_shingles"), "class_key", "class_id", "class_size")
+    alone = sigs.where("fp is null").select("doc_id", "h", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return kept.unionByName(alone)
 
 
