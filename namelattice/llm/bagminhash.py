@@ -41,7 +41,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 28 bands of 7 registers find a pair of similarity 0.8 with probability 0.9986, of 0.85 with 0.99997.
 BANDS, ROWS = 28, 7
 #: Shingles handled together in one step; bounds the memory of a worker.
-STEP = 300_000
+STEP = 120_000
 
 _U = np.uint64
 _GOLD, _M1, _M2, _BASE = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x2545F4914F6CDD1D)
@@ -70,7 +70,7 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, dtype=_U)
-    if len(_HASHES) > 200_000:
+    if len(_HASHES) > 100_000:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, words), dtype=_U, count=n)
     width = min(k, n)

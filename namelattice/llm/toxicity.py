@@ -34,7 +34,7 @@ FIT_DOCS = 16_000
 THRESHOLD = 0.5
 
 _CACHE: dict[bytes, tuple[int, ...]] = {}
-_CACHE_SIZE = 150_000
+_CACHE_SIZE = 100_000
 register("toxicity", _CACHE.clear)
 
 
