@@ -24,5 +24,5 @@ class Config:
     uncamel: str = "truncate"
     #: "nested" leaves point alternatives appended as one list, as they are scored by; "flat" adds each.
     catalog_merge: str = "nested"
-    #: "stop" ends labelling when points run out; "reference" goes on with score -1.
+    #: "stop" ends labelling when points run out; "overwrite" goes on with score -1.
     overflow: str = "stop"

@@ -101,7 +101,7 @@ def test_given_class_labels_points(spark):
     classes = run.found.concepts.select("concept_id", F.lit("AHU").alias("class_label"))
     got = {tuple(r.rel_path): (r.label, round(r.score, 9)) for r in labelling.assigned_labels(run.prepared, classes).collect()}
     assert got == {("MAT",): ("MixedAirTemp(AHU)", 1.0), ("RAT",): ("ReturnAirTemp(AHU)", 1.0), ("SAT",): ("OutdoorAirTemp(AHU)", round(7 / 9, 9))}
-    over = {tuple(r.rel_path): (r.label, r.score) for r in labelling.assigned_labels(run.prepared, classes, Config(overflow="reference")).collect()}
+    over = {tuple(r.rel_path): (r.label, r.score) for r in labelling.assigned_labels(run.prepared, classes, Config(overflow="overwrite")).collect()}
     assert over[("MAT",)] == ("Humidity(AHU)", -1.0)
 
 
