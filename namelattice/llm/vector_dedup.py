@@ -1,12 +1,16 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass gives every vector the bits of random hyperplanes, concatenated, and
-sorts by them; vectors that share a long prefix come to lie side by side, and
-each is compared in double precision with the ``WINDOW`` before it.  Passes are
-independent; their number follows from the size of the table, so that a pair at
-the threshold is found with a probability of ``RECALL``.  The pairs found in a
-task are contracted to stars before they leave it, and all passes are united as
-connected components.
+"""Near-duplicate vectors by random projections, whole buckets compared.
+
+Each pass gives every vector the bits of random hyperplanes, concatenated;
+vectors that share all bits are a bucket, and all of a bucket are compared with
+each other in double precision.  A pair at the threshold shares a bucket with a
+probability that depends on its angle and the bits alone, not on how the rest of
+the table lies, so the number of passes follows from the bits for a recall of
+``RECALL`` in a crowd as elsewhere.  Crowds only cost: how many pairs each
+number of bits leaves is measured on the table, and the cheapest number is
+taken; at 0 bits, all vectors are compared in one pass and nothing is missed.  A
+large bucket is dealt out as pairs of blocks.  The pairs found in a task are
+contracted to stars before they leave it, and all passes are united as connected
+components.
 
 Links are then counted inside components by blocks of vectors: a component,
 however large, is dealt out as pairs of blocks, no pair of vectors ever being a
@@ -27,25 +31,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bounded import broadcast_if_small
 from ..operators.components import connected_components
 from ..storage import ship, stored
 
-SIMILARITY, WINDOW, RECALL = 0.9, 64, 0.99
-#: Hyperplanes whose bits are concatenated, and passes that share a job (so much more than the table is shuffled at once).
+SIMILARITY, RECALL = 0.9, 0.99
+#: Most hyperplanes whose bits are concatenated, and passes that share a job (so much more than the table is shuffled at once).
 BITS, PASSES_A_JOB = 48, 8
-#: Vectors in a block when links are counted.
-BLOCK = 512
-
+#: Vectors in a block when links are counted, and when a bucket is compared.
+BLOCK, BUCKET = 512, 4096
+#: Pairs that cost as much to compare as a row to deal out, and rows that crowding is measured on; both set speed only.
+PAIRS_A_ROW, MEASURED = 2000, 50_000
 
-def passes_for(rows: int, similarity: float = SIMILARITY, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes that find a pair at the threshold with probability ``recall``.
 
-    The pair meets in a pass at least if it agrees on as many leading bits as
-    leave a window's worth of rows.
-    """
-    agree = 1 - math.acos(similarity) / math.pi
-    meet = agree ** max(1.0, math.log2(max(rows, 2) / (2 * window)))
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+def passes_for(bits: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Passes of so many bits that find a pair at the threshold with probability ``recall``, however crowded its surroundings are."""
+    meet = (1 - math.acos(similarity) / math.pi) ** bits
+    return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -108,64 +110,101 @@ def _projected(nodes: DataFrame, first: int, count: int, bits: int, seed: int) -
     return nodes.select("node", "vec").mapInArrow(project, "pass int, dim int, key long, node binary, vec binary")
 
 
-class _Forest(dict):
-    """Union-find over places; roots are the smallest place."""
-
-    def root(self, x: int) -> int:
-        while (up := self.get(x, x)) != x:
-            self[x] = x = self.get(up, up)
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self[max(x, y)] = min(x, y)
-        self.setdefault(min(x, y), min(x, y))
-
+def bits_for(nodes: DataFrame, rows: int, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> int:
+    """The number of bits that costs least, by the pairs that each number leaves in buckets.
 
-def _compared(sorted_rows: DataFrame, similarity: float, window: int) -> DataFrame:
-    """``a, b``: stars over the linked rows of a task, each row being compared with the ``window`` before it."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # `run` and `before` are of the last rows seen; rows of another pass or length start anew.
-        forest, names, seen = _Forest(), {}, 0
-        run, before, kept_names = None, None, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                marks = list(zip(rows.column("pass").to_pylist(), rows.column("dim").to_pylist()))
-                cuts = [i for i in range(1, len(marks)) if marks[i] != marks[i - 1]]
-                for x, y in zip([0, *cuts], [*cuts, len(marks)]):
-                    part = rows.slice(x, y - x)
-                    unit, ids = _unit(part.column("vec").to_pylist()), part.column("node").to_pylist()
-                    if marks[x] != run:
-                        run, before, kept_names = marks[x], unit[:0], []
-                    context = np.concatenate([before, unit])
-                    cosines = unit @ context.T
-                    row, other = np.nonzero(cosines >= similarity)
-                    back = row + len(before) - other
-                    near = (back > 0) & (back <= window)
-                    base = seen - len(before)
-                    everyone = kept_names + ids
-                    for i, j in zip((row[near] + len(before)).tolist(), other[near].tolist()):
-                        forest.join(base + i, base + j)
-                        names[base + i], names[base + j] = everyone[i], everyone[j]
-                    seen += len(ids)
-                    before, kept_names = context[-window:], everyone[-window:]
-        pairs = [(names[forest.root(x)], names[x]) for x in forest if forest.root(x) != x]
-        a, b = zip(*pairs) if pairs else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return sorted_rows.mapInArrow(compare, "a binary, b binary").where("a <> b")
-
-
-def found_links(nodes: DataFrame, rows: int, similarity: float = SIMILARITY, window: int = WINDOW, recall: float = RECALL, bits: int = BITS, seed: int = 11) -> DataFrame:
+    The keys counted are of at most some ``MEASURED`` nodes, drawn by their
+    digest over the whole table; they decide the cost, not what is found.
+    """
+    share = min(1.0, MEASURED / max(rows, 1))
+    drawn = nodes if share == 1 else nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    keys = _projected(drawn, 0, 1, BITS, seed).select("dim", "key").toArrow()
+    dim, key = keys.column("dim").to_numpy().astype(np.int64), keys.column("key").to_numpy()
+    best = (math.inf, 0)
+    for bits in range(BITS + 1):
+        found = np.unique(np.stack([dim, key >> (BITS - bits)]), axis=1, return_counts=True)[1].astype(float)
+        pairs = (found * (found - 1)).sum() / share**2
+        passes = passes_for(bits, similarity, recall)
+        best = min(best, (passes * (rows + pairs / PAIRS_A_ROW), bits))
+        if passes * rows > best[0]:
+            break
+    return best[1]
+
+
+def _stars(close: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Components of a symmetric truth table, as their first place and the others."""
+    free = close.any(axis=1)
+    for first in np.flatnonzero(free):
+        if free[first]:
+            free[first] = False
+            members, edge = [], np.array([first])
+            while len(edge):
+                edge = np.flatnonzero(close[edge].any(axis=0) & free)
+                free[edge] = False
+                members.append(edge)
+            yield first, np.concatenate(members)
+
+
+def _close(unit: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which vectors are linked, as a symmetric truth table; only those of ``left`` with those of ``right``."""
+    close = np.zeros((len(unit), len(unit)), dtype=bool)
+    for at in range(0, len(left), 512):
+        some = left[at : at + 512]
+        close[np.ix_(some, right)] = unit[some] @ unit[right].T >= similarity
+    close |= close.T
+    np.fill_diagonal(close, False)
+    return close
+
+
+def _compared(dealt: DataFrame, passes: int, rows: int, similarity: float) -> DataFrame:
+    """``a, b``: stars over the linked rows of each bucket of ``dealt(pass, dim, key, node, vec)``, all of a bucket being compared."""
+    bucket = ["pass", "dim", "key"]
+    large = broadcast_if_small(stored(dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET), "large"), 200_000)
+    known = dealt.join(large, bucket, "left").withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int"))
+    known = known.withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)))
+    # Small buckets share a task's call; a large one is dealt as pairs of its blocks.
+    calls = max(1, math.ceil(rows * passes / BUCKET))
+    none = F.lit(-1)
+    small = F.array(F.struct(F.pmod(F.xxhash64(*bucket), F.lit(calls)).alias("bucket"), none.alias("pass"), none.alias("dim"), none.alias("i"), none.alias("j")))
+
+    def meeting(x):
+        return F.struct(F.col("key").alias("bucket"), F.col("pass"), F.col("dim"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))
+
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), meeting)
+    tasks = known.select(F.explode(F.when(F.col("size").isNull(), small).otherwise(pairs)).alias("task"), *bucket, "own", "node", "vec")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        task = table.column("task")[0].as_py()
+        marks = np.stack([table.column(c).to_numpy().astype(np.int64) for c in bucket])
+        order = np.lexsort(marks)
+        cuts = np.flatnonzero((marks[:, order[1:]] != marks[:, order[:-1]]).any(axis=0)) + 1
+        vecs, nodes, own = table.column("vec"), table.column("node").to_pylist(), table.column("own").to_numpy()
+        a, b = [], []
+        for at in np.split(order, cuts):
+            if len(at) > 1:
+                unit, everyone = _unit(vecs.take(pa.array(at)).to_pylist()), np.arange(len(at))
+                apart = task["i"] != task["j"]
+                left = np.flatnonzero(own[at] == task["i"]) if apart else everyone
+                right = np.flatnonzero(own[at] == task["j"]) if apart else everyone
+                for first, others in _stars(_close(unit, left, right, similarity)):
+                    a += [nodes[at[first]]] * len(others)
+                    b += [nodes[i] for i in at[others]]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return tasks.groupBy("task").applyInArrow(compare, "a binary, b binary")
+
+
+def found_links(nodes: DataFrame, rows: int, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """``a, b``: pairs that hold the components found by all passes together."""
-    total = passes_for(rows, similarity, window, recall)
+    bits = bits_for(nodes, rows, similarity, recall, seed)
+    total = passes_for(bits, similarity, recall)
     links = None
     for first in range(0, total, PASSES_A_JOB):
-        dealt = stored(_projected(nodes, first, min(PASSES_A_JOB, total - first), bits, seed), "projected")
-        ordered = dealt.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
-        part = stored(_compared(ordered, similarity, window), "links")
+        count = min(PASSES_A_JOB, total - first)
+        # Other hyperplanes than those the bits were chosen by.
+        dealt = stored(_projected(nodes, first, count, bits, seed + 1), "projected")
+        part = stored(_compared(dealt, count, rows, similarity), "links")
         links = part if links is None else links.unionByName(part)
     return links.distinct()
 
@@ -211,13 +250,13 @@ def _counted_links(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(count, _COUNTED).groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each row of ``vectors``."""
     ship(vectors.sparkSession)
     usable = stored(_usable(vectors, id_col, vector).withColumn("node", F.unhex(F.md5("vec"))), "vectors")
     linkable = usable.where("vec is not null")
     nodes = stored(linkable.groupBy("node").agg(F.first("vec").alias("vec"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
-    links = found_links(nodes, nodes.count(), similarity, window, recall)
+    links = found_links(nodes, nodes.count(), similarity, recall)
     found = stored(connected_components(links), "components")
     members = stored(nodes.join(found, "node").select("node", F.col("component").alias("comp"), "vec", "copies", "least"), "members")
     counted = stored(_counted_links(members.drop("least"), similarity), "counted")

@@ -227,6 +227,34 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert vector_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_links_in_a_crowd_of_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    # A third of all rows has a mutual cosine of 0.8; one in forty of them has a partner at 0.905.
+    center = unit(rng.normal(size=64))
+    x = unit(rng.normal(size=(20_000, 64)))
+    off = unit(x[:6666] - np.outer(x[:6666] @ center, center))
+    x[:6666] = 0.8**0.5 * center + 0.2**0.5 * off
+    twin = unit(rng.normal(size=(166, 64)))
+    twin -= (twin * x[:166]).sum(axis=1, keepdims=True) * x[:166]
+    x[6500:6666] = 0.905 * x[:166] + (1 - 0.905**2) ** 0.5 * unit(twin)
+    cosines = x @ x.T
+    np.fill_diagonal(cosines, 0)
+    linked = {i: int(n) for i, n in enumerate((cosines >= 0.9).sum(axis=1)) if n}
+    assert len(linked) >= 332
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x))}))
+    # All compared at once; then buckets by bits, the large ones in blocks.
+    for pairs_a_row, recall in ((2000, 1.0), (100, 0.98)):
+        monkeypatch.setattr(vector_dedup, "PAIRS_A_ROW", pairs_a_row)
+        monkeypatch.setattr(vector_dedup, "BUCKET", 1000)
+        got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(table).where("n_links > 0").collect()}
+        assert got.keys() <= linked.keys() and len(got) >= recall * len(linked)
+        assert all(n <= linked[i] for i, n in got.items())
+
+
 def plain_mix(docs, kept_keys):
     sizes, sources = {}, {}
     for i, t, s in docs:
