@@ -12,6 +12,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bounded import broadcast_if_small
@@ -48,7 +51,7 @@ SPELLINGS = {
 }
 COPYRIGHT_LINE = r"(?m)^[\s#*/;-]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4}|all rights reserved)[^\n]*$"
 
-#: Known licences and their usual notices.
+#: Known licences and their usual notices. Full texts in the folder ``license_texts`` and variants are added below.
 KNOWN = {
     "MIT": [
         "Released under the MIT License.",
@@ -113,6 +116,95 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 }
 
 
+#: Titles that stand above a text that has none of its own.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+}
+#: Names by which one-line notices call a licence.
+NAMES = {
+    "0BSD": ["BSD Zero Clause License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPL-3.0"],
+    "ISC": ["ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL-3.0"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+}
+NOTICES = ["Licensed under {}", "Released under {}", "Distributed under {}", "This work is licensed under {}", "This project is licensed under {}", "This software is licensed under {}"]
+PROGRAM = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published
+by the Free Software Foundation, either version {number} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.
+
+You should have received a copy of the GNU {kind} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_ADDRESSES = [
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+    "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA", "",
+]
+
+
+def _variants(text: str) -> list[str]:
+    """Forms in which a full text is commonly shipped."""
+    # Without the appendix on how to apply it, and without the line that ends the terms.
+    forms, end = [text], re.search(r"END OF TERMS AND CONDITIONS", text)
+    if end:
+        forms += [text[: end.end()], text[: end.start()]]
+    # A form to fill in becomes a copyright line, which is dropped.
+    forms += [re.sub(r"(?m)^\s*Copyright \[yyyy\].*$", "", x) for x in forms]
+    # The header's address of the foundation, which is its own line in some editions.
+    forms += [re.sub(r"(?m)(\A.*?)^ *51 Franklin[^\n]*$", lambda m, a=a: m[1] + a, x, count=1, flags=re.S) for x in forms for a in _ADDRESSES if "51 Franklin" in x[:400]]
+    return list(dict.fromkeys(forms))
+
+
+def _listed() -> dict[str, list[str]]:
+    """``KNOWN`` with the texts of the folder, variants, titles and one-line notices."""
+    out = {name: list(texts) for name, texts in KNOWN.items()}
+    for file in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda x: x.name):
+        if file.name.endswith(".txt"):
+            out.setdefault(file.name[:-4], []).extend(_variants(file.read_text(encoding="utf-8")))
+    mit = KNOWN["MIT"][2]
+    out["MIT"] += [mit.replace("permission notice shall", "permission notice (including the next paragraph) shall"), mit.replace("NONINFRINGEMENT", "NON-INFRINGEMENT")]
+    out["MIT-0"] = [re.sub(r"do so, subject to.*?(?=THE SOFTWARE IS)", "do so.\n\n", mit, flags=re.S)]
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        # Clauses are bulleted as often as numbered, and the rights reserved stand on a line of their own.
+        out[name] += [re.sub(r"(?m)^\s*[123]\. ", "* ", x) for x in out[name]]
+        out[name] += ["All rights reserved.\n\n" + x for x in out[name]]
+    for name, titles in TITLES.items():
+        out[name] += [f"{title}\n\n{text}" for text in out[name] if len(text) > 300 for title in titles]
+    for name, kind, number in (("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3")):
+        out.setdefault(name, []).append(PROGRAM.format(kind=kind, number=number))
+    for name, called in NAMES.items():
+        out.setdefault(name, []).extend(notice.format(the + x) + "." for x in called for notice in NOTICES for the in ("", "the ", "a "))
+    for name in out:
+        out[name] += [f"SPDX-License-Identifier: {name}"]
+        if "GPL" in name:
+            out[name] += [f"SPDX-License-Identifier: {name}-only", f"SPDX-License-Identifier: {name}-or-later"]
+    return {name: list(dict.fromkeys(texts)) for name, texts in out.items()}
+
+
+KNOWN = _listed()
+
+
 def canonical(text: Column) -> Column:
     found = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     found = F.regexp_replace(F.replace(found, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")
@@ -130,6 +222,37 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None
     return table.where(canonical(F.col("text")) != "").groupBy(digest).agg(F.min("license").alias("license"))
 
 
+#: Blank lines, those of a comment's border included, between paragraphs.
+PARAGRAPH = r"\n(?:[ \t\r#*/;-]*\n)+"
+
+
+def paragraphs(text: Column) -> Column:
+    """``c, several`` of each paragraph that says something: its canonical form, and whether it has several lines."""
+    found = F.transform(F.split(text, PARAGRAPH), lambda p: F.struct(canonical(p).alias("c"), F.contains(F.trim(p), F.lit("\n")).alias("several")))
+    return F.filter(found, lambda p: p["c"] != "")
+
+
+def paragraph_matches(docs: DataFrame, known: dict[str, list[str]] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, h, unit, license`` for each run of paragraphs that is a known licence, text wrapped at will.
+
+    Units are -2 and less, by the run's last paragraph.  Single lines and whole
+    texts are units of :func:`matches`.  A run is looked for where its first
+    paragraph stands, so a text costs its length.
+    """
+    rows = [(name, x) for name, texts in (KNOWN if known is None else known).items() for x in texts]
+    table = docs.sparkSession.createDataFrame(rows, "license string, text string").select("license", canonical(F.col("text")).alias("all"), paragraphs(F.col("text")).alias("p"))
+    runs = table.where("all <> ''").groupBy(F.sha2(F.element_at("p", 1)["c"], 256).alias("first"), F.size("p").alias("n"), F.sha2("all", 256).alias("digest")).agg(F.min("license").alias("license"))
+    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("t")).where("t is not null")
+    body = body.select("doc_id", F.md5(F.col("t").cast("binary")).alias("h"), paragraphs(F.col("t")).alias("p")).distinct()
+    starts = body.select("doc_id", "h", F.size("p").alias("size"), F.posexplode(F.transform("p", lambda p: F.sha2(p["c"], 256))).alias("at", "first"))
+    anchors = starts.join(broadcast_if_small(stored(runs, "runs"), 100_000), "first").where("at + n <= size and n < size")
+    anchors = stored(anchors.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "at", "n", "digest", "license"), "anchors")
+    run = F.slice("p", F.col("at") + 1, F.col("n"))
+    met = body.join(anchors, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")))
+    met = met.where((F.sha2(F.array_join(F.transform(run, lambda p: p["c"]), " "), 256) == F.col("digest")) & ((F.col("n") > 1) | F.exists(run, lambda p: p["several"])))
+    return met.select("doc_id", "h", (-1 - F.col("at") - F.col("n")).alias("unit"), "license")
+
+
 def matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text", block: str = "\n") -> DataFrame:
     """``doc_id, h, unit, license`` for each unit that is a known licence.
 
@@ -149,18 +272,20 @@ def matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str
     return looked_up(units).unionByName(looked_up(whole)).select("doc_id", "h", "unit", "license")
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", block: str = "\n") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", block: str = "\n", runs: DataFrame | None = None) -> DataFrame:
     """``doc_id, whole_license, n_notices, licenses``, a row for each row of ``docs``.
 
     ``whole_license`` is set if the entire text is a known licence; ``n_notices``
     counts the blocks that are; ``licenses`` are the distinct ones, comma-joined.
+    With ``runs``, from :func:`paragraph_matches`, runs of paragraphs count too.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    found = matches(docs, known, id_col, text, block).distinct()
+    found = matches(docs, known, id_col, text, block)
+    found = (found if runs is None else found.unionByName(runs)).distinct()
     by_text = found.groupBy("doc_id", "h").agg(
         F.max(F.when(F.col("unit") == -1, F.col("license"))).alias("several"),
         F.max(F.when(F.col("unit") == 0, F.col("license"))).alias("single"),
-        F.sum((F.col("unit") >= 0).cast("long")).alias("n"),
+        F.sum((F.col("unit") != -1).cast("long")).alias("n"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("all"),
     )
     rows = docs.select(F.col(id_col).alias("i"), F.md5(F.col(text).cast("string").cast("binary")).alias("d"), (F.size(F.split(F.col(text).cast("string"), block)) == 1).alias("only"))

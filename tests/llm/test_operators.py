@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -365,6 +366,30 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_usual_license_files(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    full = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= full.keys()
+    mit, isc, apache = licenses.KNOWN["MIT"][2], licenses.KNOWN["ISC"][0], licenses.KNOWN["Apache-2.0"][1]
+    texts = [("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), ("ISC", "The ISC License\n\nCopyright (c) 2021, A B\n\n" + isc)]
+    texts += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, A B\nAll rights reserved.\n\n" + full["BSD-3-Clause"])]
+    texts += [("Apache-2.0", full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 A B"))] + list(full.items())
+    texts += [("MIT", "SPDX-License-Identifier: MIT")]
+    got = {r.doc_id: r.whole_license for r in licenses.scan(frame(spark, [(i, t, "s") for i, (_, t) in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+    # One canonical form belongs to one licence.
+    rows = [(name, text) for name, each in licenses.KNOWN.items() for text in each]
+    table = spark.createDataFrame(rows, "license string, text string").groupBy(licenses.canonical(F.col("text"))).agg(F.collect_set("license").alias("names"))
+    assert [r.names for r in table.where("size(names) > 1").collect()] == []
+    # Wrapped blocks inside other text.
+    header = "/*\n * " + apache.replace("\n", "\n * ") + "\n *\n */\n\nint main;"
+    docs = frame(spark, [(1, header, "s"), (2, "About.\n\nMIT License\n\nCopyright (c) 2020 S\n\n" + mit + "\n\nEnd.", "s"), (3, mit, "s"), (4, "a\n\n" + mit[:-9], "s"), (None, "x\n\n" + isc, "s"), (6, None, "s")])
+    got = licenses.scan(docs, runs=licenses.paragraph_matches(docs)).collect()
+    assert sorted((r.doc_id or 0, r.whole_license, r.n_notices, r.licenses) for r in got) == [
+        (0, None, 1, "ISC"), (1, None, 1, "Apache-2.0"), (2, None, 1, "MIT"), (3, "MIT", 0, "MIT"), (4, None, 0, ""), (6, None, 0, ""),
+    ]
+
+
 def test_factorization_machine_learns_pairs():
     rng = np.random.default_rng(0)
     terms, y = [], []
