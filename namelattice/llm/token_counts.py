@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side; no shuffle of pre-tokens.
 
 Tier one is a broadcast table of the token lengths of frequent pieces, its
-size fixed by ``table_size``; it is counted on a bounded sample of texts, which
-sets speed only.  Tier two encodes what the table lacks and keeps it in the
+size fixed by ``table_size``; it is counted on all texts, whole, by a bounded
+counter in each task, and sets speed only.  Tier two encodes what the table lacks and keeps it in the
 worker's cache.  Nothing leaves the task but one row for each document.
 
 Null texts count as empty (0 bytes, 0 tokens); repeated rows each give a row;
@@ -11,7 +11,6 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,16 +20,43 @@ from pyspark.sql import DataFrame, functions as F
 from ..storage import ship
 from .tokens import encoder, steps
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", table_size: int = 20_000, sample_docs: int = 500, sample_chars: int = 20_000) -> dict[bytes, int]:
-    """The most frequent pieces of at most ``sample_docs`` texts and their token lengths.
 
-    Driver work and result are bounded by the three parameters.
+#: Bytes of the longest piece that the table takes, so that its size is bounded.
+LONGEST = 256
+
+
+def _most_frequent(counted: pa.Table, size: int) -> pa.Table:
+    """The ``size`` most frequent pieces of ``counted(piece, n)``, counts of one piece being added up."""
+    summed = counted.group_by("piece").aggregate([("n", "sum")]).rename_columns(["piece", "n"])
+    return summed.take(pc.sort_indices(summed, [("n", "descending")])[:size]).combine_chunks()
+
+
+def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", table_size: int = 20_000) -> dict[bytes, int]:
+    """The most frequent pieces of all texts and their token lengths.
+
+    A task holds the counts of ``16 * table_size`` pieces and those of one step
+    of text at most, and hands on ``2 * table_size``; the driver gets ``table_size``
+    of each shuffle partition.
     """
-    rows = docs.select(F.substring(F.col(text).cast("string"), 1, sample_chars).alias("t")).where("t is not null").limit(sample_docs).collect()
-    counts = Counter(piece for row in rows for piece in row.t.encode().split())
-    pieces = [piece for piece, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
-    lengths = encoder(tokenizer).counts(pa.array(pieces, pa.binary()).cast(pa.string()))
-    return dict(zip(pieces, lengths.tolist()))
+    narrow = docs.select(F.col(text).cast("string").alias("t")).where("t is not null")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.table({"piece": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        for batch in batches:
+            for start, stop in steps(batch.column("t")):
+                found = pc.ascii_split_whitespace(batch.column("t").slice(start, stop - start)).flatten().value_counts()
+                part = pa.table({"piece": found.field("values").cast(pa.string()), "n": found.field("counts")})
+                sizes = pc.binary_length(part.column("piece"))
+                held = pa.concat_tables([held, part.filter(pc.and_(pc.greater(sizes, 0), pc.less_equal(sizes, LONGEST)))])
+                if held.num_rows > 16 * table_size:
+                    held = _most_frequent(held, 4 * table_size)
+        yield from _most_frequent(held, 2 * table_size).to_batches()
+
+    counted = narrow.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "piece").limit(table_size).select("piece").collect()
+    pieces = [row.piece for row in rows]
+    lengths = encoder(tokenizer).counts(pa.array(pieces, pa.string()))
+    return dict(zip((piece.encode() for piece in pieces), lengths.tolist()))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", table_size: int = 20_000, cache_size: int = 1_000_000) -> DataFrame:

@@ -80,6 +80,15 @@ def test_token_counts(spark, texts):
     assert token_counts.count_tokens(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_frequent_pieces_cover_all_texts(spark):
+    front = [(i, f"front{i} hot " * 3, "s") for i in range(600)]
+    rest = [(1000 + i, "x " * 11_000 + "behind behind behind", "s") for i in range(20)] + [(2000 + i, "often often often other", "s") for i in range(700)] + [(3000, "y" * 300, "s"), (3001, None, "s"), (3002, "", "s")]
+    docs = spark.createDataFrame(front + rest, "doc_id long, text string, source string").coalesce(2)
+    found = token_counts.frequent_lengths(docs, tokenizer_path(), table_size=5)
+    assert set(found) == {b"x", b"often", b"hot", b"other", b"behind"}
+    assert token_counts.frequent_lengths(docs.limit(0), tokenizer_path()) == {}
+
+
 def test_token_files_round_trip(spark, texts, tmp_path):
     from tokenizers import Tokenizer
 
