@@ -181,6 +181,12 @@ def strip_common_prefix(spark, sf_dir):
     return scoring.without_common_prefix(_by_brand(spark, sf_dir).where("rel_path[0] = 'SMALL'")).select("concept_id", *_joined("rel_path", "tokens"))
 
 
+def strip_common_prefix_all(spark, sf_dir):
+    """All of part; names of a brand that begin alike are a concept, so that there is a prefix to take off."""
+    named = _by_brand(spark, sf_dir).withColumn("concept_id", F.concat_ws("/", "concept_id", F.get("rel_path", F.lit(0))))
+    return scoring.without_common_prefix(named).select("concept_id", *_joined("rel_path", "tokens"))
+
+
 def point_label_scores(spark, sf_dir):
     scores = scoring.label_scores(_by_brand(spark, sf_dir).select(F.col("rel_path").alias("tokens")))
     return scores.select(*_joined("tokens"), "equip", "label", F.round("score", 9).alias("score"))
@@ -329,7 +335,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 load_names, rejected_names, distinct_points, tokenize_points, uncamel, unique_tokens, token_frequency, split_trailing, split_runs, without_digits,
                 vocab_children, expand_tokens, expand_tokens_pages, point_paths, tree_nodes, node_types, tree_leaves, point_leaf, leaf_parents, tree_report,
                 node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, catalog_flat,
-                supported_labels, token_catalog_jw, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters,
+                supported_labels, token_catalog_jw, strip_common_prefix, strip_common_prefix_all, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters,
                 concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, base_usage, simple_derived, concept_points,
                 leaf_coverage, unexplained_points, unique_points, concept_classes, greedy_assign, label_candidates, resolve_best, resolve_classified,
                 class_summary, class_instances, run_report, dot_graph, cluster_file, training_file, resolved_argmax,
@@ -555,6 +561,7 @@ def oracle_sql() -> dict[str, str]:
         "token_catalog_jw": f"""{tokens_of_pages}, {_catalog_sql()}, a AS (SELECT DISTINCT unnest(alt_tokens) AS alt_token FROM cat)
           SELECT token, alt_token, round(jaro_winkler_similarity(token, alt_token), 9) AS similarity FROM f, a WHERE jaro_winkler_similarity(token, alt_token) > 0.85::DOUBLE""",
         "strip_common_prefix": f"{_BRAND_SQL}, s AS (SELECT * FROM b WHERE rel_path[1] = 'SMALL'){_STRIPPED_SQL.format(source='s')} SELECT concept_id, {joined('rel_path', 'tokens')} FROM st",
+        "strip_common_prefix_all": f"{_BRAND_SQL}, s AS (SELECT concat_ws('/', concept_id, rel_path[1]) AS concept_id, rel_path FROM b){_STRIPPED_SQL.format(source='s')} SELECT concept_id, {joined('rel_path', 'tokens')} FROM st",
         "point_label_scores": f"{_BRAND_SQL}, q AS (SELECT rel_path AS tokens FROM b){_scores_sql('q')} SELECT {joined('tokens')}, equip, label, round(score, 9) AS score FROM sc",
         "feature_vector": f"""{_BRAND_SQL}{_STRIPPED_SQL.format(source='b')}{_scores_sql('st')},
           lab AS (SELECT equip, equip_ord, count(DISTINCT label) AS labels FROM cat GROUP BY 1, 2),

@@ -303,3 +303,18 @@ def test_entry_points_agree(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["node_a", "node_b", "overlap", "size_a", "size_b"]
+
+
+def test_common_prefix_over_all_names(spark):
+    import __spark_entry__ as entry
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = entry.queries()["strip_common_prefix_all"](spark, sf_dir).collect()
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert len(rows) == part.select("p_brand", text.tokens(F.concat_ws("/", "p_type", "p_name"))).distinct().count()
+    assert len({r.concept_id.split("/")[1] for r in rows}) > 1
+    alone = {}
+    for r in rows:
+        alone[r.concept_id] = alone.get(r.concept_id, 0) + 1
+    # The first token is shared by each concept of several names, and gone.
+    assert all(alone[r.concept_id] == 1 or len(r.tokens) < len(r.rel_path) for r in rows)
