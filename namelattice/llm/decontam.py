@@ -1,26 +1,33 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by documents: a segment, one row, holds the postings
-of a run of documents, each term's ascending positions on one axis, and each
-document's place on that axis.  Postings are stored for the terms that the test set holds; no other
-term can be looked up.  Segments are built and searched side by side, so no
-posting list ever crosses a shuffle and a frequent term is spread over all
-segments.
-
-A search intersects offset-adjusted lists from the rarest term of each phrase
-(by occurrences in the whole corpus) to the most frequent one.  Terms are
-compared as exact words, so matches are exact.
+The index holds the postings of every word of every text.  It is partitioned by
+documents: a segment, one row, has the words of a run of documents, sorted, each
+word's ascending positions on one axis, and each document's place on that axis.
+No posting list ever crosses a shuffle, and a frequent word is spread over all
+segments.  An index is written once and serves any test set.
+
+A search cuts the test items into windows and goes from the rarest word of each
+window (by occurrences in the whole corpus, ties by the word itself) to its most
+frequent one.  Where the rarest word stands, the other words are looked for in
+their own lists: anywhere within ``within`` words for a proximity match, at the
+window's own offsets for an exact one.  All windows of a segment take each step
+together, a bounded number of places at a time.  Words are compared whole, so
+matches are exact.
+
+The test set comes to the driver in blocks of a bounded number of words; longer
+items are cut into overlapping pieces, so no block exceeds its bound.
 
 Null and empty texts hold no words; a null item id counts as the empty string
 in lists of items; repeated items and repeated documents each keep their rows;
-empty tables give results without matches; other columns are ignored.
+an item that holds a word which no text has matches nowhere by that word's
+windows; empty tables give results without matches; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,203 +38,319 @@ from ..storage import fresh_path, ship, stored
 from .caches import keep_only
 from .words import byte_rows, words_of
 
-WINDOW = 10
-#: Words of the test set that may be broadcast in one block; a larger test set is searched in blocks.
-BLOCK_WORDS = 4_000_000
-#: Words in a segment before it is closed; bounds a row of the index to a few MB.
+#: Words of a window, and words around the rarest one in which a proximity match has all others.
+WINDOW, WITHIN = 10, 20
+#: Words of the test set that the driver and each worker hold at once.
+BLOCK_WORDS = 200_000
+#: Words in a segment before it is closed; bounds a row of the index to a few MB, or one document.
 SEGMENT_WORDS = 400_000
-_INDEX_SCHEMA = "terms array<int>, ends array<int>, positions array<int>, row array<long>, doc_id array<long>, h array<long>, places array<int>, n_words array<int>"
-_MATCH_SCHEMA = "row long, doc_id long, h long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
+#: Bytes of a text whose words are listed together.
+PIECE = 4 << 20
+#: Places that are compared in one step of a search.
+STEP = 500_000
+_INDEX_SCHEMA = "terms array<binary>, ends array<int>, steps array<int>, row array<long>, doc_id array<long>, h array<long>, places array<long>, n_words array<long>"
+_MATCH_SCHEMA = "row long, doc_id long, h long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
 
 
-def item_blocks(items: DataFrame, id_col: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The test set on the driver, a bounded block at a time: (id as string, words)."""
-    block, held = [], 0
-    for row in items.select(F.col(id_col).cast("string").alias("i"), F.col(text).cast("string").alias("t")).toLocalIterator():
-        words = words_of((row.t or "").encode())
-        if not words:
-            continue
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row.i or "", words))
-        held += len(words)
-    if block:
-        yield block
+# --- the index -----------------------------------------------------------------------------------------------------
 
 
-def vocabulary(block: list[tuple[str, list[bytes]]]) -> dict[bytes, int]:
-    return {word: i for i, word in enumerate(sorted({word for _, words in block for word in words}))}
-
-
-def build_index(docs: DataFrame, terms: dict[bytes, int], path: str, segment_words: int = SEGMENT_WORDS) -> None:
-    """Write the segments of ``docs`` (``row, doc_id, h, t``) for ``terms`` to ``path``, a row each."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def _pieces(raw: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``size`` bytes, cut at spaces, so that a long text is listed a piece at a time."""
+    start = 0
+    while len(raw) - start > size:
+        cut = raw.find(b" ", start + size)
+        if cut < 0:
+            break
+        yield raw[start:cut]
+        start = cut
+    yield raw[start:] if start else raw
+
+
+class _Segment:
+    """A run of documents, growing until it is written as one row."""
+
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = {}
+        self.codes: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.rows: list[tuple] = []
+        self.held = 0
+
+    def add(self, row: tuple, raw: bytes) -> None:
+        terms, size = self.terms, 0
+        for piece in _pieces(raw):
+            words = words_of(piece)
+            self.codes.append(np.fromiter((terms.setdefault(w, len(terms)) for w in words), dtype=np.int32, count=len(words)))
+            size += len(words)
+        self.sizes.append(size)
+        self.rows.append(row)
+        self.held += size + 1
+
+    def batch(self) -> pa.RecordBatch:
+        # Documents lie on one axis with a free place between them, so that no phrase runs across.
+        sizes = np.array(self.sizes, dtype=np.int64)
+        places = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        names = sorted(self.terms)
+        rank = np.empty(len(names), dtype=np.int32)
+        rank[np.fromiter(map(self.terms.__getitem__, names), dtype=np.int64, count=len(names))] = np.arange(len(names))
+        flat = rank[np.concatenate(self.codes)]
+        at = (np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes))[np.argsort(flat, kind="stable")]
+        ends = np.cumsum(np.bincount(flat, minlength=len(names)))
+        # Positions are stored as steps from one to the next, which are small for frequent words.
+        columns = [(names, pa.binary()), (ends, pa.int32()), (np.diff(at, prepend=0), pa.int32())]
+        columns += [(list(x), pa.int64()) for x in zip(*self.rows)] + [(places, pa.int64()), (sizes, pa.int64())]
+        kinds = [pa.array([values], pa.list_(kind)) for values, kind in columns]
+        return pa.RecordBatch.from_arrays(kinds, names=["terms", "ends", "steps", "row", "doc_id", "h", "places", "n_words"])
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """Write the postings of all words of ``docs`` to ``path``, a row a segment, and return the frame that reads them."""
+    ship(docs.sparkSession)
+    body = F.col(text).cast("string")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("t"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("decontam")
-        lookup = shared.value.get
-        codes, sizes, rows, ids, digests, held = [], [], [], [], [], 0
-
-        def close() -> pa.RecordBatch:
-            # Documents lie on one axis with a free place between them, so that no phrase runs across.
-            counts = np.array(sizes, dtype=np.int64)
-            places = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
-            flat = np.concatenate(codes)
-            at = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), counts)
-            flat, at = flat[flat >= 0], at[flat >= 0]
-            order = np.argsort(flat, kind="stable")
-            flat, at = flat[order], at[order]
-            starts = np.flatnonzero(np.diff(flat, prepend=-1))
-            columns = [flat[starts], np.append(starts[1:], len(flat)) if len(flat) else starts, at]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], pa.list_(kind)) for x, kind in zip([*columns, rows, ids, digests, places, counts], kinds)],
-                names=["terms", "ends", "positions", "row", "doc_id", "h", "places", "n_words"],
-            )
-
+        segment = _Segment()
         for batch in batches:
-            for row, doc_id, digest, raw in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "h")), byte_rows(batch.column("t"))):
-                words = words_of(raw)
-                codes.append(np.fromiter((lookup(w, -1) for w in words), dtype=np.int32, count=len(words)))
-                sizes.append(len(words))
-                rows.append(row)
-                ids.append(doc_id)
-                digests.append(digest)
-                held += len(words) + 1
-                if held >= segment_words:
-                    yield close()
-                    codes, sizes, rows, ids, digests, held = [], [], [], [], [], 0
-        if ids:
-            yield close()
-
-    docs.mapInArrow(build, _INDEX_SCHEMA).write.options(**{"compression": "zstd", "parquet.block.size": str(32 << 20)}).parquet(path)
-
-
-def _numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    body = F.col(text).cast("string")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("t"))
+            for row, raw in zip(zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "h"))), byte_rows(batch.column("t"))):
+                segment.add(row, raw)
+                if segment.held >= segment_words:
+                    yield segment.batch()
+                    segment = _Segment()
+        if segment.rows:
+            yield segment.batch()
+
+    numbered.mapInArrow(build, _INDEX_SCHEMA).write.options(**{"compression": "zstd", "parquet.block.size": str(32 << 20)}).parquet(path)
+    return read_index(docs.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_INDEX_SCHEMA).parquet(path)
 
 
-def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of each test term in the whole corpus; as many numbers as the test set has terms."""
+class Postings:
+    """The lists of those words of one segment that a search asks for, by the search's own numbers."""
+
+    def __init__(self, part: dict[str, pa.Array], lookup: dict[bytes, int]):
+        self.places, self.sizes = part["places"].to_numpy(), part["n_words"].to_numpy()
+        self.total = int(self.places[-1] + self.sizes[-1]) + 2
+        ends = part["ends"].to_numpy().astype(np.int64)
+        code = np.fromiter((lookup.get(term, -1) for term in part["terms"].to_pylist()), dtype=np.int64, count=len(ends))
+        asked = np.flatnonzero(code >= 0)
+        asked = asked[np.argsort(code[asked])]
+        flat = np.cumsum(part["steps"].to_numpy().astype(np.int64))
+        count = np.diff(ends, prepend=0)[asked]
+        start = (ends - np.diff(ends, prepend=0))[asked]
+        #: All lists one behind the other in the order of numbers, as number * total + position: ascending throughout.
+        self.keys = np.repeat(code[asked], count) * self.total + flat[np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)]
+        self.first = np.zeros(len(lookup) + 1, dtype=np.int64)
+        self.first[code[asked] + 1] = count
+        self.first = np.cumsum(self.first)
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.places, at, side="right") - 1
+
+    def inside(self, code: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a word's list has a position from ``low`` to ``high``."""
+        if not len(self.keys):
+            return np.zeros(len(code), dtype=bool)
+        at = np.searchsorted(self.keys, code * self.total + low)
+        return self.keys[np.minimum(at, len(self.keys) - 1)] <= np.where(at < len(self.keys), code * self.total + high, -1)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], lookup: dict[bytes, int]) -> Iterator[tuple[dict[str, pa.Array], Postings]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part = {k: batch.column(k)[i].values for k in batch.schema.names}
+            yield part, Postings(part, lookup)
+
+
+def term_counts(index: DataFrame, lookup: dict[bytes, int]) -> np.ndarray:
+    """Occurrences of the words of ``lookup`` in the whole corpus, by their numbers."""
+    shared = index.sparkSession.sparkContext.broadcast(lookup)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(n_terms, dtype=np.int64)
+        found = np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
             for terms, ends in zip(batch.column("terms"), batch.column("ends")):
-                np.add.at(found, terms.values.to_numpy(), np.diff(ends.values.to_numpy(), prepend=0))
+                code = np.fromiter((shared.value.get(term, -1) for term in terms.values.to_pylist()), dtype=np.int64, count=len(terms))
+                found[code[code >= 0]] += np.diff(ends.values.to_numpy(), prepend=0)[code >= 0]
         hit = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(found[hit])], names=["term", "n"])
 
-    counts = np.zeros(n_terms, dtype=np.int64)
+    counts = np.zeros(len(lookup), dtype=np.int64)
     rows = index.select("terms", "ends").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     for row in rows.toLocalIterator():
         counts[row.term] = row.n
     return counts
 
 
-class Phrases:
-    """The windows of a block of items, distinct ones once, each with its terms from the rarest on."""
-
-    def __init__(self, block, terms: dict[bytes, int], counts: np.ndarray, window: int = WINDOW):
-        self.items = [item for item, _ in block]
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for i, (_, words) in enumerate(block):
-            codes = [terms[w] for w in words]
-            for at in range(max(1, len(codes) - window + 1)):
-                owners.setdefault(tuple(codes[at : at + window]), set()).add(i)
-        self.by_anchor: dict[int, list[tuple[list[tuple[int, int]], int, tuple[int, ...]]]] = {}
-        for codes, who in owners.items():
-            if any(counts[c] == 0 for c in codes):
-                continue  # a term that the corpus lacks: the phrase can't occur
-            order = sorted(enumerate(codes), key=lambda x: (counts[x[1]], x[0]))
-            self.by_anchor.setdefault(order[0][1], []).append(([(code, at) for at, code in order], len(codes), tuple(sorted(who))))
-
-
-def exact_starts(lists: dict[int, np.ndarray], order: list[tuple[int, int]]) -> np.ndarray:
-    """Where a phrase starts: lists moved back by each term's offset, intersected from the rarest on."""
-    found = None
-    for code, at in order:
-        places = lists.get(code)
-        if places is None:
-            return np.zeros(0, dtype=np.int32)
-        if found is None:
-            found = places - at
-            found = found[found >= 0]
-        else:
-            want = found + at
-            where = np.searchsorted(places, want)
-            where[where == len(places)] = len(places) - 1
-            found = found[places[where] == want]
-        if not len(found):
-            break
-    return found
+# --- the search ----------------------------------------------------------------------------------------------------
+
 
+def item_blocks(items: DataFrame, id_col: str, text: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The test set on the driver, at most ``block_words`` words at a time: (id as string, words).
 
-def near_starts(lists: dict[int, np.ndarray], places: np.ndarray, sizes: np.ndarray, codes: list[int], within: int) -> np.ndarray:
-    """Places of ``codes[0]`` with every other term at most ``within`` places away in the same document."""
-    if not codes or any(code not in lists for code in codes):
-        return np.zeros(0, dtype=np.int64)
-    found = lists[codes[0]].astype(np.int64)
-    for code in codes[1:]:
-        owner = np.searchsorted(places, found, side="right") - 1
-        low, high = np.maximum(found - within, places[owner]), np.minimum(found + within, places[owner] + sizes[owner] - 1)
-        other = lists[code]
-        found = found[np.searchsorted(other, high, side="right") > np.searchsorted(other, low, side="left")]
-    return found
+    A longer item comes in pieces that overlap by a window less one word, so
+    that the windows of the pieces are those of the item.
+    """
+    block_words = max(block_words, 2 * window)
+    block, held = [], 0
+    for row in items.select(F.col(id_col).cast("string").alias("i"), F.col(text).cast("string").alias("t")).toLocalIterator():
+        words = words_of((row.t or "").encode())
+        for at in range(0, max(1, len(words) - window + 1), block_words - window + 1):
+            piece = words[at : at + block_words]
+            if not piece:
+                continue
+            if block and held + len(piece) > block_words:
+                yield block
+                block, held = [], 0
+            block.append((row.i or "", piece))
+            held += len(piece)
+    if block:
+        yield block
 
 
-def search(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """Exact occurrences of all phrases in all segments, by document."""
-    shared = index.sparkSession.sparkContext.broadcast(phrases)
+def vocabulary(block: list[tuple[str, list[bytes]]]) -> dict[bytes, int]:
+    """Numbers of a block's words, in their order."""
+    return {word: i for i, word in enumerate(sorted({word for _, words in block for word in words}))}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = {k: batch.column(k)[i].values for k in batch.schema.names}
-                yield _search_segment(part, wanted)
 
-    return index.mapInArrow(run, _MATCH_SCHEMA)
+@dataclass
+class Phrases:
+    """Distinct windows of a block as arrays, by their rarest word.
 
+    Row i of ``codes`` has the words of a window from the rarest on and row i of
+    ``offsets`` their places in it; ``lengths`` words count, ``-1`` fills up.
+    ``owners[first_owner[i]:first_owner[i + 1]]`` are the items, by place in ``items``.
+    """
 
-def _search_segment(part: dict[str, pa.Array], wanted: Phrases) -> pa.RecordBatch:
-    ends, flat = part["ends"].to_numpy(), part["positions"].to_numpy()
-    places, sizes = part["places"].to_numpy().astype(np.int64), part["n_words"].to_numpy().astype(np.int64)
-    bounds = zip(part["terms"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist())
-    lists = {code: flat[a:b] for code, a, b in bounds}
-    total = int(places[-1] + sizes[-1]) + 1
-    edges = np.zeros(total + 1, dtype=np.int32)
-    found: dict[int, set[str]] = {}
-    for anchor in lists.keys() & wanted.by_anchor.keys():
-        for order, length, owners in wanted.by_anchor[anchor]:
-            starts = exact_starts(lists, order)
-            if len(starts):
-                np.add.at(edges, starts, 1)
-                np.add.at(edges, starts + length, -1)
-                for doc in np.unique(np.searchsorted(places, starts, side="right") - 1).tolist():
-                    found.setdefault(doc, set()).update(wanted.items[i] for i in owners)
+    items: list[str]
+    codes: np.ndarray
+    offsets: np.ndarray
+    lengths: np.ndarray
+    first_owner: np.ndarray
+    owners: np.ndarray
+
+
+def phrases(block: list[tuple[str, list[bytes]]], lookup: dict[bytes, int], counts: np.ndarray, window: int = WINDOW) -> Phrases:
+    names = sorted({item for item, _ in block})
+    place = {item: i for i, item in enumerate(names)}
+    rows, owners = [], []
+    for item, words in block:
+        codes = np.fromiter(map(lookup.__getitem__, words), dtype=np.int32, count=len(words))
+        if len(codes) < window:
+            codes = np.concatenate([codes, np.full(window - len(codes), -1, dtype=np.int32)])
+        found = np.lib.stride_tricks.sliding_window_view(codes, window)
+        rows.append(found)
+        owners.append(np.full(len(found), place[item], dtype=np.int32))
+    codes, owner = np.concatenate(rows), np.concatenate(owners)
+    # A word that the corpus lacks: the window can't occur.
+    possible = ((codes < 0) | (np.append(counts, 1)[codes] > 0)).all(axis=1)
+    codes, owner = codes[possible], owner[possible]
+    distinct, which = np.unique(codes, axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([which.reshape(-1), owner], axis=1), axis=0)
+    first = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+    # Numbers follow the order of words, so equal counts are settled by the word.
+    rarity = np.where(distinct < 0, np.iinfo(np.int64).max, np.append(counts, 0)[distinct])
+    order = np.lexsort((distinct, rarity), axis=1)
+    return Phrases(names, np.take_along_axis(distinct, order, 1), order.astype(np.int16), (distinct >= 0).sum(axis=1), first, pairs[:, 1])
+
+
+def _starts(wanted: Phrases, lists: Postings, within: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(window, place of its rarest word, exact)`` of all proximity and exact matches in a segment, a bounded number of places at a time."""
+    anchor = wanted.codes[:, 0]
+    room = lists.first[anchor + 1] - lists.first[anchor]
+    present = np.flatnonzero(room)
+    room = room[present]
+    cuts = np.searchsorted(np.cumsum(room), np.arange(STEP, room.sum() + STEP, STEP), side="left") + 1 if len(present) else []
+    at = 0
+    for stop in np.unique(np.minimum(cuts, len(present))).tolist() if len(present) else []:
+        n = room[at:stop]
+        which = np.repeat(present[at:stop], n)
+        where = np.arange(n.sum()) + np.repeat(lists.first[anchor[present[at:stop]]] - (np.cumsum(n) - n), n)
+        at = stop
+        spot = lists.keys[where] - anchor[which].astype(np.int64) * lists.total
+        doc = lists.document(spot)
+        low, high = lists.places[doc], lists.places[doc] + lists.sizes[doc] - 1
+        begin = spot - wanted.offsets[which, 0]
+        exact = (begin >= low) & (begin + wanted.lengths[which] - 1 <= high)
+        near = np.ones(len(which), dtype=bool)
+        low, high = np.maximum(low, spot - within), np.minimum(high, spot + within)
+        for step in range(1, wanted.codes.shape[1]):
+            code = wanted.codes[which, step].astype(np.int64)
+            todo = np.flatnonzero(code >= 0)
+            if not len(todo):
+                break
+            near[todo] &= lists.inside(code[todo], low[todo], high[todo])
+            todo = todo[exact[todo]]
+            want = begin[todo] + wanted.offsets[which[todo], step]
+            exact[todo] = lists.inside(code[todo], want, want)
+            left = near | exact
+            which, spot, begin, exact, near, low, high = (x[left] for x in (which, spot, begin, exact, near, low, high))
+        yield which[near], spot[near], np.zeros(near.sum(), dtype=bool)
+        yield which[exact], begin[exact], np.ones(exact.sum(), dtype=bool)
+
+
+def _search_segment(part: dict[str, pa.Array], lists: Postings, wanted: Phrases, within: int) -> pa.RecordBatch:
+    places, sizes = lists.places, lists.sizes
+    edges = np.zeros(lists.total + 1, dtype=np.int32)
+    met: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for which, at, exact in _starts(wanted, lists, within):
+        if not len(which):
+            continue
+        kind = bool(exact[0])
+        if kind:
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + wanted.lengths[which], -1)
+        # One row a document and item; a window may have many owners and stand in many places.
+        pairs = np.unique(np.stack([lists.document(at), which], axis=1), axis=0)
+        n = (wanted.first_owner[1:] - wanted.first_owner[:-1])[pairs[:, 1]]
+        who = wanted.owners[np.arange(n.sum()) + np.repeat(wanted.first_owner[pairs[:, 1]] - (np.cumsum(n) - n), n)]
+        met[kind].append(np.unique(np.stack([np.repeat(pairs[:, 0], n), who], axis=1), axis=0))
     hit = np.cumsum(edges[:-1]) > 0
     change = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
     opens, closes = change[::2], change[1::2]  # a phrase never reaches the free place behind a document
-    owner = np.searchsorted(places, opens, side="right") - 1
+    owner = lists.document(opens)
     n_hit = np.bincount(owner, weights=closes - opens, minlength=len(places)).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(places)))]).astype(np.int32)
     spans = pa.StructArray.from_arrays([pa.array(opens - places[owner]), pa.array(closes - places[owner])], names=["start", "end"])
+
+    def listed(pairs: list[np.ndarray]) -> pa.Array:
+        # Items are numbered in their order, so they come out sorted.
+        rows = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
+        bounds = np.searchsorted(rows[:, 0], np.arange(len(places) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(wanted.items, pa.string()).take(pa.array(rows[:, 1])))
+
     return pa.RecordBatch.from_arrays(
-        [
-            part["row"], part["doc_id"], part["h"], pa.array(sizes), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(offsets), spans),
-            pa.array([sorted(found.get(i, ())) for i in range(len(places))], pa.list_(pa.string())),
-        ],
-        names=["row", "doc_id", "h", "n_words", "n_hit", "spans", "items"],
+        [part["row"], part["doc_id"], part["h"], pa.array(sizes), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(offsets), spans), listed(met[True]), listed(met[False])],
+        names=["row", "doc_id", "h", "n_words", "n_hit", "spans", "items", "near_items"],
     )
 
 
+def _searched(index: DataFrame, block: list[tuple[str, list[bytes]]], window: int, within: int) -> DataFrame:
+    """Matches of one block of items in all segments, a row a document."""
+    lookup = vocabulary(block)
+    shared = index.sparkSession.sparkContext.broadcast((lookup, phrases(block, lookup, term_counts(index, lookup), window)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("decontam")
+        known, wanted = shared.value
+        for part, lists in _segments(batches, known):
+            yield _search_segment(part, lists, wanted, within)
+
+    return index.mapInArrow(run, _MATCH_SCHEMA)
+
+
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_MATCH_ARROW = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()),
+    ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())),
+])
+
+
 def _merged(parts: DataFrame) -> DataFrame:
     """One row for each document from the rows of several blocks of items."""
 
@@ -241,46 +364,39 @@ def _merged(parts: DataFrame) -> DataFrame:
                         spans[-1]["end"] = max(spans[-1]["end"], span["end"])
                     else:
                         spans.append(dict(span))
-                items = sorted({x for part in row["items"] for x in part})
-                out.append(row | {"spans": spans, "items": items, "n_hit": sum(x["end"] - x["start"] for x in spans)})
+                lists = {k: sorted({x for part in row[k] for x in part}) for k in ("items", "near_items")}
+                out.append(row | lists | {"spans": spans, "n_hit": sum(x["end"] - x["start"] for x in spans)})
             yield pa.RecordBatch.from_pylist(out, schema=_MATCH_ARROW)
 
     rows = parts.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
-        F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"),
+        *(F.collect_list(k).alias(k) for k in ("spans", "items", "near_items")),
     )
     return rows.mapInArrow(merge, _MATCH_SCHEMA)
 
 
-_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-_MATCH_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
-
-
-def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """``doc_id, h, n_words, n_hit, spans, items``, a row for each row of ``docs``; h is the hash of the text.
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, within: int = WITHIN, item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, h, n_words, n_hit, spans, items, near_items``, a row for each row that was indexed; h is the hash of the text.
 
     ``spans`` are the disjoint word ranges ``[start, end)`` inside occurrences of
-    windows; ``items`` the ids of items with a window there, as strings, sorted.
-    A test set of more than ``block_words`` words is searched in blocks.
+    windows; ``items`` the ids of items with a window there, as strings, sorted;
+    ``near_items`` those with a proximity match: a window's rarest word with all
+    its other words at most ``within`` words away.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    narrow = _numbered(docs, id_col, text)
-    blocks = item_blocks(items, item_id, item_text, block_words)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is not None:
-        narrow = stored(narrow, "rows")  # row numbers must be the same for every block
-    found = []
-    for block in chain([first], [second] if second is not None else [], blocks):
-        terms = vocabulary(block)
-        path = fresh_path(spark, "index")
-        build_index(narrow, terms, path, segment_words)
-        index = read_index(spark, path)
-        found.append(search(index, Phrases(block, terms, term_counts(index, len(terms)), window)))
+    ship(index.sparkSession)
+    found = [_searched(index, block, window, within) for block in item_blocks(items, item_id, item_text, window, block_words)]
+    if not found:
+        found = [_searched(index, [("", [])], window, within)]
     whole = found[0] if len(found) == 1 else _merged(reduce(DataFrame.unionByName, found))
     return whole.drop("row")
 
 
+def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, **options) -> DataFrame:
+    """Index ``docs`` in the shared folder and :func:`search` it for ``items``."""
+    index = build_index(docs, fresh_path(docs.sparkSession, "index"), id_col, text, segment_words)
+    return search(index, items, window, **options)
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of any item."""
     hit = match_items(docs, items, id_col=id_col, text=text, **options).where("n_hit > 0").select(F.col("doc_id").alias("i"), F.col("h").alias("d")).distinct()
@@ -289,27 +405,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     return rows.join(hit, F.col("k").eqNullSafe(F.col("i")) & (F.col("g") == F.col("d")), "left_anti").select("doc.*")
 
 
-def near_matches(docs: DataFrame, query: str, within: int = 20, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
+def near_matches(index: DataFrame, query: str, within: int = WITHIN) -> DataFrame:
     """``doc_id, position``: places of the query's rarest word that have all its other words at most ``within`` words away."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(index.sparkSession)
     words = list(dict.fromkeys(words_of(query.encode())))
-    terms = {word: i for i, word in enumerate(words)}
-    narrow = _numbered(docs, id_col, text)
-    path = fresh_path(spark, "index")
-    build_index(narrow, terms, path, segment_words)
-    index = read_index(spark, path)
-    counts = term_counts(index, len(terms))
-    codes = sorted(range(len(words)), key=lambda code: (counts[code], code))
+    lookup = {word: i for i, word in enumerate(sorted(words))}
+    shared = index.sparkSession.sparkContext.broadcast((lookup, phrases([("", words)], lookup, term_counts(index, lookup), max(1, len(words)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = {k: batch.column(k)[i].values for k in batch.schema.names}
-                ends, flat, places = part["ends"].to_numpy(), part["positions"].to_numpy(), part["places"].to_numpy().astype(np.int64)
-                lists = {c: flat[a:b] for c, a, b in zip(part["terms"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist())}
-                at = near_starts(lists, places, part["n_words"].to_numpy(), codes, within)
-                owner = np.searchsorted(places, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(owner)), pa.array(at - places[owner], pa.int64())], names=["doc_id", "position"])
+        known, wanted = shared.value
+        for part, lists in _segments(batches, known):
+            for _, at, exact in _starts(wanted, lists, within):
+                at = np.unique(at[~exact])
+                doc = lists.document(at)
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(doc)), pa.array(at - lists.places[doc], pa.int64())], names=["doc_id", "position"])
 
     return index.mapInArrow(run, "doc_id long, position long")

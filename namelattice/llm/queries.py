@@ -143,6 +143,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -163,10 +164,19 @@ dwin AS (
 hits AS (SELECT d.doc_id, d.i, d.n, b.item_id FROM dwin d JOIN bwin b ON d.n = b.n AND d.k = b.k),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
 hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY 1),
+dpos AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS w FROM dw WHERE len(w) > 0),
+cnt AS (SELECT w, count(*) AS n FROM dpos GROUP BY 1),
+wins AS (SELECT k, row_number() OVER () AS win FROM (SELECT DISTINCT k FROM bwin)),
+ww AS (SELECT DISTINCT win, w FROM (SELECT win, unnest(string_split(k, ' ')) AS w FROM wins)),
+need AS (SELECT win, count(*) AS m, min_by(w, (coalesce(cnt.n, 0), w)) AS rare FROM ww LEFT JOIN cnt USING (w) GROUP BY 1 HAVING min(coalesce(cnt.n, 0)) > 0),
+spot AS (SELECT need.win, m, doc_id, p FROM need JOIN dpos ON dpos.w = need.rare),
+met AS (SELECT win, doc_id, spot.p FROM spot JOIN ww USING (win) JOIN dpos d USING (doc_id, w) WHERE abs(d.p - spot.p) <= 20 GROUP BY win, doc_id, spot.p, m HAVING count(DISTINCT w) = m),
+near_items AS (SELECT doc_id, count(DISTINCT coalesce(CAST(item_id AS VARCHAR), '')) AS n_near FROM (SELECT DISTINCT win, doc_id FROM met) JOIN wins USING (win) JOIN bwin USING (k) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 

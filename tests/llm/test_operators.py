@@ -114,36 +114,88 @@ def plain_windows(doc, item):
     return [i for i in range(len(doc) - n + 1) if tuple(doc[i : i + n]) in windows], n
 
 
-@pytest.mark.parametrize("block_words", [10_000, 15])
-def test_decontamination(spark, texts, block_words):
+def plain_near(bodies, item, within=20):
+    """Which of ``bodies`` (lists of words) have a window's rarest word with all its other words near it."""
+    count = Counter(w for body in bodies for w in body)
+    windows = {tuple(item[i : i + 10]) for i in range(max(1, len(item) - 9))} if item else set()
+    out = []
+    for body in bodies:
+        hit = False
+        for window in windows:
+            rare = min(window, key=lambda w: (count[w], w.encode()))
+            hit = hit or any(w == rare and set(window) <= set(body[max(0, p - within) : p + within + 1]) for p, w in enumerate(body))
+        out.append(hit)
+    return out
+
+
+def by_id(x):
+    return (x[0] is None, x[0] or 0, *x[1:])
+
+
+@pytest.mark.parametrize("block_words, step", [(10_000, 500_000), (20, 7)])
+def test_decontamination(spark, texts, block_words, step, monkeypatch):
+    monkeypatch.setattr(decontam, "STEP", step)
     passage = (texts[3] or "").split(" ")
-    items = [(1, " ".join(passage[5:25])), (2, "short item"), (3, None), (4, texts[4]), (12, "short item"), (None, "w1 unseen")]
-    docs = [(i, t, "s") for i, t in enumerate(texts)] + [(900, "a Short, ITEM here short item", "s"), (900, "x short item", "s"), (None, "short item", "s")]
+    items = [(1, " ".join(passage[5:25])), (2, "short item"), (3, None), (4, texts[4]), (12, "short item"), (None, "w1 unseen"), (13, "item item here"), (14, " ".join(texts[2].split(" ")[:60]))]
+    shuffled = passage[5:15]
+    random.Random(1).shuffle(shuffled)
+    docs = [(i, t, "s") for i, t in enumerate(texts)]
+    docs += [(900, "a Short, ITEM here short item", "s"), (900, "x short item", "s"), (None, "short item", "s"), (901, "item x short", "s"), (902, " ".join(shuffled), "s")]
     table = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.match_items(frame(spark, docs), table, block_words=block_words, segment_words=500).collect()
+    bodies = [plain_words(t) for _, t, _ in docs]
+    near = {str(item) if item is not None else "": plain_near(bodies, plain_words(body)) for item, body in items}
     expected = []
-    for i, t, _ in docs:
-        words, hit, found = plain_words(t), set(), set()
+    for k, (i, _, _) in enumerate(docs):
+        words, hit, found = bodies[k], set(), set()
         for item, body in items:
             starts, n = plain_windows(words, plain_words(body))
             if n and starts:
                 found.add(str(item) if item is not None else "")
                 hit |= {p for s in starts for p in range(s, s + n)}
-        expected.append((i, len(words), len(hit), sorted(found)))
-    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
-    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r.items)) for r in got), key=key) == sorted(expected, key=key)
+        expected.append((i, len(words), len(hit), sorted(found), sorted(x for x, hits in near.items() if hits[k])))
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), list(r.near_items)) for r in got), key=by_id) == sorted(expected, key=by_id)
+    assert any(len(x[4]) > len(x[3]) for x in expected) and all(set(x[3]) <= set(x[4]) for x in expected)
     for r in got:
         assert sum(s.end - s.start for s in r.spans) == r.n_hit
     kept = decontam.drop_contaminated(frame(spark, docs), table)
     assert kept.columns == frame(spark, docs).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _, n, _ in expected if n == 0 and i is not None)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _, n, *_ in expected if n == 0 and i is not None)
     assert decontam.match_items(frame(spark, docs), table.limit(0)).where("n_hit > 0").count() == 0
+    assert decontam.match_items(frame(spark, docs), table.limit(0)).count() == len(docs)
     assert decontam.match_items(frame(spark, []), table).count() == 0
 
 
-def test_near_matches(spark):
-    docs = frame(spark, [(1, "alpha x x beta", "s"), (2, "alpha" + " x" * 30 + " beta", "s"), (3, "beta", "s"), (4, "alpha", "s")])
-    assert [(r.doc_id, r.position) for r in decontam.near_matches(docs, "Beta alpha", within=5).collect()] in ([(1, 0)], [(1, 3)])
+def test_one_index_serves_all_test_sets(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE", 64)
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    index = decontam.build_index(docs, str(tmp_path / "index"), segment_words=700)
+    assert index.count() > 2
+    stored_words = Counter()
+    for r in index.collect():
+        for term, low, high in zip(r.terms, [0, *r.ends], r.ends):
+            stored_words[bytes(term).decode()] += high - low
+    assert stored_words == Counter(w for t in texts for w in plain_words(t))
+    for body in (" ".join(texts[5].split(" ")[:12]), " ".join(texts[9].split(" ")[-15:]), "one"):
+        items = spark.createDataFrame([(1, body)], "item_id long, text string")
+        got = {r.doc_id for r in decontam.search(decontam.read_index(spark, str(tmp_path / "index")), items).collect() if r.n_hit}
+        assert got == {i for i, t in enumerate(texts) if plain_windows(plain_words(t), plain_words(body))[0]} and got
+
+
+def test_blocks_of_the_test_set_are_bounded(spark):
+    words = [f"w{i}" for i in range(95)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "a b c"), (3, None)], "item_id long, text string")
+    blocks = list(decontam.item_blocks(items, "item_id", "text", 10, 30))
+    assert all(sum(len(w) for _, w in block) <= 30 for block in blocks)
+    windows = {tuple(w[i : i + 10]) for block in blocks for item, w in block if item == "1" for i in range(len(w) - 9)}
+    assert windows == {tuple(f"w{i}".encode() for i in range(k, k + 10)) for k in range(86)}
+
+
+def test_near_matches(spark, tmp_path):
+    docs = frame(spark, [(1, "alpha x x beta", "s"), (2, "alpha" + " x" * 30 + " beta", "s"), (3, "beta", "s"), (4, "alpha", "s"), (5, None, "s")])
+    index = decontam.build_index(docs, str(tmp_path / "index"))
+    assert [(r.doc_id, r.position) for r in decontam.near_matches(index, "Beta alpha", within=5).collect()] == [(1, 0)]
+    assert decontam.near_matches(index, "").count() == 0
 
 
 def plain_classes(docs):
