@@ -71,8 +71,8 @@ WITH d AS (
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     len(regexp_extract_all(coalesce(text, ''), '[!#$%&*|<>{}~^=+@\\]')) AS marks FROM documents),
 k AS (
-  SELECT doc_id, sk, size, pow((CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || t), 1, 12) AS BIGINT) + 1.0::DOUBLE) / 281474976710656.0::DOUBLE,
-    1.0::DOUBLE / greatest(0.05::DOUBLE, 1.0::DOUBLE - CAST(marks AS DOUBLE) / greatest(size, 1))) AS key FROM d),
+  SELECT doc_id, sk, size, -ln((CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || t), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+    / greatest(0.05::DOUBLE, 1.0::DOUBLE - CAST(marks AS DOUBLE) / greatest(size, 1)) AS key FROM d),
 s AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY 1),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY sk) - 1) % 3 + 1 AS INT)] AS w FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -81,7 +81,7 @@ g AS (SELECT sk, source_size, least(cap, max(step) OVER () * w) AS target FROM l
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
 r AS (
   SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
-    coalesce(sum(size) OVER (PARTITION BY sk ORDER BY key DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(size) OVER (PARTITION BY sk ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM k JOIN e USING (sk))
 SELECT doc_id, size, source_size, target,
   CAST(size * (epochs + CASE WHEN rest > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r

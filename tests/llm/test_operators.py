@@ -344,7 +344,8 @@ def test_mixing_meets_targets(spark):
     docs = [(i, " ".join(["word"] * rng.randint(0, 60)) + "!" * rng.randint(0, 30), rng.choice(["a", "a", "a", "a", "b", "c", "d", "Z", None])) for i in range(900)]
     docs += [(2000, None, "a"), (2001, "", "only empty")]
     sizes, known, target = plain_mix(docs, None)
-    got = mixing.plan(frame(spark, docs), slices=16).collect()
+    small = {"per_unit": 1, "cuts": 4, "ordered": 5}
+    got = mixing.plan(frame(spark, docs), **small).collect()
     taken = Counter()
     by_id = {i: s for i, _, s in docs}
     for r in got:
@@ -353,14 +354,45 @@ def test_mixing_meets_targets(spark):
         taken[by_id[r.doc_id]] += r["size"] * r.copies
     for s, goal in target.items():
         assert abs(taken[s] - goal) <= 60
-    again = mixing.plan(frame(spark, docs[::-1]), slices=16).collect()
+    again = mixing.plan(frame(spark, docs[::-1]), **small).collect()
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in again)
-    rows = mixing.mixed(frame(spark, docs), slices=16)
+    rows = mixing.mixed(frame(spark, docs), **small)
     assert rows.columns == frame(spark, docs).columns
     assert Counter(r.doc_id for r in rows.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
     assert mixing.plan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("marks", [0, 100, 3])
+def test_border_rows_are_few_whatever_the_weights(spark, marks):
+    # One source of equal low weights (0.05 for 100 marks), one of half of the rows copies of one row.
+    body = F.concat(F.lit("a b c d" + " !" * marks), F.lit(" w"), F.col("id"))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), body.alias("text"), F.lit("s").alias("source"))
+    same = spark.range(4000).select(F.when(F.col("id") < 2000, F.lit(-1)).otherwise(-F.col("id")).alias("doc_id"), F.lit("x y" + " !" * marks).alias("text"), F.lit("t").alias("source"))
+    docs = docs.unionByName(same)
+    columns = mixing.sampling_columns(F.col("doc_id"), F.col("text"))
+    sized = docs.select(mixing.source_key(F.col("source")).alias("sk"), *(c.alias(n) for n, c in columns.items())).cache()
+    slices = mixing._slices(sized.withColumn("slice", F.floor(F.ln("key") * mixing.SLICES).cast("int")))
+    goals = sized.groupBy("sk").agg((F.sum("size") * 0.37).alias("rest"))
+    at, rows = mixing.border_rows(sized, goals, slices, cuts=8, ordered=50)
+    groups = {r.sk: (r.n, r.k) for r in rows.groupBy("sk").agg(F.count("*").alias("n"), F.countDistinct("key").alias("k")).collect()}
+    assert groups.keys() == {"=s", "=t"} and all(n <= 50 or k == 1 for n, k in groups.values())
+    assert {r.sk: r.n for r in at.collect()} == {sk: n for sk, (n, _) in groups.items()}
+    got = mixing.plan(docs, total=0.37, weights=(5, 1), ordered=50, cuts=8)
+    taken = {r["size"]: (r.taken, r.target) for r in got.groupBy("size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()}
+    small, large = sorted(taken)
+    assert abs(taken[large][0] - taken[large][1]) <= large
+    # The copies of one row are taken or left together.
+    assert abs(taken[small][0] - taken[small][1]) <= 2000 * small
+    assert len({r.copies for r in got.where("doc_id = -1").collect()}) == 1
+
+
+def test_mixing_with_null_ids_and_repeated_rows(spark):
+    docs = [(None, "one two three", "a")] * 3 + [(None, "four", "a"), (7, "x y", None), (7, "x y", None), (7, "other", "b"), (8, None, "b")]
+    got = mixing.plan(frame(spark, docs), ordered=1, cuts=2, per_unit=1).collect()
+    assert len(got) == len(docs) and len({r.copies for r in got if r["size"] == 3}) == 1
+    assert Counter(r["size"] for r in got) == Counter({3: 3, 1: 2, 2: 2, 0: 1})
+
+
 def test_mixing_prefers_weight(spark):
     docs = [(i, "plain words only here", "s") if i % 2 else (i, "!! ## bad && mark", "s") for i in range(600)] + [(10_000 + i, "x " * 100, "t") for i in range(10)]
     got = {r.doc_id: r.copies for r in mixing.plan(frame(spark, docs), total=0.5, weights=(1, 1)).collect()}
