@@ -1,11 +1,13 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A unit, the whole text or one block of it, is brought to a canonical form: lower
-case, copyright lines dropped, equivalent spellings made one, punctuation and
-white space reduced to single spaces.  The digest of that whole form is
-hash-joined to the digests of known licences; nothing is matched in part.
-
-Null and empty texts, and units whose canonical form is empty, match nothing;
+A text is brought to a canonical form once: lower case, copyright lines dropped,
+equivalent spellings made one, punctuation and white space reduced to single
+spaces.  The digest of the whole form, and that of each run of its lines which
+begins and ends as a known text does, is hash-joined to the digests of known
+licences; nothing is matched in part.  So a licence file is found, and a notice
+of one line, and a header wrapped at will inside other text.
+
+Null and empty texts, and texts whose canonical form is empty, match nothing;
 repeated documents each keep a row; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -13,9 +15,13 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
 from importlib.resources import files
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .bounded import broadcast_if_small
 from ..storage import stored
@@ -49,7 +55,8 @@ SPELLINGS = {
     "v4": "version 4",
     "ver": "version",
 }
-COPYRIGHT_LINE = r"(?m)^[\s#*/;-]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4}|all rights reserved)[^\n]*$"
+#: Within lines, in multi-line mode; blank and comment marks before the notice go with it.
+COPYRIGHT_LINE = r"^[\s#*/;-]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[0-9]{4}|all rights reserved)[^\n]*$"
 
 #: Known licences and their usual notices. Full texts in the folder ``license_texts`` and variants are added below.
 KNOWN = {
@@ -205,92 +212,143 @@ def _listed() -> dict[str, list[str]]:
 KNOWN = _listed()
 
 
-def canonical(text: Column) -> Column:
-    found = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    found = F.regexp_replace(F.replace(found, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")
-    forms = F.create_map(*(F.lit(x) for pair in SPELLINGS.items() for x in pair))
-    # The set test is a hash lookup; the map, which is searched in order, is asked for the few words it has.
-    words = F.transform(F.split(F.trim(found), " "), lambda w: F.when(~w.isin(*SPELLINGS), w).otherwise(F.try_element_at(forms, w)))
-    return F.array_join(words, " ")
+#: Words at both ends of a known text by which it is looked for.
+ENDS = 4
 
 
-def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """``digest, license`` of the known texts."""
-    rows = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
-    table = spark.createDataFrame(rows, "license string, text string")
-    digest = F.sha2(canonical(F.col("text")), 256).alias("digest")
-    return table.where(canonical(F.col("text")) != "").groupBy(digest).agg(F.min("license").alias("license"))
+def _marked(text: Column) -> Column:
+    """The canonical form, each line's first word marked by a line break before it; words are parted by one space."""
+    found = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, " ")
+    found = F.regexp_replace(F.replace(found, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}\n]+", " ")
+    found = F.regexp_replace(F.regexp_replace(found, r" *\n[ \n]*", " \n"), r"^[ \n]+|[ \n]+$", "")
+    both = {mark + a: mark + b for a, b in SPELLINGS.items() for mark in ("", "\n")}
+    forms = F.create_map(*(F.lit(x) for pair in both.items() for x in pair))
+    # The set test is a hash lookup; the map, which is searched in order, is asked for the few words it has.
+    words = F.transform(F.split(F.concat(F.lit("\n"), found), " "), lambda w: F.when(~w.isin(*both), w).otherwise(F.try_element_at(forms, w)))
+    return F.array_join(words, " ")
 
 
-#: Blank lines, those of a comment's border included, between paragraphs.
-PARAGRAPH = r"\n(?:[ \t\r#*/;-]*\n)+"
+def canonical(text: Column) -> Column:
+    return F.translate(_marked(text), "\n", "")
 
 
-def paragraphs(text: Column) -> Column:
-    """``c, several`` of each paragraph that says something: its canonical form, and whether it has several lines."""
-    found = F.transform(F.split(text, PARAGRAPH), lambda p: F.struct(canonical(p).alias("c"), F.contains(F.trim(p), F.lit("\n")).alias("several")))
-    return F.filter(found, lambda p: p["c"] != "")
+@dataclass(frozen=True)
+class Digests:
+    """Known texts as digests: ``(digest, license)`` rows, and by the key of their first words ``(n words, key of the last)``."""
 
+    rows: list[tuple[str, str]]
+    by_start: dict[int, list[tuple[int, int]]]
+    #: Lengths of starts in words, and words of which every known text holds one, as they may be written.
+    starts: list[int]
+    telling: list[str]
 
-def paragraph_matches(docs: DataFrame, known: dict[str, list[str]] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, h, unit, license`` for each run of paragraphs that is a known licence, text wrapped at will.
 
-    Units are -2 and less, by the run's last paragraph.  Single lines and whole
-    texts are units of :func:`matches`.  A run is looked for where its first
-    paragraph stands, so a text costs its length.
-    """
-    rows = [(name, x) for name, texts in (KNOWN if known is None else known).items() for x in texts]
-    table = docs.sparkSession.createDataFrame(rows, "license string, text string").select("license", canonical(F.col("text")).alias("all"), paragraphs(F.col("text")).alias("p"))
-    runs = table.where("all <> ''").groupBy(F.sha2(F.element_at("p", 1)["c"], 256).alias("first"), F.size("p").alias("n"), F.sha2("all", 256).alias("digest")).agg(F.min("license").alias("license"))
-    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("t")).where("t is not null")
-    body = body.select("doc_id", F.md5(F.col("t").cast("binary")).alias("h"), paragraphs(F.col("t")).alias("p")).distinct()
-    starts = body.select("doc_id", "h", F.size("p").alias("size"), F.posexplode(F.transform("p", lambda p: F.sha2(p["c"], 256))).alias("at", "first"))
-    anchors = starts.join(broadcast_if_small(stored(runs, "runs"), 100_000), "first").where("at + n <= size and n < size")
-    anchors = stored(anchors.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "at", "n", "digest", "license"), "anchors")
-    run = F.slice("p", F.col("at") + 1, F.col("n"))
-    met = body.join(anchors, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")))
-    met = met.where((F.sha2(F.array_join(F.transform(run, lambda p: p["c"]), " "), 256) == F.col("digest")) & ((F.col("n") > 1) | F.exists(run, lambda p: p["several"])))
-    return met.select("doc_id", "h", (-1 - F.col("at") - F.col("n")).alias("unit"), "license")
+def _key(words: Column) -> Column:
+    return F.xxhash64(F.translate(F.array_join(words, " "), "\n", ""))
 
 
-def matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text", block: str = "\n") -> DataFrame:
-    """``doc_id, h, unit, license`` for each unit that is a known licence.
+def _telling(texts: list[str]) -> list[str]:
+    """Strings of which every one of the canonical ``texts`` has one when written: the most common words, while texts are left.
 
-    Unit -1 is a whole text of several blocks, others are blocks from 0 on; h is
-    the digest of the text.
+    A word counts by itself and by each spelling that it may stand for, and not
+    if one of these is too short to tell anything.
+    """
+    left = [set(text.split(" ")) for text in texts]
+    out: list[str] = []
+    while left:
+        counts = Counter(w for words in left for w in words)
+        ways = {w: [w, *(a for a, b in SPELLINGS.items() if w in b.split(" "))] for w in counts}
+        # "&" is written for "and" without any letter of it.
+        usable = [w for w in counts if w != "and" and min(map(len, ways[w])) >= 5] or [w for w in counts if w != "and"]
+        if not usable:
+            return [""]
+        best = max(usable, key=lambda w: (counts[w], w))
+        out += ways[best]
+        left = [words for words in left if best not in words]
+    return sorted(set(out))
+
+
+def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> Digests:
+    """Digests of the known texts, a list of constants; of one text under several names the least name holds."""
+    rows = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
+    table = spark.createDataFrame(rows, "license string, text string").select("license", canonical(F.col("text")).alias("c")).where("c <> ''")
+    words = F.split("c", " ")
+    n, size = F.size(words), F.least(F.size(words), F.lit(ENDS))
+    first, last = _key(F.slice(words, F.lit(1), size)), _key(F.slice(words, n - size + 1, size))
+    table = table.groupBy("c").agg(F.min("license").alias("license")).select("c", "license", F.sha2("c", 256).alias("digest"), n.alias("n"), size.alias("k"), first.alias("first"), last.alias("last"))
+    found = sorted(table.collect())
+    by_start: dict[int, list[tuple[int, int]]] = {}
+    for row in found:
+        if (row.n, row.last) not in by_start.setdefault(row.first, []):
+            by_start[row.first].append((row.n, row.last))
+    return Digests([(r.digest, r.license) for r in found], by_start, sorted({r.k for r in found}), _telling([r.c for r in found]))
+
+
+def matches(docs: DataFrame, known: Digests | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, h, start, stop, whole, license``: runs of whole lines that are a known text, none inside a longer one.
+
+    ``start`` and ``stop`` count canonical words; ``whole`` tells the entire
+    text; h is the digest of the text.  Lines may be wrapped at will.  A text
+    without any telling word is left at once; in others each line's first words
+    are looked up, and a run that begins and ends as a known text does is
+    digested and joined.
     """
+    spark = docs.sparkSession
+    known = known_digests(spark) if known is None else known
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("t")).where("t is not null")
-    body = body.withColumn("h", F.md5(F.col("t").cast("binary")))
-    blocks = F.split("t", block)
-    units = body.select("doc_id", "h", F.posexplode(blocks).alias("unit", "u"))
-    whole = body.where(F.size(blocks) > 1).select("doc_id", "h", F.lit(-1).alias("unit"), F.col("t").alias("u"))
-    small = broadcast_if_small(stored(known, "licenses"), 100_000)
-
-    def looked_up(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "h", "unit", F.sha2(canonical(F.col("u")), 256).alias("digest")).join(small, "digest")
-
-    return looked_up(units).unionByName(looked_up(whole)).select("doc_id", "h", "unit", "license")
-
-
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", block: str = "\n", runs: DataFrame | None = None) -> DataFrame:
+    low = F.lower("t")
+    body = body.where(reduce(or_, [F.contains(low, F.lit(w)) for w in known.telling], F.lit(False)))
+    lengths = F.create_map(*(x for key, ends in known.by_start.items() for x in (F.lit(key), F.array(*(F.struct(F.lit(n).alias("n"), F.lit(last).alias("last")) for n, last in ends))))) if known.by_start else None
+
+    def runs(w: Column) -> Column:
+        """``start, stop, digest`` of runs of the words ``w`` that begin and end as a known text."""
+        n = F.size(w)
+        lines = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.startswith(F.get(w, i), F.lit("\n")))
+
+        def begun(k: int) -> Column:
+            return F.filter(F.transform(lines, lambda i: F.struct(i.alias("i"), _key(F.slice(w, i + 1, F.lit(k))).alias("key"), F.lit(k).alias("k"))), lambda x: x["key"].isin(*known.by_start))
+
+        def ended(x: Column) -> Column:
+            def fits(e: Column) -> Column:
+                stop = x["i"] + e["n"]
+                at_line = (stop == n) | F.startswith(F.get(w, stop), F.lit("\n"))
+                return (stop <= n) & (F.least(e["n"], F.lit(ENDS)) == x["k"]) & at_line & (_key(F.slice(w, stop - x["k"] + 1, x["k"])) == e["last"])
+
+            said = lambda e: F.sha2(F.translate(F.array_join(F.slice(w, x["i"] + 1, e["n"]), " "), "\n", ""), 256)
+            return F.transform(F.filter(F.try_element_at(lengths, x["key"]), fits), lambda e: F.struct(x["i"].alias("start"), (x["i"] + e["n"]).alias("stop"), said(e).alias("digest"), (e["n"] == n).alias("whole")))
+
+        return F.flatten(F.transform(F.concat(*map(begun, known.starts)), ended))
+
+    if lengths is None:
+        return body.select("doc_id", F.lit("").alias("h"), F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(False).alias("whole"), F.lit("").alias("license")).limit(0)
+    # The words are the one element of an array, so that they are cut once and not again in each lambda.
+    found = F.get(F.transform(F.array(F.split(_marked(F.col("t")), " ")), runs), F.lit(0))
+    rows = body.select("doc_id", F.md5(F.col("t").cast("binary")).alias("h"), F.explode(found).alias("r")).select("doc_id", "h", "r.*")
+    # Constants: as many rows as there are known texts.
+    table = F.broadcast(spark.createDataFrame(known.rows, "digest string, license string"))
+    rows = rows.join(table, "digest").select("doc_id", "h", "start", "stop", "whole", "license").distinct()
+    # In order of starts, longer runs first, a run inside another ends no later than one before it does.
+    ahead = Window.partitionBy("doc_id", "h").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("reach", F.max("stop").over(ahead)).where("reach is null or reach < stop").drop("reach")
+
+
+def scan(docs: DataFrame, known: Digests | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, whole_license, n_notices, licenses``, a row for each row of ``docs``.
 
-    ``whole_license`` is set if the entire text is a known licence; ``n_notices``
-    counts the blocks that are; ``licenses`` are the distinct ones, comma-joined.
-    With ``runs``, from :func:`paragraph_matches`, runs of paragraphs count too.
+    ``whole_license`` is set if the entire text is a known licence or notice;
+    ``n_notices`` counts the runs of lines that are; ``licenses`` are the distinct
+    ones, comma-joined.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
-    found = matches(docs, known, id_col, text, block)
-    found = (found if runs is None else found.unionByName(runs)).distinct()
+    found = matches(docs, known, id_col, text)
     by_text = found.groupBy("doc_id", "h").agg(
-        F.max(F.when(F.col("unit") == -1, F.col("license"))).alias("several"),
-        F.max(F.when(F.col("unit") == 0, F.col("license"))).alias("single"),
-        F.sum((F.col("unit") != -1).cast("long")).alias("n"),
+        F.max(F.when(F.col("whole"), F.col("license"))).alias("whole"),
+        F.count(F.lit(1)).alias("n"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("all"),
     )
-    rows = docs.select(F.col(id_col).alias("i"), F.md5(F.col(text).cast("string").cast("binary")).alias("d"), (F.size(F.split(F.col(text).cast("string"), block)) == 1).alias("only"))
-    rows = rows.join(by_text, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("d") == F.col("h")), "left")
+    small = broadcast_if_small(stored(by_text, "licensed"), 100_000)
+    rows = docs.select(F.col(id_col).alias("i"), F.md5(F.col(text).cast("string").cast("binary")).alias("d"))
+    rows = rows.join(small, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("d") == F.col("h")), "left")
     return rows.select(
-        F.col("i").alias("doc_id"), F.when(F.col("only"), F.col("single")).otherwise(F.col("several")).alias("whole_license"),
+        F.col("i").alias("doc_id"), F.col("whole").alias("whole_license"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("all", F.lit("")).alias("licenses"),
     )

@@ -188,24 +188,31 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_canonical(text: str) -> str:
+def _sql_marked(text: str) -> str:
+    """The canonical form with a line break before each line's first word."""
+    bare = f"replace(regexp_replace(lower({text}), {_sql_text('(?m)' + licenses.COPYRIGHT_LINE)}, ' ', 'g'), '&', ' and ')"
+    bare = rf"regexp_replace(regexp_replace({bare}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' *\n[ \n]*', ' ' || chr(10), 'g')"
+    bare = rf"regexp_replace({bare}, '^[ \n]+|[ \n]+$', '', 'g')"
     listed = ", ".join(map(_sql_text, licenses.SPELLINGS))
     forms = "MAP {" + ", ".join(f"{_sql_text(a)}: {_sql_text(b)}" for a, b in licenses.SPELLINGS.items()) + "}"
-    bare = f"regexp_replace(replace(regexp_replace(lower({text}), {_sql_text(licenses.COPYRIGHT_LINE)}, ' ', 'g'), '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')".replace("\\\\", "\\")
-    return f"array_to_string(list_transform(string_split(trim({bare}), ' '), lambda w: CASE WHEN w IN ({listed}) THEN {forms}[w] ELSE w END), ' ')"
+    word = f"CASE WHEN replace(w, chr(10), '') IN ({listed}) THEN CASE WHEN starts_with(w, chr(10)) THEN chr(10) ELSE '' END || {forms}[replace(w, chr(10), '')] ELSE w END"
+    return f"array_to_string(list_transform(string_split(chr(10) || {bare}, ' '), lambda w: {word}), ' ')"
 
 
 def _op9_sql() -> str:
     known = ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, texts in licenses.KNOWN.items() for text in texts)
     return f"""
-WITH known AS (SELECT sha256({_sql_canonical('text')}) AS digest, min(license) AS license FROM (VALUES {known}) v(license, text) GROUP BY 1),
-b AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, unnest(range(0, len(parts))) AS unit, unnest(parts) AS u FROM b UNION ALL SELECT doc_id, -1, text FROM b WHERE len(parts) > 1),
-m AS (SELECT doc_id, unit, license FROM (SELECT doc_id, unit, sha256({_sql_canonical('u')}) AS digest FROM u) JOIN known USING (digest)),
-a AS (SELECT doc_id, max(license) FILTER (unit = -1) AS several, max(license) FILTER (unit = 0) AS single,
-  count(*) FILTER (unit >= 0) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY 1)
-SELECT d.doc_id, CASE WHEN len(string_split(d.text, chr(10))) = 1 THEN single ELSE several END AS whole_license,
-  CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN a USING (doc_id)
+WITH known AS (SELECT replace({_sql_marked('text')}, chr(10), '') AS c, min(license) AS license FROM (VALUES {known}) v(license, text) GROUP BY 1),
+kn AS (SELECT c, license, len(string_split(c, ' ')) AS n, string_split(c, ' ')[1] AS first FROM known WHERE c <> ''),
+b AS (SELECT doc_id, text, string_split({_sql_marked('text')}, ' ') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT doc_id, text, w, i FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM b) WHERE starts_with(w[i], chr(10))),
+m AS (SELECT doc_id, text, i, i + n AS stop, i = 1 AND n = len(w) AS whole, license FROM s JOIN kn ON replace(w[i], chr(10), '') = first
+  WHERE i + n - 1 <= len(w) AND (i + n - 1 = len(w) OR starts_with(w[i + n], chr(10))) AND replace(array_to_string(w[i:i + n - 1], ' '), chr(10), '') = c),
+r AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, text ORDER BY i, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
+a AS (SELECT doc_id, text, max(license) FILTER (whole) AS whole_license, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM r WHERE reach IS NULL OR reach < stop GROUP BY 1, 2)
+SELECT d.doc_id, whole_license, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(licenses, '') AS licenses
+FROM documents d LEFT JOIN a ON d.doc_id IS NOT DISTINCT FROM a.doc_id AND d.text = a.text
 """
 
 

@@ -453,7 +453,7 @@ def test_licenses(spark):
     ]
     got = sorted(map(tuple, licenses.scan(frame(spark, docs)).collect()), key=lambda r: (r[0] is None, r[0] or 0))
     assert got == [
-        (1, "MIT", 0, "MIT"), (2, None, 1, "MIT"), (3, "Apache-2.0", 1, "Apache-2.0"), (4, None, 0, ""), (5, None, 0, ""),
+        (1, "MIT", 1, "MIT"), (2, None, 1, "MIT"), (3, "Apache-2.0", 1, "Apache-2.0"), (4, None, 0, ""), (5, None, 0, ""),
         (6, None, 0, ""), (6, None, 0, ""), (7, None, 0, ""), (None, "MIT", 1, "MIT"),
     ]
     assert licenses.scan(frame(spark, [])).count() == 0
@@ -476,13 +476,28 @@ def test_usual_license_files(spark):
     assert [r.names for r in table.where("size(names) > 1").collect()] == []
     # Wrapped blocks inside other text.
     header = "/*\n * " + apache.replace("\n", "\n * ") + "\n *\n */\n\nint main;"
-    docs = frame(spark, [(1, header, "s"), (2, "About.\n\nMIT License\n\nCopyright (c) 2020 S\n\n" + mit + "\n\nEnd.", "s"), (3, mit, "s"), (4, "a\n\n" + mit[:-9], "s"), (None, "x\n\n" + isc, "s"), (6, None, "s")])
-    got = licenses.scan(docs, runs=licenses.paragraph_matches(docs)).collect()
+    rewrapped = "x\n" + "\n".join(re.findall(r"\S+(?: \S+){0,4}", " ".join(mit.split()))) + "\ny"
+    odd = "MIT License\nPermission is hereby granted " * 500
+    docs = [(1, header, "s"), (2, "About.\n\nMIT License\n\nCopyright (c) 2020 S\n\n" + mit + "\n\nEnd.", "s"), (3, mit, "s"), (4, "a\n\n" + mit[:-9], "s"), (None, "x\n\n" + isc, "s"), (6, None, "s")]
+    docs += [(7, rewrapped, "s"), (8, "\n".join([mit, "some words", isc, "Licensed under CC BY 4.0."]), "s"), (9, odd, "s"), (10, "word " * 200_000 + "\nLicensed under the MIT Licence.", "s"), (11, mit + " more", "s")]
+    got = licenses.scan(frame(spark, docs)).collect()
     assert sorted((r.doc_id or 0, r.whole_license, r.n_notices, r.licenses) for r in got) == [
-        (0, None, 1, "ISC"), (1, None, 1, "Apache-2.0"), (2, None, 1, "MIT"), (3, "MIT", 0, "MIT"), (4, None, 0, ""), (6, None, 0, ""),
+        (0, None, 1, "ISC"), (1, None, 1, "Apache-2.0"), (2, None, 1, "MIT"), (3, "MIT", 1, "MIT"), (4, None, 0, ""), (6, None, 0, ""),
+        (7, None, 1, "MIT"), (8, None, 3, "CC-BY-4.0,ISC,MIT"), (9, None, 0, ""), (10, None, 1, "MIT"), (11, None, 0, ""),
     ]
 
 
+def test_licenses_of_ones_own(spark):
+    docs = frame(spark, [(1, "Alpha & Beta!\nx", "s"), (2, "alpha and\nbeta", "s"), (3, "one two three four five six", "s"), (4, "alpha beta", "s"), (5, "!!", "s")])
+    known = licenses.known_digests(spark, {"A": ["alpha and beta"], "B": ["One two, three four five six", "!!"], "C": ["alpha and beta"]})
+    got = {r.doc_id: (r.whole_license, r.n_notices) for r in licenses.scan(docs, known).collect()}
+    assert got == {1: (None, 1), 2: ("A", 1), 3: ("B", 1), 4: (None, 0), 5: (None, 0)}
+    # Each known text has a telling word, in any spelling.
+    default = licenses.known_digests(spark)
+    assert all(any(w in text.lower() for w in default.telling) for texts in licenses.KNOWN.values() for text in texts)
+    assert licenses.scan(docs, licenses.known_digests(spark, {})).where("n_notices > 0").count() == 0
+
+
 def test_factorization_machine_learns_pairs():
     rng = np.random.default_rng(0)
     terms, y = [], []
