@@ -17,9 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
 from importlib.resources import files
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -262,15 +260,22 @@ def _telling(texts: list[str]) -> list[str]:
         usable = [w for w in counts if w != "and" and min(map(len, ways[w])) >= 5] or [w for w in counts if w != "and"]
         if not usable:
             return [""]
-        best = max(usable, key=lambda w: (counts[w], w))
+        best = max(usable, key=lambda w: (counts[w], len(w), w))
         out += ways[best]
         left = [words for words in left if best not in words]
     return sorted(set(out))
 
 
+_DEFAULT: list[Digests] = []
+
+
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> Digests:
     """Digests of the known texts, a list of constants; of one text under several names the least name holds."""
-    rows = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
+    if known is None:
+        if not _DEFAULT:  # the same in every session
+            _DEFAULT.append(known_digests(spark, KNOWN))
+        return _DEFAULT[0]
+    rows = [(name, text) for name, texts in known.items() for text in texts]
     table = spark.createDataFrame(rows, "license string, text string").select("license", canonical(F.col("text")).alias("c")).where("c <> ''")
     words = F.split("c", " ")
     n, size = F.size(words), F.least(F.size(words), F.lit(ENDS))
@@ -296,9 +301,12 @@ def matches(docs: DataFrame, known: Digests | None = None, id_col: str = "doc_id
     spark = docs.sparkSession
     known = known_digests(spark) if known is None else known
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("t")).where("t is not null")
-    low = F.lower("t")
-    body = body.where(reduce(or_, [F.contains(low, F.lit(w)) for w in known.telling], F.lit(False)))
-    lengths = F.create_map(*(x for key, ends in known.by_start.items() for x in (F.lit(key), F.array(*(F.struct(F.lit(n).alias("n"), F.lit(last).alias("last")) for n, last in ends))))) if known.by_start else None
+    body = body.where(F.lower("t").rlike("|".join(known.telling)) if known.telling else F.lit(False))
+    if not known.rows:
+        return body.select("doc_id", F.lit("").alias("h"), F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(False).alias("whole"), F.lit("").alias("license")).limit(0)
+    # Written out, as a thousand columns would take the driver seconds to make.
+    ends = {key: ", ".join(f"named_struct('n', {n}, 'last', {last}L)" for n, last in ends) for key, ends in known.by_start.items()}
+    lengths = F.expr("map(" + ", ".join(f"{key}L, array({text})" for key, text in ends.items()) + ")")
 
     def runs(w: Column) -> Column:
         """``start, stop, digest`` of runs of the words ``w`` that begin and end as a known text."""
@@ -319,8 +327,6 @@ def matches(docs: DataFrame, known: Digests | None = None, id_col: str = "doc_id
 
         return F.flatten(F.transform(F.concat(*map(begun, known.starts)), ended))
 
-    if lengths is None:
-        return body.select("doc_id", F.lit("").alias("h"), F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(False).alias("whole"), F.lit("").alias("license")).limit(0)
     # The words are the one element of an array, so that they are cut once and not again in each lambda.
     found = F.get(F.transform(F.array(F.split(_marked(F.col("t")), " ")), runs), F.lit(0))
     rows = body.select("doc_id", F.md5(F.col("t").cast("binary")).alias("h"), F.explode(found).alias("r")).select("doc_id", "h", "r.*")
