@@ -11,7 +11,7 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, y, t)`` of at most ``limit`` labelled documents outside the held-out fold.
+    """``(id, y, t, h)`` of at most ``limit`` labelled documents outside the held-out fold; h is the hash of the text.
 
     Ids are drawn in the order of their hash, so the sample is spread over the
     table and the same on each run.  Null ids and labels are left out; of
@@ -21,4 +21,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     named = named.where(id_remainder(F.col("id"), modulus) != held_out)
     drawn = named.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
-    return texts.join(F.broadcast(drawn), "id")
+    return texts.join(F.broadcast(drawn), "id").select("id", "y", "t", F.xxhash64("t").alias("h"))
+
+
+def one_each(rows: DataFrame, *columns: str) -> DataFrame:
+    """``id`` and ``columns`` of one row for each id, that with the least ``h``: the same on each run, whatever order rows arrive in."""
+    return rows.groupBy("id").agg(F.min(F.struct("h", *columns)).alias("r")).select("id", *(F.col(f"r.{c}").alias(c) for c in columns))

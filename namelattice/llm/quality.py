@@ -6,7 +6,9 @@ binary trees in arrays, so that a batch of documents walks all trees with numpy
 indexing alone.
 
 Null and empty texts have all statistics 0 and are scored like any other;
-repeated rows each get a row; without labels the score is the constant 1
+repeated rows each get a row; of several texts under one labelled id the one
+with the least hash is learned, so reruns agree; a text of any length is
+measured whole; without labels the score is the constant 1
 (nothing is rejected); other columns are ignored.
 """
 
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .labelled import labelled_sample
+from .labelled import labelled_sample, one_each
 from ..storage import ship
 from .words import byte_rows
 
@@ -136,9 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.array([statistics(raw) for raw in byte_rows(batch.column("t"))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), x], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("h"), batch.column("y"), x], names=["id", "h", "y", "x"])
 
-    rows = sample.mapInArrow(measured, "id string, y int, x array<double>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    rows = one_each(sample.mapInArrow(measured, "id string, h long, y int, x array<double>"), "y", "x").toArrow().sort_by("id")
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(STATISTICS))
     return fit(x, (np.array(rows.column("y").to_pylist(), dtype=float) > 0).astype(float))
 

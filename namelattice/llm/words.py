@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -31,3 +32,11 @@ def byte_rows(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         binary = chunk.cast(pa.large_binary() if pa.types.is_large_string(chunk.type) else pa.binary())
         for value in binary:
             yield value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def separated(texts: pa.Array) -> pa.Array:
+    """``texts`` as a string array, null as empty, lower-cased and with a space for each separating byte, in one pass over their bytes."""
+    strings = pc.fill_null(texts, "")
+    strings = strings if pa.types.is_string(strings.type) else strings.cast(pa.string())
+    _, offsets, data = strings.buffers()
+    return pa.StringArray.from_buffers(len(strings), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_TABLE)), offset=strings.offset)

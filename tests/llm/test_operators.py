@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from namelattice import storage
@@ -512,6 +513,94 @@ def test_factorization_machine_learns_pairs():
     assert (found == (y[5000:] > 0)).mean() > 0.9
 
 
+def test_factorization_scores_equal_a_plain_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}longer" for x in rng.integers(0, 50, rng.integers(0, 40))) for _ in range(60)] + ["", "!!", "w1"]
+    size = 1 << toxicity.BITS
+    row = np.where(rng.random(size) < 0.6, np.arange(size), -1).astype(np.int32)
+    model = toxicity.FactorizationMachine(row, 0.3, rng.normal(size=size).astype(np.float32) * 0.1, rng.normal(size=(size, 4)).astype(np.float32) * 0.3)
+    flat, ends = toxicity.terms(pa.array(texts))
+    got = model.scores(flat, ends)
+    for text, score in zip(texts, got):
+        ids = [i for i in set(toxicity.term_ids(text.encode()).tolist()) if row[i] >= 0]
+        z = model.bias + sum(float(model.weights[i]) for i in ids)
+        z += sum(float(model.factors[i].astype(float) @ model.factors[j].astype(float)) for k, i in enumerate(ids) for j in ids[:k]) / max(1, len(ids))
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_terms_of_many_texts_are_those_of_each(texts):
+    def plain(text):
+        found = set()
+        for word in set(plain_words(text)):
+            raw = word.encode()
+            for part in [raw, *(raw[:n] for n in (3, 4, 5, 6) if len(raw) > n)]:
+                if len(part) > toxicity.SHORT:
+                    h = xxhash.xxh3_64_intdigest(part)
+                else:
+                    h = 0xCBF29CE484222325
+                    for byte in part:
+                        h = (h ^ byte) * 0x100000001B3 % 2**64
+                if part != raw:
+                    h = (h + 0x9E3779B97F4A7C15 * len(part)) % 2**64
+                found.add(((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS))
+        return sorted(found)
+
+    cases = [*texts, "x" * 5000 + " y" * 3 + " ab abc abcd abcdefgh ABC", None, "É" * 30]
+    flat, ends = toxicity.terms(pa.array(cases, pa.string()).slice(1))
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == [plain(t) for t in cases[1:]]
+    assert [x.tolist() for x in (toxicity.term_ids(b""), toxicity.terms(pa.array([], pa.string()))[1])] == [[], []]
+
+
+def test_repeated_ids_are_learned_alike(spark):
+    docs, labels = labelled_docs(spark, 200)
+    again = frame(spark, [(i, f"plain{i % 100} the other text of this id !!", "s") for i in range(200)])
+    scores = []
+    for table in (docs.unionByName(again), again.unionByName(docs).repartition(5)):
+        fm, forest = toxicity.train(table, labels), quality.train(table, labels)
+        scores.append((fm.bias, fm.weights.tolist(), forest.value.tolist(), forest.split.tolist()))
+    assert scores[0] == scores[1]
+    lengths = {r.doc_id: r.score for r in toxicity.score_texts(frame(spark, [(1, "word " * 300_000 + "end", "s"), (2, None, "s")]), fm).collect()}
+    assert lengths.keys() == {1, 2} and all(0 <= x <= 1 for x in lengths.values())
+
+
+def test_quality_statistics_equal_plain_counts():
+    text = "The cat, the cat!!\nTHE cat | sat 42\n\nThe cat, the cat!!\n\tnaïve <b>"
+    raw = text.encode()
+    got = dict(zip(quality.STATISTICS, quality.statistics(raw)))
+    n, words = len(raw), raw.split()
+    share = lambda test: sum(map(test, raw)) / n
+    assert got["lower"] == share(lambda b: 97 <= b <= 122) and got["upper"] == share(lambda b: 65 <= b <= 90) and got["digit"] == 2 / n
+    assert got["space"] == share(lambda b: b in b" \t\n") and got["bang"] == 4 / n and got["bar"] == 1 / n and got["symbol"] == 2 / n
+    assert got["stop"] == 2 / n and got["beyond_ascii"] == 2 / n and got["newline"] == raw.count(b"\n") / n
+    assert got["log_bytes"] == np.log1p(n) and got["log_words"] == np.log1p(len(words)) and got["word_length"] == n / len(words)
+    assert got["distinct_words"] == len(set(words)) / len(words)
+    pairs = list(zip(words, words[1:]))
+    assert got["distinct_pairs"] == len(set(pairs)) / len(pairs) and got["adjacent_repeats"] == sum(a == b for a, b in pairs) / len(pairs)
+    assert got["distinct_lines"] == 3 / 4 and got["line_words"] == len(words) / 4
+    assert quality.statistics(b"") == [0.0] * len(quality.STATISTICS) and len(quality.statistics(b"x" * 10**6)) == len(quality.STATISTICS)
+
+
+def test_one_boosting_step_equals_brute_force():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (200, 3)).astype(float)
+    y = ((x[:, 1] > 5) ^ (rng.random(200) < 0.1)).astype(float)
+    forest = quality.fit(x, y, trees=1, depth=1, rate=0.15, least=1.0, ridge=2.0)
+    p = y.mean()
+    g, h = y - p, np.full(200, p * (1 - p))
+
+    def gain(j, cut):
+        left = x[:, j] <= cut
+        if h[left].sum() < 1 or h[~left].sum() < 1:
+            return -np.inf
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 2.0) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 2.0)
+
+    best = max(gain(j, cut) for j in range(3) for cut in range(12))
+    j, cut = forest.feature[0, 0], forest.split[0, 0]
+    assert gain(j, cut) == pytest.approx(best)
+    left = x[:, j] <= cut
+    assert forest.value[0].tolist() == pytest.approx([0.15 * g[m].sum() / (h[m].sum() + 2.0) for m in (left, ~left)])
+
+
 def labelled_docs(spark, n=600):
     rng = random.Random(6)
     rows, labels = [], []
