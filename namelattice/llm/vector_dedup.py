@@ -2,7 +2,10 @@
 
 Each pass gives every vector the bits of random hyperplanes, concatenated;
 vectors that share all bits are a bucket, and all of a bucket are compared with
-each other in double precision.  A pair at the threshold shares a bucket with a
+each other in double precision.  Within a task, vectors are ordered by pass and
+bits, so a bucket is the run of neighbours that share them: the window of
+comparison is the whole run and not a fixed number of neighbours, as a fixed
+window loses pairs where vectors crowd.  A pair at the threshold shares a bucket with a
 probability that depends on its angle and the bits alone, not on how the rest of
 the table lies, so the number of passes follows from the bits for a recall of
 ``RECALL`` in a crowd as elsewhere.  Crowds only cost: how many pairs each
@@ -16,6 +19,8 @@ Links are then counted inside components by blocks of vectors: a component,
 however large, is dealt out as pairs of blocks, no pair of vectors ever being a
 row.  Equal vectors are one node that counts as often as it occurs.
 
+Vectors travel in the precision they are stored in and are compared in double.
+
 Vectors that are null, empty, all zero, or hold a null or non-finite component
 link with nothing; vectors of different lengths never link; a null id is allowed
 and stays null; repeated rows are copies; an empty table gives an empty result;
@@ -35,7 +40,7 @@ from .bounded import broadcast_if_small
 from ..operators.components import connected_components
 from ..storage import ship, stored
 
-SIMILARITY, RECALL = 0.9, 0.99
+SIMILARITY, RECALL = 0.9, 0.999
 #: Most hyperplanes whose bits are concatenated, and passes that share a job (so much more than the table is shuffled at once).
 BITS, PASSES_A_JOB = 48, 8
 #: Vectors in a block when links are counted, and when a bucket is compared.
@@ -50,9 +55,15 @@ def passes_for(bits: int, similarity: float = SIMILARITY, recall: float = RECALL
     return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def _kind(vectors: DataFrame, vector: str) -> str:
+    """How components travel: floats as they are, all else as doubles."""
+    return "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """``id, vec`` as little-endian doubles; null where a vector can't link."""
-    narrow = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    """``id, vec`` as little-endian components; null where a vector can't link."""
+    kind = _kind(vectors, vector)
+    narrow = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,18 +72,18 @@ def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
                 values = cell.values
                 x = None
                 if values is not None and len(values) and not values.null_count:
-                    x = values.to_numpy(zero_copy_only=False).astype("<f8") + 0.0  # -0.0 becomes 0.0
+                    x = values.to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # -0.0 becomes 0.0
                     if not np.isfinite(x).all() or not x.any():
                         x = None
                 out.append(None if x is None else x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "vec"])
 
-    kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(pack, f"id {kind}, vec binary")
+    id_type = narrow.schema["id"].dataType.simpleString()
+    return narrow.mapInArrow(pack, f"id {id_type}, vec binary")
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=kind).astype(np.float64).reshape(len(raw), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of large components overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -83,7 +94,7 @@ def _by_length(raw: list[bytes]) -> Iterator[np.ndarray]:
         yield np.flatnonzero(sizes == size)
 
 
-def _projected(nodes: DataFrame, first: int, count: int, bits: int, seed: int) -> DataFrame:
+def _projected(nodes: DataFrame, first: int, count: int, bits: int, seed: int, kind: str) -> DataFrame:
     """``pass, dim, key, node, vec``: a row for each node and pass."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +105,7 @@ def _projected(nodes: DataFrame, first: int, count: int, bits: int, seed: int) -
                 rows = batch.slice(at, 1024)
                 raw = rows.column("vec").to_pylist()
                 for pick in _by_length(raw):
-                    unit = _unit([raw[i] for i in pick])
+                    unit = _unit([raw[i] for i in pick], kind)
                     dim = unit.shape[1]
                     if dim not in planes:
                         planes[dim] = np.concatenate([np.random.default_rng([seed, p, dim]).normal(size=(dim, bits)) for p in range(first, first + count)], axis=1)
@@ -110,7 +121,7 @@ def _projected(nodes: DataFrame, first: int, count: int, bits: int, seed: int) -
     return nodes.select("node", "vec").mapInArrow(project, "pass int, dim int, key long, node binary, vec binary")
 
 
-def bits_for(nodes: DataFrame, rows: int, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> int:
+def bits_for(nodes: DataFrame, rows: int, kind: str, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> int:
     """The number of bits that costs least, by the pairs that each number leaves in buckets.
 
     The keys counted are of at most some ``MEASURED`` nodes, drawn by their
@@ -118,7 +129,7 @@ def bits_for(nodes: DataFrame, rows: int, similarity: float = SIMILARITY, recall
     """
     share = min(1.0, MEASURED / max(rows, 1))
     drawn = nodes if share == 1 else nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    keys = _projected(drawn, 0, 1, BITS, seed).select("dim", "key").toArrow()
+    keys = _projected(drawn, 0, 1, BITS, seed, kind).select("dim", "key").toArrow()
     dim, key = keys.column("dim").to_numpy().astype(np.int64), keys.column("key").to_numpy()
     best = (math.inf, 0)
     for bits in range(BITS + 1):
@@ -156,7 +167,7 @@ def _close(unit: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: fl
     return close
 
 
-def _compared(dealt: DataFrame, passes: int, rows: int, similarity: float) -> DataFrame:
+def _compared(dealt: DataFrame, passes: int, rows: int, kind: str, similarity: float) -> DataFrame:
     """``a, b``: stars over the linked rows of each bucket of ``dealt(pass, dim, key, node, vec)``, all of a bucket being compared."""
     bucket = ["pass", "dim", "key"]
     large = broadcast_if_small(stored(dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET), "large"), 200_000)
@@ -183,7 +194,7 @@ def _compared(dealt: DataFrame, passes: int, rows: int, similarity: float) -> Da
         a, b = [], []
         for at in np.split(order, cuts):
             if len(at) > 1:
-                unit, everyone = _unit(vecs.take(pa.array(at)).to_pylist()), np.arange(len(at))
+                unit, everyone = _unit(vecs.take(pa.array(at)).to_pylist(), kind), np.arange(len(at))
                 apart = task["i"] != task["j"]
                 left = np.flatnonzero(own[at] == task["i"]) if apart else everyone
                 right = np.flatnonzero(own[at] == task["j"]) if apart else everyone
@@ -195,16 +206,16 @@ def _compared(dealt: DataFrame, passes: int, rows: int, similarity: float) -> Da
     return tasks.groupBy("task").applyInArrow(compare, "a binary, b binary")
 
 
-def found_links(nodes: DataFrame, rows: int, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> DataFrame:
+def found_links(nodes: DataFrame, rows: int, kind: str, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """``a, b``: pairs that hold the components found by all passes together."""
-    bits = bits_for(nodes, rows, similarity, recall, seed)
+    bits = bits_for(nodes, rows, kind, similarity, recall, seed)
     total = passes_for(bits, similarity, recall)
     links = None
     for first in range(0, total, PASSES_A_JOB):
         count = min(PASSES_A_JOB, total - first)
         # Other hyperplanes than those the bits were chosen by.
-        dealt = stored(_projected(nodes, first, count, bits, seed + 1), "projected")
-        part = stored(_compared(dealt, count, rows, similarity), "links")
+        dealt = stored(_projected(nodes, first, count, bits, seed + 1, kind), "projected")
+        part = stored(_compared(dealt, count, rows, kind, similarity), "links")
         links = part if links is None else links.unionByName(part)
     return links.distinct()
 
@@ -212,18 +223,19 @@ def found_links(nodes: DataFrame, rows: int, similarity: float = SIMILARITY, rec
 _COUNTED = "node binary, links long"
 
 
-def _counted_links(members: DataFrame, similarity: float) -> DataFrame:
+def _counted_links(members: DataFrame, rows: int, kind: str, similarity: float) -> DataFrame:
     """``node, links``: other vectors of the component within the threshold, from ``members(node, comp, vec, copies)``."""
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     known = members.join(stored(sizes, "sizes"), "comp")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = known.withColumn("blocks", blocks).withColumn("own", own)
-    # Small components share a task's call; a large one is dealt as pairs of its blocks.
-    small = F.struct(F.lit(b"").alias("comp"), F.pmod(F.xxhash64("comp"), F.lit(256)).cast("int").alias("i"), F.lit(-1).alias("j"))
+    known = known.withColumn("blocks", blocks).withColumn("own", own)
+    # Small components share a task's call, about BUCKET vectors of them; a large one is dealt as pairs of its blocks.
+    calls = max(1, math.ceil(rows / BUCKET))
+    small = F.struct(F.lit(b"").alias("comp"), F.pmod(F.xxhash64("comp"), F.lit(calls)).cast("int").alias("i"), F.lit(-1).alias("j"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("comp"), F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j"))))
     columns = ["task", "comp", "own", "node", "vec", "copies"]
-    dealt = rows.where("blocks = 1").withColumn("task", small).select(*columns).unionByName(rows.where("blocks > 1").withColumn("task", pair).select(*columns))
+    dealt = known.where("blocks = 1").withColumn("task", small).select(*columns).unionByName(known.where("blocks > 1").withColumn("task", pair).select(*columns))
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -237,7 +249,7 @@ def _counted_links(members: DataFrame, similarity: float) -> DataFrame:
             where = np.array(places)
             for pick in _by_length([raw[i] for i in where]):
                 at = where[pick]
-                unit = _unit([raw[i] for i in at])
+                unit = _unit([raw[i] for i in at], kind)
                 if task["j"] == -1 or task["i"] == task["j"]:
                     links[at] = (unit @ unit.T >= similarity) @ copies[at]
                     links[at] -= np.where(np.einsum("ij,ij->i", unit, unit) >= similarity, copies[at], 0)
@@ -253,13 +265,14 @@ def _counted_links(members: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each row of ``vectors``."""
     ship(vectors.sparkSession)
+    kind = _kind(vectors, vector)
     usable = stored(_usable(vectors, id_col, vector).withColumn("node", F.unhex(F.md5("vec"))), "vectors")
     linkable = usable.where("vec is not null")
     nodes = stored(linkable.groupBy("node").agg(F.first("vec").alias("vec"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
-    links = found_links(nodes, nodes.count(), similarity, recall)
+    links = found_links(nodes, nodes.count(), kind, similarity, recall)
     found = stored(connected_components(links), "components")
     members = stored(nodes.join(found, "node").select("node", F.col("component").alias("comp"), "vec", "copies", "least"), "members")
-    counted = stored(_counted_links(members.drop("least"), similarity), "counted")
+    counted = stored(_counted_links(members.drop("least"), members.count(), kind, similarity), "counted")
     firsts = members.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = members.select("node", "comp").join(firsts, "comp").join(counted, "node").select("node", "component_id", "links")
     known = nodes.select("node", "least", "copies").join(named, "node", "left").select(

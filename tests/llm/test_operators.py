@@ -318,6 +318,40 @@ def test_links_in_a_crowd_of_vectors(spark, monkeypatch):
         assert all(n <= linked[i] for i, n in got.items())
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.75])
+def test_recall_of_vectors_with_a_common_direction(spark, monkeypatch, common):
+    rng = np.random.default_rng(int(common * 100))
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    # 200 pairs at cosine 0.905, each far from all others; ``common`` is the mean cosine of the table.
+    center = unit(rng.normal(size=128))
+    x = unit(rng.normal(size=(4100, 128)))
+    x = common**0.5 * center + (1 - common) ** 0.5 * unit(x - np.outer(x @ center, center))
+    turn = unit(rng.normal(size=(200, 128)))
+    turn = unit(turn - (turn * x[:200]).sum(axis=1, keepdims=True) * x[:200])
+    x[-200:] = 0.905 * x[:200] + (1 - 0.905**2) ** 0.5 * turn
+    x = x.astype(np.float32)
+    exact = unit(x.astype(float)) @ unit(x.astype(float)).T
+    np.fill_diagonal(exact, 0)
+    linked = {i: int(n) for i, n in enumerate((exact >= 0.9).sum(axis=1)) if n}
+    assert len(linked) >= 400
+    monkeypatch.setattr(vector_dedup, "PAIRS_A_ROW", 100)
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x))}))
+    assert vector_dedup._kind(table, "embedding") == "<f4"
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(table).where("n_links > 0").collect()}
+    assert got.keys() <= linked.keys() and len(got) >= 0.99 * len(linked)
+    assert all(got[i] == linked[i] for i in got)
+
+
+def test_vectors_with_null_ids_and_repeated_rows(spark):
+    rows = [(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [0.0, -1.0]), (5, None), (None, None), (9, [2.0, 0.1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, vector_dedup.near_duplicates(table).collect()), key=repr)
+    assert got == sorted([(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, 0, None, True), (5, 0, 5, True), (None, 0, None, True), (9, 3, 3, False)], key=repr)
+
+
 def plain_mix(docs, kept_keys):
     sizes, sources = {}, {}
     for i, t, s in docs:
