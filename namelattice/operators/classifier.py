@@ -6,11 +6,12 @@ model is read with Spark's own loader, which runs no foreign code.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import UNINTELLIGIBLE, UNKNOWN
 from .catalog import class_codes
@@ -37,6 +38,17 @@ class DeviceModel:
     model: OneVsRestModel
     labels: list[str]
 
+    def save(self, path: str) -> None:
+        """Under ``path``: the model in Spark's own format, and its labels as a text file."""
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(self.labels),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/labels")
+
+    @classmethod
+    def load(cls, path: str) -> "DeviceModel":
+        labels = json.loads(SparkSession.active().read.text(f"{path}/labels").first().value)
+        return cls(OneVsRestModel.load(f"{path}/model"), labels)
+
 
 def train(vectors: DataFrame, classes: DataFrame, mean: list[float] | None = None, std: list[float] | None = None, iterations: int = 50) -> DeviceModel:
     """A model from vectors and ``classes(concept_id, class_label)``; labels that are no equipment count as UNKNOWN."""

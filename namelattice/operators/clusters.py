@@ -28,7 +28,27 @@ def concept_id(members: Column) -> Column:
     return F.sha2(F.concat_ws("␟", F.array_sort(members)), 256)
 
 
-def seeds(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: Pairs of undecided sets that the driver settles itself, so that a long chain costs no round a link.
+FEW_ARROWS = 100_000
+
+
+def _rest(waiting: DataFrame, arrows: DataFrame) -> DataFrame:
+    """The seeds among the last undecided sets, one after the other: at most FEW_ARROWS pairs, and only the sets in them."""
+    before: dict[str, list[str]] = {}
+    order: dict[str, tuple] = {}
+    for row in arrows.collect():
+        before.setdefault(row.then, []).append(row["first"])
+        order |= {row["first"]: row.first_ord, row.then: row.then_ord}
+    chosen: set[str] = set()
+    for name in sorted(order, key=order.get):
+        if not chosen.intersection(before.get(name, ())):
+            chosen.add(name)
+    linked = arrows.select(F.col("first").alias("set_id")).unionByName(arrows.select(F.col("then").alias("set_id")))
+    found = waiting.sparkSession.createDataFrame([(name,) for name in sorted(chosen)], "set_id string")
+    return waiting.select("set_id").join(linked, "set_id", "left_anti").unionByName(found)
+
+
+def seeds(sets: DataFrame, pairs: DataFrame, few: int = FEW_ARROWS) -> DataFrame:
     """``set_id``: the first sets in order none of which is alike another (greedy in order, in rounds).
 
     A set is decided once all alike sets before it are: it is covered if one
@@ -37,19 +57,22 @@ def seeds(sets: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFram
     order = sets.select("set_id", "ord")
     both = pairs.join(order.withColumnsRenamed({"set_id": "a", "ord": "oa"}), "a").join(order.withColumnsRenamed({"set_id": "b", "ord": "ob"}), "b")
     before = F.col("oa") < F.col("ob")
-    arrows = stored(both.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("then")), "arrows")
+    a, b = (F.struct(F.col(x).alias("id"), F.col(f"o{x}").alias("ord")) for x in "ab")
+    arrows = both.select(F.when(before, a).otherwise(b).alias("f"), F.when(before, b).otherwise(a).alias("t"))
+    arrows = arrows.select(F.col("f.id").alias("first"), F.col("f.ord").alias("first_ord"), F.col("t.id").alias("then"), F.col("t.ord").alias("then_ord"))
+    arrows = stored(arrows, "arrows")
     chosen, waiting = None, sets.select("set_id")
-    for _ in range(max_rounds):
+    while True:
+        if arrows.limit(few + 1).count() <= few:
+            last = _rest(waiting, arrows)
+            return last if chosen is None else chosen.unionByName(last)
         ready = stored(waiting.join(arrows.select(F.col("then").alias("set_id")), "set_id", "left_anti"), "seeds")
         chosen = ready if chosen is None else chosen.unionByName(ready)
         covered = arrows.join(ready.select(F.col("set_id").alias("first")), "first").select(F.col("then").alias("set_id")).distinct()
         waiting = stored(waiting.join(ready, "set_id", "left_anti").join(covered, "set_id", "left_anti"), "waiting")
-        if waiting.isEmpty():
-            return chosen
         # Covered sets stop no other.
         still = waiting.select("set_id")
         arrows = stored(arrows.join(still.withColumnRenamed("set_id", "first"), "first", "left_semi").join(still.withColumnRenamed("set_id", "then"), "then", "left_semi"), "arrows")
-    raise RuntimeError(f"seeds did not settle in {max_rounds} rounds")
 
 
 def find_concepts(tree: DataFrame, members: DataFrame, ratio: float = 0.9) -> Concepts:
@@ -73,36 +96,28 @@ def find_concepts(tree: DataFrame, members: DataFrame, ratio: float = 0.9) -> Co
     return Concepts(concepts.drop("comp"), stored(of.select("concept_id", "node_id"), "membership"))
 
 
-def _leaders(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
-    """The leader of each set of one concept: the first unvisited set takes all unvisited sets alike it."""
-    rows = rows.sort_values(["first_point", "depth"], kind="stable")
-    sets = [frozenset(m) for m in rows["members"]]
-    leader: list[int | None] = [None] * len(sets)
-    for i, a in enumerate(sets):
-        if leader[i] is not None:
-            continue
-        leader[i] = i
-        for j in range(i + 1, len(sets)):
-            b = sets[j]
-            most, least = max(len(a), len(b)), min(len(a), len(b))
-            if leader[j] is None and (most == least or most - least < least * (1.0 - ratio)) and len(a & b) / most >= ratio:
-                leader[j] = i
-    lead = rows["set_id"].to_numpy()[[x for x in leader]]
-    return pd.DataFrame({"concept_id": rows["concept_id"], "set_id": rows["set_id"], "leader": lead})
-
-
 def refine(tree: DataFrame, members: DataFrame, found: Concepts, ratio: float = 0.9) -> Concepts:
     """Within each concept, nodes move to a concept of their leader's set unless that concept exists already.
 
-    Leaders that take no other node form nothing; concepts left without nodes stay.
-    The groups hold the distinct sets of a concept, not its nodes.
+    The first set in order that no leader took leads all sets alike it that no
+    leader took: leaders are the seeds among sets of one concept, and a set
+    follows the first seed alike it.  Leaders that take no other node form
+    nothing; concepts left without nodes stay.
     """
     sets = stored(member_sets(tree, members), "sets")
     of = stored(node_sets(members).join(found.membership, "node_id"), "of")
     held = of.groupBy("concept_id", "set_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = held.join(sets, "set_id").select("concept_id", "set_id", "members", F.col("ord.first_point").alias("first_point"), F.col("ord.depth").alias("depth"))
-    led = rows.groupBy("concept_id").applyInPandas(lambda g: _leaders(g, ratio), "concept_id string, set_id string, leader string")
-    led = stored(led.join(held, ["concept_id", "set_id"]), "led")
+    # A set belongs to one concept, so pairs of sets tell pairs within concepts.
+    where = held.select("set_id", "concept_id")
+    pairs = similar_sets(sets.join(where, "set_id", "left_semi"), ratio).select("a", "b")
+    pairs = pairs.join(where.withColumnsRenamed({"set_id": "a", "concept_id": "ca"}), "a").join(where.withColumnsRenamed({"set_id": "b", "concept_id": "cb"}), "b").where("ca = cb").select("a", "b")
+    pairs = stored(pairs, "pairs")
+    ordered = stored(sets.join(where, "set_id").select("set_id", "ord"), "ordered")
+    lead = stored(seeds(ordered, pairs), "leaders")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    follows = both.join(lead.withColumnRenamed("set_id", "a"), "a").join(ordered.withColumnRenamed("set_id", "a"), "a").groupBy(F.col("b").alias("set_id")).agg(F.min_by("a", "ord").alias("leader"))
+    follows = follows.join(lead, "set_id", "left_anti").unionByName(lead.select("set_id", F.col("set_id").alias("leader")))
+    led = stored(held.join(follows, "set_id"), "led")
     groups = led.groupBy("concept_id", "leader").agg(F.sum("n").alias("nodes")).where("nodes > 1").select("concept_id", "leader")
     new = groups.join(found.concepts.select(F.col("concept_id").alias("leader")), "leader", "left_anti")
     moves = stored(led.join(new, ["concept_id", "leader"]).select("concept_id", "set_id", F.col("leader").alias("moved")), "moves")
@@ -152,6 +167,14 @@ def first_instances(tree: DataFrame, membership: DataFrame) -> DataFrame:
     return rows.groupBy("concept_id").agg(F.min(F.struct("first_point", "depth", "node_id")).alias("f")).select("concept_id", F.col("f.node_id").alias("node_id"))
 
 
-def rebased(membership: DataFrame, bases: DataFrame) -> DataFrame:
-    """``membership`` with the nodes of concepts in ``bases(concept_id, base_id)`` under their base."""
-    return membership.join(bases, "concept_id", "left").select(F.coalesce("base_id", "concept_id").alias("concept_id"), "node_id").distinct()
+def with_base_classes(found: Concepts, classes: DataFrame, moves: DataFrame) -> Concepts:
+    """``found`` with further ``classes(concept_id, members, ord)`` and the nodes of ``moves(node_id, concept_id)`` under them.
+
+    A concept that thereby loses all its nodes goes; concepts that had none stay.
+    """
+    moved = found.membership.join(moves.withColumnRenamed("concept_id", "moved"), "node_id", "left")
+    kept = stored(moved.select(F.coalesce("moved", "concept_id").alias("concept_id"), "node_id").unionByName(moves.select("concept_id", "node_id")).distinct(), "membership")
+    had, has = (m.select("concept_id").distinct() for m in (found.membership, kept))
+    left = found.concepts.join(had.join(has, "concept_id", "left_anti"), "concept_id", "left_anti")
+    added = classes.select("concept_id", "members", "ord").dropDuplicates(["concept_id"]).join(left, "concept_id", "left_anti")
+    return Concepts(stored(left.unionByName(added), "concepts"), kept)

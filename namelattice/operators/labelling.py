@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..config import COMPOSITE, CONTAINER, SKIPPED_CLASS, UNINTELLIGIBLE, UNKNOWN, Config
+from ..config import COLLECTION, COMPOSITE, CONTAINER, SKIPPED_CLASS, UNINTELLIGIBLE, UNKNOWN, Config
 from ..storage import ship, stored
 from .catalog import Model, catalog, point_model
 from .components import connected_components
@@ -121,7 +121,8 @@ def relabelled(concept_points: DataFrame, labels: DataFrame) -> DataFrame:
 def candidates(leaves: DataFrame, closure: DataFrame, membership: DataFrame, classes: DataFrame, concept_points: DataFrame, limit: float = 0.0, drop_unknown: bool = False) -> DataFrame:
     """``point_name, cands``: for each leaf its clustered ancestors from the nearest on, one a class, as structs (ord, class, node, label, score).
 
-    A path that its concept doesn't know is UNKNOWN with score 0.
+    A path that its concept doesn't know is UNKNOWN with score 0.  A candidate
+    whose class is COLLECTION has neither label nor score.
     """
     rows = leaves.select("leaf_id", "point_name").join(closure.withColumnRenamed("node_id", "leaf_id"), "leaf_id")
     rows = rows.join(membership.withColumnRenamed("node_id", "ancestor"), "ancestor").join(classes, "concept_id")
@@ -129,13 +130,15 @@ def candidates(leaves: DataFrame, closure: DataFrame, membership: DataFrame, cla
     rows = rows.join(known, ["concept_id", "rel_path"], "left").withColumns({"label": F.coalesce("label", F.lit(UNKNOWN)), "score": F.coalesce("score", F.lit(0.0))})
     rows = rows.where((F.col("score") >= limit) & (F.col("class_label") != SKIPPED_CLASS))
     rows = rows.where(F.col("label") != UNKNOWN) if drop_unknown else rows
+    named = F.col("class_label") != COLLECTION
+    rows = rows.withColumns({"label": F.when(named, F.col("label")), "score": F.when(named, F.col("score"))})
     nearest = rows.groupBy("point_name", "class_label").agg(F.min(F.struct("distance", F.col("ancestor").alias("node"), "label", "score")).alias("n"))
     one = F.struct(F.col("n.distance").alias("ord"), F.col("class_label").alias("class"), F.col("n.node").alias("node"), F.col("n.label").alias("label"), F.col("n.score").alias("score"))
     return nearest.groupBy("point_name").agg(F.array_sort(F.collect_list(one)).alias("cands"))
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """``original_point, equipment, node, distance, representation``: the candidate with the highest score, the nearest of equals."""
+    """``original_point, equipment, node, distance, representation``: the candidate with the highest score, the nearest of equals; one without a score only if there is no other."""
     best = F.array_max(F.transform("cands", lambda c: F.struct(c["score"].alias("score"), (-c["ord"]).alias("near"), c["class"].alias("class"), c["node"].alias("node"), c["label"].alias("label"))))
     rows = found.where(F.size("cands") > 0).select("point_name", best.alias("b"))
     return rows.select(

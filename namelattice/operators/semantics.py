@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import blank_digits
 from ..storage import stored
@@ -27,7 +27,7 @@ def common_members(a: Column, b: Column, ratio: float) -> Column:
 
 
 def meeting(concepts: DataFrame) -> DataFrame:
-    """``a, b, members_a, members_b``: ordered pairs of different concepts that share a member."""
+    """``a, b, members_a, members_b``: ordered pairs of different concepts that share a member; as many rows as there are such pairs."""
     rows = concepts.select("concept_id", F.explode("members").alias("m"))
     left, right = (rows.select(F.col("concept_id").alias(x), "m") for x in "ab")
     pairs = left.join(right, "m").where("a <> b").select("a", "b").distinct()
@@ -35,16 +35,46 @@ def meeting(concepts: DataFrame) -> DataFrame:
     return pairs.join(names.withColumnsRenamed({"concept_id": "a", "members": "members_a"}), "a").join(names.withColumnsRenamed({"concept_id": "b", "members": "members_b"}), "b")
 
 
+def _relatable(concepts: DataFrame, common: float) -> DataFrame:
+    """``a, b, members_a, members_b``: ordered pairs of which one can hold the other, or that can share ``common`` of both.
+
+    A set inside another has its rarest member in it; two sets that share enough
+    share one of their rarest members.  So frequent members make no pairs.
+    """
+    rows = concepts.select("concept_id", F.size("members").alias("size"), F.explode("members").alias("m"))
+    ranked = rows.join(rows.groupBy("m").agg(F.count(F.lit(1)).alias("df")), "m").withColumn("rank", F.row_number().over(Window.partitionBy("concept_id").orderBy("df", "m")))
+    rarest = ranked.where("rank = 1").select(F.col("concept_id").alias("a"), "m")
+    inside = rarest.join(rows.select(F.col("concept_id").alias("b"), "m"), "m").select("a", "b")
+    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(common) - F.lit(1e-9)) + 1)
+    near = prefix.select(F.col("concept_id").alias("a"), "m").join(prefix.select(F.col("concept_id").alias("b"), "m"), "m").select("a", "b")
+    pairs = inside.unionByName(inside.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(near).where("a <> b").distinct()
+    names = concepts.select("concept_id", "members")
+    return pairs.join(names.withColumnsRenamed({"concept_id": "a", "members": "members_a"}), "a").join(names.withColumnsRenamed({"concept_id": "b", "members": "members_b"}), "b")
+
+
+def siblings(edges: DataFrame) -> DataFrame:
+    """``a, b``: ordered pairs of concepts that derive from one base."""
+    derived = edges.where("edge_type = 'derivation'").select("src", "dst").distinct()
+    return derived.select("src", F.col("dst").alias("a")).join(derived.select("src", F.col("dst").alias("b")), "src").where("a <> b").select("a", "b").distinct()
+
+
+def relatives(edges: DataFrame) -> DataFrame:
+    """``a, b``: ordered pairs of concepts that derive from each other."""
+    derived = edges.where("edge_type = 'derivation'").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    return derived.join(derived.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+
+
 def derivations(concepts: DataFrame, adjacent: DataFrame, general: float = 0.5, common: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """``edges`` (src, dst, edge_type) and ``bases`` (concept_id, members) by set relations of concepts not yet related.
 
     A concept that generalizes another, or that another derives from, is its
     source; two concepts with enough in common get a new base that both derive
-    from.  ``adjacent`` (src, dst) are concepts related already.
+    from.  ``adjacent`` (src, dst, edge_type) are edges there already: concepts
+    that one connects, and those that derive from one base, are left out.
     """
     known = adjacent.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    pairs = meeting(concepts).join(known, ["a", "b"], "left_anti")
+    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(siblings(adjacent)).distinct()
+    pairs = _relatable(concepts, common).join(known, ["a", "b"], "left_anti")
     a, b = F.col("members_a"), F.col("members_b")
     direct = pairs.where(generalizes(a, b, general) | is_derived(b, a)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     shared = pairs.where(~(generalizes(a, b, general) | is_derived(b, a) | generalizes(b, a, general) | is_derived(a, b)) & (F.col("a") < F.col("b")))
@@ -55,13 +85,79 @@ def derivations(concepts: DataFrame, adjacent: DataFrame, general: float = 0.5,
     return edges, bases
 
 
-def simple_derived(tree: DataFrame, members: DataFrame, membership: DataFrame) -> DataFrame:
-    """``concept_id, token``: concepts whose nodes all have one child that isn't a number, with the own tokens (two or more, no numbers) that derive from them."""
-    rows = membership.join(tree.select("node_id", "token"), "node_id").join(members, "node_id")
-    child = F.element_at("members", 1)
-    fits = (F.col("size") == 1) & ~child.rlike("^[0-9]+$")
-    whole = rows.groupBy("concept_id").agg(F.min(fits).alias("all_fit"), F.collect_set(F.when(~F.col("token").rlike("^[0-9]+$"), F.col("token"))).alias("tokens"))
-    return whole.where(F.col("all_fit") & (F.size("tokens") >= 2)).select("concept_id", F.explode("tokens").alias("token"))
+def with_derivations(edges: DataFrame, derived: DataFrame, bases: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """``edges`` (src, dst, edge_type) with derivations ``derived(src, dst)`` put in, base first.
+
+    An association that a concept shares with its base goes from the concept.
+    With ``bases(concept_id, members)`` and ``names(concept_id, name)``, an
+    association with a concept whose name is among the base's members moves
+    from the concept to the base.
+    """
+    new = derived.select("src", "dst").distinct().withColumn("edge_type", F.lit("derivation"))
+    links = edges.where("edge_type = 'association'").select("src", "dst")
+    under = new.select(F.col("src").alias("base"), F.col("dst").alias("src"))
+    of_base = edges.select("src", "dst").unionByName(new.select("src", "dst")).distinct().select(F.col("src").alias("base"), "dst")
+    gone = links.join(under, "src").join(of_base, ["base", "dst"], "left_semi").select("src", "dst")
+    moved = None
+    if bases is not None and names is not None:
+        members = bases.select(F.col("concept_id").alias("base"), "members")
+        named = names.select(F.col("concept_id").alias("dst"), "name")
+        moved = links.join(under, "src").join(members, "base").join(named, "dst").where("array_contains(members, name)")
+        gone = gone.unionByName(moved.select("src", "dst"))
+    gone = gone.distinct().withColumn("edge_type", F.lit("association"))
+    out = edges.select("src", "dst", "edge_type").join(gone, ["src", "dst", "edge_type"], "left_anti").unionByName(new)
+    if moved is not None:
+        out = out.unionByName(moved.select(F.col("base").alias("src"), "dst", F.lit("association").alias("edge_type")))
+    return out.distinct()
+
+
+def base_with_member(concepts: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``concept_id, token, base_id`` for ``starts(concept_id, token)``: the last concept on the walk over first successors that all have the token.
+
+    The first successor is the one with the least id; a walk ends where it would
+    come back.  Starts without the token are left out.
+    """
+    own = concepts.select("concept_id", "members")
+    first = edges.groupBy("src").agg(F.min("dst").alias("next")).join(own.withColumnsRenamed({"concept_id": "next", "members": "next_members"}), "next")
+    state = starts.select("concept_id", "token").distinct().join(own, "concept_id").where("array_contains(members, token)")
+    state = stored(state.select("concept_id", "token", F.col("concept_id").alias("at"), F.array("concept_id").alias("seen")), "walks")
+    done = None
+    while True:
+        ahead = state.join(first, F.col("at") == F.col("src"), "left")
+        goes = F.coalesce(F.expr("array_contains(next_members, token) and not array_contains(seen, next)"), F.lit(False))
+        ahead = stored(ahead.select("concept_id", "token", "at", "seen", "next", goes.alias("goes")), "walks")
+        ended = ahead.where("not goes").select("concept_id", "token", F.col("at").alias("base_id"))
+        done = ended if done is None else done.unionByName(ended)
+        state = ahead.where("goes").select("concept_id", "token", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"))
+        if state.isEmpty():
+            return done
+
+
+def simple_bases(tree: DataFrame, members: DataFrame, membership: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(classes, edges, moves)`` of concepts of two nodes or more that all have just one child.
+
+    Where nodes with a child that isn't a number have two different own tokens
+    or more, none a number, the child of the last such node is the one member of
+    a base, and each own token with its node's child makes a class derived from
+    it.  ``classes`` (concept_id, members, ord), ``edges`` (src, dst, edge_type)
+    and ``moves`` (node_id, concept_id), the derived class of each node.
+    """
+    ord_ = F.struct("first_point", "depth")
+    rows = membership.join(tree.select("node_id", "token", ord_.alias("ord")), "node_id").join(members, "node_id").withColumn("child", F.element_at("members", 1))
+    rows = rows.withColumns({"candidate": ~F.col("child").rlike("^[0-9]+$"), "named": ~F.col("token").rlike("^[0-9]+$")})
+    whole = rows.groupBy("concept_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.countDistinct(F.when(F.col("candidate") & F.col("named"), F.col("token"))).alias("tokens"),
+        F.max(F.when(F.col("candidate"), F.struct("ord", "child"))).alias("last"), F.min("ord").alias("first"),
+    )
+    whole = whole.where("n > 1 and most = 1 and tokens > 1").select("concept_id", F.array("last.child").alias("base_members"), "first")
+    fits = rows.where("candidate and named").join(whole, "concept_id")
+    firsts = fits.groupBy("concept_id", "token").agg(F.min(F.struct("ord", "child")).alias("f"), F.first("base_members").alias("base_members"))
+    derived = firsts.select("concept_id", "token", concept_id(F.col("base_members")).alias("base"), F.array("token", "f.child").alias("members"), F.col("f.ord").alias("ord"))
+    derived = stored(derived.withColumn("derived", concept_id(F.col("members"))), "derived")
+    classes = whole.select(concept_id(F.col("base_members")).alias("concept_id"), F.col("base_members").alias("members"), F.col("first").alias("ord"))
+    classes = classes.unionByName(derived.select(F.col("derived").alias("concept_id"), "members", "ord")).dropDuplicates(["concept_id"])
+    edges = derived.select(F.col("base").alias("src"), F.col("derived").alias("dst")).distinct().withColumn("edge_type", F.lit("derivation"))
+    return classes, edges, fits.join(derived.select("concept_id", "token", "derived"), ["concept_id", "token"]).select("node_id", F.col("derived").alias("concept_id"))
 
 
 def concept_names(tree: DataFrame, members: DataFrame, concepts: DataFrame, membership: DataFrame) -> DataFrame:
@@ -147,6 +243,17 @@ def base_usage(concepts: DataFrame, edges: DataFrame, membership: DataFrame) ->
     return rows.groupBy("base").agg((F.countDistinct("concept_id") - 1).alias("n_classes"), F.countDistinct("node_id").alias("n_instances")).withColumnRenamed("base", "concept_id")
 
 
+def base_report(concepts: DataFrame, edges: DataFrame, membership: DataFrame, names: DataFrame, labels: DataFrame, least: int = 4) -> DataFrame:
+    """``base_id, concept_id, value``: a line for each class of ``least`` members or more that derives from a base."""
+    bases = base_classes(concepts, edges).select(F.col("concept_id").alias("src"))
+    reach = derived_closure(edges).join(bases, "src", "left_semi").select(F.col("src").alias("base_id"), F.col("dst").alias("concept_id"))
+    large = concepts.where(F.size("members") >= least).select("concept_id")
+    counts = membership.groupBy("concept_id").agg(F.countDistinct("node_id").alias("n"))
+    rows = reach.join(large, "concept_id").join(names, "concept_id").join(labels, "concept_id", "left").join(counts, "concept_id", "left")
+    said = F.format_string("derived class %s label %s id %s instances %d", "name", F.coalesce("class_label", F.lit("UNKNOWN")), "concept_id", F.coalesce("n", F.lit(0)))
+    return rows.select("base_id", "concept_id", said.alias("value"))
+
+
 def class_instances(membership: DataFrame) -> DataFrame:
     return membership.groupBy("concept_id").agg(F.countDistinct("node_id").alias("n_instances"))
 

@@ -10,8 +10,6 @@ so frequent tokens make no pairs.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -50,7 +48,11 @@ def similar_sets(sets: DataFrame, ratio: float = 0.9) -> DataFrame:
 
 
 def similar_nodes(tree: DataFrame, members: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """``node_a, node_b, overlap, size_a, size_b`` with ``node_a < node_b``: all pairs written out."""
+    """``node_a, node_b, overlap, size_a, size_b`` with ``node_a < node_b``: all pairs written out.
+
+    As many rows as there are pairs; :func:`similar_sets` with :func:`node_sets`
+    says the same in rows that grow with the sets and nodes alone.
+    """
     sets = member_sets(tree, members)
     of = node_sets(members)
     apart = similar_sets(sets, ratio)
@@ -65,15 +67,28 @@ def similar_nodes(tree: DataFrame, members: DataFrame, ratio: float = 0.9) -> Da
     )
 
 
-def similar_asymmetric(members: DataFrame, ratio: float = 0.9) -> DataFrame:
-    """``node_a, node_b, overlap``: ordered pairs whose common tokens are ``ratio`` of a's children at least, sizes fitting."""
-    rows = members.where("size >= 2").select("node_id", "size", F.explode("members").alias("token"))
-    left, right = (rows.select(F.col("node_id").alias(f"node_{x}"), F.col("size").alias(f"size_{x}"), "token") for x in "ab")
-    pairs = left.join(right, "token").where((F.col("node_a") != F.col("node_b")) & sizes_fit(F.col("size_a"), F.col("size_b"), ratio))
-    counted = pairs.groupBy("node_a", "node_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("overlap"))
-    return counted.where(F.col("overlap") / F.col("size_a") >= ratio).select("node_a", "node_b", "overlap")
+def similar_sets_asymmetric(members: DataFrame, ratio: float = 0.9) -> DataFrame:
+    """``a, b, overlap``: ordered pairs of sets, equal ones with themselves, whose common tokens are ``ratio`` of a's at least, sizes fitting."""
+    sets = members.where("size >= 2").select(F.sha2(F.concat_ws("␟", F.array_sort("members")), 256).alias("set_id"), "members", "size").dropDuplicates(["set_id"])
+    tokens = sets.select("set_id", "size", F.explode("members").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(rarity, "token").withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("df", "token")))
 
+    def prefix(name: str, share: float) -> DataFrame:
+        # Of a set that must share so many of its tokens, one of the rarest others and one more.
+        few = F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9)) + 1
+        return ranked.where(F.col("rank") <= few).select(F.col("set_id").alias(name), F.col("size").alias(f"size_{name}"), "token")
 
-def prefix_size(size: int, ratio: float) -> int:
-    """Tokens of a set by which an alike one is found."""
-    return size - math.ceil(size * ratio - 1e-9) + 1
+    # a has more than b's tokens / (2 - ratio), so b shares ratio times that.
+    met = prefix("a", ratio).join(prefix("b", ratio / (2 - ratio)), "token").where((F.col("a") != F.col("b")) & sizes_fit(F.col("size_a"), F.col("size_b"), ratio)).drop("token").distinct()
+    bodies = sets.select("set_id", "members")
+    both = met.join(bodies.withColumnsRenamed({"set_id": "a", "members": "ma"}), "a").join(bodies.withColumnsRenamed({"set_id": "b", "members": "mb"}), "b")
+    found = both.withColumn("overlap", F.size(F.array_intersect("ma", "mb")).cast("long")).where(F.col("overlap") / F.col("size_a") >= ratio).select("a", "b", "overlap")
+    return found.unionByName(sets.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.col("size").cast("long").alias("overlap")))
+
+
+def similar_asymmetric(members: DataFrame, ratio: float = 0.9) -> DataFrame:
+    """``node_a, node_b, overlap``: the pairs of :func:`similar_sets_asymmetric`, written out by nodes."""
+    of = node_sets(members)
+    pairs = similar_sets_asymmetric(members, ratio).join(of.withColumnsRenamed({"set_id": "a", "node_id": "node_a"}), "a").join(of.withColumnsRenamed({"set_id": "b", "node_id": "node_b"}), "b")
+    return pairs.where("node_a <> node_b").select("node_a", "node_b", "overlap")

@@ -82,23 +82,24 @@ def report(tree: DataFrame) -> DataFrame:
     return row.selectExpr("stack(3, 'nodes', nodes, 'leaves', coalesce(leaves, 0), 'types', types) as (metric, value)")
 
 
-def closure(tree: DataFrame, cut: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def closure(tree: DataFrame, cut: DataFrame | None = None) -> DataFrame:
     """``node_id, ancestor, distance, rel_path``: every node with every node above it.
 
     ``rel_path`` are the tokens from below the ancestor to the node.  ``cut``
-    (``parent_id, node_id``) are edges that no walk passes.  Rounds are as many
-    as the forest is deep.
+    (``parent_id, node_id``) are edges that no walk passes.  Distances double
+    each round, so rounds grow with the logarithm of the forest's depth.
     """
     edges = tree.where("parent_id is not null").select("node_id", "parent_id", "token")
     if cut is not None:
         edges = edges.join(cut, ["parent_id", "node_id"], "left_anti")
-    edges = stored(edges, "edges")
-    front = edges.select("node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"), F.array("token").alias("rel_path"))
-    found = front
-    up = edges.select(F.col("node_id").alias("ancestor"), F.col("parent_id").alias("above"), F.col("token").alias("via"))
-    for _ in range(max_rounds):
-        front = stored(front.join(up, "ancestor").select("node_id", F.col("above").alias("ancestor"), (F.col("distance") + 1).alias("distance"), F.concat(F.array("via"), "rel_path").alias("rel_path")), "front")
-        if front.isEmpty():
+    found = stored(edges.select("node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"), F.array("token").alias("rel_path")), "closure")
+    reach = 1
+    while True:
+        # All walks of up to ``reach`` edges are known; the longest ones go on by each of them.
+        front = found.where(F.col("distance") == reach).select("node_id", F.col("ancestor").alias("via"), F.col("rel_path").alias("below"))
+        above = found.select(F.col("node_id").alias("via"), "ancestor", "distance", "rel_path")
+        further = front.join(above, "via").select("node_id", "ancestor", (F.col("distance") + reach).alias("distance"), F.concat("rel_path", "below").alias("rel_path"))
+        further = stored(further, "closure")
+        if further.isEmpty():
             return found
-        found = found.unionByName(front)
-    raise RuntimeError(f"the forest is deeper than {max_rounds}")
+        found, reach = found.unionByName(further), 2 * reach

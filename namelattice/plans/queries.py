@@ -19,13 +19,19 @@ from ..storage import stored
 from . import corpora
 from .pipeline import Run, training_lines
 
-PARTS, PAGES, SUPPLY = "parts", "pages", "supply"
+PARTS, PAGES, SUPPLY, PLANT = "parts", "pages", "supply", "plant"
+#: Thresholds at which the plant's concepts differ in kind, are refined, cut and related.
+PLANT_CONFIG = Config(similarity=0.75, refinement=0.9, cleanup=0.8, class_floor=0.0)
 
 
 def _run(spark: SparkSession, sf_dir: str, corpus: str = PARTS, **options) -> Run:
     return Run(corpora.points(spark, sf_dir, corpus), **options)
 
 
+def _plant(spark: SparkSession, sf_dir: str, **options) -> Run:
+    return _run(spark, sf_dir, PLANT, config=PLANT_CONFIG, **options)
+
+
 def _joined(*names: str) -> list:
     return [F.array_join(n, "|").alias(n) for n in names]
 
@@ -178,10 +184,6 @@ def _by_brand(spark, sf_dir) -> DataFrame:
 
 
 def strip_common_prefix(spark, sf_dir):
-    return scoring.without_common_prefix(_by_brand(spark, sf_dir).where("rel_path[0] = 'SMALL'")).select("concept_id", *_joined("rel_path", "tokens"))
-
-
-def strip_common_prefix_all(spark, sf_dir):
     """All of part; names of a brand that begin alike are a concept, so that there is a prefix to take off."""
     named = _by_brand(spark, sf_dir).withColumn("concept_id", F.concat_ws("/", "concept_id", F.get("rel_path", F.lit(0))))
     return scoring.without_common_prefix(named).select("concept_id", *_joined("rel_path", "tokens"))
@@ -207,52 +209,76 @@ def ranked_labels(spark, sf_dir):
 
 
 def concept_clusters(spark, sf_dir):
-    run = _run(spark, sf_dir, SUPPLY)
+    run = _plant(spark, sf_dir)
     return run.found.concepts.select("concept_id", *_joined("members"))
 
 
+def first_concepts(spark, sf_dir):
+    """Concepts as they are before refinement, by their nodes."""
+    run = _plant(spark, sf_dir)
+    return clusters.find_concepts(run.tree, run.members, PLANT_CONFIG.similarity).membership
+
+
 def concept_members(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).found.membership
+    return _plant(spark, sf_dir).found.membership
 
 
 def concept_names(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).concept_names
+    return _plant(spark, sf_dir).concept_names
 
 
 def cut_edges(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).cleaned[0]
+    return _plant(spark, sf_dir).cleaned[0]
 
 
 def members_after(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).cleaned[1].select("concept_id", *_joined("members"))
+    return _plant(spark, sf_dir).cleaned[1].select("concept_id", *_joined("members"))
 
 
 def association_edges(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).edges
+    return _plant(spark, sf_dir).edges
 
 
 def derivation_edges(spark, sf_dir):
-    run = _run(spark, sf_dir)
+    run = _plant(spark, sf_dir)
     return semantics.derivations(run.found.concepts, run.edges)[0]
 
 
+def derived_graph(spark, sf_dir):
+    """Association and derivation edges together, shared associations left to bases."""
+    run = _plant(spark, sf_dir)
+    return semantics.with_derivations(run.edges, semantics.derivations(run.found.concepts, run.edges)[0])
+
+
+def base_with_member(spark, sf_dir):
+    run = _plant(spark, sf_dir)
+    starts = run.found.concepts.select("concept_id", F.explode("members").alias("token"))
+    derived = semantics.derivations(run.found.concepts, run.edges)[0]
+    edges = derived.join(run.found.concepts.select(F.col("concept_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return semantics.base_with_member(run.found.concepts, edges, starts)
+
+
 def base_usage(spark, sf_dir):
-    run = _run(spark, sf_dir)
+    run = _plant(spark, sf_dir)
     edges = stored(semantics.derivations(run.found.concepts, run.edges)[0], "derivation")
     return semantics.base_usage(run.found.concepts, edges, run.found.membership)
 
 
 def simple_derived(spark, sf_dir):
+    """Nodes of parts with one child, those of one child token being a concept: its derived classes."""
     run = _run(spark, sf_dir)
-    return semantics.simple_derived(run.tree, run.members, run.found.membership)
+    alone = run.members.where("size = 1").select(F.element_at("members", 1).alias("concept_id"), "node_id")
+    classes, edges, _ = semantics.simple_bases(run.tree, run.members, alone)
+    pairs = edges.join(classes.select(F.col("concept_id").alias("dst"), "members"), "dst")
+    return pairs.select(F.element_at("members", 2).alias("base"), F.element_at("members", 1).alias("token"))
 
 
 def concept_points(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).unlabelled.select("concept_id", *_joined("rel_path"), "label", "score", "point_name")
+    return _plant(spark, sf_dir).unlabelled.select("concept_id", *_joined("rel_path"), "label", "score", "point_name")
 
 
 def leaf_coverage(spark, sf_dir):
-    run = _run(spark, sf_dir, SUPPLY)
+    run = _plant(spark, sf_dir)
     return semantics.explained_leaves(run.leaves, run.closure, run.found.membership)
 
 
@@ -261,12 +287,12 @@ def unexplained_points(spark, sf_dir):
 
 
 def unique_points(spark, sf_dir):
-    run = _run(spark, sf_dir, SUPPLY)
+    run = _plant(spark, sf_dir)
     return semantics.unique_points(run.tree, run.closure, run.found.membership)
 
 
 def concept_classes(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY, classify=True, config=Config(class_floor=0.0)).classes
+    return _plant(spark, sf_dir, classify=True).classes
 
 
 def greedy_assign(spark, sf_dir):
@@ -276,38 +302,38 @@ def greedy_assign(spark, sf_dir):
 
 
 def label_candidates(spark, sf_dir):
-    found = _run(spark, sf_dir, SUPPLY).candidates()
+    found = _plant(spark, sf_dir).candidates()
     return found.select("point_name", F.explode("cands").alias("c")).select("point_name", "c.*")
 
 
 def resolve_best(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).resolved()
+    return _plant(spark, sf_dir).resolved()
 
 
 def resolve_classified(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY, classify=True, config=Config(class_floor=0.0)).resolved()
+    return _plant(spark, sf_dir, classify=True).resolved()
 
 
 def class_summary(spark, sf_dir):
-    run = _run(spark, sf_dir, SUPPLY, classify=True, config=Config(class_floor=0.0))
+    run = _plant(spark, sf_dir, classify=True)
     return semantics.class_summary(run.classes, run.found.membership)
 
 
 def class_instances(spark, sf_dir):
-    return semantics.class_instances(_run(spark, sf_dir, SUPPLY).found.membership)
+    return semantics.class_instances(_plant(spark, sf_dir).found.membership)
 
 
 def run_report(spark, sf_dir):
-    return _run(spark, sf_dir, SUPPLY).report()
+    return _plant(spark, sf_dir).report()
 
 
 def dot_graph(spark, sf_dir):
-    run = _run(spark, sf_dir, SUPPLY)
+    run = _plant(spark, sf_dir)
     return sinks.dot_lines(run.concept_names, semantics.class_instances(run.found.membership), run.edges)
 
 
 def cluster_file(spark, sf_dir):
-    run = _run(spark, sf_dir, SUPPLY)
+    run = _plant(spark, sf_dir)
     return sinks.cluster_json(run.concept_points, run.classes, run.found.membership)
 
 
@@ -335,8 +361,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 load_names, rejected_names, distinct_points, tokenize_points, uncamel, unique_tokens, token_frequency, split_trailing, split_runs, without_digits,
                 vocab_children, expand_tokens, expand_tokens_pages, point_paths, tree_nodes, node_types, tree_leaves, point_leaf, leaf_parents, tree_report,
                 node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, catalog_flat,
-                supported_labels, token_catalog_jw, strip_common_prefix, strip_common_prefix_all, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters,
-                concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, base_usage, simple_derived, concept_points,
+                supported_labels, token_catalog_jw, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters, first_concepts,
+                concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, derived_graph, base_with_member, base_usage, simple_derived, concept_points,
                 leaf_coverage, unexplained_points, unique_points, concept_classes, greedy_assign, label_candidates, resolve_best, resolve_classified,
                 class_summary, class_instances, run_report, dot_graph, cluster_file, training_file, resolved_argmax,
             )
@@ -351,6 +377,9 @@ _LINES = {
     PAGES: "SELECT url AS v FROM pages",
     SUPPLY: """SELECT DISTINCT concat_ws('/', r_name, n_name, s_name, p_type) AS v FROM lineitem JOIN part ON l_partkey = p_partkey
       JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    PLANT: f"""SELECT DISTINCT concat_ws('/', replace(n_name, ' ', ''), {corpora.PLANT_UNIT.format(text="VARCHAR")}, {corpora.PLANT_MEMBER}, child) AS v
+      FROM supplier JOIN (VALUES {", ".join(str(row).replace("None", "NULL") for row in corpora.PLANT_ROWS)}) k(kind, unit, place, member, child) ON s_suppkey % {len(corpora.KINDS)} = kind
+      JOIN nation ON s_nationkey = n_nationkey WHERE {corpora.PLANT_HAS}""",
 }
 
 
@@ -468,29 +497,71 @@ p AS (SELECT a.id AS a, b.id AS b, a.m AS ma, b.m AS mb, list_intersect(a.m, b.m
 SELECT a, b, {select} FROM p"""
 
 
-def _coverage_sql(select: str) -> str:
-    """A node is clustered just if another is alike it; no edge of this corpus is cut."""
-    pairs, _, tail = _similar_sql(SUPPLY, "0.9").rpartition("SELECT * FROM pair")
-    return f"""{pairs.replace('WITH ', 'WITH RECURSIVE ', 1)},
-good AS (SELECT node_a, node_b FROM pair{tail}),
-cl AS (SELECT node_a AS node_id FROM good UNION SELECT node_b FROM good),
-up AS (SELECT node_id, node_id AS ancestor FROM nodes UNION SELECT up.node_id, n.parent_id FROM up JOIN nodes n ON n.node_id = up.ancestor WHERE n.parent_id IS NOT NULL),
-hit AS (SELECT DISTINCT up.node_id FROM up JOIN cl ON cl.node_id = up.ancestor),
-lf AS (SELECT node_id AS leaf_id, min(point_name) AS point_name FROM o WHERE ends GROUP BY 1),
-cov AS (SELECT leaf_id, point_name, hit.node_id IS NOT NULL AS explained FROM lf LEFT JOIN hit ON hit.node_id = lf.leaf_id)
-{select}"""
-
-
-def _concepts_sql(select: str) -> str:
-    """Concepts of the supply names, where only equal sets of children are alike: a set that two nodes have is a concept."""
-    return f"""{_tree_sql(SUPPLY).replace('WITH ', 'WITH RECURSIVE ', 1)},
-s AS (SELECT m.node_id, sha256(array_to_string(list_sort(m.members), '␟')) AS concept_id, m.members, n.first_point, n.depth, n.token, n.parent_id FROM mem m JOIN nodes n USING (node_id) WHERE m.size >= 2),
-ms AS (SELECT * FROM s WHERE concept_id IN (SELECT concept_id FROM s GROUP BY 1 HAVING count(*) > 1)),
-fi AS (SELECT DISTINCT ON (concept_id) * FROM ms ORDER BY concept_id, first_point, depth),
-up AS (SELECT node_id, parent_id AS ancestor, 1::BIGINT AS distance, [token] AS rel_path FROM nodes WHERE parent_id IS NOT NULL
-  UNION ALL SELECT up.node_id, n.parent_id, up.distance + 1, [n.token] || up.rel_path FROM up JOIN nodes n ON n.node_id = up.ancestor WHERE n.parent_id IS NOT NULL),
+def _alike_sql(a: str, b: str, ratio: float) -> str:
+    return f"""({a}.size = {b}.size OR greatest({a}.size, {b}.size) - least({a}.size, {b}.size) < least({a}.size, {b}.size) * (1.0::DOUBLE - {ratio}::DOUBLE))
+    AND len(list_intersect({a}.members, {b}.members)) / greatest({a}.size, {b}.size) >= {ratio}::DOUBLE"""
+
+
+def _model_sql(select: str, more: str = "") -> str:
+    """The whole model of the plant: seeds one set after the other, clusters that share a set merged, refined, cut, related."""
+    c = PLANT_CONFIG
+    return f"""{_tree_sql(PLANT).replace('WITH ', 'WITH RECURSIVE ', 1)},
+st AS (SELECT m.node_id, sha256(array_to_string(list_sort(m.members), '␟')) AS set_id, m.members, m.size, n.first_point, n.depth FROM mem m JOIN nodes n USING (node_id) WHERE m.size >= 2),
+sets AS (SELECT set_id, arg_min(members, (first_point, depth)) AS members, min(size) AS size, min((first_point, depth)) AS ord, count(*) AS n_nodes FROM st GROUP BY 1),
+alk AS (SELECT x.set_id AS a, y.set_id AS b FROM sets x JOIN sets y ON x.set_id <> y.set_id WHERE {_alike_sql('x', 'y', c.similarity)}),
+act AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM sets WHERE n_nodes > 1 OR set_id IN (SELECT a FROM alk)),
+nb AS (SELECT act.i, coalesce(list(o.i) FILTER (o.i < act.i), []) AS l FROM act LEFT JOIN alk ON alk.a = act.set_id LEFT JOIN act o ON o.set_id = alk.b GROUP BY 1),
+greedy(i, s) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT nb.i, CASE WHEN len(list_intersect(nb.l, greedy.s)) = 0 THEN list_append(greedy.s, nb.i) ELSE greedy.s END FROM greedy JOIN nb ON nb.i = greedy.i + 1),
+seed AS (SELECT set_id FROM act JOIN (SELECT unnest(arg_max(s, i)) AS i FROM greedy) USING (i)),
+star AS (SELECT a, b FROM alk WHERE a IN (SELECT set_id FROM seed) UNION SELECT b, a FROM alk WHERE a IN (SELECT set_id FROM seed)),
+reach(x, y) AS (SELECT set_id, set_id FROM act UNION SELECT reach.x, star.b FROM reach JOIN star ON star.a = reach.y),
+cm AS (SELECT x AS set_id, min(y) AS comp FROM reach GROUP BY 1),
+c0 AS (SELECT comp, arg_min(set_id, (size, ord)) AS concept_id, arg_min(members, (size, ord)) AS members, min(ord) AS ord FROM act JOIN cm USING (set_id) GROUP BY 1),
+held AS (SELECT set_id, c0.concept_id, act.members, size, act.ord, n_nodes, row_number() OVER (ORDER BY act.ord) AS i FROM act JOIN cm USING (set_id) JOIN c0 USING (comp)),
+m0 AS (SELECT concept_id, node_id FROM st JOIN held USING (set_id)),
+al2 AS (SELECT x.i, y.i AS j FROM held x JOIN held y ON x.concept_id = y.concept_id AND x.i <> y.i WHERE {_alike_sql('x', 'y', c.refinement)}),
+nb2 AS (SELECT held.i, coalesce(list(j) FILTER (j < held.i), []) AS l FROM held LEFT JOIN al2 USING (i) GROUP BY 1),
+greedy2(i, s) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT nb2.i, CASE WHEN len(list_intersect(nb2.l, greedy2.s)) = 0 THEN list_append(greedy2.s, nb2.i) ELSE greedy2.s END FROM greedy2 JOIN nb2 ON nb2.i = greedy2.i + 1),
+ld AS (SELECT nb2.i, coalesce(list_min(list_intersect(l, s)), nb2.i) AS lead FROM nb2, (SELECT arg_max(s, i) AS s FROM greedy2)),
+led AS (SELECT h.set_id, h.concept_id, h.n_nodes, o.set_id AS leader FROM held h JOIN ld USING (i) JOIN held o ON o.i = ld.lead),
+moved AS (SELECT concept_id, leader FROM led WHERE leader NOT IN (SELECT concept_id FROM c0) GROUP BY 1, 2 HAVING sum(n_nodes) > 1),
+fin AS (SELECT led.set_id, CASE WHEN moved.leader IS NULL THEN led.concept_id ELSE moved.leader END AS concept_id FROM led LEFT JOIN moved ON moved.concept_id = led.concept_id AND moved.leader = led.leader),
+con AS (SELECT concept_id, members, ord FROM c0 UNION ALL SELECT set_id, members, ord FROM sets WHERE set_id IN (SELECT leader FROM moved)),
+ms AS (SELECT concept_id, st.node_id, n.token, n.parent_id, n.first_point, n.depth FROM st JOIN fin USING (set_id) JOIN nodes n USING (node_id)),
+ce AS (SELECT p.concept_id, q.concept_id AS child_concept, q.token, q.node_id, q.parent_id, q.first_point, q.depth FROM ms q JOIN ms p ON p.node_id = q.parent_id WHERE p.concept_id <> q.concept_id),
+tests AS (SELECT t.*, row_number() OVER (PARTITION BY t.concept_id ORDER BY f, token) AS k, con.members AS child_members
+  FROM (SELECT concept_id, token, child_concept, min((first_point, depth)) AS f FROM ce GROUP BY 1, 2, 3) t JOIN con ON con.concept_id = t.child_concept),
+cutting(concept_id, k, own, token, child_concept, cut) AS (SELECT concept_id, 0::BIGINT, members, ''::VARCHAR, ''::VARCHAR, FALSE FROM con UNION ALL
+  SELECT r.concept_id, t.k, CASE WHEN r.ok THEN list_filter(r.own, lambda x: x <> t.token) ELSE r.own END, t.token, t.child_concept, r.ok
+  FROM (SELECT g.concept_id, g.own, g.k, len(u.child_members) > 1 AND len(g.own) > 4 AND len(list_intersect(g.own, u.child_members)) >= (len(g.own) - 1) * {c.cleanup}::DOUBLE AS ok
+    FROM cutting g JOIN tests u ON u.concept_id = g.concept_id AND u.k = g.k + 1) r JOIN tests t ON t.concept_id = r.concept_id AND t.k = r.k + 1),
+after AS (SELECT concept_id, arg_max(own, k) AS members FROM cutting GROUP BY 1),
+cut AS (SELECT DISTINCT parent_id, node_id FROM ce JOIN cutting USING (concept_id, token, child_concept) WHERE cut),
+ed AS (SELECT node_id, parent_id, token FROM nodes WHERE parent_id IS NOT NULL AND node_id NOT IN (SELECT node_id FROM cut)),
+up AS (SELECT node_id, parent_id AS ancestor, 1::BIGINT AS distance, [token] AS rel_path FROM ed
+  UNION ALL SELECT up.node_id, ed.parent_id, up.distance + 1, [ed.token] || up.rel_path FROM up JOIN ed ON ed.node_id = up.ancestor),
+fi AS (SELECT DISTINCT ON (concept_id) * FROM ms ORDER BY concept_id, first_point, depth, node_id),
 lf AS (SELECT node_id AS leaf_id, min(point_name) AS point_name FROM o WHERE ends GROUP BY 1),
-near AS (SELECT point_name, arg_min(ms.node_id, distance) AS node, min(distance) AS ord FROM lf JOIN up ON up.node_id = lf.leaf_id JOIN ms ON ms.node_id = up.ancestor GROUP BY 1)
+inner_nodes AS (SELECT DISTINCT ancestor FROM up),
+assoc AS (SELECT DISTINCT a.concept_id AS src, b.concept_id AS dst
+  FROM (SELECT ms.node_id, ms.concept_id, ms.token, arg_min(up.ancestor, up.distance) AS above FROM ms JOIN up USING (node_id) WHERE up.ancestor IN (SELECT node_id FROM ms) GROUP BY 1, 2, 3) b
+  JOIN ms a ON a.node_id = b.above JOIN after ON after.concept_id = a.concept_id WHERE list_contains(after.members, b.token)),
+cov AS (SELECT leaf_id, point_name, leaf_id IN (SELECT node_id FROM ms) OR leaf_id IN (SELECT up.node_id FROM up JOIN ms ON ms.node_id = up.ancestor) AS explained FROM lf),
+cp AS (SELECT fi.concept_id, up.rel_path, min(n.first_point) AS point_name
+  FROM fi JOIN after ON after.concept_id = fi.concept_id AND len(after.members) BETWEEN {c.least_members} AND {c.most_members} JOIN up ON up.ancestor = fi.node_id JOIN nodes n ON n.node_id = up.node_id
+  WHERE n.is_point_first OR n.node_id NOT IN (SELECT ancestor FROM inner_nodes) GROUP BY 1, 2),
+hide AS (SELECT up.node_id, min(distance) AS nearest FROM up WHERE ancestor IN (SELECT node_id FROM ms) GROUP BY 1),
+uniq AS (SELECT fi.concept_id, count(hide.node_id) AS n_points FROM fi LEFT JOIN (SELECT * FROM up WHERE node_id NOT IN (SELECT ancestor FROM inner_nodes) AND node_id NOT IN (SELECT node_id FROM ms)) e ON e.ancestor = fi.node_id
+  LEFT JOIN hide ON hide.node_id = e.node_id AND hide.nearest = e.distance GROUP BY 1),
+near AS (SELECT point_name, arg_min(ms.node_id, distance) AS node, min(distance) AS ord FROM lf JOIN up ON up.node_id = lf.leaf_id JOIN ms ON ms.node_id = up.ancestor GROUP BY 1),
+rel AS (SELECT a.concept_id AS a, b.concept_id AS b, a.members AS ma, b.members AS mb, list_intersect(a.members, b.members) AS x FROM con a JOIN con b ON a.concept_id <> b.concept_id
+  WHERE len(list_intersect(a.members, b.members)) > 0 AND (a.concept_id, b.concept_id) NOT IN (SELECT (src, dst) FROM assoc) AND (b.concept_id, a.concept_id) NOT IN (SELECT (src, dst) FROM assoc)),
+dir AS (SELECT *, len(ma) > 2 AND len(ma) < len(mb) AND len(x) = len(ma) AS down, len(mb) > 2 AND len(mb) < len(ma) AND len(x) = len(mb) AS above FROM rel),
+shared AS (SELECT a, b, sha256(array_to_string(list_sort(x), '␟')) AS base FROM dir WHERE NOT down AND NOT above AND a < b AND len(x) >= 0.7::DOUBLE * len(ma) AND len(x) >= 0.7::DOUBLE * len(mb)),
+derived AS (SELECT a AS src, b AS dst FROM dir WHERE down UNION SELECT base, a FROM shared WHERE base <> a UNION SELECT base, b FROM shared WHERE base <> b),
+family(base, concept_id) AS (SELECT concept_id, concept_id FROM con WHERE concept_id NOT IN (SELECT dst FROM derived) UNION SELECT f.base, d.dst FROM family f JOIN derived d ON d.src = f.concept_id){more}
 {select}"""
 
 
@@ -534,22 +605,37 @@ def oracle_sql() -> dict[str, str]:
           up AS (SELECT node_id, parent_id AS ancestor, 1::BIGINT AS distance, [token] AS rel_path FROM nodes WHERE parent_id IS NOT NULL
             UNION ALL SELECT up.node_id, n.parent_id, up.distance + 1, [n.token] || up.rel_path FROM up JOIN nodes n ON n.node_id = up.ancestor WHERE n.parent_id IS NOT NULL)
           SELECT node_id, ancestor, distance, {joined('rel_path')} FROM up""",
-        "leaf_coverage": _coverage_sql("SELECT leaf_id, point_name, explained FROM cov"),
-        "unexplained_points": _coverage_sql("SELECT point_name FROM cov WHERE NOT explained"),
-        "concept_clusters": _concepts_sql("SELECT concept_id, array_to_string(members, '|') AS members FROM fi"),
-        "members_after": _concepts_sql("SELECT concept_id, array_to_string(members, '|') AS members FROM fi"),
-        "concept_members": _concepts_sql("SELECT concept_id, node_id FROM ms"),
-        "class_instances": _concepts_sql("SELECT concept_id, count(*) AS n_instances FROM ms GROUP BY 1"),
-        "concept_names": _concepts_sql("""SELECT fi.concept_id, array_to_string(list_transform([coalesce(a.token, ''), fi.members[1], fi.token], lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN '' ELSE t END), '_') AS name
-          FROM fi LEFT JOIN nodes a ON a.node_id = fi.parent_id"""),
-        "concept_points": _concepts_sql("""SELECT concept_id, array_to_string(rel_path, '|') AS rel_path, 'UNKNOWN' AS label, 0.0::DOUBLE AS score, min(n.first_point) AS point_name
-          FROM fi JOIN up ON up.ancestor = fi.node_id JOIN nodes n ON n.node_id = up.node_id
-          WHERE n.is_point_first OR n.node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) GROUP BY 1, 2"""),
-        "label_candidates": _concepts_sql("SELECT point_name, ord::INT AS ord, 'UNKNOWN' AS class, node, 'UNKNOWN' AS label, 0.0::DOUBLE AS score FROM near"),
-        "resolve_best": _concepts_sql("SELECT point_name AS original_point, 'UNKNOWN' AS equipment, node, 0.0::DOUBLE AS distance, 'UNKNOWN' AS representation FROM near"),
-        "association_edges": _concepts_sql("""SELECT DISTINCT a.concept_id AS src, b.concept_id AS dst, 'association' AS edge_type
-          FROM (SELECT ms.node_id, ms.concept_id, ms.token, arg_min(up.ancestor, up.distance) AS above FROM ms JOIN up USING (node_id) WHERE up.ancestor IN (SELECT node_id FROM ms) GROUP BY 1, 2, 3) b
-          JOIN ms a ON a.node_id = b.above WHERE list_contains(a.members, b.token)"""),
+        "leaf_coverage": _model_sql("SELECT leaf_id, point_name, explained FROM cov"),
+        "unexplained_points": _model_sql("SELECT point_name FROM cov WHERE NOT explained"),
+        "concept_clusters": _model_sql("SELECT concept_id, array_to_string(members, '|') AS members FROM con"),
+        "first_concepts": _model_sql("SELECT concept_id, node_id FROM m0"),
+        "concept_members": _model_sql("SELECT concept_id, node_id FROM ms"),
+        "members_after": _model_sql("SELECT concept_id, array_to_string(members, '|') AS members FROM after"),
+        "cut_edges": _model_sql("SELECT parent_id, node_id FROM cut"),
+        "class_instances": _model_sql("SELECT concept_id, count(*) AS n_instances FROM ms GROUP BY 1"),
+        "concept_names": _model_sql("""SELECT con.concept_id, coalesce(array_to_string(list_transform([coalesce(a.token, ''), mem.members[1], fi.token], lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN '' ELSE t END), '_'), con.concept_id) AS name
+          FROM con LEFT JOIN fi USING (concept_id) LEFT JOIN mem USING (node_id) LEFT JOIN nodes a ON a.node_id = fi.parent_id"""),
+        "concept_points": _model_sql("SELECT concept_id, array_to_string(rel_path, '|') AS rel_path, 'UNKNOWN' AS label, 0.0::DOUBLE AS score, point_name FROM cp"),
+        "unique_points": _model_sql("SELECT concept_id, n_points FROM uniq"),
+        "label_candidates": _model_sql("SELECT point_name, ord::INT AS ord, 'UNKNOWN' AS class, node, 'UNKNOWN' AS label, 0.0::DOUBLE AS score FROM near"),
+        "resolve_best": _model_sql("SELECT point_name AS original_point, 'UNKNOWN' AS equipment, node, 0.0::DOUBLE AS distance, 'UNKNOWN' AS representation FROM near"),
+        "association_edges": _model_sql("SELECT src, dst, 'association' AS edge_type FROM assoc"),
+        "derivation_edges": _model_sql("SELECT src, dst, 'derivation' AS edge_type FROM derived"),
+        "derived_graph": _model_sql("""SELECT src, dst, 'association' AS edge_type FROM assoc WHERE NOT EXISTS (SELECT 1 FROM derived d WHERE d.dst = assoc.src
+            AND ((d.src, assoc.dst) IN (SELECT (src, dst) FROM assoc) OR (d.src, assoc.dst) IN (SELECT (src, dst) FROM derived))) UNION SELECT src, dst, 'derivation' FROM derived"""),
+        "base_with_member": _model_sql("""SELECT s.concept_id, s.token, arg_max(w.here, w.n) AS base_id FROM (SELECT concept_id, unnest(members) AS token FROM con) s
+          JOIN walks w ON w.concept_id = s.concept_id AND w.token = s.token GROUP BY 1, 2""", """,
+nxt AS (SELECT dst AS concept_id, min(src) AS next FROM derived WHERE src IN (SELECT concept_id FROM con) GROUP BY 1),
+walks(concept_id, token, here, seen, n) AS (SELECT concept_id, unnest(members), concept_id, [concept_id], 0 FROM con UNION ALL
+  SELECT w.concept_id, w.token, nxt.next, list_append(w.seen, nxt.next), w.n + 1 FROM walks w JOIN nxt ON nxt.concept_id = w.here JOIN con ON con.concept_id = nxt.next
+  WHERE list_contains(con.members, w.token) AND NOT list_contains(w.seen, nxt.next))"""),
+        "simple_derived": f"""{tree_of_parts}, one AS (SELECT m.members[1] AS base, n.token FROM mem m JOIN nodes n USING (node_id) WHERE m.size = 1)
+          SELECT DISTINCT base, token FROM one WHERE NOT regexp_full_match(token, '[0-9]+') AND base IN
+            (SELECT base FROM one WHERE NOT regexp_full_match(base, '[0-9]+') GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT token) FILTER (NOT regexp_full_match(token, '[0-9]+')) > 1)""",
+        "base_usage": _model_sql("SELECT base AS concept_id, count(DISTINCT concept_id) - 1 AS n_classes, count(DISTINCT node_id) AS n_instances FROM family LEFT JOIN ms USING (concept_id) GROUP BY 1"),
+        "run_report": _model_sql("""SELECT 'nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'leaves', count(*) FROM nodes WHERE is_point UNION ALL SELECT 'types', count(DISTINCT token) FROM nodes
+          UNION ALL SELECT 'explained', count(*) FROM cov WHERE explained UNION ALL SELECT 'unexplained', count(*) FROM cov WHERE NOT explained
+          UNION ALL SELECT 'unique_points', CAST(sum(n_points) AS BIGINT) FROM uniq UNION ALL SELECT 'concepts', count(*) FROM con"""),
         "similar_pairs_asym": f"""{tree_of_parts}, e AS (SELECT node_id, size, unnest(members) AS token FROM mem WHERE size >= 2),
           pair AS (SELECT a.node_id AS node_a, b.node_id AS node_b, count(*) AS overlap, a.size AS sa, b.size AS sb FROM e a JOIN e b ON a.token = b.token AND a.node_id <> b.node_id GROUP BY ALL)
           SELECT node_a, node_b, overlap FROM pair WHERE (sa = sb OR greatest(sa, sb) - least(sa, sb) < least(sa, sb) * (1.0::DOUBLE - 0.6::DOUBLE)) AND overlap / sa >= 0.6::DOUBLE""",
@@ -560,8 +646,7 @@ def oracle_sql() -> dict[str, str]:
         "supported_labels": f"SELECT kind, ord::BIGINT AS ord, label FROM (VALUES {_quoted(catalog.class_labels(), 'class')}, {_quoted(catalog.point_labels(), 'point')}) t(kind, ord, label)",
         "token_catalog_jw": f"""{tokens_of_pages}, {_catalog_sql()}, a AS (SELECT DISTINCT unnest(alt_tokens) AS alt_token FROM cat)
           SELECT token, alt_token, round(jaro_winkler_similarity(token, alt_token), 9) AS similarity FROM f, a WHERE jaro_winkler_similarity(token, alt_token) > 0.85::DOUBLE""",
-        "strip_common_prefix": f"{_BRAND_SQL}, s AS (SELECT * FROM b WHERE rel_path[1] = 'SMALL'){_STRIPPED_SQL.format(source='s')} SELECT concept_id, {joined('rel_path', 'tokens')} FROM st",
-        "strip_common_prefix_all": f"{_BRAND_SQL}, s AS (SELECT concat_ws('/', concept_id, rel_path[1]) AS concept_id, rel_path FROM b){_STRIPPED_SQL.format(source='s')} SELECT concept_id, {joined('rel_path', 'tokens')} FROM st",
+        "strip_common_prefix": f"{_BRAND_SQL}, s AS (SELECT concat_ws('/', concept_id, rel_path[1]) AS concept_id, rel_path FROM b){_STRIPPED_SQL.format(source='s')} SELECT concept_id, {joined('rel_path', 'tokens')} FROM st",
         "point_label_scores": f"{_BRAND_SQL}, q AS (SELECT rel_path AS tokens FROM b){_scores_sql('q')} SELECT {joined('tokens')}, equip, label, round(score, 9) AS score FROM sc",
         "feature_vector": f"""{_BRAND_SQL}{_STRIPPED_SQL.format(source='b')}{_scores_sql('st')},
           lab AS (SELECT equip, equip_ord, count(DISTINCT label) AS labels FROM cat GROUP BY 1, 2),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,6 +38,29 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] |
     df.write.jdbc(url, table, mode="append", properties=properties or {})
 
 
+#: Columns that describe a dataset, and those of its points.
+DATASET_COLUMNS = ["dataset_name", "vendor", "date", "distributor", "site"]
+POINT_COLUMNS = ["point_name", "description", "object_type", "device_id", "device_name", "object_id", "program_name", "value"]
+
+
+def write_dataset(points: DataFrame, about: dict[str, str], url: str, index_table: str, point_table: str, properties: dict[str, str] | None = None) -> int:
+    """Append a row of DATASET_COLUMNS to the index table, read back the id that the database gave it, and append the points under this id.
+
+    The newest of equal rows counts.  Points go in batches, a partition a
+    connection and transaction; a task that is tried again may repeat rows,
+    which reading with ``distinct_points`` takes out.
+    """
+    spark, properties = points.sparkSession, properties or {}
+    about = {c: about.get(c) for c in DATASET_COLUMNS}
+    row = spark.createDataFrame([tuple(about.values())], ", ".join(f"{c} string" for c in DATASET_COLUMNS))
+    row.coalesce(1).write.jdbc(url, index_table, mode="append", properties=properties)
+    same = [F.col(c).isNull() if v is None else F.col(c) == v for c, v in about.items()]
+    index = spark.read.jdbc(url, index_table, properties=properties)
+    dataset_id = index.where(reduce(and_, same)).agg(F.max("dataset_id").alias("id")).first().id
+    points.select(*POINT_COLUMNS, F.lit(dataset_id).alias("dataset_id")).write.jdbc(url, point_table, mode="append", properties=properties)
+    return dataset_id
+
+
 def instance_sections(concepts: DataFrame, membership: DataFrame, members: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(concept, n_instances, n_members)`` and ``(concept, node_id, n_children, children)``."""
     named = concepts.join(names, "concept_id").select("concept_id", "name", F.size("members").alias("n_members"))
@@ -53,14 +78,28 @@ def cluster_json(concept_points: DataFrame, classes: DataFrame, membership: Data
     return rows.select(F.to_json(F.struct(F.col("class_label").alias("LABEL"), F.col("concept_id").alias("id"), F.coalesce("n", F.lit(0)).alias("#instances"), "POINTS")).alias("value"))
 
 
-def dot_lines(names: DataFrame, instances: DataFrame, edges: DataFrame) -> DataFrame:
-    """``ord, value``: the concept graph as lines of the DOT language, nodes wider by the logarithm of their instances."""
-    colour = F.create_map(*(F.lit(x) for x in ("association", "black", "contains", "blue", "derivation", "red")))
+def dot_lines(names: DataFrame, instances: DataFrame, edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``ord, value``: the concept graph as lines of the DOT language, nodes wider by the logarithm of their instances.
+
+    With ``classes(concept_id, class_label, n_points)``, concepts of more than
+    three points stand in a cluster of their class, all others in a first one.
+    """
+    colour = F.create_map(*(F.lit(x) for x in ("association", "red", "contains", "black", "derivation", "blue")))
     sized = names.join(instances, "concept_id", "left").withColumn("width", 1.6 + F.ln(F.greatest(F.coalesce("n_instances", F.lit(1)), F.lit(1))))
-    nodes = sized.select(F.lit(1).alias("ord"), F.format_string('"%s" [label="%s" width=%.3f];', "concept_id", F.replace("name", F.lit('"'), F.lit("'")), "width").alias("value"))
-    arrows = edges.select(F.lit(2).alias("ord"), F.format_string('"%s" -> "%s" [color=%s];', "src", "dst", F.coalesce(colour[F.col("edge_type")], F.lit("black"))).alias("value"))
+    quoted = F.format_string('"%s" [label="%s" width=%.3f];', "concept_id", F.replace("name", F.lit('"'), F.lit("'")), "width")
     spark = names.sparkSession
-    ends = spark.createDataFrame([(0, "digraph concepts {"), (3, "}")], "ord int, value string")
+    if classes is None:
+        nodes = sized.select(F.lit("1").alias("ord"), quoted.alias("value"))
+    else:
+        rows = sized.join(classes, "concept_id", "left")
+        rows = rows.select(F.when(F.col("n_points") > 3, F.concat(F.lit("device "), F.col("class_label"))).otherwise(F.lit("")).alias("group"), quoted.alias("value"))
+        groups = rows.select("group").distinct()
+        title = F.when(F.col("group") == "", F.lit("other")).otherwise(F.col("group"))
+        head = groups.select(F.concat(F.lit("1"), F.col("group"), F.lit("/0")).alias("ord"), F.format_string('subgraph "cluster %s" { label="%s"; style=filled; color=lightgrey;', title, title).alias("value"))
+        body = rows.select(F.concat(F.lit("1"), F.col("group"), F.lit("/1")).alias("ord"), "value")
+        nodes = head.unionByName(body).unionByName(groups.select(F.concat(F.lit("1"), F.col("group"), F.lit("/2")).alias("ord"), F.lit("}").alias("value")))
+    arrows = edges.select(F.lit("2").alias("ord"), F.format_string('"%s" -> "%s" [color=%s];', "src", "dst", F.coalesce(colour[F.col("edge_type")], F.lit("black"))).alias("value"))
+    ends = spark.createDataFrame([("0", "digraph concepts {"), ("3", "}")], "ord string, value string")
     return ends.unionByName(nodes).unionByName(arrows)
 
 

@@ -2,7 +2,10 @@
 
 Intermediates go to the shared folder that the cluster names in
 ``spark.checkpoint.dir``; a lost executor then costs a re-read, not a re-run.
-Only where that setting is absent (tests, one machine) is a folder made.
+Where that setting is absent, a local master gets a folder of its own (tests,
+one machine); on a cluster that would scatter a table over machines, so it is
+an error.  Tables live until the driver ends, or until the :func:`released`
+block that wrote them does.
 """
 
 from __future__ import annotations
@@ -11,11 +14,15 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: The folders written in each open block of :func:`released`, innermost last.
+_BLOCKS: list[list[str]] = []
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -24,19 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="namelattice-")
     return _OWN[app]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path nothing else uses, dropped again when the driver ends."""
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path nothing else uses, dropped when the block of :func:`released` around it ends (that block's own block with ``keep``), or the driver."""
     path = f"{shared_dir(spark)}/namelattice-{uuid.uuid4().hex[:12]}/{name}"
     atexit.register(discard, spark, os.path.dirname(path))
+    blocks = _BLOCKS[: len(_BLOCKS) - keep]
+    if blocks:
+        blocks[-1].append(os.path.dirname(path))
     return path
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables written inside this block when it ends; nothing made in it may be read later but what was stored with ``keep``."""
+    _BLOCKS.append([])
+    try:
+        yield
+    finally:
+        for path in _BLOCKS.pop():
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that no later read needs; through Hadoop, as the folder may be remote."""
     try:
@@ -46,10 +69,10 @@ def discard(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the frame that reads it back."""
+def stored(df: DataFrame, name: str, fmt: str = "parquet", keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the frame that reads it back; ``keep`` as for :func:`fresh_path`."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, keep)
     df.write.format(fmt).options(**options).save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
