@@ -1,5 +1,6 @@
 """The naming operators on hand-traced names and against a sequential model of the clustering rules."""
 
+import os
 import random
 
 import pytest
@@ -195,14 +196,146 @@ def test_concepts_equal_the_sequential_rules(spark, seed):
 
 
 def test_clean_up_cuts_like_children(spark):
+    # A unit's sixth child repeats five of its children: alike enough to be cut off, too unlike to be one concept with it.
     kids = "abcdef"
-    values = [f"top{t}/{k}1/{j}x" for t in "pq" for k in kids for j in kids[:5]] + [f"top{t}/{k}" for t in "pq" for k in kids]
+    values = [f"top{t}/{k * 4}" for t in "pq" for k in kids[:5]] + [f"top{t}/{'f' * 4}/{k * 4}" for t in "pq" for k in kids[:5]]
     run = Run(names(spark, values))
     cut, after = run.cleaned
-    for r in after.collect():
-        original = {m for c in run.found.concepts.where(F.col("concept_id") == r.concept_id).collect() for m in c.members}
-        assert set(r.members) <= original
-    assert cut.count() >= 0 and tree.closure(run.tree, cut).count() <= tree.closure(run.tree).count()
+    assert {tuple(r) for r in cut.collect()} == {("TOPP", "TOPPFFFF"), ("TOPQ", "TOPQFFFF")}
+    assert sorted(sorted(r.members) for r in after.collect()) == [[k * 4 for k in "ABCDE"], [k * 4 for k in "ABCDE"]]
+    assert tree.closure(run.tree, cut).where("ancestor = 'TOPP'").count() == 5 and tree.closure(run.tree).where("ancestor = 'TOPP'").count() == 11
+
+
+def test_closure_of_a_deep_walk(spark):
+    deep = [f"t{chr(97 + i)}{chr(97 + i)}" + "q" * 3 for i in range(21)]
+    run = Run(names(spark, ["/".join(deep), "/".join(deep[:4])]))
+    rows = tree.closure(run.tree).collect()
+    assert len(rows) == 21 * 20 // 2 and max(r.distance for r in rows) == 20
+    assert all(len(r.rel_path) == r.distance and r.node_id == r.ancestor + "".join(r.rel_path) for r in rows)
+    assert tree.closure(run.tree.limit(0)).count() == 0
+
+
+def test_seeds_in_rounds_and_at_once(spark):
+    rng = random.Random(4)
+    order = rng.sample(range(60), 60)
+    sets = spark.createDataFrame([(f"s{i:02d}", (f"p{order[i]:02d}", 1)) for i in range(60)], "set_id string, ord struct<first_point:string,depth:int>")
+    links = {tuple(sorted(rng.sample(range(50), 2))) for _ in range(70)} | {(i, i + 1) for i in range(30, 49)}
+    pairs = spark.createDataFrame([(f"s{a:02d}", f"s{b:02d}") for a, b in links], "a string, b string")
+    expected = set()
+    for i in sorted(range(60), key=lambda i: order[i]):
+        if not any((min(i, j), max(i, j)) in links for j in expected):
+            expected.add(i)
+    for few in (0, 5, 1000):
+        assert {r.set_id for r in clusters.seeds(sets, pairs, few).collect()} == {f"s{i:02d}" for i in expected}
+
+
+def test_base_classes_take_over_nodes(spark):
+    tree_rows = [("a", "ALPHA", None, 1, "p1"), ("b", "BETA", None, 1, "p2"), ("c", "7", None, 1, "p3"), ("d", "BETA", None, 1, "p4"), ("e", "GAMMA", None, 1, "p5")]
+    nodes = spark.createDataFrame(tree_rows, "node_id string, token string, parent_id string, depth int, first_point string")
+    members = spark.createDataFrame([("a", ["X"], 1), ("b", ["Y"], 1), ("c", ["Z"], 1), ("d", ["X"], 1), ("e", ["8"], 1)], "node_id string, members array<string>, size int")
+    membership = spark.createDataFrame([("one", n) for n in "abcde"] + [("two", "f")], "concept_id string, node_id string")
+    classes, edges, moves = semantics.simple_bases(nodes, members, membership)
+    got = {r.concept_id: tuple(r.members) for r in classes.collect()}
+    # The base has the child of the last node whose child is no number: d's X.
+    assert set(got.values()) == {("X",), ("ALPHA", "X"), ("BETA", "Y")}
+    assert {(got[r.src], got[r.dst]) for r in edges.collect()} == {(("X",), ("ALPHA", "X")), (("X",), ("BETA", "Y"))}
+    assert {r.node_id: got[r.concept_id] for r in moves.collect()} == {"a": ("ALPHA", "X"), "b": ("BETA", "Y"), "d": ("BETA", "Y")}
+    concepts = spark.createDataFrame([("one", ["X"], ("p1", 1)), ("two", ["Q", "R"], ("p9", 1)), ("three", ["S"], ("p9", 2))], "concept_id string, members array<string>, ord struct<first_point:string,depth:int>")
+    found = clusters.with_base_classes(clusters.Concepts(concepts, membership), classes, moves)
+    assert {r.concept_id for r in found.concepts.collect()} == {"one", "two", "three", *got}
+    assert {(r.concept_id, r.node_id) for r in found.membership.collect()} >= {("one", "c"), ("one", "e"), ("two", "f")} and found.membership.count() == 6
+    whole = clusters.with_base_classes(clusters.Concepts(concepts, membership.where("node_id not in ('c', 'e')")), classes, moves)
+    assert {r.concept_id for r in whole.concepts.collect()} == {"two", "three", *got}
+
+
+def test_derivations_in_the_graph(spark):
+    concepts = spark.createDataFrame([("a", ["u", "v", "w"]), ("b", ["u", "v", "w", "x"]), ("c", ["u", "v", "w", "y"]), ("d", ["k", "l"])], "concept_id string, members array<string>")
+    edges = spark.createDataFrame([("b", "d", "association"), ("a", "d", "association"), ("c", "d", "association"), ("z", "b", "derivation"), ("z", "c", "derivation"), ("b", "z", "derivation")], "src string, dst string, edge_type string")
+    assert {tuple(r) for r in semantics.siblings(edges).collect()} == {("b", "c"), ("c", "b")}
+    assert {tuple(r) for r in semantics.relatives(edges).collect()} == {("z", "b"), ("b", "z")}
+    found, bases = semantics.derivations(concepts, edges)
+    assert {(r.src, r.dst) for r in found.collect()} == {("a", "b"), ("a", "c")} and bases.count() == 0  # b and c have one base already
+    alone, more = semantics.derivations(concepts.where("concept_id in ('b', 'c')"), edges.limit(0))
+    assert alone.count() == 2 and [sorted(r.members) for r in more.collect()] == [["u", "v", "w"]]
+    after = {tuple(r) for r in semantics.with_derivations(edges, found).collect()}
+    assert ("a", "d", "association") in after and ("b", "d", "association") not in after and ("c", "d", "association") not in after and ("a", "b", "derivation") in after
+    names_ = spark.createDataFrame([("d", "w")], "concept_id string, name string")
+    start = edges.where("src = 'b' and dst = 'd'")
+    moved = {tuple(r) for r in semantics.with_derivations(start, found, concepts, names_).collect()}
+    assert moved == {("a", "b", "derivation"), ("a", "c", "derivation"), ("a", "d", "association")}
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
+    starts = spark.createDataFrame([("a", "u"), ("b", "x"), ("d", "k"), ("d", "none")], "concept_id string, token string")
+    assert {tuple(r) for r in semantics.base_with_member(concepts, ring, starts).collect()} == {("a", "u", "c"), ("b", "x", "b"), ("d", "k", "d")}
+    said = semantics.base_report(concepts, found, spark.createDataFrame([("b", "n1"), ("b", "n2")], "concept_id string, node_id string"), concepts.select("concept_id", F.upper("concept_id").alias("name")), concepts.select("concept_id", F.lit("VAV").alias("class_label")))
+    assert {(r.base_id, r.value) for r in said.collect()} == {("a", "derived class B label VAV id b instances 2"), ("a", "derived class C label VAV id c instances 0")}
+
+
+def test_relations_meet_over_rare_members_only(spark):
+    rng = random.Random(7)
+    sets = [sorted(rng.sample("abcdefghij", rng.randint(1, 7))) for _ in range(40)]
+    concepts = spark.createDataFrame([(f"c{i:02d}", m) for i, m in enumerate({tuple(s): s for s in sets}.values())], "concept_id string, members array<string>")
+    rows = {r.concept_id: set(r.members) for r in concepts.collect()}
+    none = spark.createDataFrame([], "src string, dst string, edge_type string")
+    edges, _ = semantics.derivations(concepts, none, 0.5, 0.7)
+    direct = {(r.src, r.dst) for r in edges.collect() if r.src in rows}
+    expected = {(a, b) for a, x in rows.items() for b, y in rows.items() if len(x) > 2 and x < y}
+    assert expected and expected <= direct
+    assert all((a, b) in expected or len(rows[a] & rows[b]) >= 0.7 * max(len(rows[a]), len(rows[b])) for a, b in direct)
+    members = concepts.select(F.col("concept_id").alias("node_id"), "members", F.size("members").alias("size"))
+    for ratio in (0.5, 0.6, 0.9):
+        fits = lambda a, b: a == b or max(a, b) - min(a, b) < min(a, b) * (1.0 - ratio)
+        pairs = {(a, b, len(x & y)) for a, x in rows.items() for b, y in rows.items() if a != b and min(len(x), len(y)) >= 2 and fits(len(x), len(y)) and len(x & y) / len(x) >= ratio}
+        assert {tuple(r) for r in similarity.similar_asymmetric(members, ratio).collect()} == pairs
+
+
+def sequential_labels(points, model, overflow):
+    """Scores of all points and labels; the best free pair again and again, the first label and point of equals."""
+    free_labels, free_points, out = list(model), list(range(len(points))), {}
+    while free_labels:
+        if not free_points and overflow == "stop":
+            break
+        scored = [(scoring.best_score(points[p], model[label]) if p in free_points else -1.0, label, p) for label in free_labels for p in range(len(points))]
+        best = max(x[0] for x in scored)
+        _, label, point = next(x for x in scored if x[0] == best)
+        out[point] = (label, best)
+        free_labels.remove(label)
+        free_points = [p for p in free_points if p != point]
+    return out
+
+
+@pytest.mark.parametrize("overflow", ["stop", "overwrite"])
+def test_labels_equal_a_sequential_assignment(spark, overflow):
+    rng = random.Random(11)
+    words = "ZN T TEMP SP SET OCC HUM RH ROOM POS DMP VAV AIR OAT X1 FOO".split()
+    rows, expected = [], set()
+    for c, equip in enumerate(("VAV", "AHU", "VRF", "VAV")):
+        points = sorted({tuple(rng.choices(words, k=rng.randint(1, 3))) for _ in range(rng.choice([3, 9]))})
+        rows += [(f"c{c}", list(p), list(p)) for p in points]
+        model = catalog.point_model("flat")[equip]
+        expected |= {(f"c{c}", points[i], label, round(score, 9)) for i, (label, score) in sequential_labels([list(p) for p in points], model, overflow).items()}
+    table = spark.createDataFrame(rows, "concept_id string, rel_path array<string>, tokens array<string>").repartition(3)
+    classes = spark.createDataFrame([("c0", "VAV"), ("c1", "AHU"), ("c2", "VRF"), ("c3", "VAV")], "concept_id string, class_label string")
+    got = labelling.assigned_labels(table, classes, Config(catalog_merge="flat", overflow=overflow)).collect()
+    assert {(r.concept_id, tuple(r.rel_path), r.label, round(r.score, 9)) for r in got} == expected
+
+
+def test_candidates_by_hand(spark):
+    leaves = spark.createDataFrame([("l1", "p1"), ("l2", "p2")], "leaf_id string, point_name string")
+    closure = spark.createDataFrame([("l1", "n1", 1, ["T"]), ("l1", "n2", 2, ["N", "T"]), ("l1", "n3", 3, ["M", "N", "T"]), ("l1", "n4", 4, ["K"]), ("l2", "n2", 1, ["Q"]), ("l2", "n5", 2, ["R"])], "node_id string, ancestor string, distance int, rel_path array<string>")
+    membership = spark.createDataFrame([("c1", "n1"), ("c2", "n2"), ("c3", "n3"), ("c4", "n4"), ("c5", "n5")], "concept_id string, node_id string")
+    classes = spark.createDataFrame([("c1", "VAV"), ("c2", "AHU"), ("c3", "VAV"), ("c4", "COLLECTION"), ("c5", "nnnn")], "concept_id string, class_label string")
+    points = spark.createDataFrame([("c1", ["T"], "ZoneTemp(VAV)", 0.4, "p1"), ("c2", ["N", "T"], "Humidity(AHU)", 0.9, "p1"), ("c4", ["K"], "X", 0.7, "p1")], "concept_id string, rel_path array<string>, label string, score double, point_name string")
+
+    def listed(**options):
+        rows = labelling.candidates(leaves, closure, membership, classes, points, **options)
+        return {r.point_name: [(c["class"], c.node, c.label, c.score) for c in r.cands] for r in rows.collect()}, labelling.resolved(rows).collect()
+
+    found, best = listed()
+    # One candidate a class, the nearest; a collection has no label and no score; a skipped class is no candidate.
+    assert found == {"p1": [("VAV", "n1", "ZoneTemp(VAV)", 0.4), ("AHU", "n2", "Humidity(AHU)", 0.9), ("COLLECTION", "n4", None, None)], "p2": [("AHU", "n2", "UNKNOWN", 0.0)]}
+    assert {(r.original_point, r.equipment, r.node, r.distance) for r in best} == {("p1", "AHU", "n2", 0.9), ("p2", "AHU", "n2", 0.0)}
+    assert listed(limit=0.5)[0] == {"p1": [("AHU", "n2", "Humidity(AHU)", 0.9), ("COLLECTION", "n4", None, None)]}
+    assert listed(drop_unknown=True)[0].keys() == {"p1"}
 
 
 def test_set_relations(spark):
@@ -274,6 +407,9 @@ def test_trained_classifier_and_plug_ins(spark, tmp_path):
     mean, std = classifier.fitted_scaler(vectors)
     model = classifier.train(vectors, classes, mean, std, iterations=8)
     sizes = classes.select("concept_id", F.when(F.col("concept_id") == "AHU0", 1).when(F.col("concept_id") == "AHU1", 151).otherwise(9).alias("n"))
+    model.save(str(tmp_path / "device"))
+    again = classifier.DeviceModel.load(str(tmp_path / "device"))
+    assert again.labels == model.labels and sorted(classifier.predicted(vectors, sizes, again, mean, std).collect()) == sorted(classifier.predicted(vectors, sizes, model, mean, std).collect())
     got = dict(classifier.predicted(vectors, sizes, model, mean, std).collect())
     assert got.pop("AHU0") == "UNKNOWN" and got.pop("AHU1") == "UNINTELLIGIBLE" and all(k[:3] == v for k, v in got.items())
     run = Run(names(spark, F1), classify=True, device_classifier=lambda sizes, vectors, floor: sizes.select("concept_id", F.lit("AHU").alias("class_label")))
@@ -287,6 +423,91 @@ def test_empty_corpus(spark):
     assert run.resolved().count() == 0 and {r.value for r in run.report().collect()} == {0}
 
 
+def test_settings(tmp_path, monkeypatch):
+    from namelattice.config import read_settings
+
+    monkeypatch.chdir(tmp_path)
+    with pytest.raises(FileNotFoundError, match="settings.json"):
+        read_settings("settings.json")
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / "settings.json").write_text('{"OUTPUTFOLDER": "out/x", "SIMILARITY": 0.8, "least_members": 3, "OTHER": [1]}')
+    found = read_settings("settings.json")
+    assert found.OTHER == [1] and (tmp_path / "out" / "x").is_dir()
+    assert Config.of(found) == Config(similarity=0.8, least_members=3)
+    for bad in ("[1]", "{"):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(ValueError, match="bad.json"):
+            read_settings(str(tmp_path / "bad.json"))
+
+
+def test_database_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    statement = connection.createStatement()
+    texts = ", ".join(f'"{c}" VARCHAR(100)' for c in sinks.DATASET_COLUMNS)
+    statement.execute(f'CREATE TABLE about ("dataset_id" INT GENERATED ALWAYS AS IDENTITY (START WITH 7), {texts})')
+    columns = ", ".join(f'"{c}" ' + ("INT" if c == "device_id" else "VARCHAR(100)") for c in sinks.POINT_COLUMNS)
+    statement.execute(f'CREATE TABLE points ({columns}, "dataset_id" INT)')
+    connection.close()
+    rows = [(f"AHU0{i % 3}/MAT", "x", "ai", i % 3, "y", "o", "z", "1") for i in range(9)]
+    points = spark.createDataFrame(rows, "point_name string, description string, object_type string, device_id int, device_name string, object_id string, program_name string, value string")
+    about = {"dataset_name": "d", "vendor": "v", "date": "2020", "distributor": "w", "site": "s"}
+    properties = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    first = sinks.write_dataset(points, about, url, "about", "points", properties)
+    second = sinks.write_dataset(points.limit(1), about | {"site": "t"}, url, "about", "points", properties)
+    assert (first, second) == (7, 8)
+    found = sources.read_points_jdbc(spark, url, "points", "7", properties)
+    assert sorted(r.point_name for r in found.collect()) == ["AHU00/MAT", "AHU01/MAT", "AHU02/MAT"]
+    apart = sources.read_points_jdbc(spark, url, "points", "8", properties, ("device_id", 0, 3, 2))
+    assert apart.count() == 1 and Run(found.select("point_name")).names.count() == 3
+
+
+def test_graph_by_class(spark):
+    ids = spark.createDataFrame([("a", 'n"a'), ("b", "nb"), ("c", "nc")], "concept_id string, name string")
+    counts = spark.createDataFrame([("a", 1), ("b", 5)], "concept_id string, n_instances long")
+    edges = spark.createDataFrame([("a", "b", "derivation")], "src string, dst string, edge_type string")
+    classes = spark.createDataFrame([("a", "AHU", 9), ("b", "VAV", 4), ("c", "VAV", 3)], "concept_id string, class_label string, n_points int")
+    lines = [r.value for r in sinks.dot_lines(ids, counts, edges, classes).orderBy("ord").collect()]
+    text_ = "\n".join(lines)
+    assert text_.count("subgraph") == 3 and text_.count("{") == text_.count("}") == 4
+    assert text_.index('"c" [') < text_.index("device AHU") < text_.index('"a" [label="n\'a"') < text_.index("device VAV") < text_.index('"b" [') < text_.index('"a" -> "b" [color=blue]')
+    assert f"width={1.6 + 1.6094:.3f}" in text_
+
+
+def test_intermediates_are_released(spark, tmp_path):
+    from namelattice import storage
+
+    with storage.released(spark):
+        inner = storage.stored(spark.range(3).toDF("x"), "inner")
+        kept = storage.stored(inner, "kept", keep=True)
+        assert inner.count() == 3
+        gone = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(gone)
+    assert not os.path.exists(gone) and kept.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from namelattice import storage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(cluster)
+
+
+def test_naming_stays_without_the_training_part(monkeypatch, capsys):
+    import __spark_entry__ as entry
+
+    def fails(name):
+        raise ImportError("no module of that name")
+
+    monkeypatch.setattr(entry.importlib, "import_module", fails)
+    assert "similar_pairs" in entry.queries() and not any(k.startswith("op") for k in entry.queries())
+    assert "similar_pairs" in entry.oracle_sql()
+
+
 def test_streamed_names(spark, tmp_path):
     from namelattice.streaming.names import tokenized_stream
 
@@ -309,7 +530,7 @@ def test_common_prefix_over_all_names(spark):
     import __spark_entry__ as entry
 
     sf_dir = "/root/testdata/sf0.001"
-    rows = entry.queries()["strip_common_prefix_all"](spark, sf_dir).collect()
+    rows = entry.queries()["strip_common_prefix"](spark, sf_dir).collect()
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     assert len(rows) == part.select("p_brand", text.tokens(F.concat_ws("/", "p_type", "p_name"))).distinct().count()
     assert len({r.concept_id.split("/")[1] for r in rows}) > 1
