@@ -70,3 +70,15 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, sf).collect()
     assert sorted(map(repr, whole)) == sorted(map(repr, last))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    sf = str(tmp_path)
+    schema = SCHEMA + ", h string, key long, doc string, row int, t string, size int"
+    spark.createDataFrame([], schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 1, "h", 2, "doc", 3, "t", 4), (None, None, None, None, None, None, None, None, None, None, None)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns, name
