@@ -5,7 +5,8 @@ digits, its runs of letters and digits, and parts that follow another token of
 the vocabulary inside it (a token of three characters or more that occurs
 exactly once, digits coming next).  A token used up that way serves no longer
 token.  Whether it is used up depends only on tokens inside it, so each token
-is resolved with the vocabulary's tokens that are substrings of it, row by row.
+is resolved with the vocabulary's tokens that are substrings of it, row by row;
+those are found by an equi-join on short runs of characters.
 """
 
 from __future__ import annotations
@@ -56,13 +57,24 @@ def closed(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select(F.explode(F.concat(F.array("token"), parts)).alias("token")).distinct()
 
 
+def _grams(token):
+    """The different runs of three characters of a token of three or more, as a column."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) - 2), lambda at: F.substr(token, at, F.lit(3))))
+
+
 def _inside(targets: DataFrame, vocabulary: DataFrame, name: str) -> DataFrame:
-    """``token, <name>``: tokens of the vocabulary inside each target, by an equi-join on its substrings."""
-    n = F.length("token")
-    starts = targets.select("token", F.explode(F.sequence(F.lit(1), n - 2)).alias("at"))
-    pieces = starts.select("token", F.explode(F.transform(F.sequence(F.lit(3), n - F.col("at") + 1), lambda k: F.substr("token", F.col("at"), k))).alias("piece"))
-    pieces = pieces.where("piece <> token").distinct()
-    met = pieces.join(vocabulary.select(F.col("token").alias("piece")), "piece")
+    """``token, <name>``: tokens of the vocabulary inside each target, which meet over the rarest run of three characters of the inner one.
+
+    Rows grow with the length of the targets, not its square, and frequent runs make pairs only for tokens that have no other.
+    """
+    token = F.col("token")
+    grams = targets.select("token", F.explode(_grams(token)).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    inner = vocabulary.where(F.length("token") >= 3).select(token.alias("piece"), F.explode(_grams(token)).alias("gram"))
+    # A run that no target has settles that the token is inside none.
+    ranked = inner.join(rarity, "gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rarest"))
+    rarest = ranked.where("rarest.df > 0").select("piece", F.col("rarest.gram").alias("gram"))
+    met = grams.join(rarest, "gram").where((F.col("piece") != token) & F.contains(token, F.col("piece")))
     return met.groupBy("token").agg(F.array_sort(F.collect_set("piece")).alias(name))
 
 

@@ -205,7 +205,7 @@ def best_points(spark, sf_dir):
 
 
 def ranked_labels(spark, sf_dir):
-    return labelling.ranked_labels(scoring.label_scores(_by_brand(spark, sf_dir).select(F.col("rel_path").alias("tokens")))).select(*_joined("tokens"), "place", "label", "score")
+    return labelling.ranked_labels(scoring.label_scores(_by_brand(spark, sf_dir).select(F.col("rel_path").alias("tokens")))).select(*_joined("tokens"), "place", "label", F.round("score", 9).alias("score"))
 
 
 def concept_clusters(spark, sf_dir):
@@ -655,6 +655,14 @@ walks(concept_id, token, here, seen, n) AS (SELECT concept_id, unnest(members),
           n AS (SELECT concept_id, count(*) AS n FROM st GROUP BY 1)
           SELECT concept_id, equip, equip_ord::BIGINT AS equip_ord, round(CASE WHEN n > 1 AND n < 150 THEN pow(3 * coalesce(total, 0) / labels, 2) ELSE 0 END, 6)::DOUBLE AS feature
           FROM n CROSS JOIN lab LEFT JOIN total USING (concept_id, equip)""",
+        "best_points": f"""{_BRAND_SQL}{_STRIPPED_SQL.format(source='b')}{_scores_sql('st')},
+          last AS (SELECT equip, arg_max(label, label_ord) AS label FROM cat GROUP BY 1)
+          SELECT concept_id, equip, {joined('rel_path')} FROM (SELECT concept_id, equip, rel_path, row_number() OVER (PARTITION BY concept_id, equip ORDER BY round(score, 12) DESC, rel_path) AS place
+            FROM st JOIN sc USING (tokens) JOIN last USING (equip, label)) WHERE place = 1""",
+        "ranked_labels": f"""{_BRAND_SQL}, q AS (SELECT rel_path AS tokens FROM b){_scores_sql('q')},
+          by_place AS (SELECT tokens, sc.equip, sc.label, score, row_number() OVER (PARTITION BY tokens ORDER BY round(score, 12) DESC, sc.equip_ord, label_ord) AS place
+            FROM sc JOIN (SELECT DISTINCT equip, label, label_ord FROM cat) USING (equip, label))
+          SELECT {joined('tokens')}, place::INT AS place, label, round(score, 9) AS score FROM by_place WHERE place <= 3""",
         "resolved_argmax": """WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS point_name, o_orderpriority AS class, min(o_orderkey) AS ord, max(floor(o_totalprice / 50000))::DOUBLE AS score FROM orders GROUP BY 1, 2)
           SELECT point_name AS original_point, arg_max(class, (score, -ord)) AS equipment, 'n' AS node, max(score) AS distance, 'l' AS representation FROM c GROUP BY 1""",
     }

@@ -50,6 +50,15 @@ def test_vocabulary_falls_apart(spark):
     assert got["%%"] == ([], ["%%"]) and got["BAHU"] == ([], ["BAHU"])
 
 
+def test_tokens_inside_others_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choices("AB1é", k=rng.randint(1, 12))) for _ in range(400)} | {"AAAAAAA", "URL" + "X" * 3000 + "AAAAAAA7", "", "😀A1B"}
+    table = spark.createDataFrame([(w,) for w in sorted(words)], "token string")
+    got = {r.token: r.found for r in vocabulary._inside(table.where("length(token) >= 4"), table, "found").collect()}
+    expected = {w: sorted(x for x in words if len(x) >= 3 and x != w and x in w) for w in words if len(w) >= 4}
+    assert got == {w: found for w, found in expected.items() if found}
+
+
 def sequential_follow(words):
     """One pass over the vocabulary in order, as the rule is stated."""
     ordered = sorted(words, key=lambda t: (len(t), t))
