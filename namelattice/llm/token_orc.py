@@ -22,10 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .bounded import broadcast_if_small
 from ..storage import fresh_path, ship
 from .tokens import encoder, steps
 
 END_ID = 1
+#: Parts whose rows in the manifest are broadcast.
+MOST_PARTS = 500_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, stripe_mb: int = 16, cache_size: int = 1_000_000) -> None:
@@ -74,8 +77,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` as the files hold them."""
     rows = spark.read.schema("doc_id long, n_tokens long, first long, part int, ids array<int>").orc(f"{path}/ids")
     parts = spark.read.schema("part int, n long, n_docs long, base long").orc(f"{path}/manifest")
-    # One row a part; a part is a task's worth of documents, so this stays far below any of the data.
-    return rows.join(F.broadcast(parts.select("part", "base")), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
+    # One row of two numbers a part, a task's worth of documents; beyond MOST_PARTS of them the two are joined by a shuffle.
+    return rows.join(broadcast_if_small(parts.select("part", "base"), MOST_PARTS), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 
 def digest(rows: DataFrame) -> DataFrame:
