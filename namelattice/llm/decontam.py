@@ -31,12 +31,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bounded import broadcast_if_small
 from ..storage import fresh_path, ship, stored
 from .caches import keep_only
-from .words import byte_rows, words_of
+from .words import separated, words_of
 
 #: Words of a window, and words around the rarest one in which a proximity match has all others.
 WINDOW, WITHIN = 10, 20
@@ -44,7 +45,7 @@ WINDOW, WITHIN = 10, 20
 BLOCK_WORDS = 200_000
 #: Words in a segment before it is closed; bounds a row of the index to a few MB, or one document.
 SEGMENT_WORDS = 400_000
-#: Bytes of a text whose words are listed together.
+#: Bytes of a longer text whose words are listed together.
 PIECE = 4 << 20
 #: Places that are compared in one step of a search.
 STEP = 500_000
@@ -67,41 +68,72 @@ def _pieces(raw: bytes, size: int = PIECE) -> Iterator[bytes]:
     yield raw[start:] if start else raw
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of separated texts one behind the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, ends = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.not_equal(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), np.diff(before[ends - ends[0]])
+
+
+def _worded(texts: pa.Array, size: int) -> Iterator[tuple[int, list[pa.Array], np.ndarray]]:
+    """``(first row, words, words of each row)`` of runs of rows of at most ``size`` bytes together, or of one longer row."""
+    texts = separated(texts)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(texts):
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + size, side="right")))
+        if stop - start > 1 or ends[start] - held <= PIECE:
+            words, sizes = _split(texts.slice(start, stop - start))
+            yield start, [words.dictionary_encode()], sizes
+        else:
+            found = [_split(pa.array([piece], pa.binary()).cast(pa.string())) for piece in _pieces(texts[start].as_buffer().to_pybytes())]
+            yield start, [words.dictionary_encode() for words, _ in found], np.array([sum(int(n[0]) for _, n in found)])
+        start = stop
+
+
+def _ordered(codes: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of codes below ``size``, by 16 bits at a time."""
+    order = np.argsort(codes.astype(np.uint16), kind="stable")
+    if size > 1 << 16:
+        order = order[np.argsort((codes >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 class _Segment:
     """A run of documents, growing until it is written as one row."""
 
     def __init__(self) -> None:
-        self.terms: dict[bytes, int] = {}
-        self.codes: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.words: list[pa.DictionaryArray] = []
+        self.sizes: list[np.ndarray] = []
         self.rows: list[tuple] = []
         self.held = 0
 
-    def add(self, row: tuple, raw: bytes) -> None:
-        terms, size = self.terms, 0
-        for piece in _pieces(raw):
-            words = words_of(piece)
-            self.codes.append(np.fromiter((terms.setdefault(w, len(terms)) for w in words), dtype=np.int32, count=len(words)))
-            size += len(words)
-        self.sizes.append(size)
-        self.rows.append(row)
-        self.held += size + 1
+    def add(self, rows: list[tuple], words: list[pa.DictionaryArray], sizes: np.ndarray) -> None:
+        self.words += words
+        self.sizes.append(sizes)
+        self.rows += rows
+        self.held += int(sizes.sum()) + len(sizes)
 
     def batch(self) -> pa.RecordBatch:
         # Documents lie on one axis with a free place between them, so that no phrase runs across.
-        sizes = np.array(self.sizes, dtype=np.int64)
+        sizes = np.concatenate(self.sizes).astype(np.int64)
         places = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        names = sorted(self.terms)
-        rank = np.empty(len(names), dtype=np.int32)
-        rank[np.fromiter(map(self.terms.__getitem__, names), dtype=np.int64, count=len(names))] = np.arange(len(names))
-        flat = rank[np.concatenate(self.codes)]
-        at = (np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes))[np.argsort(flat, kind="stable")]
-        ends = np.cumsum(np.bincount(flat, minlength=len(names)))
+        parts = pa.chunked_array(self.words).unify_dictionaries().chunks
+        terms = parts[0].dictionary.cast(pa.binary())
+        order = pc.sort_indices(terms).to_numpy()
+        rank = np.empty(len(terms), dtype=np.int32)
+        rank[order] = np.arange(len(terms))
+        flat = rank[np.concatenate([part.indices.to_numpy() for part in parts])]
+        at = (np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes))[_ordered(flat, len(terms))]
+        ends = np.cumsum(np.bincount(flat, minlength=len(terms)))
         # Positions are stored as steps from one to the next, which are small for frequent words.
-        columns = [(names, pa.binary()), (ends, pa.int32()), (np.diff(at, prepend=0), pa.int32())]
-        columns += [(list(x), pa.int64()) for x in zip(*self.rows)] + [(places, pa.int64()), (sizes, pa.int64())]
-        kinds = [pa.array([values], pa.list_(kind)) for values, kind in columns]
-        return pa.RecordBatch.from_arrays(kinds, names=["terms", "ends", "steps", "row", "doc_id", "h", "places", "n_words"])
+        columns = [terms.take(pa.array(order)), pa.array(ends, pa.int32()), pa.array(np.diff(at, prepend=0), pa.int32())]
+        columns += [pa.array(x, pa.int64()) for x in zip(*self.rows)] + [pa.array(places), pa.array(sizes)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values) for values in columns]
+        return pa.RecordBatch.from_arrays(lists, names=["terms", "ends", "steps", "row", "doc_id", "h", "places", "n_words"])
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
@@ -114,8 +146,10 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         keep_only("decontam")
         segment = _Segment()
         for batch in batches:
-            for row, raw in zip(zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "h"))), byte_rows(batch.column("t"))):
-                segment.add(row, raw)
+            rows = list(zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "h"))))
+            # A byte and its separator are a word at the least, so a run of rows stays below half a segment.
+            for start, words, sizes in _worded(batch.column("t"), segment_words):
+                segment.add(rows[start : start + len(sizes)], words, sizes)
                 if segment.held >= segment_words:
                     yield segment.batch()
                     segment = _Segment()
@@ -130,14 +164,24 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_INDEX_SCHEMA).parquet(path)
 
 
+def _codes(terms: pa.Array, asked_for: pa.Array) -> np.ndarray:
+    """The places of ``terms`` in ``asked_for``, -1 for those that aren't there."""
+    return pc.fill_null(pc.index_in(terms, value_set=asked_for), -1).to_numpy().astype(np.int64)
+
+
+def _asked_for(lookup: dict[bytes, int]) -> pa.Array:
+    """The words of ``lookup``, whose numbers are their places."""
+    return pa.array(list(lookup), pa.binary())
+
+
 class Postings:
-    """The lists of those words of one segment that a search asks for, by the search's own numbers."""
+    """The lists of those words of one segment that a search asks for, by their places in ``asked_for``."""
 
-    def __init__(self, part: dict[str, pa.Array], lookup: dict[bytes, int]):
+    def __init__(self, part: dict[str, pa.Array], asked_for: pa.Array):
         self.places, self.sizes = part["places"].to_numpy(), part["n_words"].to_numpy()
         self.total = int(self.places[-1] + self.sizes[-1]) + 2
         ends = part["ends"].to_numpy().astype(np.int64)
-        code = np.fromiter((lookup.get(term, -1) for term in part["terms"].to_pylist()), dtype=np.int64, count=len(ends))
+        code = _codes(part["terms"], asked_for)
         asked = np.flatnonzero(code >= 0)
         asked = asked[np.argsort(code[asked])]
         flat = np.cumsum(part["steps"].to_numpy().astype(np.int64))
@@ -145,7 +189,7 @@ class Postings:
         start = (ends - np.diff(ends, prepend=0))[asked]
         #: All lists one behind the other in the order of numbers, as number * total + position: ascending throughout.
         self.keys = np.repeat(code[asked], count) * self.total + flat[np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)]
-        self.first = np.zeros(len(lookup) + 1, dtype=np.int64)
+        self.first = np.zeros(len(asked_for) + 1, dtype=np.int64)
         self.first[code[asked] + 1] = count
         self.first = np.cumsum(self.first)
 
@@ -161,10 +205,11 @@ class Postings:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], lookup: dict[bytes, int]) -> Iterator[tuple[dict[str, pa.Array], Postings]]:
+    asked_for = _asked_for(lookup)
     for batch in batches:
         for i in range(batch.num_rows):
             part = {k: batch.column(k)[i].values for k in batch.schema.names}
-            yield part, Postings(part, lookup)
+            yield part, Postings(part, asked_for)
 
 
 def term_counts(index: DataFrame, lookup: dict[bytes, int]) -> np.ndarray:
@@ -172,10 +217,11 @@ def term_counts(index: DataFrame, lookup: dict[bytes, int]) -> np.ndarray:
     shared = index.sparkSession.sparkContext.broadcast(lookup)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(shared.value), dtype=np.int64)
+        asked_for = _asked_for(shared.value)
+        found = np.zeros(len(asked_for), dtype=np.int64)
         for batch in batches:
             for terms, ends in zip(batch.column("terms"), batch.column("ends")):
-                code = np.fromiter((shared.value.get(term, -1) for term in terms.values.to_pylist()), dtype=np.int64, count=len(terms))
+                code = _codes(terms.values, asked_for)
                 found[code[code >= 0]] += np.diff(ends.values.to_numpy(), prepend=0)[code >= 0]
         hit = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(found[hit])], names=["term", "n"])

@@ -183,6 +183,33 @@ def test_one_index_serves_all_test_sets(spark, texts, tmp_path, monkeypatch):
         assert got == {i for i, t in enumerate(texts) if plain_windows(plain_words(t), plain_words(body))[0]} and got
 
 
+@pytest.mark.parametrize("size, piece", [(1, 8), (60, 40), (10_000, 1 << 20)])
+def test_words_are_listed_in_order(texts, size, piece, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE", piece)
+    rows = [*texts, None, "", " -", "A" * 50, "é, B " * 40]
+    segment, counts = decontam._Segment(), []
+    for start, words, sizes in decontam._worded(pa.array(rows), size):
+        assert start == len(counts)
+        counts += sizes.tolist()
+        segment.add([(start + i, start + i, 0) for i in range(len(sizes))], words, sizes)
+    bodies = [plain_words(t) for t in rows]
+    assert counts == [len(body) for body in bodies]
+    (part,) = segment.batch().to_pylist()
+    assert part["row"] == list(range(len(rows))) and part["terms"] == sorted(part["terms"])
+    expected = {}
+    for place, body in zip(part["places"], bodies):
+        for i, word in enumerate(body):
+            expected.setdefault(word.encode(), []).append(place + i)
+    at = np.cumsum(part["steps"]).tolist()
+    assert {term: at[low:high] for term, low, high in zip(part["terms"], [0, *part["ends"]], part["ends"])} == expected
+
+
+def test_order_of_many_codes():
+    codes = np.random.default_rng(1).integers(0, 200_000, 50_000).astype(np.int32)
+    assert (decontam._ordered(codes, 200_000) == np.argsort(codes, kind="stable")).all()
+    assert (decontam._ordered(codes % 1000, 1000) == np.argsort(codes % 1000, kind="stable")).all()
+
+
 def test_blocks_of_the_test_set_are_bounded(spark):
     words = [f"w{i}" for i in range(95)]
     items = spark.createDataFrame([(1, " ".join(words)), (2, "a b c"), (3, None)], "item_id long, text string")
