@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are compared by their words (runs of white space are one space).  Equal
-lines are collapsed first.  For lines of ``MIN_WORDS`` words or more the edit
+lines are collapsed first.  For lines of ``min_words`` words or more the edit
 bound is one word inserted, deleted or replaced: every line emits itself and
 all its variants with one word deleted as 64-bit keys, and
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .bounded import broadcast_if_small
 from ..storage import stored
 
-#: Shorter lines are near anything: only exact repeats of them are dropped.
+#: Shorter lines are near anything: by default, only exact repeats of them are dropped.
 MIN_WORDS = 5
 #: Words whose running hashes are folded together at a time, so that long lines stay cheap.
 _BLOCK = 64
@@ -134,10 +134,14 @@ def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text: str) -> DataFra
     return checked.groupBy("id").agg(F.min(F.struct("of_first", "of")).alias("m")).select("id", F.col("m.of").alias("of"))
 
 
-def line_states(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, h, pos, state`` of every line that isn't blank; h is the hash of the text, state 0 kept, 1 repeated, 2 near an earlier line."""
+def line_states(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, h, pos, state`` of every line that isn't blank; h is the hash of the text, state 0 kept, 1 repeated, 2 near an earlier line.
+
+    With ``min_words`` 1 all lines are compared; any two of one word are then
+    within the bound.
+    """
     n = F.col("n")
-    keys = F.when(n >= MIN_WORDS, half_keys(F.col("line"), n))
+    keys = F.when(n >= min_words, half_keys(F.col("line"), n))
     lines = stored(_exploded(docs, id_col, text).withColumn("n", word_count(F.col("line"))).select("doc_id", "h", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("id"), keys.alias("keys")), "occurrences")
     firsts = stored(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos", "h")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "firsts")
     near = stored(_near(docs, firsts, id_col, text), "near")
@@ -154,9 +158,9 @@ def _by_document(states: DataFrame) -> DataFrame:
     return states.groupBy("doc_id", "h").agg(at.alias("lines"))
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def summary(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, n_lines, n_exact, n_near, kept_lines``, a row for each row of ``docs``; ``kept_lines`` are places, comma-joined."""
-    by_doc = _by_document(line_states(docs, id_col, text)).withColumnsRenamed({"doc_id": "d", "h": "dh"})
+    by_doc = _by_document(line_states(docs, id_col, text, min_words)).withColumnsRenamed({"doc_id": "d", "h": "dh"})
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
     rows = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("dh")), "left")
     rows = rows.withColumn("lines", F.coalesce("lines", F.expr("cast(array() as array<struct<pos:int,state:int>>)")))
@@ -168,9 +172,9 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all columns, with repeated and near-repeated lines taken out of ``text``."""
-    by_doc = _by_document(line_states(docs, id_col, text)).where("exists(lines, x -> x.state > 0)")
+    by_doc = _by_document(line_states(docs, id_col, text, min_words)).where("exists(lines, x -> x.state > 0)")
     by_doc = by_doc.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), F.expr("transform(filter(lines, x -> x.state > 0), x -> x.pos)").alias("gone"))
     body = F.col(text).cast("string")
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(body).alias("key"), body.alias("body"))

@@ -470,7 +470,8 @@ def word_distance(a, b):
     return row[-1]
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("least", [5, 1])
+def test_line_dedup(spark, least):
     rng = random.Random(9)
     pool = [" ".join(rng.choices("a b c d e f g".split(), k=rng.choice([1, 3, 5, 6, 7, 7, 8]))) for _ in range(60)]
     for line in list(pool):
@@ -491,14 +492,14 @@ def test_line_dedup(spark):
             if line in seen:
                 state = 1
             else:
-                state = 2 if len(words) >= 5 and any(len(o) >= 5 and abs(len(o) - len(words)) <= 1 and word_distance(o, words) <= 1 for o in seen.values()) else 0
+                state = 2 if len(words) >= least and any(len(o) >= least and abs(len(o) - len(words)) <= 1 and word_distance(o, words) <= 1 for o in seen.values()) else 0
                 seen[line] = words
             expected.append((i, pos, state))
     assert {s for *_, s in expected} == {0, 1, 2}
-    got = line_dedup.line_states(frame(spark, docs)).collect()
+    got = line_dedup.line_states(frame(spark, docs), min_words=least).collect()
     assert sorted((r.doc_id, r.pos, r.state) for r in got) == sorted(expected)
     dropped = {(i, pos) for i, pos, s in expected if s}
-    texts = {r.doc_id: r.text for r in line_dedup.cleaned(frame(spark, docs)).collect()}
+    texts = {r.doc_id: r.text for r in line_dedup.cleaned(frame(spark, docs), min_words=least).collect()}
     assert texts == {i: t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in dropped) for i, t, _ in docs}
     assert len(line_dedup.summary(frame(spark, docs)).collect()) == len(docs)
     assert line_dedup.summary(frame(spark, [])).count() == 0
