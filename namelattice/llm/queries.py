@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, decontam, licenses, line_dedup, mixing, quality, token_counts, token_orc, toxicity, vector_dedup
+from . import bagminhash, decontam, fill_middle, language_id, licenses, line_dedup, mixing, quality, token_counts, token_orc, toxicity, variants, vector_dedup
 from .labelled import id_remainder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -221,6 +221,58 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predict_texts(docs, language_id.train(docs))
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), language_id.MODULUS) == language_id.HELD_OUT, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+g AS (SELECT run, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS x, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+  lambda s, b: xor(s >> 8, t[1 + xor(s, b) % 256])), 4294967295) AS h FROM g, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) ELSE run END AS word, c FROM h),
+n AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM n)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM v a JOIN n b ON a.v = b.word
+  UNION SELECT b.word, a.word FROM v a JOIN n b ON a.v = b.word),
+m AS (SELECT a AS word, count(*) AS n_near, min((-n, b)) AS best FROM near JOIN n ON n.word = b GROUP BY 1),
+f AS (SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * n.n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * n.n THEN -best[1] END AS form_n FROM n LEFT JOIN m USING (word)),
+c(word, last, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM f JOIN (SELECT word, max_by(last, step) AS root FROM c GROUP BY 1) USING (word)
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+r AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_dedup": op1_vector_dedup,
@@ -233,6 +285,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_orc": op3_token_orc,
         "op9_licenses": op9_licenses,
         "op10_token_counts": op10_token_counts,
+        "op11_language_id": op11_language_id,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -244,4 +299,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_licenses": _op9_sql(),
         "op7_bagminhash": OP7_SQL,
         "op8_decontam": OP8_SQL,
+        "op12_spelling_variants": OP12_SQL,
+        "op13_fill_middle": OP13_SQL,
     }
