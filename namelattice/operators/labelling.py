@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import COLLECTION, COMPOSITE, CONTAINER, SKIPPED_CLASS, UNINTELLIGIBLE, UNKNOWN, Config
-from ..storage import ship, stored
-from .catalog import Model, catalog, point_model
-from .components import connected_components
-from .scoring import best_score
+from ..storage import stored
+from .catalog import catalog, point_model
+from .components import strongly_connected
+from .scoring import label_scores
 
 
 def device_classes(sizes: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
@@ -19,41 +18,19 @@ def device_classes(sizes: DataFrame, vectors: DataFrame, floor: float) -> DataFr
     equipment with the largest feature, the first of equals, if it reaches
     ``floor``.
     """
-    top = vectors.groupBy("concept_id").agg(F.max(F.struct("feature", -F.col("equip_ord"), "equip")).alias("t"))
+    top = vectors.groupBy("concept_id").agg(F.max(F.struct(F.round("feature", 9).alias("feature"), -F.col("equip_ord"), "equip")).alias("t"))
     rows = sizes.join(top, "concept_id", "left")
     label = F.when(F.col("n") > 150, UNINTELLIGIBLE).when(F.col("n") < 2, UNKNOWN).when(F.col("t.feature") >= floor, F.col("t.equip")).otherwise(UNKNOWN)
     return rows.select("concept_id", label.alias("class_label"))
 
 
-def _resolved(rows: pd.DataFrame) -> pd.DataFrame:
-    """Class labels of one connected group of concepts, successors before the concepts that use them."""
-    own = {r.concept_id: r.own_label for r in rows.itertuples()}
-    ahead = {r.concept_id: sorted(r.successors) for r in rows.itertuples()}
-    label = dict.fromkeys(own, UNKNOWN)
-    done: set[str] = set()
-    for start in sorted(own):
-        stack = [(start, iter(ahead[start]))] if start not in done else []
-        done.update([start] if stack else [])
-        while stack:
-            concept, rest = stack[-1]
-            below = next((s for s in rest if s in own and s not in done), None)
-            if below is not None:
-                done.add(below)
-                stack.append((below, iter(ahead[below])))
-                continue
-            stack.pop()
-            seen = {label[s] for s in ahead[concept] if s in own}
-            if len(seen) == 1 and UNKNOWN not in seen:
-                label[concept] = CONTAINER
-            elif seen in ({"AHU", UNKNOWN}, {"VRF", UNKNOWN}):
-                label[concept] = own[concept]
-                if own[concept] == "AHU":
-                    label |= {s: UNKNOWN for s in ahead[concept] if s in own}
-            elif len(seen) > 1 and seen & {"VAV", "AHU", "VRF"}:
-                label[concept] = COMPOSITE
-            else:
-                label[concept] = own[concept]
-    return pd.DataFrame({"concept_id": list(label), "class_label": list(label.values())})
+def _revised(own: Column, seen: Column) -> Column:
+    """The class of a concept with class ``own`` by the set of classes that it uses, and whether it takes theirs."""
+    equipment = F.array(*map(F.lit, ("VAV", "AHU", "VRF")))
+    one, unknown = F.size(seen) == 1, F.array_contains(seen, UNKNOWN)
+    beside = (F.size(seen) == 2) & unknown & (F.array_contains(seen, "AHU") | F.array_contains(seen, "VRF"))
+    label = F.when(one & ~unknown, CONTAINER).when(beside, own).when((F.size(seen) > 1) & F.arrays_overlap(seen, equipment), COMPOSITE).otherwise(own)
+    return F.struct(label.alias("label"), (beside & (own == "AHU")).alias("takes"))
 
 
 def concept_classes(concepts: DataFrame, edges: DataFrame, own: DataFrame) -> DataFrame:
@@ -61,54 +38,69 @@ def concept_classes(concepts: DataFrame, edges: DataFrame, own: DataFrame) -> Da
 
     One kind of known successors makes a container, several with equipment a
     composite; an air handler among unknowns keeps its own class and takes its
-    successors'.  Concepts that no edge connects are done as columns; connected
-    groups, whose order of visits matters, a group at a time.
+    successors'.  Successors come first: cycles are condensed, and levels of the rest
+    solved one after the other, each by joins.  Order decides nothing: links
+    within a cycle, and of a concept with itself, see the class all begin with,
+    UNKNOWN; classes are taken last, when all are revised.
     """
-    ship(concepts.sparkSession)
+    known = concepts.select("concept_id").join(own, "concept_id", "left").select("concept_id", F.coalesce("class_label", F.lit(UNKNOWN)).alias("own"))
+    known = stored(known, "known")
     links = edges.where("edge_type = 'association'").select("src", "dst").distinct()
-    known = concepts.select("concept_id").join(own, "concept_id", "left").select("concept_id", F.coalesce("class_label", F.lit(UNKNOWN)).alias("own_label"))
-    group = connected_components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    after = links.groupBy("src").agg(F.collect_set("dst").alias("successors")).withColumnRenamed("src", "concept_id")
-    loops = links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    group = group.unionByName(loops.join(group.select("node"), "node", "left_anti"))
-    rows = stored(known.join(group, F.col("concept_id") == F.col("node"), "left").join(after, "concept_id", "left").select("concept_id", "own_label", "component", F.coalesce("successors", F.array().cast("array<string>")).alias("successors")), "classes")
-    apart = rows.where("component is null").select("concept_id", F.col("own_label").alias("class_label"))
-    return rows.where("component is not null").groupBy("component").applyInPandas(_resolved, "concept_id string, class_label string").unionByName(apart)
-
-
-def _assigned(rows: pd.DataFrame, model: Model, overflow: str) -> pd.DataFrame:
-    """Greedy one-to-one labels of one concept: the highest score of all, first label and first point of equals."""
-    rows = rows.sort_values("rel_path", key=lambda c: c.map(list), kind="stable")
-    labels = model.get(rows["class_label"].iloc[0], {})
-    points = [list(t) for t in rows["tokens"]]
-    scores = {label: [best_score(t, alts) for t in points] for label, alts in labels.items()}
-    found: dict[int, tuple[str, float]] = {}
-    while scores and points:
-        label = max(scores, key=lambda x: max(scores[x]))
-        best = max(scores[label])
-        point = scores[label].index(best)
-        if best < 0 and overflow == "stop":
-            break
-        found[point] = (label, float(best))
-        del scores[label]
-        for row in scores.values():
-            row[point] = -1.0
-    keep = sorted(found)
-    return pd.DataFrame({
-        "concept_id": rows["concept_id"].iloc[keep], "rel_path": rows["rel_path"].iloc[keep],
-        "label": [found[i][0] for i in keep], "score": [found[i][1] for i in keep],
-    })
+    for end in ("src", "dst"):
+        links = links.join(known.select(F.col("concept_id").alias(end)), end, "left_semi")
+    links = stored(links, "links")
+    cycle = strongly_connected(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    ends = [cycle.select(F.col("node").alias(end), F.col("component").alias(f"{end}_cycle")) for end in ("src", "dst")]
+    within = (F.col("src") == F.col("dst")) | F.coalesce(F.col("src_cycle") == F.col("dst_cycle"), F.lit(False))
+    links = stored(links.join(ends[0], "src", "left").join(ends[1], "dst", "left").select("src", "dst", within.alias("within")), "links")
+    revised = stored(known.join(links.select(F.col("src").alias("concept_id")), "concept_id", "left_anti").select("concept_id", F.col("own").alias("label"), F.lit(False).alias("takes")), "revised")
+    waiting = links
+    while not waiting.isEmpty():
+        met = waiting.join(revised.select(F.col("concept_id").alias("dst"), "label"), "dst", "left")
+        label = F.when(F.col("within"), UNKNOWN).otherwise(F.col("label"))
+        # At most a label for each class, so the set is small.
+        seen = met.groupBy(F.col("src").alias("concept_id")).agg(F.collect_set(label).alias("seen"), F.bool_or(label.isNull()).alias("waits")).where("NOT waits")
+        level = seen.join(known, "concept_id").select("concept_id", _revised(F.col("own"), F.col("seen")).alias("r")).select("concept_id", "r.label", "r.takes")
+        level = stored(level, "level")
+        revised = revised.unionByName(level)
+        waiting = stored(waiting.join(level.select(F.col("concept_id").alias("src")), "src", "left_anti"), "waiting")
+    taken = links.where("src <> dst").join(revised.where("takes").select(F.col("concept_id").alias("src")), "src").select(F.col("dst").alias("concept_id"), F.lit(True).alias("taken")).distinct()
+    return revised.join(taken, "concept_id", "left").select("concept_id", F.when(F.col("taken"), UNKNOWN).otherwise(F.col("label")).alias("class_label"))
 
 
 def assigned_labels(points: DataFrame, classes: DataFrame, config: Config = Config()) -> DataFrame:
     """``concept_id, rel_path, label, score`` of points (concept_id, rel_path, tokens) whose concept has equipment for a class.
 
-    Groups hold at most 150 points: larger concepts are unintelligible.
+    Labels are given once, the highest score of a concept first; of equals the
+    first label in the order of the catalogue, then the first point in the order
+    of paths.  In each round the pairs that are first for both their label and
+    their point are taken at once, which gives what taking the first of all
+    pairs again and again gives.  Rounds are at most the labels of an equipment.
+    If points run out, the rest of the labels is left ("stop") or goes to the
+    first point with score -1, the last one staying ("overwrite").
     """
-    ship(points.sparkSession)
-    model, overflow = point_model(config.catalog_merge), config.overflow
-    rows = points.join(classes.where(F.col("class_label").isin(*model)), "concept_id")
-    return rows.groupBy("concept_id").applyInPandas(lambda g: _assigned(g, model, overflow), "concept_id string, rel_path array<string>, label string, score double")
+    model = point_model(config.catalog_merge)
+    own = classes.where(F.col("class_label").isin(*model)).select("concept_id", F.col("class_label").alias("equip"))
+    rows = stored(points.join(own, "concept_id").select("concept_id", "equip", "rel_path", "tokens"), "points")
+    order = catalog(rows.sparkSession, model).select("equip", "label", "label_ord").distinct()
+    pairs = rows.join(label_scores(rows, model), ["equip", "tokens"]).join(F.broadcast(order), ["equip", "label"])
+    first = F.struct((-F.round("score", 12)).alias("less"), "label_ord", "rel_path")
+    pairs = stored(pairs.select("concept_id", "rel_path", "label", "label_ord", "score", first.alias("place")), "pairs")
+    given, left = None, pairs
+    while not left.isEmpty():
+        of_label, of_point = Window.partitionBy("concept_id", "label"), Window.partitionBy("concept_id", "rel_path")
+        best = (F.col("place") == F.min("place").over(of_label)) & (F.col("place") == F.min("place").over(of_point))
+        taken = stored(left.withColumn("best", best).where("best").drop("best"), "taken")
+        given = taken if given is None else given.unionByName(taken)
+        left = left.join(taken.select("concept_id", "label"), ["concept_id", "label"], "left_anti").join(taken.select("concept_id", "rel_path"), ["concept_id", "rel_path"], "left_anti")
+        left = stored(left, "left")
+    given = pairs if given is None else given
+    found = given.select("concept_id", "rel_path", "label", "score")
+    if config.overflow == "stop":
+        return found
+    over = pairs.select("concept_id", "label", "label_ord").distinct().join(given.select("concept_id", "label"), ["concept_id", "label"], "left_anti").groupBy("concept_id").agg(F.max(F.struct("label_ord", "label")).alias("l"))
+    over = over.join(rows.groupBy("concept_id").agg(F.min("rel_path").alias("rel_path")), "concept_id").select("concept_id", "rel_path", F.col("l.label").alias("label"), F.lit(-1.0).alias("score"))
+    return found.join(over, ["concept_id", "rel_path"], "left_anti").unionByName(over)
 
 
 def relabelled(concept_points: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Lists are returned joined by ``|``, so that both engines print them alike.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -295,10 +296,37 @@ def concept_classes(spark, sf_dir):
     return _plant(spark, sf_dir, classify=True).classes
 
 
+def revised_classes(spark, sf_dir):
+    """Parts as assemblies: part i uses 2i and 2i + 1; some use parts above them, in cycles of two, three and one."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    key = F.col("p_partkey")
+    above = {"2": F.lit(True), "4": key % 89 == 0}
+    down = [part.where(on).select(F.floor(key / int(by)).alias("src"), key.alias("dst")) for by, on in above.items() if by == "2"]
+    up = [part.where(key % 97 == 0).select(key.alias("src"), F.floor(key / 2).alias("dst")), part.where(above["4"]).select(key.alias("src"), F.floor(key / 4).alias("dst")), part.where(key % 101 == 0).select(key.alias("src"), key.alias("dst"))]
+    links = down[0]
+    for more in up:
+        links = links.unionByName(more)
+    edges = links.select(*(F.col(c).cast("long").cast("string").alias(c) for c in ("src", "dst")), F.lit("association").alias("edge_type"))
+    named = F.array(*map(F.lit, ("AHU", "AHU", "VAV", "VRF", "UNKNOWN", "UNKNOWN", "UNKNOWN")))
+    own = part.where("p_size % 8 < 7").select(key.cast("string").alias("concept_id"), F.get(named, (F.col("p_size") % 8).cast("int")).alias("class_label"))
+    return labelling.concept_classes(part.select(key.cast("string").alias("concept_id")), edges, own)
+
+
+def greedy_assign_few(spark, sf_dir):
+    """Parts of a brand and a size as the points of a concept, often fewer than there are labels; the size says which class."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = text.tokens(F.concat_ws("/", "p_type", "p_name"))
+    rows = part.select(F.concat_ws("/", "p_brand", "p_size").alias("concept_id"), path.alias("rel_path")).distinct()
+    points = stored(scoring.without_common_prefix(rows), "prepared")
+    last = F.substring_index("concept_id", "/", -1).cast("int") % 3
+    classes = points.select("concept_id", F.get(F.array(*map(F.lit, catalog.class_codes())), last).alias("class_label")).distinct()
+    return labelling.assigned_labels(points, classes, Config(catalog_merge="flat")).select("concept_id", *_joined("rel_path"), "label", F.round("score", 9).alias("score"))
+
+
 def greedy_assign(spark, sf_dir):
     points = stored(scoring.without_common_prefix(_by_brand(spark, sf_dir)), "prepared")
     classes = points.select("concept_id", F.lit("VAV").alias("class_label")).distinct()
-    return labelling.assigned_labels(points, classes).select("concept_id", *_joined("rel_path"), "label", "score")
+    return labelling.assigned_labels(points, classes).select("concept_id", *_joined("rel_path"), "label", F.round("score", 9).alias("score"))
 
 
 def label_candidates(spark, sf_dir):
@@ -311,7 +339,7 @@ def resolve_best(spark, sf_dir):
 
 
 def resolve_classified(spark, sf_dir):
-    return _plant(spark, sf_dir, classify=True).resolved()
+    return _plant(spark, sf_dir, classify=True).resolved().withColumn("distance", F.round("distance", 9))
 
 
 def class_summary(spark, sf_dir):
@@ -363,7 +391,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, catalog_flat,
                 supported_labels, token_catalog_jw, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters, first_concepts,
                 concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, derived_graph, base_with_member, base_usage, simple_derived, concept_points,
-                leaf_coverage, unexplained_points, unique_points, concept_classes, greedy_assign, label_candidates, resolve_best, resolve_classified,
+                leaf_coverage, unexplained_points, unique_points, concept_classes, revised_classes, greedy_assign, greedy_assign_few, label_candidates, resolve_best, resolve_classified,
                 class_summary, class_instances, run_report, dot_graph, cluster_file, training_file, resolved_argmax,
             )
         },
@@ -467,21 +495,22 @@ cut AS (SELECT concept_id, CASE WHEN n > 1 THEN coalesce(first, shortest) ELSE 0
 st AS (SELECT concept_id, rel_path, tokens[c + 1:] AS tokens FROM pr JOIN cut USING (concept_id))"""
 
 
-def _catalog_sql() -> str:
+def _catalog_sql(model: catalog.Model | None = None) -> str:
+    escaped = lambda alt: "', '".join(t.replace("'", "''") for t in alt)
     rows = [
-        f"('{equip}', {i}, '{label}', {j}, {k}, ['{"', '".join(alt)}'])"
-        for i, (equip, labels) in enumerate(catalog.equipment_model().items())
+        f"('{equip}', {i}, '{label}', {j}, {k}, ['{escaped(alt)}'])"
+        for i, (equip, labels) in enumerate((model or catalog.equipment_model()).items())
         for j, (label, alts) in enumerate(labels.items())
         for k, alt in enumerate(alts)
     ]
     return f"cat AS (SELECT * FROM (VALUES {', '.join(rows)}) t(equip, equip_ord, label, label_ord, alt_ord, alt_tokens))"
 
 
-def _scores_sql(source: str) -> str:
+def _scores_sql(source: str, model: catalog.Model | None = None) -> str:
     best = "coalesce(list_max(list_filter(list_transform(alt_tokens, lambda a: jaro_winkler_similarity(t, a)), lambda x: x > 0.85::DOUBLE)), 0)"
     joined = "array_to_string(tokens, '')"
     return f""",
-{_catalog_sql()},
+{_catalog_sql(model)},
 pt AS (SELECT DISTINCT tokens FROM {source}),
 raw AS (SELECT tokens, equip, equip_ord, label, alt_tokens,
   coalesce(list_sum(list_transform(tokens, lambda t: {best})), 0) / greatest(len(tokens), len(alt_tokens)) AS s,
@@ -490,6 +519,71 @@ raw AS (SELECT tokens, equip, equip_ord, label, alt_tokens,
 sc AS (SELECT tokens, equip, equip_ord, label, max(CASE WHEN len(tokens) = 0 THEN 0 WHEN tokens = alt_tokens THEN 1 WHEN w > s AND w > 0.1::DOUBLE THEN w ELSE s END)::DOUBLE AS score FROM raw GROUP BY 1, 2, 3, 4)"""
 
 
+def _renamed(sql: str, **names: str) -> str:
+    """``sql`` with tables named otherwise, so that two parts can stand in one statement."""
+    for old, new in names.items():
+        sql = re.sub(rf"\b{old}\b(?=$| AS \(|[ ,).]|\n)(?<!AS {old})", new, sql)
+    return sql
+
+
+def _revised_sql(levels: int) -> str:
+    """Classes ``cls`` from ``own(concept_id, own)`` and ``assoc(src, dst)``, at most ``levels`` links above each other."""
+    parts = [""",
+lk AS MATERIALIZED (SELECT DISTINCT src, dst FROM assoc WHERE src IN (SELECT concept_id FROM own) AND dst IN (SELECT concept_id FROM own)),
+rc(x, y) AS (SELECT src, dst FROM lk UNION SELECT rc.x, lk.dst FROM rc JOIN lk ON lk.src = rc.y),
+cy AS MATERIALIZED (SELECT a.x, a.y FROM rc a JOIN rc b ON a.x = b.y AND a.y = b.x),
+ln AS MATERIALIZED (SELECT src, dst, src = dst OR cy.x IS NOT NULL AS within FROM lk LEFT JOIN cy ON cy.x = src AND cy.y = dst),
+lev(c, d) AS (SELECT concept_id, 0 FROM own UNION SELECT ln.src, lev.d + 1 FROM lev JOIN ln ON ln.dst = lev.c WHERE NOT within),
+lvl AS MATERIALIZED (SELECT c, max(d) AS d FROM lev GROUP BY 1),
+s0 AS MATERIALIZED (SELECT concept_id, own AS label, FALSE AS takes FROM own JOIN lvl ON c = concept_id WHERE d = 0)"""]
+    for k in range(1, levels + 1):
+        parts.append(f""",
+s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL
+  SELECT concept_id, CASE WHEN len(seen) = 1 AND seen[1] <> 'UNKNOWN' THEN 'CONTAINER' WHEN seen IN (['AHU', 'UNKNOWN'], ['UNKNOWN', 'VRF']) THEN own
+    WHEN len(seen) > 1 AND len(list_intersect(seen, ['VAV', 'AHU', 'VRF'])) > 0 THEN 'COMPOSITE' ELSE own END, own = 'AHU' AND seen IN (['AHU', 'UNKNOWN'], ['UNKNOWN', 'VRF'])
+  FROM (SELECT own.concept_id, own, list_sort(list_distinct(list(CASE WHEN within THEN 'UNKNOWN' ELSE p.label END))) AS seen
+    FROM lvl JOIN own ON own.concept_id = c JOIN ln ON ln.src = c LEFT JOIN s{k - 1} p ON p.concept_id = ln.dst WHERE d = {k} GROUP BY 1, 2))""")
+    parts.append(f""",
+cls AS MATERIALIZED (SELECT concept_id, CASE WHEN concept_id IN (SELECT dst FROM ln JOIN s{levels} t ON t.concept_id = ln.src WHERE takes AND src <> dst) THEN 'UNKNOWN' ELSE label END AS class_label FROM s{levels})""")
+    return "".join(parts)
+
+
+def _assigned_sql() -> str:
+    """Labels ``asg`` of stripped points ``sp`` by scores ``sc`` over ``cat`` and classes ``cls``: the first pair again and again."""
+    return """,
+pairs AS MATERIALIZED (SELECT concept_id, array_to_string(rel_path, '|') AS path, label, score, row_number() OVER (PARTITION BY concept_id ORDER BY round(score, 12) DESC, label_ord, rel_path) AS i
+  FROM sp JOIN cls USING (concept_id) JOIN sc ON sc.tokens = sp.tokens AND sc.equip = class_label JOIN (SELECT DISTINCT equip, label, label_ord FROM cat) USING (equip, label)),
+gr(concept_id, i, labels, paths, ok) AS (SELECT DISTINCT concept_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], FALSE FROM pairs UNION ALL
+  SELECT concept_id, i, CASE WHEN free THEN list_append(labels, label) ELSE labels END, CASE WHEN free THEN list_append(paths, path) ELSE paths END, free
+  FROM (SELECT p.concept_id, p.i, p.label, p.path, g.labels, g.paths, NOT list_contains(g.labels, p.label) AND NOT list_contains(g.paths, p.path) AS free
+    FROM gr g JOIN pairs p ON p.concept_id = g.concept_id AND p.i = g.i + 1)),
+asg AS MATERIALIZED (SELECT concept_id, path, label, score FROM gr JOIN pairs USING (concept_id, i) WHERE ok)"""
+
+
+def _classes_sql() -> str:
+    """Classes ``cls`` of the plant's concepts, from the features of their points ``sp``."""
+    stripped = _renamed(_STRIPPED_SQL.format(source="cp"), st="sp", cut="cutp")
+    return f"""{stripped}{_scores_sql('sp')},
+lab AS (SELECT equip, equip_ord, count(DISTINCT label) AS labels FROM cat GROUP BY 1, 2),
+bst AS (SELECT concept_id, equip, label, max(score) AS best FROM sp JOIN sc USING (tokens) GROUP BY 1, 2, 3),
+tot2 AS (SELECT concept_id, equip, sum(round(best, 12)) AS total FROM bst GROUP BY 1, 2),
+npt AS (SELECT concept_id, count(*) AS n FROM cp GROUP BY 1),
+ft AS (SELECT concept_id, equip, equip_ord, round(CASE WHEN n > 1 AND n < 150 THEN pow(3 * coalesce(total, 0) / labels, 2) ELSE 0 END, 9) AS feature FROM npt CROSS JOIN lab LEFT JOIN tot2 USING (concept_id, equip)),
+top AS (SELECT concept_id, arg_max(equip, (feature, -equip_ord)) AS equip, max(feature) AS f FROM ft GROUP BY 1),
+own AS MATERIALIZED (SELECT concept_id, CASE WHEN n > 150 THEN 'UNINTELLIGIBLE' WHEN n >= 2 AND f >= {PLANT_CONFIG.class_floor}::DOUBLE THEN equip ELSE 'UNKNOWN' END AS own FROM con LEFT JOIN npt USING (concept_id) LEFT JOIN top USING (concept_id))
+{_revised_sql(8)}"""
+
+
+def _resolved_sql() -> str:
+    """The best candidate of each name with classes and labels."""
+    labels = _renamed(_scores_sql("sp", catalog.point_model(PLANT_CONFIG.catalog_merge)), cat="cat2", pt="pt2", raw="raw2", sc="sc2")
+    return f"""{_classes_sql()}{labels}{_renamed(_assigned_sql(), cat="cat2", sc="sc2")},
+cand AS (SELECT lf.point_name, class_label AS class, ms.node_id AS node, up.distance, coalesce(asg.label, 'UNKNOWN') AS label, round(coalesce(asg.score, 0), 9)::DOUBLE AS score
+  FROM lf JOIN up ON up.node_id = lf.leaf_id JOIN ms ON ms.node_id = up.ancestor JOIN cls ON cls.concept_id = ms.concept_id
+  LEFT JOIN asg ON asg.concept_id = ms.concept_id AND asg.path = array_to_string(up.rel_path, '|')),
+close AS (SELECT point_name, class, min((distance, node, label, score)) AS c FROM cand GROUP BY 1, 2)"""
+
+
 def _set_pairs_sql(select: str) -> str:
     return f"""{_tree_sql(PARTS)},
 ms AS (SELECT sha256(array_to_string(list_sort(members), '␟')) AS id, arg_min(members, (first_point, depth)) AS m FROM mem JOIN (SELECT node_id, first_point, depth FROM nodes) USING (node_id) WHERE size >= 2 GROUP BY 1),
@@ -574,7 +668,21 @@ def oracle_sql() -> dict[str, str]:
     parts, pages, tree_of_parts = _names_sql(PARTS), _names_sql(PAGES), _tree_sql(PARTS)
     tokens_of_pages = f"{pages}, f AS (SELECT token, length(token) AS size, count(*) AS frequency FROM (SELECT unnest(tokens) AS token FROM tk) GROUP BY 1)"
     ordered = "list_filter(tokens, lambda x, i: list_position(tokens, x) = i)"
+    named = "CASE p_size % 8 WHEN 0 THEN 'AHU' WHEN 1 THEN 'AHU' WHEN 2 THEN 'VAV' WHEN 3 THEN 'VRF' ELSE 'UNKNOWN' END"
+    few = f"""WITH RECURSIVE b AS (SELECT DISTINCT concat_ws('/', p_brand, p_size) AS concept_id, {_tokens_sql('s')} AS rel_path FROM (SELECT p_brand, p_size, concat_ws('/', p_type, p_name) AS s FROM part)),
+      cls AS (SELECT DISTINCT concept_id, ['AHU', 'VAV', 'VRF'][CAST(string_split(concept_id, '/')[-1] AS INT) % 3 + 1] AS class_label FROM b)"""
+    many = f"{_BRAND_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, cls AS (SELECT DISTINCT concept_id, 'VAV' AS class_label FROM b)"
+    stripped = _renamed(_STRIPPED_SQL.format(source="b"), st="sp", cut="cutp")
     return {
+        "revised_classes": f"""WITH RECURSIVE own AS MATERIALIZED (SELECT CAST(p_partkey AS VARCHAR) AS concept_id, {named} AS own FROM part),
+          assoc AS (SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 97 = 0
+            UNION SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 89 = 0 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 101 = 0)){_revised_sql(18)} SELECT concept_id, class_label FROM cls""",
+        "greedy_assign": f"{many}{stripped}{_scores_sql('sp', catalog.point_model())}{_assigned_sql()} SELECT concept_id, path AS rel_path, label, round(score, 9) AS score FROM asg",
+        "greedy_assign_few": f"{few}{stripped}{_scores_sql('sp', catalog.point_model('flat'))}{_assigned_sql()} SELECT concept_id, path AS rel_path, label, round(score, 9) AS score FROM asg",
+        "concept_classes": _model_sql("SELECT concept_id, class_label FROM cls", _classes_sql()),
+        "resolve_classified": _model_sql("""SELECT point_name AS original_point, class AS equipment, c[2] AS node, c[4] AS distance, c[3] AS representation
+          FROM (SELECT *, row_number() OVER (PARTITION BY point_name ORDER BY c[4] DESC, c[1], class DESC) AS place FROM close) WHERE place = 1""", _resolved_sql()),
+        "class_summary": _model_sql("SELECT class_label, count(DISTINCT concept_id) AS n_concepts, count(node_id) AS n_instances FROM cls LEFT JOIN ms USING (concept_id) GROUP BY 1", _classes_sql()),
         "similar_pairs": _similar_sql(PARTS, "0.9"),
         "similar_pairs_supply": _similar_sql(SUPPLY, "0.9"),
         "similar_pairs_loose": _similar_sql(PARTS, "0.5"),

@@ -367,6 +367,61 @@ def test_revised_classes(spark):
     assert got["a"] == "CONTAINER" and got["d"] == "AHU" and got["e"] == got["f"] == "UNKNOWN" and got["h"] == "COMPOSITE" and got["b"] == got["c"] == "VAV"
 
 
+def reachable(links, start):
+    """Nodes on walks of one link or more."""
+    found, stack = set(), [start]
+    while stack:
+        for b in links.get(stack.pop(), ()):
+            if b not in found:
+                found.add(b)
+                stack.append(b)
+    return found
+
+
+def plainly_revised(own, links):
+    """Own classes revised by those of successors, links inside a cycle seen as UNKNOWN; what air handlers take goes last."""
+    ahead = {a: reachable(links, a) for a in own}
+    label, takes = {}, set()
+
+    def revise(a):
+        if a not in label:
+            seen = {"UNKNOWN" if b == a or a in ahead[b] else revise(b) for b in links.get(a, ())}
+            if len(seen) == 1 and seen != {"UNKNOWN"}:
+                label[a] = "CONTAINER"
+            elif seen in ({"AHU", "UNKNOWN"}, {"VRF", "UNKNOWN"}):
+                label[a] = own[a]
+                takes.update([a] if own[a] == "AHU" else [])
+            else:
+                label[a] = "COMPOSITE" if len(seen) > 1 and seen & {"AHU", "VAV", "VRF"} else own[a]
+        return label[a]
+
+    for a in own:
+        revise(a)
+    return label | {b: "UNKNOWN" for a in takes for b in links[a] if b != a}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_are_revised_level_by_level(spark, seed):
+    rng = random.Random(seed)
+    names = [f"c{i:02d}" for i in range(45)]
+    own = {c: rng.choice(["AHU", "AHU", "VAV", "VRF", "UNKNOWN"]) for c in names}
+    pairs = {(a, b) for a, b in zip(names, names[1:]) if rng.random() < 0.25} | {(names[i], names[min(44, i + rng.randint(1, 20))]) for i in range(44)}
+    pairs |= {("c10", "c04"), ("c22", "c20"), ("c20", "c21"), ("c21", "c22"), ("c33", "c33"), ("c40", "c35")}
+    links = {}
+    for a, b in pairs:
+        links.setdefault(a, set()).add(b)
+    frames = spark.createDataFrame([(c,) for c in names], "concept_id string"), spark.createDataFrame([(a, b, "association") for a, b in pairs] + [("c05", "gone", "association"), ("c44", "c00", "derivation")], "src string, dst string, edge_type string")
+    got = dict(labelling.concept_classes(*frames, spark.createDataFrame([(c, k) for c, k in own.items() if k != "UNKNOWN"], "concept_id string, class_label string")).collect())
+    expected = plainly_revised(own, links)
+    assert got == expected and {"AHU", "UNKNOWN", "COMPOSITE", "CONTAINER"} <= set(got.values())
+    ahead = {a: reachable(links, a) for a in names}
+    cycles = {a: min(b for b in names if b == a or (b in ahead[a] and a in ahead[b])) for a in names if any(b != a and a in ahead[b] for b in ahead[a])}
+    from namelattice.operators import components
+
+    assert dict(components.strongly_connected(spark.createDataFrame([*pairs, (None, "c01")], "a string, b string")).collect()) == cycles
+    assert components.strongly_connected(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_catalogue_modes():
     assert [len(x) for x in (catalog.class_labels(), catalog.point_labels())] == [4, 17]
     assert catalog.class_codes() == {"AHU": 1, "VAV": 2, "VRF": 3}
