@@ -81,15 +81,33 @@ def test_token_counts(spark, texts):
     assert token_counts.count_tokens(docs.limit(0), tokenizer_path()).count() == 0
 
 
-def test_frequent_pieces_cover_all_texts(spark):
+def test_frequent_pieces_of_a_sample(spark):
     front = [(i, f"front{i} hot " * 3, "s") for i in range(600)]
     rest = [(1000 + i, "x " * 11_000 + "behind behind behind", "s") for i in range(20)] + [(2000 + i, "often often often other", "s") for i in range(700)] + [(3000, "y" * 300, "s"), (3001, None, "s"), (3002, "", "s")]
     docs = spark.createDataFrame(front + rest, "doc_id long, text string, source string").coalesce(2)
     found = token_counts.frequent_lengths(docs, tokenizer_path(), table_size=5)
     assert set(found) == {b"x", b"often", b"hot", b"other", b"behind"}
+    few = token_counts.frequent_lengths(docs, tokenizer_path(), sample_docs=60)
+    assert {b"often", b"hot"} <= set(few) and 5 < sum(piece.startswith(b"front") for piece in few) < 100
     assert token_counts.frequent_lengths(docs.limit(0), tokenizer_path()) == {}
 
 
+def test_pre_tokens_are_not_shuffled(spark, texts, monkeypatch):
+    """The sample's texts are dealt to a fixed number of tasks before they are cut; nothing is dealt after."""
+    plans = []
+    to_arrow = type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda self: plans.append(self) or to_arrow(self))
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "no id", None), (None, "no id", None)]
+    docs = frame(spark, rows)
+    counted = token_counts.count_tokens(docs, tokenizer_path())
+    assert counted.where("doc_id IS NULL").count() == 2
+    for plan in [*plans, counted]:
+        lines = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+        cut = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+        assert not any("Exchange" in line for line in lines[:cut])
+    assert len(plans) == 1 and plans[0]._jdf.queryExecution().executedPlan().toString().count(f"RoundRobinPartitioning({token_counts.SAMPLE_TASKS})") >= 1
+
+
 def test_token_files_round_trip(spark, texts, tmp_path):
     from tokenizers import Tokenizer
 
