@@ -4,21 +4,19 @@ Children of a token are, in order and each once: its parts around trailing
 digits, its runs of letters and digits, and parts that follow another token of
 the vocabulary inside it (a token of three characters or more that occurs
 exactly once, digits coming next).  A token used up that way serves no longer
-token.  Whether it is used up depends only on tokens inside it, so each token
-is resolved with the vocabulary's tokens that are substrings of it, row by row;
-those are found by an equi-join on short runs of characters.
+token.  Tokens inside others are found by an equi-join on short runs of
+characters; what is used up is settled from short tokens to long ones, a join a
+round, and so are leaves, a level of children a round.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import TOKENIZERS, split_runs, split_trailing
-from ..storage import ship, stored
+from ..storage import stored
 
 
 def tokenized(points: DataFrame, tokenizer: str = "simple", mode: str = "truncate") -> DataFrame:
@@ -62,104 +60,133 @@ def _grams(token):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) - 2), lambda at: F.substr(token, at, F.lit(3))))
 
 
-def _inside(targets: DataFrame, vocabulary: DataFrame, name: str) -> DataFrame:
-    """``token, <name>``: tokens of the vocabulary inside each target, which meet over the rarest run of three characters of the inner one.
+def inside(targets: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``token, piece``: tokens of the vocabulary of three characters or more inside each target, which meet over the rarest run of three characters of the inner one.
 
     Rows grow with the length of the targets, not its square, and frequent runs make pairs only for tokens that have no other.
     """
     token = F.col("token")
-    grams = targets.select("token", F.explode(_grams(token)).alias("gram"))
+    grams = targets.where(F.length("token") >= 4).select("token", F.explode(_grams(token)).alias("gram"))
     rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     inner = vocabulary.where(F.length("token") >= 3).select(token.alias("piece"), F.explode(_grams(token)).alias("gram"))
     # A run that no target has settles that the token is inside none.
     ranked = inner.join(rarity, "gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("rarest"))
     rarest = ranked.where("rarest.df > 0").select("piece", F.col("rarest.gram").alias("gram"))
-    met = grams.join(rarest, "gram").where((F.col("piece") != token) & F.contains(token, F.col("piece")))
-    return met.groupBy("token").agg(F.array_sort(F.collect_set("piece")).alias(name))
-
-
-def follow_parts(inner: str, outer: str) -> list[str]:
-    """The parts that ``inner`` leaves of ``outer``: digits, and letters behind them, next to it or at the start."""
-    pieces = outer.split(inner)
-    if len(pieces) != 2:
-        return []
-    out: list[str] = []
-    for piece in pieces:
-        if found := re.match("([0-9]+)([A-Z]+)?", piece):
-            out += [part for part in found.groups() if part]
-    return out
-
-
-class Resolver:
-    """Children and leaves of one token, given the vocabulary's tokens inside it at both passes."""
-
-    def __init__(self, first: list[str], second: list[str]):
-        self.passes = [sorted(first, key=lambda t: (len(t), t)), sorted(second, key=lambda t: (len(t), t))]
-        self.known: dict[tuple[int, str], list[str]] = {}
-
-    def follow(self, step: int, token: str) -> list[str]:
-        if (step, token) not in self.known:
-            found: list[str] = []
-            for inner in self.passes[step]:
-                if len(inner) >= len(token):
-                    break
-                if inner in token and (parts := follow_parts(inner, token)) and not self.follow(step, inner):
-                    found = parts
-                    break
-            self.known[step, token] = found
-        return self.known[step, token]
-
-    def children(self, token: str) -> list[str]:
-        trailing = re.fullmatch(r"(?s)(.*?)([0-9]+)", token)
-        parts = [trailing[1], trailing[2]] if trailing and trailing[1] else [token]
-        parts += re.findall(r"[^\W\d_]+|\d+", token) + self.follow(0, token) + self.follow(1, token)
-        return [part for part in dict.fromkeys(parts) if part != token]
-
-    def leaves(self, token: str) -> list[str]:
-        children = self.children(token)
-        return [leaf for child in children for leaf in self.leaves(child)] if children else [token]
-
-
-def decomposed(vocabulary: DataFrame) -> DataFrame:
-    """``token, children, leaves`` of every token of the closed vocabulary.
-
-    Tokens without a digit fall into runs only, which is one expression; the
-    others go through Arrow, a row each.
+    return grams.join(rarest, "gram").where((F.col("piece") != token) & F.contains(token, F.col("piece"))).select("token", "piece")
+
+
+def beside(pairs: DataFrame) -> DataFrame:
+    """``token, piece, parts`` of those ``pairs(token, piece)`` whose piece occurs once and leaves parts: digits, and letters behind them, at the start of what is before or behind it."""
+    placed = pairs.withColumn("at", F.expr("locate(piece, token)")).where("at > 0 AND locate(piece, token, at + length(piece)) = 0")
+    sides = [F.expr("substr(token, 1, at - 1)"), F.expr("substr(token, at + length(piece))")]
+    parts = F.array(*(F.regexp_extract(side, "^([0-9]+)([A-Z]+)?", group) for side in sides for group in (1, 2)))
+    return placed.withColumn("parts", F.filter(parts, lambda part: part != "")).where("size(parts) > 0").select("token", "piece", "parts")
+
+
+def followed(pairs: DataFrame) -> DataFrame:
+    """``token, parts`` of ``pairs(token, piece, parts)``: what the first piece that isn't used up itself, by length and name, leaves of each token.
+
+    A token is used up if some piece of it isn't.  Pieces are shorter, so in each
+    round those tokens are settled whose pieces are; rounds follow the
+    longest chain of pieces inside pieces.
     """
-    ship(vocabulary.sparkSession)
-    first = stored(closed(vocabulary), "vocabulary")
+    waiting = stored(pairs.select("token", "piece"), "waiting")
+    used = None
+    while not waiting.isEmpty():
+        # A piece that neither waits nor was found used up, which would have taken it off here, is free.
+        free = waiting.join(waiting.select(F.col("token").alias("piece")).distinct(), "piece", "left_anti")
+        new = stored(free.select("token").distinct(), "used")
+        used = new if used is None else used.unionByName(new)
+        rest = waiting.join(new, "token", "left_anti").join(new.withColumnRenamed("token", "piece"), "piece", "left_anti")
+        waiting = stored(rest.select("token", "piece"), "waiting")
+    if used is None:
+        return pairs.select("token", "parts")
+    return pairs.join(used.withColumnRenamed("token", "piece"), "piece", "left_anti").groupBy("token").agg(F.min_by("parts", F.struct(F.length("piece"), "piece")).alias("parts"))
+
+
+def _leaves(falls: DataFrame) -> DataFrame:
+    """``token, leaves`` of ``falls(token, children)``: children of children and so on, in order, a level a round."""
+    children = falls.where(F.size("children") > 0).select(F.col("token").alias("part"), "children")
+    level = falls.select("token", F.array().cast("array<int>").alias("place"), F.col("token").alias("part"))
+    done = []
+    while True:
+        met = stored(level.join(children, "part", "left"), "level")
+        done.append(met.where("children IS NULL").select("token", "place", "part"))
+        more = met.where("children IS NOT NULL")
+        if more.isEmpty():
+            break
+        level = more.select("token", "place", F.posexplode("children").alias("pos", "part")).select("token", F.concat("place", F.array("pos")).alias("place"), "part")
+    rows = done[0]
+    for further in done[1:]:
+        rows = rows.unionByName(further)
+    # As many rows a token as it has leaves.
+    return rows.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("l")).select("token", F.col("l.part").alias("leaves"))
+
+
+@dataclass(frozen=True)
+class Fall:
+    """How a vocabulary falls apart: with its parts by digits and runs (``closed``), what tokens inside others leave in two passes, all tokens in the end."""
+
+    closed: DataFrame
+    first: DataFrame
+    second: DataFrame
+    tokens: DataFrame
+
+
+def fall(vocabulary: DataFrame) -> Fall:
     digits = F.col("token").rlike("[0-9]")
-    targets = first.where(digits & (F.length("token") >= 4))
-    inside = stored(_inside(targets, first, "first"), "inside")
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: set[str] = set()
-            for row in batch.to_pylist():
-                out.update(Resolver(row["first"], row["first"]).children(row["token"]))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.string())], names=["token"])
-
-    second = stored(first.unionByName(inside.mapInArrow(grow, "token string")).distinct(), "vocabulary")
-    targets = second.where(digits & (F.length("token") >= 4))
-    again = _inside(targets, second, "second")
-    rows = second.join(inside, "token", "left").join(again, "token", "left")
-    plain_children, _ = base_children(F.col("token"))
-    letters = rows.where(~digits).select("token", plain_children.alias("children"))
-    letters = letters.select("token", "children", F.when(F.size("children") > 0, F.col("children")).otherwise(F.array("token")).alias("leaves"))
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, children, leaves = [], [], []
-            for row in batch.to_pylist():
-                resolver = Resolver(row["first"] or [], row["second"] or [])
-                names.append(row["token"])
-                children.append(resolver.children(row["token"]))
-                leaves.append(resolver.leaves(row["token"]))
-            kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(children, kind), pa.array(leaves, kind)], names=["token", "children", "leaves"])
-
-    mixed = rows.where(digits).mapInArrow(resolve, "token string, children array<string>, leaves array<string>")
-    return letters.unionByName(mixed)
+    words = stored(closed(vocabulary), "vocabulary")
+    first = stored(followed(stored(beside(inside(words.where(digits), words)), "beside")), "first")
+    new = first.select(F.explode("parts").alias("token")).distinct().join(words, "token", "left_anti")
+    if new.isEmpty():  # the second pass then sees what the first saw
+        return Fall(words, first, first, words)
+    more = stored(words.unionByName(new), "vocabulary")
+    second = stored(followed(stored(beside(inside(more.where(digits), more)), "beside")), "second")
+    return Fall(words, first, second, stored(more.unionByName(second.select(F.explode("parts").alias("token"))).distinct(), "vocabulary"))
+
+
+def decomposed(vocabulary: DataFrame, fallen: Fall | None = None) -> DataFrame:
+    """``token, children, leaves`` of every token of the closed vocabulary."""
+    fallen = fallen or fall(vocabulary)
+    rows = fallen.tokens.join(fallen.first.withColumnRenamed("parts", "first"), "token", "left").join(fallen.second.withColumnRenamed("parts", "second"), "token", "left")
+    none = F.array().cast("array<string>")
+    parts = F.concat(split_trailing(F.col("token")), split_runs(F.col("token")), F.coalesce("first", none), F.coalesce("second", none))
+    falls = stored(rows.select("token", F.filter(F.array_distinct(parts), lambda part: part != F.col("token")).alias("children")), "children")
+    return falls.join(_leaves(falls), "token")
+
+
+def frequency_after(vocabulary: DataFrame, fallen: Fall | None = None) -> DataFrame:
+    """``token, size, frequency, frequency_after`` of every token of the closed vocabulary; frequency is null for parts that no name has as a token.
+
+    Each time that a pass yields a part, it counts one more, also where a token is its own
+    part; the passes are trailing digits, runs, parts beside others twice, trailing digits
+    again.  A token's first link to a part other than itself adds the token's own frequency in the end less one.
+    Parts are shorter than their token, so weights are handed on from long tokens to
+    short ones, a level a round.
+    """
+    fallen = fallen or fall(vocabulary)
+    token = F.col("token")
+    trailing = vocabulary.select("token", F.explode(split_trailing(token)).alias("part"))
+    once = vocabulary.select("token").unionByName(trailing.select(F.col("part").alias("token"))).distinct()
+    yielded = trailing.unionByName(once.select("token", F.explode(split_runs(token)).alias("part")))
+    for beside_others in (fallen.first, fallen.second):
+        yielded = yielded.unionByName(beside_others.select("token", F.explode("parts").alias("part")))
+    yielded = stored(yielded.unionByName(fallen.tokens.select("token", F.explode(split_trailing(token)).alias("part"))).groupBy("token", "part").agg(F.count(F.lit(1)).alias("times")), "yielded")
+    links = yielded.where("token != part").select("token", "part")
+    times = yielded.groupBy(F.col("part").alias("token")).agg(F.sum("times").alias("times"))
+    base = fallen.tokens.join(vocabulary.select("token", "frequency"), "token", "left").join(times, "token", "left")
+    base = stored(base.select("token", "frequency", (F.coalesce("frequency", F.lit(0)) + F.coalesce("times", F.lit(0)) - 1).alias("less_one")), "base")
+    handed, sums = base.select("token", "less_one"), []
+    while True:
+        handed = stored(handed.join(links, "token").groupBy(F.col("part").alias("token")).agg(F.sum("less_one").alias("less_one")), "handed")
+        if handed.isEmpty():
+            break
+        sums.append(handed)
+    total = base.select("token", "less_one")
+    for more in sums:
+        total = total.unionByName(more)
+    total = total.groupBy("token").agg((F.sum("less_one") + 1).alias("frequency_after"))
+    return base.join(total, "token").select("token", F.length("token").cast("long").alias("size"), "frequency", "frequency_after")
 
 
 def expanded(names: DataFrame, decomposition: DataFrame) -> DataFrame:

@@ -88,6 +88,10 @@ def expand_tokens(spark, sf_dir):
     return _run(spark, sf_dir).decomposition.select("token", *_joined("leaves"))
 
 
+def frequency_after(spark, sf_dir, corpus=PARTS):
+    return vocabulary.frequency_after(_run(spark, sf_dir, corpus).vocabulary)
+
+
 def expand_tokens_pages(spark, sf_dir):
     return _run(spark, sf_dir, PAGES).decomposition.select("token", *_joined("children", "leaves"))
 
@@ -383,11 +387,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "similar_pairs": similar_pairs,
         "similar_pairs_supply": partial(similar_pairs, corpus=SUPPLY),
         "similar_pairs_loose": partial(similar_pairs, ratio=0.5),
+        "frequency_after_pages": partial(frequency_after, corpus=PAGES),
         **{
             f.__name__: f
             for f in (
                 load_names, rejected_names, distinct_points, tokenize_points, uncamel, unique_tokens, token_frequency, split_trailing, split_runs, without_digits,
-                vocab_children, expand_tokens, expand_tokens_pages, point_paths, tree_nodes, node_types, tree_leaves, point_leaf, leaf_parents, tree_report,
+                vocab_children, expand_tokens, expand_tokens_pages, frequency_after, point_paths, tree_nodes, node_types, tree_leaves, point_leaf, leaf_parents, tree_report,
                 node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, catalog_flat,
                 supported_labels, token_catalog_jw, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters, first_concepts,
                 concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, derived_graph, base_with_member, base_usage, simple_derived, concept_points,
@@ -465,6 +470,45 @@ g AS (SELECT k.token, flatten(list(CASE WHEN len(c.children) = 0 THEN [c.token]
 lv AS (SELECT ch.token, children, coalesce(leaves, [ch.token]) AS leaves FROM ch LEFT JOIN g USING (token))"""
 
 
+def _followed_sql(words: str, name: str, levels: int = 10) -> str:
+    """``name(token, parts)``: what the first token of ``words`` inside each that isn't used up itself leaves of it, chains of at most ``levels``."""
+    part = lambda i, group: f"regexp_extract(s[{i}], '^([0-9]+)([A-Z]+)?', {group})"
+    parts = [f""",
+{name}c AS MATERIALIZED (SELECT * FROM (SELECT token, piece, list_filter([{part(1, 1)}, {part(1, 2)}, {part(2, 1)}, {part(2, 2)}], lambda x: x <> '') AS parts
+  FROM (SELECT o.token, i.token AS piece, string_split(o.token, i.token) AS s FROM {words} o JOIN {words} i ON length(i.token) >= 3 AND o.token <> i.token AND contains(o.token, i.token) WHERE regexp_matches(o.token, '[0-9]'))
+  WHERE len(s) = 2) WHERE len(parts) > 0),
+{name}d(token, d) AS (SELECT token, 0 FROM {words} UNION SELECT c.token, x.d + 1 FROM {name}d x JOIN {name}c c ON c.piece = x.token),
+{name}l AS MATERIALIZED (SELECT token, max(d) AS d FROM {name}d GROUP BY 1),
+{name}0 AS MATERIALIZED (SELECT token, FALSE AS used FROM {name}l WHERE d = 0)"""]
+    for k in range(1, levels + 1):
+        parts.append(f""",
+{name}{k} AS MATERIALIZED (SELECT * FROM {name}{k - 1} UNION ALL SELECT c.token, bool_or(NOT p.used) FROM {name}c c JOIN {name}l USING (token) JOIN {name}{k - 1} p ON p.token = c.piece WHERE d = {k} GROUP BY 1)""")
+    parts.append(f""",
+{name} AS MATERIALIZED (SELECT c.token, arg_min(parts, (length(piece), piece)) AS parts FROM {name}c c JOIN {name}{levels} p ON p.token = c.piece WHERE NOT p.used GROUP BY 1)""")
+    return "".join(parts)
+
+
+def _fallen_sql(corpus: str) -> str:
+    """Children ``ch``, leaves ``lv`` and frequencies ``fa`` with what tokens inside others leave."""
+    return f"""{_names_sql(corpus).replace('WITH ', 'WITH RECURSIVE ', 1)},
+occ AS (SELECT point_name, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM tk),
+fr AS (SELECT token, count(*) AS frequency FROM occ GROUP BY 1),
+v1 AS (SELECT DISTINCT unnest([token] || {_trailing('token')}) AS token FROM fr),
+w1 AS MATERIALIZED (SELECT DISTINCT unnest([token] || {_runs('token')}) AS token FROM v1){_followed_sql('w1', 'fa1_')},
+w2 AS MATERIALIZED (SELECT token FROM w1 UNION SELECT unnest(parts) FROM fa1_){_followed_sql('w2', 'fa2_')},
+w3 AS MATERIALIZED (SELECT token FROM w2 UNION SELECT unnest(parts) FROM fa2_),
+al AS (SELECT token, list_filter({_trailing('token')} || {_runs('token')} || coalesce(a.parts, []) || coalesce(b.parts, []), lambda x: x <> token) AS l FROM w3 LEFT JOIN fa1_ a USING (token) LEFT JOIN fa2_ b USING (token)),
+ch AS MATERIALIZED (SELECT token, list_filter(l, lambda x, i: list_position(l, x) = i) AS children FROM al),
+k AS (SELECT token, generate_subscripts(children, 1) AS pos, unnest(children) AS child FROM ch),
+walk(token, place, part) AS (SELECT token, []::BIGINT[], token FROM ch UNION ALL SELECT w.token, list_append(w.place, k.pos), k.child FROM walk w JOIN k ON k.token = w.part),
+lv AS (SELECT token, list(part ORDER BY place) AS leaves FROM walk WHERE part NOT IN (SELECT token FROM k) GROUP BY 1),
+ye AS MATERIALIZED (SELECT token, unnest({_trailing('token')}) AS part FROM fr UNION ALL SELECT token, unnest({_runs('token')}) FROM v1 UNION ALL SELECT token, unnest(parts) FROM fa1_
+  UNION ALL SELECT token, unnest(parts) FROM fa2_ UNION ALL SELECT token, unnest({_trailing('token')}) FROM w3),
+ba AS (SELECT token, frequency, coalesce(frequency, 0) + coalesce(times, 0) - 1 AS less_one FROM w3 LEFT JOIN fr USING (token) LEFT JOIN (SELECT part AS token, count(*) AS times FROM ye GROUP BY 1) USING (token)),
+hd(token, less_one) AS (SELECT token, less_one FROM ba UNION ALL SELECT k.child, hd.less_one FROM hd JOIN k USING (token)),
+fa AS (SELECT token, length(token) AS size, frequency, CAST(after AS BIGINT) + 1 AS frequency_after FROM ba JOIN (SELECT token, sum(less_one) AS after FROM hd GROUP BY 1) USING (token))"""
+
+
 def _tree_sql(corpus: str) -> str:
     return f"""{_vocabulary_sql(corpus)},
 paths AS (SELECT point_name, flatten(list(leaves ORDER BY pos)) AS path FROM occ JOIN lv USING (token) GROUP BY 1),
@@ -697,6 +741,9 @@ def oracle_sql() -> dict[str, str]:
         "split_runs": f"{tokens_of_pages} SELECT token, array_to_string({_runs('token')}, '|') AS parts FROM f",
         "without_digits": f"{pages} SELECT point_name, array_to_string(list_filter(tokens, lambda t: NOT regexp_full_match(t, '[0-9]+')), '|') AS tokens FROM tk",
         "vocab_children": f"{_vocabulary_sql(PARTS)} SELECT token, {joined('children')} FROM lv",
+        "expand_tokens_pages": f"{_fallen_sql(PAGES)} SELECT token, {joined('children', 'leaves')} FROM ch JOIN lv USING (token)",
+        "frequency_after": f"{_fallen_sql(PARTS)} SELECT * FROM fa",
+        "frequency_after_pages": f"{_fallen_sql(PAGES)} SELECT * FROM fa",
         "expand_tokens": f"{_vocabulary_sql(PARTS)} SELECT token, {joined('leaves')} FROM lv",
         "point_paths": f"{tree_of_parts} SELECT point_name, {joined('path')} FROM paths",
         "tree_nodes": f"{tree_of_parts} SELECT * FROM nodes",

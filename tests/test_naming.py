@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,9 +55,14 @@ def test_tokens_inside_others_equal_brute_force(spark):
     rng = random.Random(5)
     words = {"".join(rng.choices("AB1é", k=rng.randint(1, 12))) for _ in range(400)} | {"AAAAAAA", "URL" + "X" * 3000 + "AAAAAAA7", "", "😀A1B"}
     table = spark.createDataFrame([(w,) for w in sorted(words)], "token string")
-    got = {r.token: r.found for r in vocabulary._inside(table.where("length(token) >= 4"), table, "found").collect()}
-    expected = {w: sorted(x for x in words if len(x) >= 3 and x != w and x in w) for w in words if len(w) >= 4}
-    assert got == {w: found for w, found in expected.items() if found}
+    got = sorted((r.token, r.piece) for r in vocabulary.inside(table, table).collect())
+    assert got == sorted((w, x) for w in words if len(w) >= 4 for x in words if len(x) >= 3 and x != w and x in w)
+
+
+def parts_beside(inner, outer):
+    pieces = outer.split(inner)
+    found = [re.match("([0-9]+)([A-Z]+)?", piece) for piece in pieces] if len(pieces) == 2 else []
+    return [part for match in found if match for part in match.groups() if part]
 
 
 def sequential_follow(words):
@@ -67,19 +73,67 @@ def sequential_follow(words):
         if len(inner) < 3 or inner in used:
             continue
         for outer in ordered[i + 1 :]:
-            if outer not in used and (found := vocabulary.follow_parts(inner, outer)):
+            if outer not in used and (found := parts_beside(inner, outer)):
                 used.add(outer)
                 parts[outer] = found
     return parts
 
 
-def test_following_tokens_equal_a_sequential_pass():
-    rng = random.Random(3)
-    for _ in range(40):
-        words = {"".join(rng.choices("AB01", k=rng.randint(1, 7))) for _ in range(60)}
-        resolver = vocabulary.Resolver([w for w in words if len(w) >= 3], [])
-        expected = sequential_follow(words)
-        assert {w: p for w in words if (p := resolver.follow(0, w))} == expected
+def trailing(token):
+    found = re.fullmatch("(?s)(.*?)([0-9]+)", token)
+    return [found[1], found[2]] if found and found[1] else [token]
+
+
+def sequential_fall(raw):
+    """Passes over a vocabulary with counts: children in order, and each token's frequency in the end, long tokens first."""
+    tokens, yielded = dict.fromkeys(raw), []
+
+    def split(parts_of):
+        for token, parts in parts_of:
+            for part in parts:
+                tokens.setdefault(part)
+                yielded.append((token, part))
+
+    split([(t, trailing(t)) for t in list(tokens)])
+    split([(t, re.findall(r"[^\W\d_]+|\d+", t)) for t in list(tokens)])
+    for _ in range(2):
+        split(list(sequential_follow(tokens).items()))
+    split([(t, trailing(t)) for t in list(tokens)])
+    children = {t: [p for p in dict.fromkeys(p for s, p in yielded if s == t) if p != t] for t in tokens}
+    count = {t: raw.get(t, 0) + sum(p == t for _, p in yielded) for t in tokens}
+    for t in sorted(tokens, key=len, reverse=True):
+        for part in children[t]:
+            count[part] += count[t] - 1
+    return children, count
+
+
+def leaves_of(children, token):
+    return [leaf for child in children[token] for leaf in leaves_of(children, child)] if children[token] else [token]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_following_tokens_equal_sequential_passes(spark, seed):
+    rng = random.Random(seed)
+    raw = {"".join(rng.choices("AB01", k=rng.randint(1, 8))): rng.randint(1, 9) for _ in range(250)}
+    raw |= {"%%": 2, "A%1": 1, "É9": 3, "X" * 5000 + "7" + "AHU" + "12B": 4, "AHU": 5, "12B34": 1}
+    children, count = sequential_fall(raw)
+    table = spark.createDataFrame([(t, n) for t, n in raw.items()], "token string, frequency long")
+    fallen = vocabulary.fall(table)
+    got = {r.token: (r.children, r.leaves) for r in vocabulary.decomposed(table, fallen).collect()}
+    assert got == {t: (children[t], leaves_of(children, t)) for t in children}
+    after = {r.token: (r.frequency, r.frequency_after) for r in vocabulary.frequency_after(table, fallen).collect()}
+    assert after == {t: (raw.get(t), count[t]) for t in children}
+    assert vocabulary.frequency_after(table.limit(0)).count() == 0
+
+
+def test_long_tokens_fall_apart_in_linear_time(spark):
+    """A token of 10,000 characters, with many tokens of the vocabulary inside it, has rows in proportion to its length."""
+    rng = random.Random(9)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRST", k=10_000)) + "1"
+    table = spark.createDataFrame([(long, 1), *((long[i : i + 9], 1) for i in range(0, 9_000, 30))], "token string, frequency long").distinct()
+    assert vocabulary.inside(table.where(F.length("token") > 9), table).count() == 300
+    got = {r.token: r.children for r in vocabulary.decomposed(table).collect()}
+    assert got[long] == [long[:-1], "1"]
 
 
 def test_jaro_winkler():
