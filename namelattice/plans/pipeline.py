@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import UNKNOWN, Config
 from ..operators import clusters, labelling, scoring, semantics, similarity, tree, vocabulary
@@ -30,6 +30,12 @@ class Run:
     point_labeller: Callable[[DataFrame, DataFrame, Config], DataFrame] = labelling.assigned_labels
     namer: str = "basic"
 
+    @classmethod
+    def from_database(cls, spark: SparkSession, url: str, table: str, dataset_id: str, properties: dict[str, str] | None = None, partitions: tuple[str, int, int, int] | None = None, **options) -> "Run":
+        """A run over the points of one dataset of a database, which filters them; ``partitions`` as for ``read_points_jdbc``."""
+        points = sources.read_points_jdbc(spark, url, table, dataset_id, properties, partitions)
+        return cls(stored(points.select("point_name").distinct(), "points"), **options)
+
     @cached_property
     def names(self) -> DataFrame:
         return stored(vocabulary.tokenized(self.points, mode=self.config.uncamel), "names")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..storage import stored
 
 
 def write_candidates(found: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -29,35 +34,97 @@ def candidate_lines(found: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(",\t", "point_name", "c.class", "c.node", "c.label", F.col("c.score").cast("string")).alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    lines.write.text(path)
-
-
-def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
-    """Append in batches, a partition a connection."""
-    df.write.jdbc(url, table, mode="append", properties=properties or {})
-
-
 #: Columns that describe a dataset, and those of its points.
 DATASET_COLUMNS = ["dataset_name", "vendor", "date", "distributor", "site"]
 POINT_COLUMNS = ["point_name", "description", "object_type", "device_id", "device_name", "object_id", "program_name", "value"]
 
 
+@contextmanager
+def _statements(spark: SparkSession, url: str, properties: dict[str, str]) -> Iterator[Callable[[str], int | None]]:
+    """Runs statements of one transaction from the driver: each gives its one number, if it is a query; an error rolls all of them back."""
+    jvm = spark._jvm
+    given = jvm.java.util.Properties()
+    for key, value in properties.items():
+        given.setProperty(key, value)
+    if "driver" in properties:  # as the JDBC source does
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+
+        def run(sql: str) -> int | None:
+            if not statement.execute(sql):
+                return None
+            rows = statement.getResultSet()
+            rows.next()
+            return rows.getLong(1)
+
+        yield run
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def _quoted(columns: list[str]) -> str:
+    return ", ".join(f'"{c}"' for c in columns)
+
+
+def stage_rows(rows: DataFrame, url: str, staging: str, properties: dict[str, str]) -> None:
+    """Append ``rows``, which hold a ``place`` each, to the staging table; a task that is tried again repeats places with the same rows."""
+    rows.write.jdbc(url, f'"{staging}"', mode="append", properties=properties)
+
+
+def publish_rows(spark: SparkSession, expected: int, columns: list[str], url: str, staging: str, table: str, properties: dict[str, str]) -> None:
+    """Put the staged rows into ``table``, one a place, in one transaction; an error, with nothing put in, if there aren't ``expected`` places."""
+    with _statements(spark, url, properties) as run:
+        once = f'SELECT DISTINCT "place", {_quoted(columns)} FROM "{staging}"'
+        found, places = run(f"SELECT count(*) FROM ({once}) d"), run(f'SELECT count(DISTINCT "place") FROM "{staging}"')
+        if not found == places == expected:
+            raise RuntimeError(f"{staging} holds {found} rows in {places} places, not {expected}")
+        run(f"INSERT INTO {table} ({_quoted(columns)}) SELECT {_quoted(columns)} FROM ({once}) d")
+
+
+def append_once(rows: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> int:
+    """Append ``rows`` to a database table, each exactly once or none at all, and return how many.
+
+    Tasks write in batches to a staging table of this call, which takes its
+    types from ``table``; the database itself moves it in one transaction when all have
+    ended.  Rows are first stored, so that a task that is tried again writes the same rows in the
+    same places, of which one is kept; nothing but counts passes through the driver.
+    """
+    spark, properties, columns = rows.sparkSession, properties or {}, rows.columns
+    placed = stored(rows, "rows").withColumn("place", F.monotonically_increasing_id())
+    staging = f"staging_{uuid.uuid4().hex[:16]}"
+    with _statements(spark, url, properties) as run:
+        run(f'CREATE TABLE "{staging}" AS SELECT {_quoted(columns)} FROM {table} WITH NO DATA')
+        run(f'ALTER TABLE "{staging}" ADD COLUMN "place" BIGINT')
+    try:
+        stage_rows(placed, url, staging, properties)
+        expected = placed.count()
+        publish_rows(spark, expected, columns, url, staging, table, properties)
+    finally:
+        with _statements(spark, url, properties) as run:
+            run(f'DROP TABLE "{staging}"')
+    return expected
+
+
 def write_dataset(points: DataFrame, about: dict[str, str], url: str, index_table: str, point_table: str, properties: dict[str, str] | None = None) -> int:
-    """Append a row of DATASET_COLUMNS to the index table, read back the id that the database gave it, and append the points under this id.
+    """Append a row of DATASET_COLUMNS to the index table, read back the id that the database gave it, and append the points under this id, exactly once or not at all.
 
-    The newest of equal rows counts.  Points go in batches, a partition a
-    connection and transaction; a task that is tried again may repeat rows,
-    which reading with ``distinct_points`` takes out.
+    The newest of equal rows counts.
     """
     spark, properties = points.sparkSession, properties or {}
     about = {c: about.get(c) for c in DATASET_COLUMNS}
     row = spark.createDataFrame([tuple(about.values())], ", ".join(f"{c} string" for c in DATASET_COLUMNS))
-    row.coalesce(1).write.jdbc(url, index_table, mode="append", properties=properties)
+    append_once(row, url, index_table, properties)
     same = [F.col(c).isNull() if v is None else F.col(c) == v for c, v in about.items()]
     index = spark.read.jdbc(url, index_table, properties=properties)
     dataset_id = index.where(reduce(and_, same)).agg(F.max("dataset_id").alias("id")).first().id
-    points.select(*POINT_COLUMNS, F.lit(dataset_id).alias("dataset_id")).write.jdbc(url, point_table, mode="append", properties=properties)
+    append_once(points.select(*POINT_COLUMNS, F.lit(dataset_id).alias("dataset_id")), url, point_table, properties)
     return dataset_id
 
 

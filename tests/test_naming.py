@@ -3,6 +3,8 @@
 import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -578,6 +580,80 @@ def test_database_round_trip(spark, tmp_path):
     assert sorted(r.point_name for r in found.collect()) == ["AHU00/MAT", "AHU01/MAT", "AHU02/MAT"]
     apart = sources.read_points_jdbc(spark, url, "points", "8", properties, ("device_id", 0, 3, 2))
     assert apart.count() == 1 and Run(found.select("point_name")).names.count() == 3
+    run = Run.from_database(spark, url, "points", "7", properties, ("device_id", 0, 3, 2))
+    assert run.names.count() == 3 and run.report().count() > 0
+    # The database filters: its scan takes the dataset's id.
+    plan = sources.read_points_jdbc(spark, url, "points", "7", properties)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(dataset_id,7)" in plan.replace(" ", "")
+
+
+def derby(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/once;create=true"
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    connection.createStatement().execute('CREATE TABLE target ("name" VARCHAR(100), "n" INT)')
+    connection.close()
+    return url, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def test_rows_are_written_once_or_not_at_all(spark, tmp_path):
+    url, properties = derby(spark, tmp_path)
+    rows = spark.range(40).select(F.concat(F.lit("n"), (F.col("id") % 13).cast("string")).alias("name"), F.when(F.col("id") > 3, F.col("id")).cast("int").alias("n"))
+    assert sinks.append_once(rows, url, "target", properties) == 40
+    read = lambda table="target": sorted((r.name, r.n or 0) for r in spark.read.jdbc(url, table, properties=properties).collect())
+    expected = sorted((f"n{i % 13}", i if i > 3 else 0) for i in range(40))
+    assert read() == expected
+    # What a task leaves that committed, was lost and ran again: rows in places that are there already.
+    with sinks._statements(spark, url, properties) as run:
+        run('CREATE TABLE "again" AS SELECT "name", "n" FROM target WITH NO DATA')
+        run('ALTER TABLE "again" ADD COLUMN "place" BIGINT')
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    sinks.stage_rows(placed, url, "again", properties)
+    sinks.stage_rows(placed.where("n > 20"), url, "again", properties)
+    sinks.publish_rows(spark, 40, ["name", "n"], url, "again", "target", properties)
+    assert read() == sorted(expected * 2)
+    # Rows missing, or other rows in one place: an error, and the table stays as it was.
+    for change in ('DELETE FROM "again" WHERE "n" = 7', 'INSERT INTO "again" SELECT "name", 7, "place" FROM "again" WHERE "n" = 8'):
+        with sinks._statements(spark, url, properties) as run:
+            run(change)
+        with pytest.raises(RuntimeError, match="again holds"):
+            sinks.publish_rows(spark, 40, ["name", "n"], url, "again", "target", properties)
+    assert read() == sorted(expected * 2)
+    # A column that the table lacks: no rows, and no staging table either.
+    with pytest.raises(Exception):
+        sinks.append_once(rows.withColumn("other", F.lit(1)), url, "target", properties)
+    assert read() == sorted(expected * 2)
+    with sinks._statements(spark, url, properties) as run:
+        assert run("SELECT count(*) FROM SYS.SYSTABLES WHERE TABLENAME LIKE 'staging%'") == 0
+
+
+FAILS_ONCE = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").getOrCreate()
+from namelattice.sources import sinks
+from tests.test_naming import derby
+url, properties = derby(spark, sys.argv[1])
+kept = sinks.stage_rows
+def failing(rows, *rest):
+    def once(batches):
+        yield from batches
+        if TaskContext.get().attemptNumber() == 0:
+            raise RuntimeError("lost at the end of its rows")
+    kept(rows.mapInArrow(once, rows.schema), *rest)
+sinks.stage_rows = failing
+rows = spark.range(0, 3000, 1, 5).selectExpr("concat('n', id) AS name", "cast(id AS int) AS n")
+sinks.append_once(rows, url, "target", properties)
+found = [r.n for r in spark.read.jdbc(url, "target", properties=properties).collect()]
+print("FOUND", len(found), len(set(found)))
+"""
+
+
+def test_a_task_that_fails_once_leaves_no_repeated_and_no_missing_rows(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", FAILS_ONCE, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND 3000 3000" in done.stdout, done.stderr[-2000:]
 
 
 def test_graph_by_class(spark):
