@@ -82,24 +82,33 @@ def report(tree: DataFrame) -> DataFrame:
     return row.selectExpr("stack(3, 'nodes', nodes, 'leaves', coalesce(leaves, 0), 'types', types) as (metric, value)")
 
 
-def closure(tree: DataFrame, cut: DataFrame | None = None) -> DataFrame:
-    """``node_id, ancestor, distance, rel_path``: every node with every node above it.
+def chains(tree: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """``node_id, chain``: for each node with a parent the way up, as structs (ancestor, token), the token being that of the node below the ancestor.
 
-    ``rel_path`` are the tokens from below the ancestor to the node.  ``cut``
-    (``parent_id, node_id``) are edges that no walk passes.  Distances double
-    each round, so rounds grow with the logarithm of the forest's depth.
+    ``cut`` (``parent_id, node_id``) are edges that no walk passes.  A row is a
+    node; chains double each round, so rounds grow with the logarithm of the
+    forest's depth.
     """
     edges = tree.where("parent_id is not null").select("node_id", "parent_id", "token")
     if cut is not None:
         edges = edges.join(cut, ["parent_id", "node_id"], "left_anti")
-    found = stored(edges.select("node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"), F.array("token").alias("rel_path")), "closure")
-    reach = 1
+    found = stored(edges.select("node_id", F.array(F.struct(F.col("parent_id").alias("ancestor"), "token")).alias("chain")), "chains")
     while True:
-        # All walks of up to ``reach`` edges are known; the longest ones go on by each of them.
-        front = found.where(F.col("distance") == reach).select("node_id", F.col("ancestor").alias("via"), F.col("rel_path").alias("below"))
-        above = found.select(F.col("node_id").alias("via"), "ancestor", "distance", "rel_path")
-        further = front.join(above, "via").select("node_id", "ancestor", (F.col("distance") + reach).alias("distance"), F.concat("rel_path", "below").alias("rel_path"))
-        further = stored(further, "closure")
-        if further.isEmpty():
+        last = found.withColumn("top", F.element_at("chain", -1)["ancestor"])
+        above = found.select(F.col("node_id").alias("top"), F.col("chain").alias("more"))
+        longer = stored(last.join(above, "top", "left").select("node_id", "chain", "more"), "chains")
+        if longer.where("more IS NOT NULL").isEmpty():
             return found
-        found, reach = found.unionByName(further), 2 * reach
+        found = longer.select("node_id", F.when(F.col("more").isNull(), F.col("chain")).otherwise(F.concat("chain", "more")).alias("chain"))
+
+
+def closure(tree: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """``node_id, ancestor, distance, rel_path``: every node with every node above it that no edge of ``cut`` parts it from.
+
+    ``rel_path`` are the tokens from below the ancestor to the node.  Only
+    :func:`chains` are written; the rows are made of them where they are read, and paths
+    only where they are asked for.
+    """
+    rows = chains(tree, cut).select("node_id", "chain", F.posexplode("chain").alias("at", "step"))
+    path = F.reverse(F.transform(F.slice("chain", F.lit(1), F.col("at") + 1), lambda step: step["token"]))
+    return rows.select("node_id", F.col("step.ancestor").alias("ancestor"), (F.col("at") + 1).alias("distance"), path.alias("rel_path"))
