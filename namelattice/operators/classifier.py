@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import UNINTELLIGIBLE, UNKNOWN
+from ..storage import stored
 from .catalog import class_codes
 from .scoring import scaled
 
@@ -57,7 +58,8 @@ def train(vectors: DataFrame, classes: DataFrame, mean: list[float] | None = Non
     labels = sorted(r.class_label for r in known.select("class_label").distinct().collect())  # four at most
     codes = F.create_map(*(F.lit(x) for i, name in enumerate(labels) for x in (name, float(i))))
     rows = assembled(vectors, mean, std).join(known, "concept_id").select("features", codes[F.col("class_label")].alias("label"))
-    return DeviceModel(OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01)).fit(rows), labels)
+    # The fit goes over the rows again and again.
+    return DeviceModel(OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01)).fit(stored(rows, "training")), labels)
 
 
 def predicted(vectors: DataFrame, sizes: DataFrame, model: DeviceModel, mean: list[float] | None = None, std: list[float] | None = None) -> DataFrame:

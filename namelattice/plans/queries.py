@@ -9,14 +9,14 @@ import re
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import Config
 from ..functions import text
-from ..operators import catalog, clusters, labelling, scoring, semantics, similarity, tree, vocabulary
+from ..operators import catalog, classifier, clusters, labelling, scoring, semantics, similarity, tree, vocabulary
 from ..sources import points as sources
 from ..sources import sinks
-from ..storage import stored
+from ..storage import fresh_path, stored
 from . import corpora
 from .pipeline import Run, training_lines
 
@@ -316,6 +316,30 @@ def revised_classes(spark, sf_dir):
     return labelling.concept_classes(part.select(key.cast("string").alias("concept_id")), edges, own)
 
 
+def fitted_classes(spark, sf_dir):
+    """Each supplier as a unit of one equipment, its points alternatives of the catalogue; a model fitted on three quarters of them, saved and loaded, tells all.
+
+    Every sixth unit lacks the last label, every fiftieth has one point only.
+    """
+    key = F.col("s_suppkey")
+    units = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (key % 3).cast("int").alias("equip_ord"))
+    named = catalog.catalog(spark).groupBy("equip", "equip_ord", "label_ord").agg(F.array_sort(F.collect_list(F.struct("alt_ord", "alt_tokens"))).alias("alts"))
+    last = F.max("label_ord").over(Window.partitionBy("equip_ord"))
+    points = units.join(F.broadcast(named.withColumn("last", last)), "equip_ord").where((key % 6 != 5) | (F.col("label_ord") < F.col("last"))).where((key % 50 != 7) | (F.col("label_ord") == 0))
+    chosen = F.get("alts", ((key + F.col("label_ord")) % F.size("alts")).cast("int"))["alt_tokens"]
+    points = stored(points.select(key.cast("string").alias("concept_id"), F.array(F.col("label_ord").cast("string")).alias("rel_path"), chosen.alias("tokens"), "equip"), "points")
+    plain = points.drop("equip")
+    vectors = stored(scoring.feature_vectors(plain, scoring.label_scores(plain)), "features")
+    held_out = F.col("concept_id").cast("long") % 4 == 2
+    learned = points.where(~held_out).select("concept_id", F.col("equip").alias("class_label")).distinct()
+    mean, std = classifier.fitted_scaler(vectors.where(~held_out))
+    path = fresh_path(spark, "device")
+    classifier.train(vectors.where(~held_out), learned, mean, std, iterations=10).save(path)
+    sizes = points.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"))
+    found = classifier.predicted(vectors, sizes, classifier.DeviceModel.load(path), mean, std)
+    return found.withColumn("held_out", held_out)
+
+
 def greedy_assign_few(spark, sf_dir):
     """Parts of a brand and a size as the points of a concept, often fewer than there are labels; the size says which class."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -396,7 +420,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, catalog_flat,
                 supported_labels, token_catalog_jw, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters, first_concepts,
                 concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, derived_graph, base_with_member, base_usage, simple_derived, concept_points,
-                leaf_coverage, unexplained_points, unique_points, concept_classes, revised_classes, greedy_assign, greedy_assign_few, label_candidates, resolve_best, resolve_classified,
+                leaf_coverage, unexplained_points, unique_points, concept_classes, revised_classes, fitted_classes, greedy_assign, greedy_assign_few, label_candidates, resolve_best, resolve_classified,
                 class_summary, class_instances, run_report, dot_graph, cluster_file, training_file, resolved_argmax,
             )
         },
@@ -721,6 +745,9 @@ def oracle_sql() -> dict[str, str]:
         "revised_classes": f"""WITH RECURSIVE own AS MATERIALIZED (SELECT CAST(p_partkey AS VARCHAR) AS concept_id, {named} AS own FROM part),
           assoc AS (SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 97 = 0
             UNION SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 89 = 0 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 101 = 0)){_revised_sql(18)} SELECT concept_id, class_label FROM cls""",
+        # What the units are; the fitted model has to tell it, of those held out too.
+        "fitted_classes": """SELECT CAST(s_suppkey AS VARCHAR) AS concept_id, CASE WHEN s_suppkey % 50 = 7 THEN 'UNKNOWN' ELSE ['AHU', 'VAV', 'VRF'][s_suppkey % 3 + 1] END AS class_label,
+          s_suppkey % 4 = 2 AS held_out FROM supplier""",
         "greedy_assign": f"{many}{stripped}{_scores_sql('sp', catalog.point_model())}{_assigned_sql()} SELECT concept_id, path AS rel_path, label, round(score, 9) AS score FROM asg",
         "greedy_assign_few": f"{few}{stripped}{_scores_sql('sp', catalog.point_model('flat'))}{_assigned_sql()} SELECT concept_id, path AS rel_path, label, round(score, 9) AS score FROM asg",
         "concept_classes": _model_sql("SELECT concept_id, class_label FROM cls", _classes_sql()),
