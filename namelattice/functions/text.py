@@ -48,3 +48,12 @@ def blank_digits(token: Column) -> Column:
 
 #: Tokenizers by name; a pipeline takes one of these or any function of a name column.
 TOKENIZERS = {"simple": tokens}
+
+
+#: What Python's strip() takes off.
+WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(line: Column) -> Column:
+    """Without white space at both ends, as Python's strip() has it."""
+    return F.regexp_replace(line, rf"^[{WHITE}]+|[{WHITE}]+$", "")

@@ -16,7 +16,9 @@ from ..functions import text
 from ..operators import catalog, classifier, clusters, labelling, scoring, semantics, similarity, tree, vocabulary
 from ..sources import points as sources
 from ..sources import sinks
+from ..sources.catalogue import checked_model
 from ..storage import fresh_path, stored
+from ..streaming.names import Known, resolve_names
 from . import corpora
 from .pipeline import Run, training_lines
 
@@ -181,6 +183,23 @@ def token_catalog_jw(spark, sf_dir):
     return found.select("token", "alt_token", F.round("similarity", 9).alias("similarity"))
 
 
+def alike_tokens(spark, sf_dir):
+    """Tokens of pages with all tokens of pages that are alike."""
+    tokens = stored(token_frequency(spark, sf_dir), "tokens")
+    return scoring.alike_tokens(tokens, tokens).select("token", "alt_token", F.round("similarity", 9).alias("similarity"))
+
+
+def given_catalogue_scores(spark, sf_dir):
+    """Misspelt names of parts against a catalogue made of parts: types are equipment, brands labels, names alternatives."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    words = F.split(F.upper("p_name"), " ")
+    model = checked_model(part.select(F.col("p_type").alias("equip"), F.col("p_brand").alias("label"), words.alias("alternative")).distinct())
+    at = (F.col("p_partkey") % 7).cast("int")
+    misspelt = F.split(F.concat(F.substr(F.upper("p_name"), F.lit(1), at), F.substr(F.upper("p_name"), at + 2)), " ")
+    scores = scoring.label_scores(part.select(misspelt.alias("tokens")), model)
+    return scores.select(*_joined("tokens"), "equip", "label", F.round("score", 9).alias("score"))
+
+
 def _by_brand(spark, sf_dir) -> DataFrame:
     """The names of each brand as the points of a concept."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -370,6 +389,13 @@ def resolve_classified(spark, sf_dir):
     return _plant(spark, sf_dir, classify=True).resolved().withColumn("distance", F.round("distance", 9))
 
 
+def resolve_new_names(spark, sf_dir):
+    """Names of the plant against what a classified run over them knows, one at a time as a stream takes them."""
+    run = _plant(spark, sf_dir, classify=True)
+    found = resolve_names(run.points, Known.of(run)).where("node IS NOT NULL")
+    return found.select("original_point", "equipment", "node", F.round("distance", 9).alias("distance"), "representation")
+
+
 def class_summary(spark, sf_dir):
     run = _plant(spark, sf_dir, classify=True)
     return semantics.class_summary(run.classes, run.found.membership)
@@ -418,9 +444,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 load_names, rejected_names, distinct_points, tokenize_points, uncamel, unique_tokens, token_frequency, split_trailing, split_runs, without_digits,
                 vocab_children, expand_tokens, expand_tokens_pages, frequency_after, point_paths, tree_nodes, node_types, tree_leaves, point_leaf, leaf_parents, tree_report,
                 node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, catalog_flat,
-                supported_labels, token_catalog_jw, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters, first_concepts,
+                supported_labels, token_catalog_jw, alike_tokens, given_catalogue_scores, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters, first_concepts,
                 concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, derived_graph, base_with_member, base_usage, simple_derived, concept_points,
-                leaf_coverage, unexplained_points, unique_points, concept_classes, revised_classes, fitted_classes, greedy_assign, greedy_assign_few, label_candidates, resolve_best, resolve_classified,
+                leaf_coverage, unexplained_points, unique_points, concept_classes, revised_classes, fitted_classes, greedy_assign, greedy_assign_few, label_candidates, resolve_best, resolve_classified, resolve_new_names,
                 class_summary, class_instances, run_report, dot_graph, cluster_file, training_file, resolved_argmax,
             )
         },
@@ -574,11 +600,11 @@ def _catalog_sql(model: catalog.Model | None = None) -> str:
     return f"cat AS (SELECT * FROM (VALUES {', '.join(rows)}) t(equip, equip_ord, label, label_ord, alt_ord, alt_tokens))"
 
 
-def _scores_sql(source: str, model: catalog.Model | None = None) -> str:
+def _scores_sql(source: str, model: catalog.Model | None = None, catalogue: str | None = None) -> str:
     best = "coalesce(list_max(list_filter(list_transform(alt_tokens, lambda a: jaro_winkler_similarity(t, a)), lambda x: x > 0.85::DOUBLE)), 0)"
     joined = "array_to_string(tokens, '')"
     return f""",
-{_catalog_sql(model)},
+{catalogue or _catalog_sql(model)},
 pt AS (SELECT DISTINCT tokens FROM {source}),
 raw AS (SELECT tokens, equip, equip_ord, label, alt_tokens,
   coalesce(list_sum(list_transform(tokens, lambda t: {best})), 0) / greatest(len(tokens), len(alt_tokens)) AS s,
@@ -753,6 +779,8 @@ def oracle_sql() -> dict[str, str]:
         "concept_classes": _model_sql("SELECT concept_id, class_label FROM cls", _classes_sql()),
         "resolve_classified": _model_sql("""SELECT point_name AS original_point, class AS equipment, c[2] AS node, c[4] AS distance, c[3] AS representation
           FROM (SELECT *, row_number() OVER (PARTITION BY point_name ORDER BY c[4] DESC, c[1], class DESC) AS place FROM close) WHERE place = 1""", _resolved_sql()),
+        "resolve_new_names": _model_sql("""SELECT point_name AS original_point, class AS equipment, c[2] AS node, c[4] AS distance, c[3] AS representation
+          FROM (SELECT *, row_number() OVER (PARTITION BY point_name ORDER BY c[4] DESC, c[1], class DESC) AS place FROM close) WHERE place = 1""", _resolved_sql()),
         "class_summary": _model_sql("SELECT class_label, count(DISTINCT concept_id) AS n_concepts, count(node_id) AS n_instances FROM cls LEFT JOIN ms USING (concept_id) GROUP BY 1", _classes_sql()),
         "similar_pairs": _similar_sql(PARTS, "0.9"),
         "similar_pairs_supply": _similar_sql(SUPPLY, "0.9"),
@@ -828,6 +856,11 @@ walks(concept_id, token, here, seen, n) AS (SELECT concept_id, unnest(members),
         "supported_labels": f"SELECT kind, ord::BIGINT AS ord, label FROM (VALUES {_quoted(catalog.class_labels(), 'class')}, {_quoted(catalog.point_labels(), 'point')}) t(kind, ord, label)",
         "token_catalog_jw": f"""{tokens_of_pages}, {_catalog_sql()}, a AS (SELECT DISTINCT unnest(alt_tokens) AS alt_token FROM cat)
           SELECT token, alt_token, round(jaro_winkler_similarity(token, alt_token), 9) AS similarity FROM f, a WHERE jaro_winkler_similarity(token, alt_token) > 0.85::DOUBLE""",
+        "alike_tokens": f"""{tokens_of_pages} SELECT a.token, b.token AS alt_token, round(jaro_winkler_similarity(a.token, b.token), 9) AS similarity FROM f a, f b
+          WHERE jaro_winkler_similarity(a.token, b.token) > 0.85::DOUBLE""",
+        "given_catalogue_scores": "WITH q AS (SELECT string_split(substr(upper(p_name), 1, p_partkey % 7) || substr(upper(p_name), p_partkey % 7 + 2), ' ') AS tokens FROM part)" + _scores_sql(
+            "q", catalogue="cat AS MATERIALIZED (SELECT DISTINCT p_type AS equip, 0 AS equip_ord, p_brand AS label, string_split(upper(p_name), ' ') AS alt_tokens FROM part)"
+        ) + f" SELECT {joined('tokens')}, equip, label, round(score, 9) AS score FROM sc",
         "strip_common_prefix": f"{_BRAND_SQL}, s AS (SELECT concat_ws('/', concept_id, rel_path[1]) AS concept_id, rel_path FROM b){_STRIPPED_SQL.format(source='s')} SELECT concept_id, {joined('rel_path', 'tokens')} FROM st",
         "point_label_scores": f"{_BRAND_SQL}, q AS (SELECT rel_path AS tokens FROM b){_scores_sql('q')} SELECT {joined('tokens')}, equip, label, round(score, 9) AS score FROM sc",
         "feature_vector": f"""{_BRAND_SQL}{_STRIPPED_SQL.format(source='b')}{_scores_sql('st')},

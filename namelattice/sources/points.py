@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
+from ..functions.text import stripped
 from ..operators.scoring import without_common_prefix
 
 #: The key by which two points are one.
 POINT_KEY = ["point_name", "object_type", "device_id", "object_id"]
-_STRIP = r"^\s+|\s+$"
 
 
 def name_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(points, rejected)`` from ``lines(value)``: trimmed, not empty, without a comma, distinct; rejected lines hold a comma."""
-    rows = lines.select(F.regexp_replace("value", _STRIP, "").alias("value")).where("value <> ''")
+    rows = lines.select(stripped(F.col("value")).alias("value")).where("value <> ''")
     comma = F.contains("value", F.lit(","))
     return rows.where(~comma).select(F.col("value").alias("point_name")).distinct(), rows.where(comma)
 

@@ -478,6 +478,43 @@ def test_classes_are_revised_level_by_level(spark, seed):
     assert components.strongly_connected(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+@pytest.mark.parametrize("cut", [0.82, 0.85, 0.95])
+def test_alike_tokens_equal_brute_force(spark, cut):
+    rng = random.Random(17)
+    made = ["".join(rng.choices("ABCDE1é", k=rng.randint(1, 12))) for _ in range(150)]
+    made += [w[:i] + rng.choice("ABX") + w[i + 1 :] for w in made[:80] for i in [rng.randrange(len(w))]] + ["", "😀A", "A😀", "Z" * 400, "ZONE", "ZN", "A" * 12, "AAAB"]
+    left, right = made[::2] + ["ZONES"], made[1::2] + ["A", "ZONE"]
+    tables = [spark.createDataFrame([(w,) for w in words], "token string").repartition(3) for words in (left, right)]
+    found = scoring.alike_tokens(*tables, cut=cut)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    got = {(r.token, r.alt_token) for r in found.collect()}
+    expected = {(a, b) for a in left for b in right if jaro_winkler(a, b) > cut}
+    assert got == expected and len(expected) > (30 if cut < 0.9 else 5)
+    assert scoring.alike_tokens(tables[0], tables[1].limit(0)).count() == 0
+
+
+def test_a_catalogue_of_ones_own(spark, tmp_path):
+    from namelattice.sources.catalogue import checked_model, read_catalogue
+
+    (tmp_path / "c.json").write_text('{"equip":"PUMP","label":"Flow","alternatives":[["FLW"],["WATER","FLOW"]]}\n{"equip":"FAN","label":"Speed","alternatives":[["SPD"]]}\n')
+    rows = read_catalogue(spark, str(tmp_path / "c.json"))
+    model = checked_model(rows)
+    assert model == {"FAN": {"Speed": [["SPD"]]}, "PUMP": {"Flow": [["FLW"], ["WATER", "FLOW"]]}}
+    scores = scoring.label_scores(spark.createDataFrame([(["FLW"],), (["WATR", "FLOW"],)], "tokens array<string>"), model)
+    best = {tuple(r.tokens): (r.equip, r.label) for r in scores.where("score > 0.9").collect()}
+    assert best == {("FLW",): ("PUMP", "Flow"), ("WATR", "FLOW"): ("PUMP", "Flow")}
+    with pytest.raises(ValueError, match="3 alternatives; 2 at most"):
+        checked_model(rows, most=2)
+    with pytest.raises(ValueError, match="twice in the catalogue: FAN Speed SPD"):
+        checked_model(rows.unionByName(rows.where("equip = 'FAN'")))
+    for bad in (None, [], ["A", None], [""]):
+        with pytest.raises(ValueError, match="lack"):
+            checked_model(rows.unionByName(spark.createDataFrame([("FAN", "Speed", bad)], "equip string, label string, alternative array<string>")))
+    (tmp_path / "bad.json").write_text('{"equip":"FAN","label":"Speed","alternatives":"SPD"}\n')
+    with pytest.raises(Exception):
+        checked_model(read_catalogue(spark, str(tmp_path / "bad.json")))
+
+
 def test_catalogue_modes():
     assert [len(x) for x in (catalog.class_labels(), catalog.point_labels())] == [4, 17]
     assert catalog.class_codes() == {"AHU": 1, "VAV": 2, "VRF": 3}
@@ -713,6 +750,42 @@ def test_streamed_names(spark, tmp_path):
     assert [tuple(r.tokens) for r in spark.table("names").collect()] == [("AHU01", "SAT")]
 
 
+def test_names_are_stripped_alike_in_batch_and_stream(spark, tmp_path):
+    from namelattice.streaming.names import tokenized_stream
+
+    lines = ["\tAHU1/SAT", "\u3000AHU2/SAT\xa0", " \x1fAHU3/S AT\u2028 ", "\u200bAHU4", "\x85 ", "plain"]
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    expected = {x.strip() for x in lines} - {""}
+    assert {r.point_name for r in sources.name_lines(rows)[0].collect()} == expected
+    assert {r.point_name for r in tokenized_stream(rows).collect()} == expected
+
+
+def test_a_stream_resolves_as_a_batch_does(spark, tmp_path):
+    from namelattice.streaming.names import Known, resolve_names, resolve_stream
+
+    kinds = {"AHU": ["MAT", "RAT", "OAT", "HUM"], "VAV": ["ZN T", "ZN SP", "OCC", "RH"]}
+    known_names = [f"B1/{kind}{i:02d}/{p}" for kind, points in kinds.items() for i in range(4) for p in points]
+    run = Run(names(spark, known_names), Config(class_floor=0.5), classify=True)
+    Known.of(run).save(str(tmp_path / "known"))
+    known = Known.load(spark, str(tmp_path / "known"))
+    batch = {r.original_point: tuple(r) for r in run.resolved().collect()}
+    again = {r.original_point: (r.original_point, r.equipment, r.node, r.distance, r.representation) for r in resolve_names(run.points, known).collect()}
+    assert batch and again == batch
+    # New points of known units, a new unit, repeated names, in files that come one after the other.
+    files = [known_names[:9] + ["B1/AHU00/FAN7"], [*known_names[5:20], "", "a,b", " B1/AHU00/FAN7 "], ["B1/VAV09/OCC", "other", *known_names[20:]]]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(files):
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(rows))
+        # Each start is a restart from the checkpoint of the last.
+        query = resolve_stream(spark.readStream.text(str(tmp_path / "in")), known, str(tmp_path / "out"), str(tmp_path / "cp"))
+        assert query.awaitTermination(120) and query.exception() is None
+    kept = ["original_point", "leaf", "equipment", "node", "distance", "representation"]
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(kept).collect()))
+    every = spark.createDataFrame([(x,) for rows in files for x in rows], "value string")
+    assert got == sorted(map(str, resolve_names(sources.name_lines(every)[0], known).select(kept).collect()))
+    assert len(got) == len({x.strip() for rows in files for x in rows} - {"", "a,b"})
+
+
 def test_entry_points_agree(spark):
     import __spark_entry__ as entry
 
