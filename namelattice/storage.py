@@ -16,13 +16,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: The folders written in each open block of :func:`released`, innermost last.
-_BLOCKS: list[list[str]] = []
+#: The folders written in each open block of :func:`released` of this thread or task, innermost last.
+_BLOCKS: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=())
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -43,7 +44,8 @@ def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A path nothing else uses, dropped when the block of :func:`released` around it ends (that block's own block with ``keep``), or the driver."""
     path = f"{shared_dir(spark)}/namelattice-{uuid.uuid4().hex[:12]}/{name}"
     atexit.register(discard, spark, os.path.dirname(path))
-    blocks = _BLOCKS[: len(_BLOCKS) - keep]
+    blocks = _BLOCKS.get()
+    blocks = blocks[: len(blocks) - keep]
     if blocks:
         blocks[-1].append(os.path.dirname(path))
     return path
@@ -52,11 +54,13 @@ def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Drop the tables written inside this block when it ends; nothing made in it may be read later but what was stored with ``keep``."""
-    _BLOCKS.append([])
+    block: list[str] = []
+    token = _BLOCKS.set((*_BLOCKS.get(), block))
     try:
         yield
     finally:
-        for path in _BLOCKS.pop():
+        _BLOCKS.reset(token)
+        for path in block:
             discard(spark, path)
 
 
