@@ -1,23 +1,30 @@
-"""Near-duplicate vectors by random projections, whole buckets compared.
+"""Near-duplicate vectors by sorted projection passes.
 
 Each pass gives every vector the bits of random hyperplanes, concatenated;
-vectors that share all bits are a bucket, and all of a bucket are compared with
-each other in double precision.  Within a task, vectors are ordered by pass and
-bits, so a bucket is the run of neighbours that share them: the window of
-comparison is the whole run and not a fixed number of neighbours, as a fixed
-window loses pairs where vectors crowd.  A pair at the threshold shares a bucket with a
-probability that depends on its angle and the bits alone, not on how the rest of
-the table lies, so the number of passes follows from the bits for a recall of
-``RECALL`` in a crowd as elsewhere.  Crowds only cost: how many pairs each
-number of bits leaves is measured on the table, and the cheapest number is
-taken; at 0 bits, all vectors are compared in one pass and nothing is missed.  A
-large bucket is dealt out as pairs of blocks.  The pairs found in a task are
-contracted to stars before they leave it, and all passes are united as connected
-components.
+vectors are ordered by them, and each is compared in double precision with the
+``WINDOW`` or more that follow it in that order.  Every other pass takes the
+hyperplanes through the mean of the table, where vectors that share a direction
+still differ.  A window covers a run of equal leading bits where vectors lie
+apart; where they crowd it covers as many more leading bits as it takes, so a
+pass costs the same wherever vectors lie, and crowds need more passes.
+
+The order is cut into spans by place, not by bits: a task has ``SPAN`` places and
+one window of those after it, whatever the bits are, so no bucket is hot.  Bits
+and node digests are what is sorted; vectors are fetched once for each pass and
+the window that two spans share.  Pairs found in a task are contracted to stars
+before they leave it, and all passes are united as connected components.
+
+The first passes are as many as find a pair at the threshold with probability
+``RECALL`` among vectors that lie apart.  Then recall is measured: ``PROBES``
+vectors, drawn by digest, are compared with all vectors, and up to ``BINS`` links
+of each, drawn too, are looked for among the components.  Passes go on until the
+share found is ``RECALL`` or more.
 
 Links are then counted inside components by blocks of vectors: a component,
 however large, is dealt out as pairs of blocks, no pair of vectors ever being a
-row.  Equal vectors are one node that counts as often as it occurs.
+row.  Vectors nearer than half the threshold's angle to their component's centre
+are all linked with each other and counted without comparing them.  Equal
+vectors are one node that counts as often as it occurs.
 
 Vectors travel in the precision they are stored in and are compared in double.
 
@@ -34,23 +41,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bounded import broadcast_if_small
 from ..operators.components import connected_components
-from ..storage import ship, stored
+from ..storage import released, ship, stored
 
-SIMILARITY, RECALL = 0.9, 0.999
-#: Most hyperplanes whose bits are concatenated, and passes that share a job (so much more than the table is shuffled at once).
+SIMILARITY, RECALL = 0.9, 0.99
+#: Hyperplanes whose bits are concatenated, and passes that share a job (so much more than the table is shuffled at once).
 BITS, PASSES_A_JOB = 48, 8
-#: Vectors in a block when links are counted, and when a bucket is compared.
-BLOCK, BUCKET = 512, 4096
-#: Pairs that cost as much to compare as a row to deal out, and rows that crowding is measured on; both set speed only.
-PAIRS_A_ROW, MEASURED = 2000, 50_000
+#: Neighbours that a vector is compared with at least, and places of the order in a task.
+WINDOW, SPAN = 1024, 8192
+#: Vectors that recall is measured on, and links looked for of each.
+PROBES, BINS = 4096, 8
+#: Vectors in a block when links are counted, vectors of small components in a task, and vectors a centre is the mean of, about.
+BLOCK, TOGETHER, CENTRE_OF = 512, 4096, 64
 
 
 def passes_for(bits: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """Passes of so many bits that find a pair at the threshold with probability ``recall``, however crowded its surroundings are."""
+    """Passes that find a pair at the threshold with probability ``recall`` if it must share so many leading bits."""
     meet = (1 - math.acos(similarity) / math.pi) ** bits
     return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
@@ -94,52 +103,95 @@ def _by_length(raw: list[bytes]) -> Iterator[np.ndarray]:
         yield np.flatnonzero(sizes == size)
 
 
-def _projected(nodes: DataFrame, first: int, count: int, bits: int, seed: int, kind: str) -> DataFrame:
-    """``pass, dim, key, node, vec``: a row for each node and pass."""
+def _probes(nodes: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """Digests and vectors of at most ``PROBES`` nodes, those of the least hashes."""
+    drawn = nodes.select("node", "vec", F.xxhash64("node").alias("h")).orderBy("h", "node").limit(PROBES).toArrow()
+    return drawn.column("node").to_pylist(), drawn.column("vec").to_pylist()
+
+
+def _links_of_probes(nodes: DataFrame, digests: list[bytes], vecs: list[bytes], kind: str, similarity: float) -> DataFrame:
+    """``a, b``: of each probe ``a`` up to ``BINS`` of its links over all nodes, the least by hash of each bin of hashes."""
+    shared = nodes.sparkSession.sparkContext.broadcast((digests, vecs))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, raw = shared.value
+        by_size = {len(raw[pick[0]]): (pick, _unit([raw[i] for i in pick], kind)) for pick in _by_length(raw)} if raw else {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                rows = batch.slice(start, 2048)
+                ids, h, cells = rows.column("node").to_pylist(), rows.column("h").to_numpy(), rows.column("vec").to_pylist()
+                a, b, hs = [], [], []
+                for pick in _by_length(cells):
+                    size = len(cells[pick[0]])
+                    if size in by_size:
+                        probe, unit = by_size[size]
+                        pick = pick[np.argsort(h[pick], kind="stable")]
+                        close = _unit([cells[i] for i in pick], kind) @ unit.T >= similarity
+                        place = {names[j]: at for at, j in enumerate(probe)}
+                        for at, i in enumerate(pick):
+                            if ids[i] in place:
+                                close[at, place[ids[i]]] = False
+                        for bin_ in range(BINS):
+                            some = np.flatnonzero(h[pick] % BINS == bin_)
+                            if len(some):
+                                first = close[some].argmax(axis=0)
+                                for j in np.flatnonzero(close[some].any(axis=0)):
+                                    i = pick[some[first[j]]]
+                                    a.append(names[probe[j]])
+                                    b.append(ids[i])
+                                    hs.append(int(h[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(hs, pa.int64())], names=["a", "b", "h"])
+
+    met = nodes.select("node", "vec", F.xxhash64("node").alias("h")).mapInArrow(search, "a binary, b binary, h long")
+    least = met.groupBy("a", F.pmod("h", F.lit(BINS)).alias("bin")).agg(F.min(F.struct("h", "b")).alias("least"))
+    return least.select("a", F.col("least.b").alias("b"))
+
+
+def _share_found(expected: DataFrame, found: DataFrame) -> float:
+    """Of the links ``expected(a, b)`` those within one of the components ``found(node, component)``; 1 if none are expected."""
+    left, right = (found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    joined = expected.join(left, "a", "left").join(right, "b", "left")
+    share = joined.agg(F.avg(F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)).cast("double")).alias("share")).first().share
+    return 1.0 if share is None else share
+
+
+def _keys(nodes: DataFrame, first: int, count: int, means: dict[int, np.ndarray], seed: int, kind: str) -> DataFrame:
+    """``pass, dim, key, node``: a row for each node and pass."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        odd = np.repeat(np.arange(first, first + count) % 2, BITS)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
                 raw = rows.column("vec").to_pylist()
                 for pick in _by_length(raw):
                     unit = _unit([raw[i] for i in pick], kind)
-                    dim = unit.shape[1]
+                    dim, n = unit.shape[1], len(pick)
                     if dim not in planes:
-                        planes[dim] = np.concatenate([np.random.default_rng([seed, p, dim]).normal(size=(dim, bits)) for p in range(first, first + count)], axis=1)
-                    keys = ((unit @ planes[dim]).reshape(len(pick), count, bits) > 0) @ powers
-                    chosen = rows.take(pa.array(pick))
+                        normals = np.concatenate([np.random.default_rng([seed, p, dim]).normal(size=(dim, BITS)) for p in range(first, first + count)], axis=1)
+                        planes[dim] = normals, odd * (means.get(dim, np.zeros(dim)) @ normals)
+                    normals, shift = planes[dim]
+                    keys = ((unit @ normals > shift).reshape(n, count, BITS)) @ powers
+                    chosen = rows.column("node").take(pa.array(pick))
                     for p in range(count):
-                        n = len(pick)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, first + p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(keys[:, p]), chosen.column("node"), chosen.column("vec")],
-                            names=["pass", "dim", "key", "node", "vec"],
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, first + p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(keys[:, p]), chosen], names=["pass", "dim", "key", "node"])
 
-    return nodes.select("node", "vec").mapInArrow(project, "pass int, dim int, key long, node binary, vec binary")
+    return nodes.select("node", "vec").mapInArrow(project, "pass int, dim int, key long, node binary")
 
 
-def bits_for(nodes: DataFrame, rows: int, kind: str, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> int:
-    """The number of bits that costs least, by the pairs that each number leaves in buckets.
-
-    The keys counted are of at most some ``MEASURED`` nodes, drawn by their
-    digest over the whole table; they decide the cost, not what is found.
-    """
-    share = min(1.0, MEASURED / max(rows, 1))
-    drawn = nodes if share == 1 else nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    keys = _projected(drawn, 0, 1, BITS, seed, kind).select("dim", "key").toArrow()
-    dim, key = keys.column("dim").to_numpy().astype(np.int64), keys.column("key").to_numpy()
-    best = (math.inf, 0)
-    for bits in range(BITS + 1):
-        found = np.unique(np.stack([dim, key >> (BITS - bits)]), axis=1, return_counts=True)[1].astype(float)
-        pairs = (found * (found - 1)).sum() / share**2
-        passes = passes_for(bits, similarity, recall)
-        best = min(best, (passes * (rows + pairs / PAIRS_A_ROW), bits))
-        if passes * rows > best[0]:
-            break
-    return best[1]
+def _places(keys: DataFrame) -> DataFrame:
+    """``pass, dim, node, place``: the place of each row in the order of passes, lengths, bits and digests."""
+    order = ["pass", "dim", "key", "node"]
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "dim", "node", F.spark_partition_id().alias("part"), inside.alias("at"))
+    # Written before it is read twice: ranges are drawn anew by each run.
+    ranges = stored(ranges, "ordered")
+    sizes = sorted(map(tuple, ranges.groupBy("part").count().collect()))  # a row a partition
+    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
+    starts = keys.sparkSession.createDataFrame([(part, start) for (part, _), start in zip(sizes, before)], "part int, start long")
+    return ranges.join(F.broadcast(starts), "part").select("pass", "dim", "node", (F.col("start") + F.col("at")).alias("place"))
 
 
 def _stars(close: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -156,68 +208,87 @@ def _stars(close: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield first, np.concatenate(members)
 
 
-def _close(unit: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Which vectors are linked, as a symmetric truth table; only those of ``left`` with those of ``right``."""
-    close = np.zeros((len(unit), len(unit)), dtype=bool)
-    for at in range(0, len(left), 512):
-        some = left[at : at + 512]
-        close[np.ix_(some, right)] = unit[some] @ unit[right].T >= similarity
-    close |= close.T
-    np.fill_diagonal(close, False)
-    return close
-
-
-def _compared(dealt: DataFrame, passes: int, rows: int, kind: str, similarity: float) -> DataFrame:
-    """``a, b``: stars over the linked rows of each bucket of ``dealt(pass, dim, key, node, vec)``, all of a bucket being compared."""
-    bucket = ["pass", "dim", "key"]
-    large = broadcast_if_small(stored(dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET), "large"), 200_000)
-    known = dealt.join(large, bucket, "left").withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int"))
-    known = known.withColumn("own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)))
-    # Small buckets share a task's call; a large one is dealt as pairs of its blocks.
-    calls = max(1, math.ceil(rows * passes / BUCKET))
-    none = F.lit(-1)
-    small = F.array(F.struct(F.pmod(F.xxhash64(*bucket), F.lit(calls)).alias("bucket"), none.alias("pass"), none.alias("dim"), none.alias("i"), none.alias("j")))
-
-    def meeting(x):
-        return F.struct(F.col("key").alias("bucket"), F.col("pass"), F.col("dim"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j"))
-
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), meeting)
-    tasks = known.select(F.explode(F.when(F.col("size").isNull(), small).otherwise(pairs)).alias("task"), *bucket, "own", "node", "vec")
+def _windows(nodes: DataFrame, places: DataFrame, kind: str, similarity: float) -> DataFrame:
+    """``a, b``: stars over the linked rows of each span of ``places``, every row compared with ``WINDOW`` rows after it or more."""
+    span = F.floor(F.col("place") / SPAN)
+    shared = (F.col("place") % SPAN < WINDOW) & (span > 0)
+    task = F.explode(F.when(shared, F.array(span, span - 1)).otherwise(F.array(span)))
+    tasks = places.join(nodes.select("node", "vec"), "node").withColumn("task", task)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        task = table.column("task")[0].as_py()
-        marks = np.stack([table.column(c).to_numpy().astype(np.int64) for c in bucket])
-        order = np.lexsort(marks)
-        cuts = np.flatnonzero((marks[:, order[1:]] != marks[:, order[:-1]]).any(axis=0)) + 1
-        vecs, nodes, own = table.column("vec"), table.column("node").to_pylist(), table.column("own").to_numpy()
+        order = np.argsort(table.column("place").to_numpy(), kind="stable")
+        marks = np.stack([table.column(c).to_numpy() for c in ("pass", "dim")])[:, order]
+        own = table.column("place").to_numpy() // SPAN == table.column("task")[0].as_py()
+        vecs, nodes_ = table.column("vec"), table.column("node").to_pylist()
         a, b = [], []
-        for at in np.split(order, cuts):
-            if len(at) > 1:
-                unit, everyone = _unit(vecs.take(pa.array(at)).to_pylist(), kind), np.arange(len(at))
-                apart = task["i"] != task["j"]
-                left = np.flatnonzero(own[at] == task["i"]) if apart else everyone
-                right = np.flatnonzero(own[at] == task["j"]) if apart else everyone
-                for first, others in _stars(_close(unit, left, right, similarity)):
-                    a += [nodes[at[first]]] * len(others)
-                    b += [nodes[i] for i in at[others]]
+        for at in np.split(order, np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1):
+            unit = _unit(vecs.take(pa.array(at)).to_pylist(), kind)
+            for start in range(0, int(own[at].sum()), 512):
+                rows = unit[start : start + 512]
+                ahead = unit[start : start + 512 + WINDOW]
+                close = np.zeros((len(ahead), len(ahead)), dtype=bool)
+                close[: len(rows)] = rows @ ahead.T >= similarity
+                close |= close.T
+                np.fill_diagonal(close, False)
+                for first, others in _stars(close):
+                    a += [nodes_[at[start + first]]] * len(others)
+                    b += [nodes_[at[start + i]] for i in others]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return tasks.groupBy("task").applyInArrow(compare, "a binary, b binary")
+    return tasks.groupBy("task").applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def found_components(nodes: DataFrame, rows: int, kind: str, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> DataFrame:
+    """``node, component`` of the nodes that passes link, as many passes as reach the measured recall."""
+    spark: SparkSession = nodes.sparkSession
+    digests, vecs = _probes(nodes)
+    units = [_unit([vecs[i] for i in pick], kind) for pick in _by_length(vecs)] if vecs else []
+    means = {u.shape[1]: u.mean(axis=0) for u in units}
+    expected = stored(_links_of_probes(nodes, digests, vecs, kind, similarity), "probed")
+    links, done, total = None, 0, passes_for(max(0, math.ceil(math.log2(max(1, rows) / WINDOW))), similarity, recall)
+    while True:
+        while done < total:
+            count = min(PASSES_A_JOB, total - done)
+            with released(spark):
+                part = stored(_windows(nodes, _places(_keys(nodes, done, count, means, seed, kind)), kind, similarity), "links", keep=True)
+            links = part if links is None else links.unionByName(part)
+            done += count
+        with released(spark):
+            found = stored(connected_components(links), "components", keep=True)
+        if _share_found(expected, found) >= recall:
+            return found
+        links, total = found.select(F.col("node").alias("a"), F.col("component").alias("b")), done + PASSES_A_JOB
+
+
+def _with_core(large: DataFrame, kind: str, similarity: float) -> DataFrame:
+    """``large(comp, node, vec, copies, blocks)`` with ``core``: so near the centre of its component that all such are linked.
+
+    The centre is the mean of about ``CENTRE_OF`` vectors drawn by digest; any
+    centre is right, a good one makes more vectors core.
+    """
+    drawn = large.where(F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks") * max(1, BLOCK // CENTRE_OF)) == 0).select("comp", "vec")
 
+    def mean(table: pa.Table) -> pa.Table:
+        centre = _unit(table.column("vec").to_pylist(), kind).mean(axis=0)
+        return pa.table({"comp": table.column("comp").slice(0, 1), "centre": pa.array([centre.tobytes()], pa.binary())})
+
+    centres = broadcast_if_small(stored(drawn.groupBy("comp").applyInArrow(mean, "comp binary, centre binary"), "centres"), 2000)
+    # Two angles of less than half the threshold's add up to less than it; the margin is for rounding.
+    near = math.cos(max(0.0, math.acos(similarity) / 2 - 1e-6))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core = np.zeros(batch.num_rows, dtype=bool)
+            raw, centre = batch.column("vec").to_pylist(), batch.column("centre").to_pylist()
+            for i in range(batch.num_rows):
+                if centre[i] is not None:
+                    c = np.frombuffer(centre[i])
+                    norm = np.linalg.norm(c)
+                    core[i] = norm > 0 and _unit([raw[i]], kind)[0] @ c >= near * norm
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("comp", "node", "vec", "copies")), pa.array(core)], names=["comp", "node", "vec", "copies", "core"])
 
-def found_links(nodes: DataFrame, rows: int, kind: str, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 11) -> DataFrame:
-    """``a, b``: pairs that hold the components found by all passes together."""
-    bits = bits_for(nodes, rows, kind, similarity, recall, seed)
-    total = passes_for(bits, similarity, recall)
-    links = None
-    for first in range(0, total, PASSES_A_JOB):
-        count = min(PASSES_A_JOB, total - first)
-        # Other hyperplanes than those the bits were chosen by.
-        dealt = stored(_projected(nodes, first, count, bits, seed + 1, kind), "projected")
-        part = stored(_compared(dealt, count, rows, kind, similarity), "links")
-        links = part if links is None else links.unionByName(part)
-    return links.distinct()
+    return large.join(centres, "comp", "left").select("comp", "node", "vec", "copies", "centre").mapInArrow(mark, "comp binary, node binary, vec binary, copies long, core boolean")
 
 
 _COUNTED = "node binary, links long"
@@ -225,17 +296,26 @@ _COUNTED = "node binary, links long"
 
 def _counted_links(members: DataFrame, rows: int, kind: str, similarity: float) -> DataFrame:
     """``node, links``: other vectors of the component within the threshold, from ``members(node, comp, vec, copies)``."""
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    known = members.join(stored(sizes, "sizes"), "comp")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    known = known.withColumn("blocks", blocks).withColumn("own", own)
-    # Small components share a task's call, about BUCKET vectors of them; a large one is dealt as pairs of its blocks.
-    calls = max(1, math.ceil(rows / BUCKET))
+    sizes = stored(members.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    known = members.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # Small components share a task's call, about TOGETHER vectors of them.
+    calls = max(1, math.ceil(rows / TOGETHER))
     small = F.struct(F.lit(b"").alias("comp"), F.pmod(F.xxhash64("comp"), F.lit(calls)).cast("int").alias("i"), F.lit(-1).alias("j"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("comp"), F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j"))))
     columns = ["task", "comp", "own", "node", "vec", "copies"]
-    dealt = known.where("blocks = 1").withColumn("task", small).select(*columns).unionByName(known.where("blocks > 1").withColumn("task", pair).select(*columns))
+    together = known.where("blocks = 1").withColumn("task", small).withColumn("own", F.lit(0)).select(*columns)
+    # A large one is dealt as pairs of its blocks: others first, then core, which meets the others only.
+    marked = stored(_with_core(known.where("blocks > 1"), kind, similarity), "marked")
+    of_core = F.coalesce(F.sum(F.col("core").cast("long")), F.lit(0))
+    parts = marked.groupBy("comp").agg(of_core.alias("n_core"), F.sum(F.when(F.col("core"), F.col("copies"))).alias("core_copies"), F.count(F.lit(1)).alias("n"))
+    parts = stored(parts.select("comp", "core_copies", F.ceil((F.col("n") - F.col("n_core")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("n_core") / BLOCK).cast("int").alias("cores")), "parts")
+    dealt = marked.join(broadcast_if_small(parts, 200_000), "comp")
+    of = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.when(F.col("core"), F.col("cores")).otherwise(F.col("others")))).cast("int")
+    own = F.when(F.col("core"), F.col("others") + of).otherwise(of)
+    last = F.when(F.col("core"), F.col("others")).otherwise(F.col("others") + F.col("cores")) - 1
+    inside = dealt.where("core").select("node", (F.col("core_copies") - F.col("copies")).alias("links"))
+    dealt = dealt.where("not core or others > 0").withColumn("own", own)
+    pair = F.explode(F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.col("comp"), F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j"))))
+    dealt = together.unionByName(dealt.withColumn("task", pair).select(*columns))
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -259,7 +339,7 @@ def _counted_links(members: DataFrame, rows: int, kind: str, similarity: float)
                     links[at[left]], links[at[right]] = close @ copies[at][right], close.T @ copies[at][left]
         return pa.table({"node": table.column("node"), "links": pa.array(links)})
 
-    return dealt.groupBy("task").applyInArrow(count, _COUNTED).groupBy("node").agg(F.sum("links").alias("links"))
+    return dealt.groupBy("task").applyInArrow(count, _COUNTED).unionByName(inside).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -269,8 +349,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     usable = stored(_usable(vectors, id_col, vector).withColumn("node", F.unhex(F.md5("vec"))), "vectors")
     linkable = usable.where("vec is not null")
     nodes = stored(linkable.groupBy("node").agg(F.first("vec").alias("vec"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
-    links = found_links(nodes, nodes.count(), kind, similarity, recall)
-    found = stored(connected_components(links), "components")
+    found = found_components(nodes, nodes.count(), kind, similarity, recall)
     members = stored(nodes.join(found, "node").select("node", F.col("component").alias("comp"), "vec", "copies", "least"), "members")
     counted = stored(_counted_links(members.drop("least"), members.count(), kind, similarity), "counted")
     firsts = members.groupBy("comp").agg(F.min("least").alias("component_id"))

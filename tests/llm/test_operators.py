@@ -354,10 +354,10 @@ def test_links_in_a_crowd_of_vectors(spark, monkeypatch):
     linked = {i: int(n) for i, n in enumerate((cosines >= 0.9).sum(axis=1)) if n}
     assert len(linked) >= 332
     table = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x))}))
-    # All compared at once; then buckets by bits, the large ones in blocks.
-    for pairs_a_row, recall in ((2000, 1.0), (100, 0.98)):
-        monkeypatch.setattr(vector_dedup, "PAIRS_A_ROW", pairs_a_row)
-        monkeypatch.setattr(vector_dedup, "BUCKET", 1000)
+    # A window wider than the table; then narrow ones, in spans.
+    for window, recall in ((20_000, 1.0), (512, 0.98)):
+        monkeypatch.setattr(vector_dedup, "WINDOW", window)
+        monkeypatch.setattr(vector_dedup, "SPAN", 4 * window)
         got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(table).where("n_links > 0").collect()}
         assert got.keys() <= linked.keys() and len(got) >= recall * len(linked)
         assert all(n <= linked[i] for i, n in got.items())
@@ -382,7 +382,8 @@ def test_recall_of_vectors_with_a_common_direction(spark, monkeypatch, common):
     np.fill_diagonal(exact, 0)
     linked = {i: int(n) for i, n in enumerate((exact >= 0.9).sum(axis=1)) if n}
     assert len(linked) >= 400
-    monkeypatch.setattr(vector_dedup, "PAIRS_A_ROW", 100)
+    monkeypatch.setattr(vector_dedup, "WINDOW", 128)
+    monkeypatch.setattr(vector_dedup, "SPAN", 512)
     table = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(list(x))}))
     assert vector_dedup._kind(table, "embedding") == "<f4"
     got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(table).where("n_links > 0").collect()}
@@ -390,6 +391,19 @@ def test_recall_of_vectors_with_a_common_direction(spark, monkeypatch, common):
     assert all(got[i] == linked[i] for i in got)
 
 
+def test_links_of_a_component_with_a_core(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 64)
+    monkeypatch.setattr(vector_dedup, "CENTRE_OF", 16)
+    rng = np.random.default_rng(31)
+    base = rng.normal(size=16)
+    # Near copies that are all core, others strewn around them, and a component of core alone.
+    rows = [(i, (base + s * np.linalg.norm(base) / 4 * rng.normal(size=16)).tolist()) for i, s in enumerate([0.05] * 300 + [0.3] * 250)]
+    rows += [(1000 + i, (-base + 0.01 * rng.normal(size=16)).tolist()) for i in range(150)] + [(2000 + i, rows[i][1]) for i in range(5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_dedup.near_duplicates(table).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == plain_links(rows)
+
+
 def test_vectors_with_null_ids_and_repeated_rows(spark):
     rows = [(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [0.0, -1.0]), (5, None), (None, None), (9, [2.0, 0.1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
