@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import stored
@@ -126,17 +125,37 @@ def refine(tree: DataFrame, members: DataFrame, found: Concepts, ratio: float =
     return Concepts(stored(found.concepts.unionByName(added), "concepts"), stored(membership, "membership"))
 
 
-def _cuts(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
-    """Tokens that a concept loses to concepts of its nodes' children, in order of first occurrence."""
-    left = list(rows["members"].iloc[0])
-    out = []
-    for row in rows.sort_values(["first_point", "depth", "token"], kind="stable").itertuples():
-        child = set(row.child_members)
-        if len(child) > 1 and len(left) > 4 and len(set(left) & child) >= (len(left) - 1) * ratio:
-            out.append((row.concept_id, row.token, row.child_concept))
-            if row.token in left:
-                left.remove(row.token)
-    return pd.DataFrame(out, columns=["concept_id", "token", "child_concept"])
+def child_cuts(rows: DataFrame, ratio: float = 0.8) -> DataFrame:
+    """``concept_id, token, child_concept``: tokens that concepts lose to concepts of their nodes' children.
+
+    ``rows`` (concept_id, token, child_concept, first_point, depth, members,
+    child_members), one for each token and child concept of a concept, are
+    decided in order of first point, depth, token and child concept: a token is
+    cut if the child has two members or more, more than four members of the
+    concept are left, and the child has ``ratio`` of them, one not counted.  All
+    decisions up to the first that takes a member away are made at once, for all
+    concepts; what is behind it waits for the next round.  So rounds follow the
+    most members that one concept loses, and no concept is gathered anywhere.
+    """
+    first = rows.select(
+        "concept_id", "token", "child_concept", F.struct("first_point", "depth", "token", "child_concept").alias("ord"),
+        F.array_intersect("members", "child_members").alias("common"), F.size("members").alias("left"), F.array_contains("members", F.col("token")).alias("held"),
+    )
+    # Five members are left at least where a token is cut, so fewer in common never suffice.
+    first = first.where((F.size(F.array_distinct(rows["child_members"])) > 1) & (F.col("left") > 4) & (F.size("common") >= F.lit(4 * ratio)))
+    waiting = stored(first, "waiting")
+    cuts = waiting.select("concept_id", "token", "child_concept").limit(0)
+    while not waiting.isEmpty():
+        passing = stored(waiting.where((F.col("left") > 4) & (F.size("common") >= (F.col("left") - 1) * F.lit(ratio))).select("concept_id", "token", "child_concept", "ord", "held"), "passing")
+        taking = passing.where("held").groupBy("concept_id").agg(F.min("ord").alias("stop"), F.min_by("token", "ord").alias("gone"))
+        taking = stored(taking, "taking")
+        now = passing.join(taking, "concept_id", "left").where("stop is null or ord <= stop")
+        cuts = cuts.unionByName(stored(now.select("concept_id", "token", "child_concept"), "cuts"))
+        behind = waiting.join(taking, "concept_id").where("ord > stop").withColumns({
+            "common": F.array_remove("common", F.col("gone")), "left": F.col("left") - 1, "held": F.col("held") & (F.col("token") != F.col("gone")),
+        })
+        waiting = stored(behind.drop("stop", "gone"), "waiting")
+    return cuts
 
 
 def clean_up(tree: DataFrame, found: Concepts, ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +174,7 @@ def clean_up(tree: DataFrame, found: Concepts, ratio: float = 0.8) -> tuple[Data
         found.concepts.select(F.col("concept_id").alias("child_concept"), F.col("members").alias("child_members")), "child_concept"
     )
     rows = both.select("concept_id", "token", "child_concept", F.col("f.first_point").alias("first_point"), F.col("f.depth").alias("depth"), "members", "child_members")
-    cuts = stored(rows.groupBy("concept_id").applyInPandas(lambda g: _cuts(g, ratio), "concept_id string, token string, child_concept string"), "cuts")
+    cuts = child_cuts(rows, ratio)
     gone = cuts.groupBy("concept_id").agg(F.collect_set("token").alias("gone"))
     after = found.concepts.join(gone, "concept_id", "left").select("concept_id", F.when(F.col("gone").isNull(), F.col("members")).otherwise(F.array_except("members", "gone")).alias("members"))
     return stored(edges.join(cuts, ["concept_id", "token", "child_concept"]).select("parent_id", "node_id"), "cut_edges"), stored(after, "members_after")

@@ -35,7 +35,7 @@ def meeting(concepts: DataFrame) -> DataFrame:
     return pairs.join(names.withColumnsRenamed({"concept_id": "a", "members": "members_a"}), "a").join(names.withColumnsRenamed({"concept_id": "b", "members": "members_b"}), "b")
 
 
-def _relatable(concepts: DataFrame, common: float) -> DataFrame:
+def relatable(concepts: DataFrame, common: float) -> DataFrame:
     """``a, b, members_a, members_b``: ordered pairs of which one can hold the other, or that can share ``common`` of both.
 
     A set inside another has its rarest member in it; two sets that share enough
@@ -52,6 +52,16 @@ def _relatable(concepts: DataFrame, common: float) -> DataFrame:
     return pairs.join(names.withColumnsRenamed({"concept_id": "a", "members": "members_a"}), "a").join(names.withColumnsRenamed({"concept_id": "b", "members": "members_b"}), "b")
 
 
+def set_relations(concepts: DataFrame, general: float = 0.5, common: float = 0.5) -> DataFrame:
+    """``a, b, a_derives_from_b, a_generalizes_b, members``: ordered pairs of concepts that are related, with the members they share enough of.
+
+    Only pairs that :func:`relatable` lets meet are looked at, where :func:`meeting` has all that share any member.
+    """
+    a, b = F.col("members_a"), F.col("members_b")
+    pairs = relatable(concepts, common).select("a", "b", is_derived(a, b).alias("a_derives_from_b"), generalizes(a, b, general).alias("a_generalizes_b"), common_members(a, b, common).alias("members"))
+    return pairs.where(F.col("a_derives_from_b") | F.col("a_generalizes_b") | (F.size("members") > 0))
+
+
 def siblings(edges: DataFrame) -> DataFrame:
     """``a, b``: ordered pairs of concepts that derive from one base."""
     derived = edges.where("edge_type = 'derivation'").select("src", "dst").distinct()
@@ -74,7 +84,7 @@ def derivations(concepts: DataFrame, adjacent: DataFrame, general: float = 0.5,
     """
     known = adjacent.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(siblings(adjacent)).distinct()
-    pairs = _relatable(concepts, common).join(known, ["a", "b"], "left_anti")
+    pairs = relatable(concepts, common).join(known, ["a", "b"], "left_anti")
     a, b = F.col("members_a"), F.col("members_b")
     direct = pairs.where(generalizes(a, b, general) | is_derived(b, a)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     shared = pairs.where(~(generalizes(a, b, general) | is_derived(b, a) | generalizes(b, a, general) | is_derived(a, b)) & (F.col("a") < F.col("b")))

@@ -169,6 +169,22 @@ def common_members(spark, sf_dir):
     return pairs.select("a", "b", F.array_join(F.array_sort(shared), "|").alias("members"))
 
 
+def set_relations(spark, sf_dir):
+    found = semantics.set_relations(stored(_sets(spark, sf_dir), "sets"))
+    return found.withColumn("members", F.array_join(F.array_sort("members"), "|"))
+
+
+def similar_sets(spark, sf_dir):
+    """Alike sets of children; with ``node_sets`` all that ``similar_pairs_loose`` says, in rows that grow with the names alone."""
+    run = _run(spark, sf_dir)
+    found = similarity.similar_sets(stored(similarity.member_sets(run.tree, run.members), "sets"), 0.5)
+    return found.select("a", "b", *(F.col(c).cast("long").alias(c) for c in ("overlap", "size_a", "size_b")))
+
+
+def node_sets(spark, sf_dir):
+    return similarity.node_sets(_run(spark, sf_dir).members)
+
+
 def catalog_flat(spark, sf_dir):
     return catalog.catalog(spark).select("equip", F.col("equip_ord").cast("long").alias("equip_ord"), "label", F.col("label_ord").cast("long").alias("label_ord"), F.col("alt_ord").cast("long").alias("alt_ord"), *_joined("alt_tokens"))
 
@@ -297,6 +313,21 @@ def simple_derived(spark, sf_dir):
     return pairs.select(F.element_at("members", 2).alias("base"), F.element_at("members", 1).alias("token"))
 
 
+def base_class_members(spark, sf_dir):
+    """The nodes of ``simple_derived`` under their derived classes, all others where they were."""
+    run = _run(spark, sf_dir)
+    alone = stored(run.members.where("size = 1").select(F.element_at("members", 1).alias("concept_id"), "node_id"), "alone")
+    classes, _, moves = semantics.simple_bases(run.tree, run.members, alone)
+    ord_ = F.min(F.struct("first_point", "depth")).alias("ord")
+    concepts = alone.join(run.tree, "node_id").groupBy("concept_id").agg(ord_).select("concept_id", F.array("concept_id").alias("members"), "ord")
+    return clusters.with_base_classes(clusters.Concepts(concepts, alone), classes, moves).membership
+
+
+def sibling_concepts(spark, sf_dir):
+    run = _plant(spark, sf_dir)
+    return semantics.siblings(semantics.derivations(run.found.concepts, run.edges)[0])
+
+
 def concept_points(spark, sf_dir):
     return _plant(spark, sf_dir).unlabelled.select("concept_id", *_joined("rel_path"), "label", "score", "point_name")
 
@@ -381,6 +412,26 @@ def label_candidates(spark, sf_dir):
     return found.select("point_name", F.explode("cands").alias("c")).select("point_name", "c.*")
 
 
+def candidate_text(spark, sf_dir):
+    return sinks.candidate_lines(_plant(spark, sf_dir).candidates())
+
+
+def candidates_file(spark, sf_dir):
+    """The CSV of candidates, read back."""
+    path = fresh_path(spark, "candidates")
+    sinks.write_candidates(_plant(spark, sf_dir).candidates(), path, "csv")
+    lists = {"className": "array<string>", "clusterID": "array<string>", "label": "array<string>", "distance": "array<double>"}
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select("pointName", *(F.array_join(F.from_json(name, kind).cast("array<string>"), "|").alias(name) for name, kind in lists.items()))
+
+
+def resolved_file(spark, sf_dir):
+    """The CSV of resolved names, read back."""
+    path = fresh_path(spark, "resolved")
+    sinks.write_resolved(_plant(spark, sf_dir).resolved(), path)
+    return spark.read.option("header", True).csv(path).withColumn("Distance", F.col("Distance").cast("double"))
+
+
 def resolve_best(spark, sf_dir):
     return _plant(spark, sf_dir).resolved()
 
@@ -443,10 +494,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             for f in (
                 load_names, rejected_names, distinct_points, tokenize_points, uncamel, unique_tokens, token_frequency, split_trailing, split_runs, without_digits,
                 vocab_children, expand_tokens, expand_tokens_pages, frequency_after, point_paths, tree_nodes, node_types, tree_leaves, point_leaf, leaf_parents, tree_report,
-                node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, catalog_flat,
+                node_members, parents_by_type, common_edges, node_closure, similar_pairs_asym, member_subset_pairs, common_members, set_relations, similar_sets, node_sets, catalog_flat,
                 supported_labels, token_catalog_jw, alike_tokens, given_catalogue_scores, strip_common_prefix, point_label_scores, feature_vector, best_points, ranked_labels, concept_clusters, first_concepts,
-                concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, derived_graph, base_with_member, base_usage, simple_derived, concept_points,
-                leaf_coverage, unexplained_points, unique_points, concept_classes, revised_classes, fitted_classes, greedy_assign, greedy_assign_few, label_candidates, resolve_best, resolve_classified, resolve_new_names,
+                concept_members, concept_names, cut_edges, members_after, association_edges, derivation_edges, derived_graph, base_with_member, base_usage, simple_derived, base_class_members, sibling_concepts, concept_points,
+                leaf_coverage, unexplained_points, unique_points, concept_classes, revised_classes, fitted_classes, greedy_assign, greedy_assign_few, label_candidates, candidate_text, candidates_file, resolved_file, resolve_best, resolve_classified, resolve_new_names,
                 class_summary, class_instances, run_report, dot_graph, cluster_file, training_file, resolved_argmax,
             )
         },
@@ -842,6 +893,14 @@ walks(concept_id, token, here, seen, n) AS (SELECT concept_id, unnest(members),
         "simple_derived": f"""{tree_of_parts}, one AS (SELECT m.members[1] AS base, n.token FROM mem m JOIN nodes n USING (node_id) WHERE m.size = 1)
           SELECT DISTINCT base, token FROM one WHERE NOT regexp_full_match(token, '[0-9]+') AND base IN
             (SELECT base FROM one WHERE NOT regexp_full_match(base, '[0-9]+') GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT token) FILTER (NOT regexp_full_match(token, '[0-9]+')) > 1)""",
+        "base_class_members": f"""{tree_of_parts}, one AS (SELECT m.members[1] AS base, n.token, node_id FROM mem m JOIN nodes n USING (node_id) WHERE m.size = 1),
+          fits AS (SELECT base FROM one WHERE NOT regexp_full_match(base, '[0-9]+') GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT token) FILTER (NOT regexp_full_match(token, '[0-9]+')) > 1)
+          SELECT node_id, CASE WHEN fits.base IS NOT NULL AND NOT regexp_full_match(token, '[0-9]+') THEN sha256(array_to_string(list_sort([token, one.base]), '␟')) ELSE one.base END AS concept_id
+          FROM one LEFT JOIN fits ON one.base = fits.base""",
+        "sibling_concepts": _model_sql("SELECT DISTINCT l.dst AS a, r.dst AS b FROM derived l JOIN derived r ON l.src = r.src AND l.dst <> r.dst"),
+        "candidate_text": _model_sql("SELECT concat_ws(',' || chr(9), point_name, 'UNKNOWN', node, 'UNKNOWN', '0.0') AS value FROM near"),
+        "candidates_file": _model_sql("""SELECT point_name AS "pointName", 'UNKNOWN' AS "className", node AS "clusterID", 'UNKNOWN' AS label, '0.0' AS distance FROM near"""),
+        "resolved_file": _model_sql("""SELECT point_name AS "OriginalPoint", 'UNKNOWN' AS "Equipment", node AS "Node", 0.0::DOUBLE AS "Distance", 'UNKNOWN' AS "Representation" FROM near"""),
         "base_usage": _model_sql("SELECT base AS concept_id, count(DISTINCT concept_id) - 1 AS n_classes, count(DISTINCT node_id) AS n_instances FROM family LEFT JOIN ms USING (concept_id) GROUP BY 1"),
         "run_report": _model_sql("""SELECT 'nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'leaves', count(*) FROM nodes WHERE is_point UNION ALL SELECT 'types', count(DISTINCT token) FROM nodes
           UNION ALL SELECT 'explained', count(*) FROM cov WHERE explained UNION ALL SELECT 'unexplained', count(*) FROM cov WHERE NOT explained
@@ -852,6 +911,12 @@ walks(concept_id, token, here, seen, n) AS (SELECT concept_id, unnest(members),
         "member_subset_pairs": _set_pairs_sql("""len(mb) > 2 AND len(ma) > len(mb) AND len(x) = len(mb) AS a_derives_from_b,
           len(ma) > 2 AND len(ma) < len(mb) AND len(x) = len(ma) AND len(ma) >= 0.5::DOUBLE * len(mb) AS a_generalizes_b"""),
         "common_members": _set_pairs_sql("CASE WHEN len(x) >= 0.5::DOUBLE * len(ma) AND len(x) >= 0.5::DOUBLE * len(mb) THEN array_to_string(list_sort(x), '|') ELSE '' END AS members"),
+        "set_relations": f"""SELECT * FROM ({_set_pairs_sql("""len(mb) > 2 AND len(ma) > len(mb) AND len(x) = len(mb) AS a_derives_from_b,
+          len(ma) > 2 AND len(ma) < len(mb) AND len(x) = len(ma) AND len(ma) >= 0.5::DOUBLE * len(mb) AS a_generalizes_b,
+          CASE WHEN len(x) >= 0.5::DOUBLE * len(ma) AND len(x) >= 0.5::DOUBLE * len(mb) THEN array_to_string(list_sort(x), '|') ELSE '' END AS members""")}) WHERE a_derives_from_b OR a_generalizes_b OR members <> ''""",
+        "similar_sets": f"""SELECT a, b, overlap, size_a, size_b FROM ({_set_pairs_sql("len(x)::BIGINT AS overlap, len(ma)::BIGINT AS size_a, len(mb)::BIGINT AS size_b")})
+          WHERE a < b AND (size_a = size_b OR greatest(size_a, size_b) - least(size_a, size_b) < least(size_a, size_b) * (1.0::DOUBLE - 0.5::DOUBLE)) AND overlap / greatest(size_a, size_b) >= 0.5::DOUBLE""",
+        "node_sets": f"{tree_of_parts} SELECT node_id, sha256(array_to_string(list_sort(members), '␟')) AS set_id FROM mem WHERE size >= 2",
         "catalog_flat": f"WITH {_catalog_sql()} SELECT equip, equip_ord::BIGINT AS equip_ord, label, label_ord::BIGINT AS label_ord, alt_ord::BIGINT AS alt_ord, {joined('alt_tokens')} FROM cat",
         "supported_labels": f"SELECT kind, ord::BIGINT AS ord, label FROM (VALUES {_quoted(catalog.class_labels(), 'class')}, {_quoted(catalog.point_labels(), 'point')}) t(kind, ord, label)",
         "token_catalog_jw": f"""{tokens_of_pages}, {_catalog_sql()}, a AS (SELECT DISTINCT unnest(alt_tokens) AS alt_token FROM cat)

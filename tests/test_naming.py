@@ -271,6 +271,33 @@ def test_clean_up_cuts_like_children(spark):
     assert tree.closure(run.tree, cut).where("ancestor = 'TOPP'").count() == 5 and tree.closure(run.tree).where("ancestor = 'TOPP'").count() == 11
 
 
+def test_cuts_in_rounds_equal_a_walk_in_order(spark):
+    rng = random.Random(12)
+    rows = []
+    for c in range(60):
+        members = rng.sample("ABCDEFGHIJKL", rng.randint(3, 12))
+        for i in range(rng.randint(0, 14)):
+            child = [m for m in members if rng.random() < 0.85] + rng.sample("XYZ", rng.randint(0, 2))
+            rows.append((f"c{c}", rng.choice([*members, "Q"]), f"k{i}", rng.choice("pqr"), rng.randint(1, 2), members, child))
+    expected = set()
+    for c in {r[0] for r in rows}:
+        left = list(next(r for r in rows if r[0] == c)[5])
+        for r in sorted((r for r in rows if r[0] == c), key=lambda r: (r[3], r[4], r[1], r[2])):
+            if len(set(r[6])) > 1 and len(left) > 4 and len(set(left) & set(r[6])) >= (len(left) - 1) * 0.8:
+                expected.add(r[:3])
+                left = [m for m in left if m != r[1]]
+    table = spark.createDataFrame(rows, "concept_id string, token string, child_concept string, first_point string, depth int, members array<string>, child_members array<string>").repartition(3)
+    got = [tuple(r) for r in clusters.child_cuts(table).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 60
+    assert clusters.child_cuts(table.limit(0)).count() == 0
+
+
+def test_sorted_vocabulary(spark):
+    words = spark.createDataFrame([("B", 1, 3), ("A", 1, 3), ("AAA", 3, 1), ("CC", 2, 9)], "token string, size long, frequency long")
+    assert [r.token for r in vocabulary.by_frequency(words).collect()] == ["CC", "A", "B", "AAA"]
+    assert [r.token for r in vocabulary.by_size(words).collect()] == ["A", "B", "CC", "AAA"]
+
+
 def test_closure_of_a_deep_walk(spark):
     deep = [f"t{chr(97 + i)}{chr(97 + i)}" + "q" * 3 for i in range(21)]
     run = Run(names(spark, ["/".join(deep), "/".join(deep[:4])]))
