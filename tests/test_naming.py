@@ -520,6 +520,18 @@ def test_alike_tokens_equal_brute_force(spark, cut):
     assert scoring.alike_tokens(tables[0], tables[1].limit(0)).count() == 0
 
 
+def test_numbers_of_one_length_are_compared_without_a_shuffle_of_pairs(spark):
+    numbers = [f"{n * 7919 % 100000:05d}" for n in range(1, 2501)]
+    tokens = spark.createDataFrame([(n,) for n in numbers], "token string")
+    found = scoring.alike_tokens(tokens, tokens, block=512)
+    # Nearly all numbers share a frequent digit, so pairs must not be rows before they are known to be alike.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.splitlines()[0] + plan.splitlines()[1] + plan.splitlines()[2] and "Aggregate" not in plan
+    got = {(r.token, r.alt_token): r.similarity for r in found.collect()}
+    expected = {(a, b): s for a in numbers[:100] for b in numbers if (s := jaro_winkler(a, b)) > scoring.TOKEN_CUT}
+    assert {k: s for k, s in got.items() if k[0] in set(numbers[:100])} == expected and len(expected) > 200
+
+
 def test_a_catalogue_of_ones_own(spark, tmp_path):
     from namelattice.sources.catalogue import checked_model, read_catalogue
 
