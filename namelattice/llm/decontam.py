@@ -45,6 +45,8 @@ WINDOW, WITHIN = 10, 20
 BLOCK_WORDS = 200_000
 #: Words in a segment before it is closed; bounds a row of the index to a few MB, or one document.
 SEGMENT_WORDS = 400_000
+#: Segments in a file of the index: writers and readers of Parquet hold a file's rows together until 100 of them, whatever their size.
+FILE_SEGMENTS = 8
 #: Bytes of a longer text whose words are listed together.
 PIECE = 4 << 20
 #: Places that are compared in one step of a search.
@@ -156,7 +158,8 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         if segment.rows:
             yield segment.batch()
 
-    numbered.mapInArrow(build, _INDEX_SCHEMA).write.options(**{"compression": "zstd", "parquet.block.size": str(32 << 20)}).parquet(path)
+    options = {"compression": "zstd", "parquet.block.size": str(32 << 20), "maxRecordsPerFile": str(FILE_SEGMENTS)}
+    numbered.mapInArrow(build, _INDEX_SCHEMA).write.options(**options).parquet(path)
     return read_index(docs.sparkSession, path)
 
 

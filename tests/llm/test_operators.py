@@ -751,3 +751,14 @@ def test_forest_walk_equals_a_plain_walk():
 def test_intermediates_use_the_named_folder(spark):
     assert storage.fresh_path(spark, "x").startswith(storage.shared_dir(spark))
     assert storage.stored(spark.range(3).where(F.col("id") < 0), "none").count() == 0
+
+
+def test_index_files_hold_few_segments(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b c d"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    index = decontam.build_index(docs, str(tmp_path / "index"), segment_words=12)
+    rows = [pq.ParquetFile(path).metadata.num_rows for path in (tmp_path / "index").glob("*.parquet")]
+    assert sum(rows) == index.count() > 3 * decontam.FILE_SEGMENTS and max(rows) <= decontam.FILE_SEGMENTS
+    items = spark.createDataFrame([("i", "c d 77")], "item_id string, text string")
+    assert [r.doc_id for r in decontam.search(index, items).where("n_hit > 0").collect()] == [77]
