@@ -260,6 +260,19 @@ def test_concepts_equal_the_sequential_rules(spark, seed):
     assert {(r.node_a, r.node_b) for r in similarity.similar_nodes(run.tree, run.members, 0.6).collect()} == pairs
 
 
+def test_nodes_of_one_set_are_paired_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "NODES_A_BLOCK", 50, raising=False)
+    run = Run(names(spark, [f"U{i:04d}/{c}" for i in range(700) for c in ("MAT", "RAT", "SAT")] + [f"W{i:02d}/{c}" for i in range(40) for c in ("MAT", "RAT", "SAT", "XTR")]))
+    found = similarity.similar_nodes(run.tree, run.members, 0.6).withColumn("task", F.spark_partition_id())
+    sets = {r.node_id: set(r.members) for r in run.members.where("size >= 2").collect()}
+    got = [(r.node_a, r.node_b, r.overlap, r.size_a, r.size_b) for r in found.collect()]
+    expected = [(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and alike(sets[a], sets[b], 0.6)]
+    assert sorted(got) == sorted(expected) and len(got) > 270_000
+    # No task has more than half of what one set of 700 equal nodes gives.
+    rows = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(rows) > 2 and max(rows) < len(got) / 2
+
+
 def test_clean_up_cuts_like_children(spark):
     # A unit's sixth child repeats five of its children: alike enough to be cut off, too unlike to be one concept with it.
     kids = "abcdef"
