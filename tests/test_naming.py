@@ -564,6 +564,28 @@ def test_numbers_of_one_length_are_compared_without_a_shuffle_of_pairs(spark):
     assert {k: s for k, s in got.items() if k[0] in set(numbers[:100])} == expected and len(expected) > 200
 
 
+def test_tokens_of_the_same_letters_are_compared_together(spark):
+    rng = random.Random(3)
+    words = [f"{rng.randrange(10**6)}{rng.choice(['', 'TOP', '?PAGE=2&REF=X'])}" for _ in range(400)] + ["".join(rng.sample("AABBCCDDEE", 10)) for _ in range(300)] + ["A" * 20 + "B" * 13, "A" * 19 + "B" * 14, "é😀", "😀é"]
+    words = list(dict.fromkeys(words))
+    tokens = spark.createDataFrame([(w,) for w in words], "token string")
+    rows, n = scoring._blocks(tokens, "token", "tokens", 50)
+    rows, homes = rows.collect(), {}
+    for r in rows:
+        for w in r.token:
+            homes.setdefault("".join(sorted(w)), set()).add(r["at"])
+    # One block for all orders of the same letters, but no row of all of them where they are many.
+    assert n > 10 and all(len(h) == 1 for h in homes.values()) and max(len(r.token) for r in rows) < 200
+    assert sorted(w for r in rows for w in r.token) == sorted(words)
+    found = scoring.alike_tokens(tokens, tokens, block=50, digits=9)
+    got = {(r.token, r.alt_token): r.similarity for r in found.collect()}
+    expected = {(a, b): s for a in words for b in words if (s := jaro_winkler(a, b)) > scoring.TOKEN_CUT}
+    assert got.keys() == expected.keys() and found.count() == len(expected) > 20_000
+    values = spark.createDataFrame([(s,) for s in set(expected.values())], "s double").select("s", F.round("s", 9).alias("r"))
+    rounded = dict(map(tuple, values.collect()))
+    assert all(got[k] == rounded[s] for k, s in expected.items())
+
+
 def test_a_catalogue_of_ones_own(spark, tmp_path):
     from namelattice.sources.catalogue import checked_model, read_catalogue
 
