@@ -281,6 +281,20 @@ def test_nodes_of_one_set_are_paired_by_many_tasks(spark, monkeypatch):
     assert len(rows) > 2 and max(rows) < len(got) / 2
 
 
+def test_pairs_are_written_out_a_few_nodes_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "NODES_A_BLOCK", 9)
+    rng = random.Random(6)
+    kinds = [("MAT", "RAT", "SAT"), ("MAT", "RAT", "SAT", "XTR"), ("FAN", "PMP")]
+    run = Run(names(spark, [f"U{i:04d}/{c}" for i in range(120) for c in rng.choice(kinds)]))
+    found = similarity.similar_nodes(run.tree, run.members, 0.6)
+    sets = {r.node_id: set(r.members) for r in run.members.where("size >= 2").collect()}
+    expected = [(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and alike(sets[a], sets[b], 0.6)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and len({e[2:] for e in expected}) == 5
+    # The code that writes a block's pairs out takes its rows from other code, or it would hold a block squared.
+    steps = [line for line in found._jdf.queryExecution().toString().split("Physical Plan")[1].splitlines() if "Generate" in line or "Coalesce " in line]
+    assert ["Generate" in step for step in steps[:4]] == [True, True, False, True]
+
+
 def test_clean_up_cuts_like_children(spark):
     # A unit's sixth child repeats five of its children: alike enough to be cut off, too unlike to be one concept with it.
     kids = "abcdef"
